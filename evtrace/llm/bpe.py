@@ -108,8 +108,11 @@ class Vocabulary:
             best = ranks[every, at]
             done = best == NONE
             if done.any():
-                for r, row in zip(rows[done], ids[done]):
-                    out[r] = row[row >= 0].tolist()
+                ended = ids[done]
+                ends = np.cumsum((ended >= 0).sum(axis=1)).tolist()
+                flat, start = ended[ended >= 0].tolist(), 0
+                for r, end in zip(rows[done].tolist(), ends):
+                    out[r], start = flat[start:end], end
                 rows, ids, ranks, at, best = (x[~done] for x in (rows, ids, ranks, at, best))
                 every = np.arange(len(rows))
                 if not len(rows):

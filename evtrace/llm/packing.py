@@ -1,6 +1,6 @@
 """Best-fit packing planned on the histogram of lengths.
 
-Texts become token ids by the `tokenizers` library, an end id follows, and what is longer than a sequence is
+Texts become token ids, an end id follows, and what is longer than a sequence is
 cut. Only the counts per length, at most one per token of capacity, reach the driver. There best fit runs over
 counts: runs of equally filled sequences take equally long pieces at once. The plan says which ranks of a
 length go to which sequences; pieces take their places by joining on their rank within their length. Ranks are
@@ -17,44 +17,47 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import parts, settle
-from .tokens import KEPT, word_parts
 
 CAPACITY = 2048
 SLOT = "length long, lo long, hi long, sequence long, per long, used long"
 
 
-def _pieces(tokenizer: str, capacity: int, end_id: int):
+def _encoder(ranks_path: str, tokenizer_path: str, pattern: str):
+    """text -> token ids as the tokenizers library gives them.
+
+    The rank file holds the same vocabulary, and its library is several times as fast; only texts with a run
+    of white space so long that its pattern engine gives up go to the slower one.
+    """
+    import re
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from .bpe import read_ranks
+
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+    slow = Tokenizer.from_file(tokenizer_path)
+    slow.encode_special_tokens = True  # their strings in a text are ordinary text
+    blank = re.compile(r"\s{5000}")
+    return lambda text: slow.encode(text, add_special_tokens=False).ids if blank.search(text) else fast.encode_ordinary(text)
+
+
+def _pieces(tokenizer: tuple[str, str, str], capacity: int, end_id: int):
     def run(batches):
         import zlib
 
         import numpy as np
         import pyarrow as pa
-        from tokenizers import Tokenizer
-
-        lib = Tokenizer.from_file(tokenizer)
-        lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        kept: dict[str, bytes] = {}
-        end = np.array([end_id], "<u4").tobytes()
-
-        def learn(new: list[str]) -> dict[str, bytes]:
-            coded = lib.encode_batch_fast(new, add_special_tokens=False)
-            return {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, coded)}
 
+        encode = _encoder(*tokenizer)
         for batch in batches:
             out = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = word_parts(text or "")
-                found[1:] = [" " + x for x in found[1:]]
-                new = [x for x in dict.fromkeys(found) if x not in kept]
-                if len(kept) + len(new) > KEPT:
-                    kept.clear()
-                    new = list(dict.fromkeys(found))
-                kept.update(learn(new))
-                ids = b"".join(map(kept.__getitem__, found)) + end
-                n = len(ids) // 4
+                ids = np.array([*encode(text or ""), end_id], "<u4")
+                n = len(ids)
                 starts = [0, *range(n % capacity or capacity, n, capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
-                    for x, v in zip(out, (doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))):
+                    for x, v in zip(out, (doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -97,8 +100,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return slots
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    tokenizer: paths of the rank file and of the tokenizers file of one vocabulary, and its pattern.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = settle(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))

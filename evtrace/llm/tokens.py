@@ -6,7 +6,7 @@ import re
 
 _ADJACENT = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<!\s) (?!\s)")
-KEPT = 300_000  # parts that a worker keeps before it starts anew
+KEPT = 500_000  # parts that a worker keeps before it starts anew
 
 
 def word_parts(text: str) -> list[str]:
