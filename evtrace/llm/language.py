@@ -144,7 +144,7 @@ def identify(docs: DataFrame, declared=None, address=None, label=None, text=None
     top = F.array_max("_joint")
     weight = F.aggregate("_joint", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     posterior = F.coalesce(1 / weight, F.lit(0.0))
-    return joint.select(*[F.col(f"`{c}`") for c in own], pick(F.col("_joint")).alias("language"), posterior.alias("posterior"), (posterior < least).alias("rejected"))
+    return joint.select(*[F.col(f"`{c}`") for c in own], F.when(F.col("_joint").isNotNull(), pick(F.col("_joint"))).alias("language"), posterior.alias("posterior"), (posterior < least).alias("rejected"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
