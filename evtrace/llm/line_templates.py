@@ -23,39 +23,47 @@ from pyspark.sql import DataFrame, functions as F
 from .common import settle
 
 LEADING, LONG = 3, 50
+SMALL = 100_000  # rows of places up to which they are broadcast
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+def _masked(lines: DataFrame) -> DataFrame:
+    """lines with `masked`: the tokens of column line, those with digits generalised."""
     tokens = F.filter(F.split("line", r"\s+"), lambda t: t != "")
-    return rows.withColumn("tokens", tokens).withColumn("masked", F.when(F.col("line").rlike("[0-9]"), F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(F.col("tokens")))
+    general = F.transform("_tokens", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    return lines.withColumn("_tokens", tokens).withColumn("masked", F.when(F.col("line").rlike("[0-9]"), general).otherwise(F.col("_tokens"))).drop("_tokens")
 
 
-def line_templates(docs: DataFrame, shortest: int = 4, least: int = 3, least_long: int = 2, agree: float = 0.75) -> DataFrame:
+def line_templates(docs: DataFrame, shortest: int = 4, least: int = 3, agree: float = 0.75) -> DataFrame:
     """doc_id, text_hash, line_no, n_tokens, template (a hash) of every line with enough tokens."""
-    lines = _lines(docs).withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= shortest)
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
+    lines = _masked(texts.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))).withColumn("n_tokens", F.size("masked"))
     leaf = F.xxhash64(F.col("n_tokens"), F.slice("masked", 1, LEADING))
-    keyed = lines.select("doc_id", "text_hash", "line_no", "n_tokens", leaf.alias("leaf"), F.xxhash64("masked").alias("own"), "masked")
-    # leaves in which different lines meet; a leaf of one line is that line's template
-    distinct = keyed.groupBy("leaf", "own").agg(F.count("*").alias("n"))
-    mixed = distinct.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") > 1) & (F.col("n") >= least)).select("leaf")
-    kinds = keyed.join(mixed.hint("shuffle_hash"), "leaf", "left_semi").groupBy("leaf", "own").agg(F.first("masked").alias("masked"), F.count("*").alias("n"))
-    kinds = settle(kinds)
-    votes = kinds.select("leaf", "n", F.posexplode("masked").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+    keyed = settle(lines.where(F.col("n_tokens") >= shortest).select("doc_id", "text_hash", "line_no", "n_tokens", leaf.alias("leaf"), F.xxhash64("masked").alias("own")))
+    # leaves in which different lines meet, and one place of each such line; a leaf of one line is that line's template
+    kinds = keyed.groupBy("leaf", "own").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "line_no")).alias("at"))
+    mixed = keyed.groupBy("leaf").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") >= least))
+    chosen = settle(kinds.join(mixed.select("leaf").hint("shuffle_merge"), "leaf", "left_semi").select("leaf", "own", "n", "at.*"))
+    # only documents that hold such a place are read again, and only those lines split
+    places = settle(chosen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "leaf", "own", "n")).alias("places")))
+    small = places.count() <= SMALL and chosen.count() <= 4 * SMALL
+    found = texts.join(places.hint("broadcast" if small else "shuffle_hash"), (texts["doc_id"].eqNullSafe(places["doc_id"])) & (texts["text_hash"] == places["text_hash"]))
+    spread = found.select("lines", F.explode("places").alias("p")).select("p.leaf", "p.own", "p.n", F.get("lines", F.col("p.line_no")).alias("line"))
+    split = settle(_masked(spread).drop("line").dropDuplicates(["leaf", "own"]))
+    votes = split.select("leaf", "n", F.posexplode("masked").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     usual = votes.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("v"))
     pattern = usual.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v.token"))), lambda x: x["token"]).alias("pattern"))
     same = F.aggregate(F.zip_with("masked", "pattern", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = kinds.join(pattern.hint("shuffle_merge"), "leaf").where(same >= agree * F.size("masked"))
+    close = split.join(pattern.hint("shuffle_merge"), "leaf").where(same >= agree * F.size("masked"))
     close = close.select("leaf", "own", F.xxhash64(F.lit("pattern"), "leaf").alias("general"))
-    joined = keyed.drop("masked").join(close.hint("shuffle_hash"), ["leaf", "own"], "left")
+    joined = keyed.join(close.hint("shuffle_hash"), ["leaf", "own"], "left")
     return joined.select("doc_id", "text_hash", "line_no", "n_tokens", F.coalesce("general", "own").alias("template"))
 
 
 def drop_recurring_lines(docs: DataFrame, shortest: int = 4, least: int = 3, least_long: int = 2, agree: float = 0.75) -> DataFrame:
     """docs with recurring template lines taken out of text, and n_lines and n_dropped (of the text as it was)."""
     docs = docs.drop("n_lines", "n_dropped")
-    lines = settle(line_templates(docs, shortest, least, least_long, agree))
+    lines = settle(line_templates(docs, shortest, least, agree))
     per = lines.groupBy("template", "doc_id", "text_hash").agg(F.first("n_tokens").alias("n_tokens"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     spread = per.groupBy("template").agg(F.count("*").alias("n"), F.max("n_tokens").alias("size"), first.alias("f"))
