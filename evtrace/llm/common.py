@@ -38,6 +38,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` distinct rows of df, those whose hash is least; only hashes are sorted."""
+    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
+    least = hashed.select("_h").distinct().orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
+    return hashed.where(F.lit(False) if least is None else F.col("_h") <= least).dropDuplicates(["_h"]).orderBy("_h").drop("_h")
+
+
 def parts(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for so many rows: at least the session's, more as the rows grow."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

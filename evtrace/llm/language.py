@@ -19,9 +19,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import settle
+from .common import bounded_sample, settle
 
-SAMPLE = 8000  # labelled rows that the text model is fitted on
+SAMPLE = 4000  # labelled rows that the text model is fitted on
 CHARS = 2000  # characters of each sampled row that fitting reads; scoring reads whole texts
 BITS = 15
 TRUST = 0.25  # each byte trigram counts for so much: neighbours overlap
@@ -41,13 +41,8 @@ def _bytes(text: str | None) -> bytes:
 
 def fit(docs: DataFrame, label: str) -> tuple[list[str], np.ndarray]:
     """Languages, and log likelihoods of trigrams (a row per language), from at most SAMPLE rows, the least by hash."""
-    rows = (
-        docs.where(F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select(F.substring("text", 1, CHARS).alias("t"), F.lower(label).alias("l"))
-        .orderBy(F.xxhash64("t", "l"), "t", "l")
-        .limit(SAMPLE)
-        .toPandas()
-    )
+    labelled = docs.where(F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.substring("text", 1, CHARS).alias("t"), F.lower(label).alias("l"))
+    rows = bounded_sample(labelled, SAMPLE).toPandas()
     names = sorted(rows["l"].unique()) if len(rows) else []
     counts = np.zeros((len(names), 1 << BITS))
     for i, name in enumerate(names):

@@ -19,6 +19,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import bounded_sample, settle
+
 KINDS = ("email", "ip", "card", "phone", "secret")  # the first four as the patterns have them
 LENGTH = 12  # tokens of the longest segment
 SAMPLE = 300  # zones that weights are fitted on, the least by hash
@@ -254,7 +256,7 @@ def _sample_zones(batches):
 
 def fit_on(texts: DataFrame) -> Field:
     """The field for a table of texts (column text): seeds, and SAMPLE zones labelled by the patterns."""
-    rows = texts.mapInArrow(_sample_zones, "zone string").distinct().orderBy(F.xxhash64("zone"), "zone").limit(SAMPLE).collect()
+    rows = bounded_sample(settle(texts.mapInArrow(_sample_zones, "zone string").distinct()), SAMPLE).collect()
     found = []
     for (zone,) in rows:
         spans = sorted(base_spans(zone), key=lambda s: s[1])

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import parts, settle
+from .common import bounded_sample, parts, settle
 
 SAMPLE, NODES = 4096, 128  # rows that the top nodes are chosen from; top nodes
 BLOCK, GROUP, LEAF = 4096, 256, 48  # vectors of a block, queries of a group, vectors of a leaf
@@ -192,7 +192,7 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     every = settle(vectors.select("vec_id", "v"))
     # the k + 1 smallest ids of each vector; ties beyond them never show
     once = every.distinct().withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("i") <= k + 1).drop("i")
-    sample = every.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = bounded_sample(every.select("v"), SAMPLE).toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     points = _matrix(sample["v"].tolist())
