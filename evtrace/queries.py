@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .functions import scalars as S
-from .operators import actions as A, lookups as L, rollups as R, rules, series, spatial, timeline as T
+from .operators import actions as A, incidents as I, lookups as L, rollups as R, rules, series, spatial, timeline as T
 from .plans import views as V
 from .plans.views import HOUR
 
@@ -425,6 +425,172 @@ def names(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", S.safe_name(F.col("p_name")).alias("safe"), S.digits_only(F.col("p_brand")).alias("digits"))
 
 
+_ROLES = V.SQL_EVENTS + f""",
+raw AS (
+  SELECT session_id, event_id, t, confidence, side, CASE event_type WHEN 'purchase' THEN 'signal' WHEN 'click' THEN 'change' WHEN 'view' THEN 'state' WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 'down_signal' ELSE 'down_state' END ELSE CASE WHEN k % 3 = 0 THEN 'location' ELSE 'recovery' END END AS role,
+    CASE WHEN event_type = 'signup' AND k % 3 <> 0 AND k >= 10 THEN t + {3 * HOUR} END AS end_t, k < 30 AS heuristic, CASE WHEN k >= 80 THEN k / 100.0 END::DOUBLE AS matched, k < 10 AS missing,
+    CASE WHEN confidence >= 0.75 THEN 'PASS' WHEN confidence < 0.2 THEN 'FAIL' WHEN k % 2 = 0 THEN 'OBSERVED' ELSE 'UNCERTAIN' END AS result, 'UNKNOWN' AS status
+  FROM ev)"""
+
+
+def _roles(spark, sf_dir):
+    ev, kind, k, conf = V.events(spark, sf_dir), F.col("event_type"), F.col("k"), F.col("confidence")
+    role = F.when(kind == "purchase", "signal").when(kind == "click", "change").when(kind == "view", "state").when(kind == "error", F.when(k % 2 == 0, "down_signal").otherwise("down_state")).when(k % 3 == 0, "location").otherwise("recovery")
+    return ev.select(
+        "session_id", "event_id", "t", "confidence", "side", role.alias("role"), F.when((kind == "signup") & (k % 3 != 0) & (k >= 10), F.col("t") + 3 * HOUR).alias("end_t"), (k < 30).alias("heuristic"), F.when(k >= 80, k / 100).alias("matched"), (k < 10).alias("missing"),
+        F.when(conf >= 0.75, "PASS").when(conf < 0.2, "FAIL").when(k % 2 == 0, "OBSERVED").otherwise("UNCERTAIN").alias("result"), F.lit("UNKNOWN").alias("status"),
+    )
+
+
+def _exclusive_sql(name: str, anchors: str, candidates: str, hours: int, at: str = "t", tier: str = "0") -> str:
+    """Tables for the exclusive match of two tables: the last, `name`, holds a_id and c_id."""
+    return f""",
+{name}_p AS (SELECT a.session_id, a.event_id AS a_id, a.{at} AS a_t, c.event_id AS c_id, c.t AS c_t, c.confidence AS c_conf, abs(c.t - a.{at}) AS gap, {tier} AS tier FROM {anchors} a JOIN {candidates} c ON a.session_id = c.session_id AND c.t BETWEEN a.{at} - {hours * HOUR} AND a.{at} + {hours * HOUR}),
+{name}_q AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY a_t, a_id) AS n FROM {name}_p),
+{name}_w AS (SELECT session_id, n, any_value(a_id) AS a_id, list(c_id ORDER BY tier, gap, c_conf DESC, c_t, c_id) AS wants FROM {name}_q GROUP BY session_id, n),
+{name}_r AS (
+  SELECT session_id, 0::BIGINT AS n, CAST([] AS BIGINT[]) AS used, NULL::BIGINT AS a_id, NULL::BIGINT AS c_id FROM (SELECT DISTINCT session_id FROM {name}_w)
+  UNION ALL
+  SELECT w.session_id, w.n, CASE WHEN f IS NULL THEN r.used ELSE list_append(r.used, f) END, w.a_id, f FROM {name}_r r JOIN {name}_w w ON w.session_id = r.session_id AND w.n = r.n + 1, LATERAL (SELECT list_filter(w.wants, lambda x: NOT list_contains(r.used, x))[1] AS f)),
+{name} AS MATERIALIZED (SELECT a_id, c_id FROM {name}_r WHERE c_id IS NOT NULL)"""
+
+
+def _role_sql(name: str, role: str, without: str | None = None) -> str:
+    return f",\n{name} AS (SELECT * FROM raw WHERE role = '{role}'" + (f" AND event_id NOT IN (SELECT c_id FROM {without})" if without else "") + ")"
+
+
+def _weighted_sql(*parts: tuple[float, str]) -> str:
+    total, weight = (" + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {x} END" for x, c in ((f"{w} * ({c})" if i == 0 else str(w), c) for w, c in parts)) for i in (0, 1))
+    return f"(({total}) / ({weight}))"
+
+
+_LADDER = "CASE WHEN {c} >= 0.75 AND {n} >= 2 THEN 'CONFIRMED' WHEN {c} >= 0.5 THEN 'INFERRED' ELSE 'UNCERTAIN' END"
+_FLOOR = "CASE WHEN c >= 0.5 THEN 'INFERRED' ELSE 'UNCERTAIN' END"
+_TIMELINE = (
+    "WITH RECURSIVE" + _ROLES + _role_sql("sg", "signal") + _role_sql("cg", "change") + _exclusive_sql("m1", "sg", "cg", 6, tier="CASE WHEN a.side = c.side THEN 0 ELSE 1 END")
+    + ",\nkept AS (SELECT * FROM sg WHERE event_id IN (SELECT a_id FROM m1) OR NOT heuristic)" + _role_sql("sa", "state") + _exclusive_sql("m2", "kept", "sa", 2)
+    + ",\ncl AS (SELECT * FROM cg WHERE event_id NOT IN (SELECT c_id FROM m1))" + _role_sql("sb", "state", "m2") + _exclusive_sql("m3", "cl", "sb", 2)
+    + _role_sql("rc", "recovery") + _role_sql("ds", "down_signal") + _role_sql("dt", "down_state") + _role_sql("lo", "location")
+    + _exclusive_sql("m4", "rc", "ds", 8) + _exclusive_sql("m5", "rc", "dt", 8) + ",\nrt AS (SELECT * FROM rc WHERE end_t IS NOT NULL)" + _exclusive_sql("m6", "rt", "lo", 8, at="end_t")
+    + _role_sql("dl", "down_signal", "m4") + _role_sql("dv", "down_state", "m5") + _exclusive_sql("m7", "dl", "dv", 8)
+    + f""",
+i1 AS (SELECT a.session_id, 'primary' AS incident_type, least(a.t, c.t, s.t) AS t, NULL::BIGINT AS end_t, {_weighted_sql((0.45, "a.confidence"), (0.35, "c.confidence"), (0.2, "s.confidence"))} AS c, a.event_id AS anchor_id, [a.event_id, c.event_id, s.event_id] AS parts,
+  [CASE WHEN c.t IS NULL THEN 'signal_without_change' END, CASE WHEN c.side <> a.side THEN 'change_of_other_side' END] AS notes
+  FROM kept a LEFT JOIN m1 ON m1.a_id = a.event_id LEFT JOIN raw c ON c.event_id = m1.c_id LEFT JOIN m2 ON m2.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m2.c_id),
+i2 AS (SELECT a.session_id, CASE WHEN a.matched IS NOT NULL THEN 'primary' ELSE 'candidate' END AS incident_type, a.t, NULL::BIGINT AS end_t, {_weighted_sql((0.45, "a.matched"), (0.35, "a.confidence"), (0.2, "s.confidence"))} AS c, a.event_id AS anchor_id, [a.event_id, s.event_id] AS parts,
+  [CASE WHEN a.matched IS NOT NULL THEN 'signal_crosscheck' ELSE 'change_without_signal' END] AS notes, a.matched
+  FROM cl a LEFT JOIN m3 ON m3.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m3.c_id),
+l3 AS (SELECT a.*, d.confidence AS d_conf, s.confidence AS s_conf, l.result AS l_result, CASE WHEN l.result = 'FAIL' THEN 0.0 WHEN l.result IN ('UNCERTAIN', 'OBSERVED') THEN l.confidence * 0.5 ELSE l.confidence END AS l_conf, [a.event_id, d.event_id, s.event_id, l.event_id] AS parts
+  FROM rc a LEFT JOIN m4 ON m4.a_id = a.event_id LEFT JOIN raw d ON d.event_id = m4.c_id LEFT JOIN m5 ON m5.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m5.c_id LEFT JOIN m6 ON m6.a_id = a.event_id LEFT JOIN raw l ON l.event_id = m6.c_id),
+i3 AS (SELECT session_id, CASE WHEN missing THEN 'recovery_missing' ELSE 'recovery' END AS incident_type, t, end_t, {_weighted_sql((0.45, "confidence"), (0.2, "d_conf"), (0.15, "s_conf"), (0.2, "l_conf"))} AS c, event_id AS anchor_id, parts,
+  [CASE WHEN missing THEN 'down_without_recovery' WHEN l_result IS NULL THEN 'recovery_without_location' WHEN l_result = 'FAIL' THEN 'location_failed' WHEN l_result = 'UNCERTAIN' THEN 'location_uncertain' END] AS notes, missing, l_result FROM l3),
+i4 AS (SELECT a.session_id, a.t, {_weighted_sql((0.6, "a.confidence"), (0.4, "s.confidence"))} AS c, a.event_id AS anchor_id, [a.event_id, s.event_id] AS parts FROM dl a LEFT JOIN m7 ON m7.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m7.c_id),
+al AS (
+  SELECT session_id, incident_type, t, end_t, c, {_LADDER.format(c="c", n="len(list_filter(parts, lambda x: x IS NOT NULL))")} AS status, anchor_id, parts, notes, 1 AS stage FROM i1
+  UNION ALL SELECT session_id, incident_type, t, end_t, c, CASE WHEN matched IS NULL THEN {_FLOOR} ELSE {_LADDER.format(c="c", n="2")} END, anchor_id, parts, notes, 2 FROM i2
+  UNION ALL SELECT session_id, incident_type, t, end_t, c, CASE WHEN missing THEN 'MISSING' WHEN l_result = 'FAIL' THEN 'NEED_REVIEW' ELSE {_LADDER.format(c="c", n="len(list_filter(parts, lambda x: x IS NOT NULL))")} END, anchor_id, parts, notes, 3 FROM i3
+  UNION ALL SELECT session_id, 'down_only', t, NULL, c, {_FLOOR}, anchor_id, parts, ['down_without_recovery_match'], 4 FROM i4
+  UNION ALL SELECT session_id, CASE WHEN result = 'OBSERVED' THEN 'location_observed' ELSE 'location_check' END, t, NULL, confidence, status, event_id, [event_id], ['standalone_location'], 5 FROM lo WHERE event_id NOT IN (SELECT c_id FROM m6)
+  UNION ALL SELECT session_id, 'supporting_' || role, t, end_t, confidence, status, event_id, [event_id], ['supporting_not_linked'], 6 FROM raw
+    WHERE confidence >= 0.35 AND (role = 'state' AND event_id NOT IN (SELECT c_id FROM m2 UNION ALL SELECT c_id FROM m3) OR role = 'down_state' AND event_id NOT IN (SELECT c_id FROM m5 UNION ALL SELECT c_id FROM m7))),
+tl AS (SELECT session_id, incident_type, t, end_t, c AS confidence, status, anchor_id, list_filter(parts, lambda x: x IS NOT NULL) AS linked, list_filter(notes, lambda x: x IS NOT NULL) AS notes, printf('evt_%05d', row_number() OVER (PARTITION BY session_id ORDER BY t, stage, anchor_id)) AS incident_id FROM al)"""
+)
+
+
+def _timeline(spark, sf_dir):
+    return I.build_timeline(_roles(spark, sf_dir), I.Linking(change_window=6 * HOUR, state_window=2 * HOUR, down_window=8 * HOUR, location_window=8 * HOUR))
+
+
+@query(_TIMELINE + " SELECT session_id, incident_id, incident_type, t, end_t, round(confidence, 6) AS confidence, status, anchor_id, array_to_string(linked, ',') AS linked, array_to_string(notes, ',') AS notes FROM tl")
+def incident_timeline(spark, sf_dir):
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return _timeline(spark, sf_dir)[0].select("session_id", "incident_id", "incident_type", "t", "end_t", F.round("confidence", 6).alias("confidence"), "status", "anchor_id", text("linked"), text("notes"))
+
+
+@query(_TIMELINE + ", us AS (SELECT DISTINCT unnest(linked) AS e FROM tl) SELECT event_id, role FROM raw WHERE event_id NOT IN (SELECT e FROM us)")
+def unused_events(spark, sf_dir):
+    return _timeline(spark, sf_dir)[1].select("event_id", "role")
+
+
+@query(_TIMELINE + """,
+x AS (SELECT session_id, incident_id, unnest(linked) AS event_id FROM tl WHERE status IN ('NEED_REVIEW', 'CONFIRMED'))
+SELECT x.session_id, incident_id AS check_id, min(t) AS lo, max(t) AS hi, string_agg(event_id, ',' ORDER BY t, event_id) AS events, string_agg(role, ',' ORDER BY t, event_id) AS roles FROM x JOIN raw USING (event_id) GROUP BY x.session_id, incident_id""")
+def check_links(spark, sf_dir):
+    incidents = _timeline(spark, sf_dir)[0]
+    checks = incidents.where(F.col("status").isin("NEED_REVIEW", "CONFIRMED")).select("session_id", "incident_id", F.col("incident_id").alias("check_id"))
+    return I.resolve_links(checks, incidents, _roles(spark, sf_dir)).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("events", "roles")})
+
+
+@query("WITH" + V.SQL_EVENTS + f""",
+d AS (SELECT session_id, event_id AS id, t AS s, t + k::BIGINT * 60000000 AS e, confidence FROM ev WHERE event_type = 'error'), u AS (SELECT session_id, event_id AS id, t AS s, t + k::BIGINT * 60000000 AS e, confidence FROM ev WHERE event_type = 'view'),
+g AS (SELECT d.id, n.event_id AS s_id, n.confidence AS s_conf FROM d JOIN ev n ON n.session_id = d.session_id AND n.event_type = 'click' AND n.t BETWEEN d.s - {2 * HOUR} AND d.e + {2 * HOUR} QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY abs(n.t - d.s) / 1e6 - 0.1 * n.confidence, n.event_id) = 1),
+n AS (SELECT d.*, s_id, s_conf FROM d LEFT JOIN g USING (id)), l AS (SELECT * FROM n WHERE s_id IS NOT NULL OR e - s >= {HOUR // 2}),
+b AS (SELECT l.*, u.id AS u_id, u.s AS us, u.e AS ue, u.confidence AS uc FROM l LEFT JOIN u ON u.session_id = l.session_id AND u.s > l.e AND u.s <= l.e + {72 * HOUR} QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY u.s, u.id) = 1),
+o AS (SELECT * FROM b QUALIFY u_id IS NULL OR row_number() OVER (PARTITION BY u_id ORDER BY s, id) = 1),
+c AS (SELECT *, round(0.35 * (0.55 * confidence + 0.45 * least(1, (e - s) / {HOUR / 2})) + 0.35 * coalesce(0.55 * uc + 0.45 * least(1, (ue - us) / {HOUR / 2}), 0) + 0.15 * coalesce(1 - (us - e) / {72.0 * HOUR} * 0.5, 0) + 0.15 * coalesce(s_conf, 0), 9) AS conf FROM o)
+SELECT session_id, id, s_id, u_id, round(conf, 6) AS confidence, CASE WHEN u_id IS NULL THEN CASE WHEN conf >= 0.45 THEN 'MISSING_OR_UNOBSERVED' ELSE 'MISSING' END WHEN conf >= 0.7 THEN 'DETECTED' WHEN conf >= 0.45 THEN 'DETECTED_LOW_CONFIDENCE' ELSE 'DETECTED_UNCERTAIN' END AS result FROM c
+UNION ALL SELECT session_id, id, NULL, NULL, round(confidence, 6), 'FILTERED_SHORT_SEGMENT' FROM n WHERE s_id IS NULL AND e - s < {HOUR // 2}""")
+def recovery_events(spark, sf_dir):
+    ev = V.events(spark, sf_dir)
+    span = lambda kind: ev.where(F.col("event_type") == kind).select("session_id", F.col("event_id").alias("id"), F.col("t").alias("start_t"), (F.col("t") + F.col("k").cast("long") * 60_000_000).alias("end_t"), "confidence")
+    signals = ev.where("event_type = 'click'").select("session_id", F.col("event_id").alias("id"), "t", "confidence")
+    return I.recovery_events(span("error"), span("view"), signals, HOUR // 2, 72 * HOUR, 2 * HOUR).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("WITH" + V.SQL_EVENTS + f""",
+f AS (SELECT * FROM ev WHERE event_type = 'view'), h AS (SELECT * FROM ev WHERE event_type = 'click'), w AS (SELECT session_id, event_id, t AS lo, t + k::BIGINT * 60000000 AS hi FROM ev WHERE event_type = 'purchase'),
+a AS (SELECT f.event_id, h.event_id AS h1 FROM f JOIN h ON f.session_id = h.session_id AND f.k = h.k QUALIFY row_number() OVER (PARTITION BY f.event_id ORDER BY h.confidence DESC, h.event_id) = 1),
+b AS (SELECT f.event_id, w.event_id AS h2 FROM f JOIN w ON f.session_id = w.session_id AND f.t BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY f.event_id ORDER BY lo, w.event_id) = 1),
+c AS (SELECT f.event_id, h.event_id AS h3 FROM f JOIN h ON f.session_id = h.session_id AND abs(h.t - f.t) <= {2 * HOUR} QUALIFY row_number() OVER (PARTITION BY f.event_id ORDER BY abs(h.t - f.t), h.confidence DESC, h.event_id) = 1)
+SELECT session_id, event_id AS id, coalesce(h1, h2, h3) AS hint, CASE WHEN h1 IS NOT NULL THEN 1 WHEN h2 IS NOT NULL THEN 2 WHEN h3 IS NOT NULL THEN 3 END AS tier FROM f LEFT JOIN a USING (event_id) LEFT JOIN b USING (event_id) LEFT JOIN c USING (event_id)""")
+def hinted_frames(spark, sf_dir):
+    ev = V.events(spark, sf_dir).select("session_id", F.col("event_id").alias("id"), "t", F.col("k").alias("index"), "confidence", "event_type")
+    windows = ev.where("event_type = 'purchase'").select("session_id", "id", F.col("t").alias("lo"), (F.col("t") + F.col("index").cast("long") * 60_000_000).alias("hi"))
+    return I.hint_join(ev.where("event_type = 'view'").select("session_id", "id", "t", "index"), ev.where("event_type = 'click'"), windows, 2 * HOUR)
+
+
+@query("WITH RECURSIVE" + V.SQL_EVENTS + f""",
+tg AS (SELECT session_id, event_id * 3 + n AS event_id, t + (n - 1) * {HOUR} AS t FROM ev, range(3) r(n) WHERE event_type = 'signup'), rd AS (SELECT session_id, event_id, t, confidence FROM ev WHERE event_type = 'view')"""
++ _exclusive_sql("mm", "tg", "rd", 6) + " SELECT session_id, a_id // 3 AS event_id, a_id % 3 AS n, c_id AS reading, gap FROM mm JOIN mm_p USING (a_id, c_id)")
+def offset_readings(spark, sf_dir):
+    ev = V.events(spark, sf_dir)
+    readings = ev.where("event_type = 'view'").select("session_id", F.col("event_id").alias("id"), "t", "confidence")
+    return I.offset_readings(ev.where("event_type = 'signup'"), [-HOUR, 0, HOUR], readings, 6 * HOUR)
+
+
+@query("WITH" + V.SQL_EVENTS + """,
+s AS (SELECT session_id, event_type, side, round(sum(confidence), 9) AS s, avg(confidence) AS m, count(*) AS votes, first(event_id ORDER BY confidence DESC, event_id) AS best_id FROM ev GROUP BY session_id, event_type, side)
+SELECT session_id, event_type, side, round(m, 6) AS confidence, votes, best_id FROM s QUALIFY row_number() OVER (PARTITION BY session_id, event_type ORDER BY s DESC, side) = 1""")
+def side_votes(spark, sf_dir):
+    return I.vote_side(V.events(spark, sf_dir).withColumn("id", F.col("event_id")), ["session_id", "event_type"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""
+SELECT o_orderkey AS finding, path FROM orders JOIN (SELECT 'r' || (p_partkey % 500) AS rule, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 7 END AS target, CASE WHEN p_size % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, p_name AS path FROM part) a
+ON a.rule = 'r' || (o_custkey % 500) AND status = 'ok' AND path IS NOT NULL AND (target IS NULL OR o_orderkey % 5 = 0 OR target = o_orderkey % 7)""")
+def artifact_lookup(spark, sf_dir):
+    key, part = F.col("o_orderkey"), F.col("p_partkey")
+    findings = V.table(spark, sf_dir, "orders").select(key.alias("finding"), F.concat(F.lit("r"), F.col("o_custkey") % 500).alias("rule"), F.when(key % 5 != 0, key % 7).alias("target"))
+    artifacts = V.table(spark, sf_dir, "part").select(F.concat(F.lit("r"), part % 500).alias("rule"), F.when(part % 3 == 0, part % 7).alias("target"), F.when(F.col("p_size") % 2 == 0, "ok").otherwise("failed").alias("status"), F.col("p_name").alias("path"))
+    return I.artifact_lookup(findings, artifacts).select("finding", "path")
+
+
+@query("WITH" + _ROLES + """,
+c AS (SELECT * FROM (VALUES ('control', 'unchanged'), ('change_hidden', 'signal_without_change'), ('signal_hidden', 'change_without_signal'), ('dimmed', 'low_confidence')) v("case", expected))
+SELECT session_id, event_id, "case", expected, round(CASE WHEN "case" = 'dimmed' THEN confidence * 0.35 ELSE confidence END, 6) AS confidence FROM raw, c WHERE NOT ("case" = 'change_hidden' AND role = 'change') AND NOT ("case" = 'signal_hidden' AND role = 'signal')""")
+def injected_faults(spark, sf_dir):
+    return I.inject_faults(_roles(spark, sf_dir), {"change": "change", "signal": "signal"}).select("session_id", "event_id", "case", "expected", F.round("confidence", 6).alias("confidence"))
+
+
+@query("WITH" + V.SQL_EVENTS + """
+SELECT session_id, side, t FROM ev WHERE event_type = 'click'
+UNION ALL SELECT session_id, side, t FROM ev b WHERE event_type = 'view' AND NOT EXISTS (FROM ev a WHERE a.event_type = 'click' AND a.session_id = b.session_id AND a.side = b.side AND round(a.t / 10000) = round(b.t / 10000))""")
+def change_union(spark, sf_dir):
+    ev = V.events(spark, sf_dir)
+    of = lambda kind: ev.where(F.col("event_type") == kind).select("session_id", "side", "t")
+    return I.change_union(of("click"), of("view"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
