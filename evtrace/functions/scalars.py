@@ -120,3 +120,62 @@ def evidence_window(t: Column, end: Column, before: int, after: int, least: int)
     lo = F.greatest(F.lit(0).cast("long"), t - before)
     hi = F.when(end >= t, end).otherwise(t) + after
     return F.struct(lo.alias("lo"), F.greatest(lo + least, hi).alias("hi"))
+
+
+def capped_score(terms: list[tuple[float, Column, float, float]]) -> Column:
+    """Sum of weight times (value - low) / (high - low), each held to 0..1, and so is the sum; missing values add 0."""
+    total = F.lit(0.0)
+    for weight, value, low, high in terms:
+        total = total + weight * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce((value - low) / (high - low), F.lit(0.0))))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+
+
+#: Fixed values of `relation`: least share of coloured points, share at which a side is sure, what an inferred side keeps.
+LEAST_SHARE, FULL_SHARE, SURE, INFERRED, ENOUGH = 0.003, 1 / 80, 0.55, 0.80, 0.25
+
+
+def relation(first_a: Column, first_b: Column, second_a: Column, second_b: Column, a: str, b: str) -> Column:
+    """struct<first, second, confidence, status, note> of two actors from the shares of side a's and b's colour by each.
+
+    Both sure of one side: neither counts. One sure, the other missing or of the same side: it gets the other side.
+    """
+    share = lambda x, y: F.when(x + y >= LEAST_SHARE, F.struct(F.when(x > y, a).otherwise(b).alias("side"), (F.abs(x - y) / (x + y) * F.least(F.lit(1.0), (x + y) / FULL_SHARE)).alias("c"))).otherwise(F.struct(F.lit(None).cast("string").alias("side"), F.lit(0.0).alias("c")))
+    other = lambda s: F.when(s == a, b).when(s == b, a)
+    p, q = share(first_a, first_b), share(second_a, second_b)
+    clash = F.coalesce(p["side"] == q["side"], F.lit(False))
+    known = lambda x: x["side"].isNotNull() & (x["c"] >= SURE)
+    case = F.when(clash & known(p) & known(q), "same_side_rejected").when(known(p) & (q["side"].isNull() | clash), "second_inferred").when(known(q) & (p["side"].isNull() | clash), "first_inferred")
+    none = F.lit(None).cast("string")
+    first = F.when(case == "same_side_rejected", none).when(case == "first_inferred", other(q["side"])).otherwise(p["side"])
+    second = F.when(case == "same_side_rejected", none).when(case == "second_inferred", other(p["side"])).otherwise(q["side"])
+    pc = F.when(case == "first_inferred", F.greatest(p["c"], q["c"] * INFERRED)).otherwise(p["c"])
+    qc = F.when(case == "second_inferred", F.greatest(q["c"], p["c"] * INFERRED)).otherwise(q["c"])
+    conf = F.when((pc > 0) & (qc > 0), (pc + qc) / 2).otherwise(pc + qc)
+    ok = first.isNotNull() & second.isNotNull() & (first != second) & (conf >= ENOUGH)
+    return F.struct(first.alias("first"), second.alias("second"), conf.alias("confidence"), F.when(ok, "ok").otherwise("low_confidence").alias("status"), case.alias("note"))
+
+
+def actor_scope(first: Column, second: Column, own: Column) -> Column:
+    """Whose event it is, by names without case and marks: own, own_down, other or unresolved."""
+    plain = lambda c: F.coalesce(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), F.lit(""))
+    x, y, me = plain(first), plain(second), plain(own)
+    return F.when((me == "") | ((x == "") & (y == "")), "unresolved").when(x == me, "own").when(y == me, "own_down").otherwise("other")
+
+
+def parse_conflict(note: Column) -> Column:
+    """struct<observed, expected, confidence> of a note `...conflict:<observed>!=<expected>@<number>`; nulls if it is none."""
+    part = lambda i: F.nullif(F.trim(F.regexp_extract(note, r"conflict:([^!=@]+)!=([^@]+)@([0-9.]+)", i)), F.lit(""))
+    return F.struct(part(1).alias("observed"), part(2).alias("expected"), part(3).try_cast("double").alias("confidence"))
+
+
+def time_in_name(name: Column) -> Column:
+    """Seconds after `_t` in a name, or null."""
+    return F.regexp_extract(name, r"_t([0-9]+(\.[0-9]+)?)", 1).try_cast("double")
+
+
+def notes_contain(tag: str, *notes: Column) -> Column:
+    """Whether any of several lists of notes holds the tag; missing lists hold nothing."""
+    held = F.lit(False)
+    for n in notes:
+        held = held | F.coalesce(F.array_contains(n, tag), F.lit(False))
+    return held

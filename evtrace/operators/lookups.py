@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import hamming
 
-BITS, BANDS = 64, 9
+BITS = 64
 
 
 def nearest_reference(queries: DataFrame, references: DataFrame, k: int = 5, limit: int = 20_000) -> DataFrame:
@@ -46,17 +48,20 @@ def exact_duplicates(df: DataFrame, key, order: str) -> DataFrame:
 
 
 def hash_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
-    """Pairs (a, b, distance) of distinct hashes of a group at most `most` bits apart: exact for most under BANDS.
+    """Pairs (a, b, distance) of distinct hashes of a group at most `most` bits apart, exactly; equal hashes count once.
 
-    Two hashes that differ in at most 8 bits agree in one of nine bands; equal hashes count once.
-    hashes: grp, id, h.
+    Of most + 2 bands two at least stay equal, so hashes meet on every two bands (12 to 14 bits for 8 of 64) and a
+    pair counts where its first two equal bands meet. hashes: grp, id, h.
     """
-    if most >= BANDS:
-        raise ValueError("bands find distances under their number only")
+    bands = most + 2
+    if bands > BITS:
+        raise ValueError("more bands than bits")
+    cuts = [(i * BITS // bands, (i + 1) * BITS // bands) for i in range(bands)]
+    bits = [((1 << hi) - (1 << lo)) for lo, hi in cuts]
+    masks = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in (x | y for x, y in combinations(bits, 2))])
     once = hashes.groupBy("grp", "h").agg(F.min("id").alias("id"))
-    cuts = [(i * BITS // BANDS, (i + 1) * BITS // BANDS) for i in range(BANDS)]
-    band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v")) for i, (lo, hi) in enumerate(cuts)])
-    rows = once.withColumn("band", F.explode(band))
-    a, b = rows.toDF("grp", "ha", "a", "band"), rows.toDF("grp", "hb", "b", "band")
-    pairs = a.join(b.hint("shuffle_merge"), ["grp", "band"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
-    return pairs.select("grp", "a", "b", "distance").distinct()
+    rows = once.select("grp", "h", "id", F.posexplode(masks).alias("n", "m")).withColumn("v", F.col("h").bitwiseAND(F.col("m"))).drop("m")
+    a, b = rows.toDF("grp", "ha", "a", "n", "v"), rows.toDF("grp", "hb", "b", "n", "v")
+    near = a.join(b.hint("shuffle_merge"), ["grp", "n", "v"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
+    first = F.array_position(F.transform(masks, lambda m: F.col("ha").bitwiseXOR(F.col("hb")).bitwiseAND(m) == 0), True) - 1
+    return near.where(F.col("n") == first).select("grp", "a", "b", "distance")

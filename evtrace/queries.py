@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .functions import scalars as S
-from .operators import actions as A, incidents as I, lookups as L, rollups as R, rules, series, spatial, timeline as T
+from .operators import actions as A, checks as C, incidents as I, lookups as L, rollups as R, rules, series, spatial, timeline as T
 from .plans import views as V
+from .plans.settle import settle
 from .plans.views import HOUR
 
 QUERIES: dict = {}
@@ -591,6 +592,165 @@ def change_union(spark, sf_dir):
     return I.change_union(of("click"), of("view"))
 
 
+_GROUPS = V.SQL_EVENTS + f""",
+s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id, event_type ORDER BY t, event_id) <= {12 * HOUR} THEN 0 ELSE 1 END AS fresh FROM ev WHERE confidence >= 0.2 AND event_type = 'purchase'),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, event_type ORDER BY t, event_id) AS grp FROM s),
+g0 AS (SELECT *, min(t) OVER (PARTITION BY session_id, grp) AS t0 FROM g),
+h AS (SELECT session_id, round(any_value(t0) + sum((t - t0) * confidence) / sum(confidence))::BIGINT AS time, avg(confidence) AS mean_conf, first(event_id ORDER BY confidence DESC, t, event_id) AS id,
+  CASE WHEN max(confidence) >= 0.75 AND count(*) >= 2 THEN 'CONFIRMED' WHEN max(confidence) >= 0.5 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status FROM g0 GROUP BY session_id, grp)"""
+
+
+@query("WITH" + _GROUPS + f""",
+m AS (SELECT h.id, c.event_id AS c_id, c.confidence AS c_conf FROM h JOIN ev c ON c.session_id = h.session_id AND c.event_type = 'click' AND c.t BETWEEN h.time - {6 * HOUR} AND h.time + {6 * HOUR} QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY abs(c.t - h.time), c.confidence DESC, c.t, c.event_id) = 1)
+SELECT h.session_id, h.id, h.time AS t, m.c_id, round(CASE WHEN m.c_id IS NULL THEN mean_conf ELSE (mean_conf + c_conf) / 2 END, 6) AS confidence,
+  CASE WHEN m.c_id IS NOT NULL AND (mean_conf + c_conf) / 2 < 0.58 THEN 'UNCERTAIN' ELSE status END AS status, m.c_id IS NULL AS supporting FROM h LEFT JOIN m USING (id)""")
+def primary_events(spark, sf_dir):
+    ev = V.events(spark, sf_dir)
+    groups = series.hit_groups(ev.where("event_type = 'purchase'").withColumn("id", F.col("event_id")), ["session_id", "event_type"], 12 * HOUR, 0.2)
+    changes = _sides(ev, "purchase", "click")[1].drop("c_side")
+    return C.primary_events(groups.withColumnRenamed("peak_id", "id"), changes, 6 * HOUR).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 'Zone ' || (o_orderkey % 3) END AS expected, (o_orderkey % 101) / 100.0::DOUBLE AS own FROM orders),
+e AS (SELECT l_orderkey AS id, l_linenumber % 2 AS frame, CASE l_linenumber % 3 WHEN 0 THEN 0.45 WHEN 1 THEN 0.2 ELSE 0.2 END::DOUBLE AS weight, CASE WHEN l_partkey % 5 <> 0 THEN 'Zone ' || (l_suppkey % 3) END AS detected, l_quantity::DOUBLE / 50 AS score FROM lineitem WHERE l_orderkey % 11 <> 0),
+x AS (SELECT e.*, r.expected, r.own, detected IS NOT NULL AND expected IS NOT NULL AND detected <> expected AS wrong, CASE WHEN detected IS NULL THEN 0 ELSE weight END AS w FROM e JOIN r USING (id)),
+y AS (SELECT *, CASE WHEN detected IS NULL OR wrong THEN 0 ELSE score END AS s FROM x),
+f AS (SELECT id, frame, sum(w * s) AS ws, sum(w) AS sw, max(own) AS own, bool_or(wrong AND score >= 0.2) AS strong FROM y GROUP BY id, frame),
+f2 AS (SELECT id, strong, CASE WHEN own > 0 THEN (ws + 0.15 * own) / (sw + 0.15) WHEN sw > 0 THEN ws / sw ELSE 0 END AS fs FROM f),
+m AS (SELECT id, least(1, avg(fs)) AS score, max(fs) AS top, bool_or(strong) AS strong, count(*) AS frames FROM f2 GROUP BY id),
+v AS (SELECT id, detected, round(sum(score), 9) AS v FROM y WHERE detected IS NOT NULL GROUP BY id, detected QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sum(score), 9) DESC, detected) = 1),
+z AS (SELECT r.id, r.expected, v.detected, m.score, m.top, m.frames, coalesce(m.strong AND v.detected <> r.expected, false) AS conflict FROM r LEFT JOIN m USING (id) LEFT JOIN v USING (id)),
+q AS (SELECT *, CASE WHEN frames IS NULL THEN 'NO_EVIDENCE' WHEN expected IS NULL THEN 'NO_EXPECTED' WHEN score >= 0.75 AND NOT conflict THEN 'CONFIRMED' WHEN score <= 0.45 AND conflict THEN 'CONFLICT' WHEN score <= 0.45 AND detected IS NULL THEN 'INSUFFICIENT' WHEN score <= 0.45 THEN 'LOW_MATCH' ELSE 'AMBIGUOUS' END AS status FROM z)
+SELECT id AS recovery_id, expected, detected, round(coalesce(score, 0) + 1e-9, 6) AS score, status, CASE status WHEN 'NO_EVIDENCE' THEN 'UNCERTAIN' WHEN 'NO_EXPECTED' THEN 'OBSERVED' WHEN 'CONFIRMED' THEN 'PASS' WHEN 'CONFLICT' THEN 'FAIL' WHEN 'LOW_MATCH' THEN 'FAIL' ELSE 'UNCERTAIN' END AS result,
+  round(CASE status WHEN 'NO_EVIDENCE' THEN 0 WHEN 'NO_EXPECTED' THEN least(1, greatest(score, top)) WHEN 'CONFIRMED' THEN score WHEN 'CONFLICT' THEN greatest(1 - score, 0.5) WHEN 'AMBIGUOUS' THEN greatest(score, 1 - abs(score - 0.5)) ELSE 1 - score END + 1e-9, 6) AS confidence, coalesce(frames, 0) AS frames FROM q""")
+def location_verdicts(spark, sf_dir):
+    key, li = F.col("o_orderkey"), V.table(spark, sf_dir, "lineitem").where("l_orderkey % 11 <> 0")
+    recoveries = V.table(spark, sf_dir, "orders").select(key.alias("recovery_id"), F.when(key % 7 != 0, F.concat(F.lit("Zone "), key % 3)).alias("expected"), (key % 101 / 100).alias("confidence"))
+    part = F.element_at(F.array(F.lit("text"), F.lit("map"), F.lit("view")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    evidence = li.select(F.col("l_orderkey").alias("recovery_id"), (F.col("l_linenumber") % 2).alias("frame"), part.alias("component"), F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit("Zone "), F.col("l_suppkey") % 3)).alias("detected"), (F.col("l_quantity").cast("double") / 50).alias("score"))
+    return C.location_verdicts(recoveries, evidence, {"text": 0.45, "map": 0.2, "view": 0.2}, 0.15).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("score", "confidence")})  # off the halves
+
+
+@query("WITH" + _INCIDENTS + """
+SELECT session_id, concat_ws(':', session_id, 'count', coalesce(incident_id::VARCHAR, 'session')) AS check_id, 'count_after_signal' AS check_type, 'critical' AS severity, result, round(fi.confidence, 6) AS confidence, result = 'UNCERTAIN' AS uncertain,
+  CASE WHEN result = 'UNCERTAIN' THEN CASE WHEN incident_id IS NULL THEN 'no_incident' WHEN fi.confidence < 0.5 THEN 'low_confidence' ELSE 'conflicting_evidence' END END AS reason,
+  greatest(0, t - 2000000) AS lo, t + 3000000 AS hi FROM fi LEFT JOIN (SELECT event_id AS incident_id, t FROM ev) USING (incident_id)""")
+def built_checks(spark, sf_dir):
+    at = V.events(spark, sf_dir).select(F.col("event_id").alias("incident_id"), "t")
+    found = _findings(spark, sf_dir)[1].drop("t").join(at.hint("shuffle_merge"), "incident_id", "left").withColumns({"confidence": F.round("confidence", 6), "t": F.col("t")})
+    out = C.build_checks(found, {"count": "count_after_signal"}, ["count"], 2_000_000, 3_000_000)
+    return out.withColumns({"lo": F.when(F.col("hi").isNotNull(), F.col("lo")).otherwise(F.lit(0).cast("long"))})
+
+
+@query("WITH" + _INCIDENTS + """
+SELECT session_id, incident_id, unnest(CASE WHEN session_id % 3 = 0 THEN ['list', 'count'] WHEN session_id % 3 = 1 THEN ['map'] ELSE ['whole'] END) AS region FROM fi WHERE result <> 'PASS' AND incident_id IS NOT NULL""")
+def selected_evidence(spark, sf_dir):
+    found = _findings(spark, sf_dir)[1].where("incident_id is not null")
+    rows = found.select(F.struct("session_id", "incident_id").alias("finding"), F.when(F.col("session_id") % 3 == 0, "count").otherwise("none").alias("rule"), F.when(F.col("session_id") % 3 == 1, "recovery").alias("event_type"), "result")
+    return C.select_evidence(rows, {"PASS": False}, {"count": ["list", "count"], "same_place": ["map"]}, {"recovery": "same_place"}, ["whole"]).select("finding.*", "region")
+
+
+_HASHES = r"""
+tk AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
+nn AS (SELECT doc_id, any_value(lang) AS lang, list(('0x' || substr(md5(w), 1, 4))::INTEGER % 65) AS bs, count(*) AS n FROM tk GROUP BY doc_id HAVING count(*) >= 20),
+dd AS (SELECT doc_id, lang, list_transform(range(0, 65), lambda i: len(list_filter(bs, lambda x: x = i))) AS c FROM nn),
+hh AS MATERIALIZED (SELECT lang, doc_id AS id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN c[i + 1] > c[i] THEN 2::HUGEINT ** (i - 1) ELSE 0 END))::HUGEINT AS h FROM dd)"""
+_HASHES = _HASHES.replace("2::HUGEINT ** (i - 1)", "(1::HUGEINT << (i - 1)::HUGEINT)")
+
+
+def _representatives_sql(rows: str) -> str:
+    """Tables that end in rp: id and the representative it repeats, of the rows (lang, id, h) in `rows`."""
+    return f""",
+ho AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id) AS n FROM {rows}),
+rr AS (
+  SELECT lang, 0::BIGINT AS n, CAST([] AS STRUCT(id BIGINT, h HUGEINT)[]) AS reps, NULL::BIGINT AS id, NULL::BIGINT AS rep FROM (SELECT DISTINCT lang FROM ho)
+  UNION ALL
+  SELECT ho.lang, ho.n, CASE WHEN f IS NULL THEN list_append(rr.reps, {{'id': ho.id, 'h': ho.h}}) ELSE rr.reps END, ho.id, coalesce(f.id, ho.id)
+  FROM rr JOIN ho ON ho.lang = rr.lang AND ho.n = rr.n + 1, LATERAL (SELECT list_filter(rr.reps, lambda x: bit_count(xor(x.h, ho.h)) <= 8)[1] AS f)),
+rp AS (SELECT lang, id, rep FROM rr WHERE id IS NOT NULL)"""
+
+
+@query("WITH RECURSIVE" + _HASHES + _representatives_sql("hh") + " SELECT lang AS grp, id, rep AS representative FROM rp")
+def representatives(spark, sf_dir):
+    return C.representatives(settle(V.document_hashes(spark, sf_dir)))
+
+
+@query("WITH RECURSIVE" + _HASHES + """,
+cd AS (SELECT hh.lang, hh.id, hh.id // 10 AS event, hh.id % 3 AS kind, (hh.id * 37 % 101) / 100.0::DOUBLE AS confidence, (hh.id * 13 % 97) / 100.0::DOUBLE AS quality, h FROM hh),
+cr AS (SELECT *, [CASE WHEN quality < 0.1 THEN 'poor_quality' END, CASE WHEN kind = 2 THEN 'unknown_kind' END, CASE WHEN kind = 0 AND confidence < 0.3 OR kind = 1 AND confidence < 0.5 THEN 'low_confidence' END, CASE WHEN row_number() OVER (PARTITION BY event ORDER BY confidence DESC, id) > 6 THEN 'not_selected' END] AS why FROM cd),
+ck AS (SELECT lang, id, h FROM cr WHERE len(list_filter(why, lambda x: x IS NOT NULL)) = 0)""" + _representatives_sql("ck") + """
+SELECT cr.id, CASE WHEN rep IS NULL THEN 'review' WHEN rep <> cr.id THEN 'duplicate' ELSE 'promoted' END AS decision, CASE WHEN rep <> cr.id THEN rep END AS duplicate_of, array_to_string(list_filter(why, lambda x: x IS NOT NULL), ',') AS reasons FROM cr LEFT JOIN rp ON rp.id = cr.id""")
+def promotions(spark, sf_dir):
+    i = F.col("id")
+    rows = settle(V.document_hashes(spark, sf_dir)).withColumns({"event": F.floor(i / 10), "kind": F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (i % 3 + 1).cast("int")), "confidence": i * 37 % 101 / 100, "quality": i * 13 % 97 / 100})
+    return C.promotions(rows, {"a": 0.3, "b": 0.5}, 0.1, 6).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("WITH RECURSIVE" + _HASHES + """,
+lg AS (SELECT *, bit_count(xor(h, lag(h) OVER (PARTITION BY lang ORDER BY id)))::INTEGER AS distance FROM hh),
+mv AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id) AS n FROM lg WHERE distance >= 24),
+th AS (
+  SELECT lang, id, distance, n, id AS kept, true AS keep FROM mv WHERE n = 1
+  UNION ALL SELECT mv.lang, mv.id, mv.distance, mv.n, CASE WHEN mv.id - th.kept >= 20 THEN mv.id ELSE th.kept END, mv.id - th.kept >= 20 FROM th JOIN mv ON mv.lang = th.lang AND mv.n = th.n + 1)
+SELECT lang AS grp, id, id AS t, distance FROM th WHERE keep""")
+def hash_changes(spark, sf_dir):
+    return C.hash_changes(settle(V.document_hashes(spark, sf_dir)).withColumn("t", F.col("id")), ["grp"], 24, 20)
+
+
+WAYPOINTS = [(990.0, 327.0), (300.0, 150.0), (1500.0, 500.0), (990.0, 100.0)]
+
+
+def _waypoint_sql() -> str:
+    steps = []
+    for i, (x, y) in enumerate(WAYPOINTS):
+        after = f"JOIN w{i - 1} l ON l.session_id = p.session_id AND (p.t, p.id) > (l.t, l.id) " if i else ""
+        steps.append(f",\nw{i} AS (SELECT p.session_id, min(p.t) AS t, arg_min(p.id, (p.t, p.id)) AS id FROM po p {after}WHERE sqrt((p.x - {x}) ** 2 + (p.y - {y}) ** 2) <= 100 GROUP BY p.session_id)")
+    return "WITH" + V.SQL_POSITIONS + "".join(steps) + " UNION ALL ".join(f"\nSELECT session_id, {i} AS waypoint, t, id FROM w{i}" for i in range(len(WAYPOINTS)))
+
+
+@query(_waypoint_sql())
+def waypoint_progress(spark, sf_dir):
+    return C.waypoint_progress(V.positions(spark, sf_dir), WAYPOINTS, 100.0)
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS region, l_discount::DOUBLE * 10 AS bright, l_tax::DOUBLE * 12.5 AS edge, l_quantity::DOUBLE / 50 AS sat FROM lineitem),
+s AS (SELECT *, least(1, greatest(0, 0.6 * least(1, greatest(0, (bright - 0.2) / 0.6)) + 0.4 * least(1, greatest(0, edge / 0.8)))) AS up, least(1, greatest(0, 0.7 * least(1, greatest(0, (sat - 0.5) / 0.5)) + 0.3 * least(1, greatest(0, (0.6 - bright) / 0.6)))) AS down FROM f)
+SELECT frame, region, round(up, 6) AS up, round(down, 6) AS down, CASE WHEN greatest(round(up, 9), round(down, 9)) < 0.4 THEN 'unknown' WHEN round(down, 9) >= round(up, 9) THEN 'down' ELSE 'up' END AS state FROM s""")
+def evidence_scores(spark, sf_dir):
+    f = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("region"), (F.col("l_discount").cast("double") * 10).alias("bright"), (F.col("l_tax").cast("double") * 12.5).alias("edge"), (F.col("l_quantity").cast("double") / 50).alias("sat"))
+    up, down = S.capped_score([(0.6, F.col("bright"), 0.2, 0.8), (0.4, F.col("edge"), 0.0, 0.8)]), S.capped_score([(0.7, F.col("sat"), 0.5, 1.0), (0.3, F.col("bright"), 0.6, 0.0)])
+    scored = f.select("frame", "region", up.alias("up"), down.alias("down"))
+    return scored.select("frame", "region", F.round("up", 6).alias("up"), F.round("down", 6).alias("down"), S.argmax_with_priority([("down", F.round("down", 9)), ("up", F.round("up", 9))], 0.4)["state"].alias("state"))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS region, l_discount::DOUBLE / 5 AS a1, l_tax::DOUBLE / 4 AS b1, l_tax::DOUBLE / 5 AS a2, l_quantity::DOUBLE / 2500 AS b2 FROM lineitem),
+s AS (SELECT frame, region, CASE WHEN a1 + b1 >= 0.003 THEN CASE WHEN a1 > b1 THEN 'x' ELSE 'y' END END AS p, CASE WHEN a1 + b1 >= 0.003 THEN abs(a1 - b1) / (a1 + b1) * least(1, (a1 + b1) * 80) ELSE 0 END AS pc, CASE WHEN a2 + b2 >= 0.003 THEN CASE WHEN a2 > b2 THEN 'x' ELSE 'y' END END AS q, CASE WHEN a2 + b2 >= 0.003 THEN abs(a2 - b2) / (a2 + b2) * least(1, (a2 + b2) * 80) ELSE 0 END AS qc FROM f),
+c AS (SELECT *, CASE WHEN p = q AND pc >= 0.55 AND qc >= 0.55 THEN 'same_side_rejected' WHEN p IS NOT NULL AND pc >= 0.55 AND (q IS NULL OR p = q) THEN 'second_inferred' WHEN q IS NOT NULL AND qc >= 0.55 AND (p IS NULL OR p = q) THEN 'first_inferred' END AS note FROM s),
+d AS (SELECT frame, region, note, CASE note WHEN 'same_side_rejected' THEN NULL WHEN 'first_inferred' THEN CASE q WHEN 'x' THEN 'y' ELSE 'x' END ELSE p END AS "first", CASE note WHEN 'same_side_rejected' THEN NULL WHEN 'second_inferred' THEN CASE p WHEN 'x' THEN 'y' ELSE 'x' END ELSE q END AS "second",
+  CASE WHEN note = 'first_inferred' THEN greatest(pc, qc * 0.8) ELSE pc END AS pc, CASE WHEN note = 'second_inferred' THEN greatest(qc, pc * 0.8) ELSE qc END AS qc FROM c),
+e AS (SELECT *, CASE WHEN pc > 0 AND qc > 0 THEN (pc + qc) / 2 ELSE pc + qc END AS conf FROM d)
+SELECT frame, region, "first", "second", round(conf, 6) AS confidence, CASE WHEN "first" <> "second" AND conf >= 0.25 THEN 'ok' ELSE 'low_confidence' END AS status, note FROM e""")
+def relations(spark, sf_dir):
+    of = lambda c, n: F.col(c).cast("double") / n
+    r = S.relation(of("l_discount", 5), of("l_tax", 4), of("l_tax", 5), of("l_quantity", 2500), "x", "y")
+    return V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("region"), r.alias("r")).select("frame", "region", "r.*").withColumn("confidence", F.round("confidence", 6))
+
+
+@query(r"""
+WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS a, CASE WHEN p_partkey % 3 <> 0 THEN upper(p_brand) ELSE 'Brand#99' END AS b, CASE WHEN p_partkey % 5 <> 0 THEN 'place_conflict:' || p_brand || '!=' || ' Zone ' || (p_size % 4) || '@0.' || (p_partkey % 90 + 10) ELSE 'seen' END AS note FROM part),
+x AS (SELECT *, regexp_replace(lower(coalesce(a, '')), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(coalesce(b, '')), '[^a-z0-9]', '', 'g') AS y FROM n)
+SELECT p_partkey, CASE WHEN x = '' AND y = '' THEN 'unresolved' WHEN x = 'brand23' THEN 'own' WHEN y = 'brand23' THEN 'own_down' ELSE 'other' END AS scope, nullif(trim(regexp_extract(note, 'conflict:([^!=@]+)!=([^@]+)@([0-9.]+)', 1)), '') AS observed, nullif(trim(regexp_extract(note, 'conflict:([^!=@]+)!=([^@]+)@([0-9.]+)', 2)), '') AS expected,
+  try_cast(nullif(regexp_extract(note, 'conflict:([^!=@]+)!=([^@]+)@([0-9.]+)', 3), '') AS DOUBLE) AS confidence, p_partkey + 0.5::DOUBLE AS at, note = 'seen' AS tagged FROM x""")
+def parsed_notes(spark, sf_dir):
+    key, brand = F.col("p_partkey"), F.col("p_brand")
+    note = F.when(key % 5 != 0, F.concat(F.lit("place_conflict:"), brand, F.lit("!= Zone "), F.col("p_size") % 4, F.lit("@0."), key % 90 + 10)).otherwise("seen")
+    n = V.table(spark, sf_dir, "part").select("p_partkey", F.when(key % 4 != 0, brand).alias("a"), F.when(key % 3 != 0, F.upper(brand)).otherwise("Brand#99").alias("b"), note.alias("note"), F.concat(F.lit("crop_t"), key, F.lit(".5_x")).alias("name"))
+    return n.select("p_partkey", S.actor_scope(F.col("a"), F.col("b"), F.lit("brand 23")).alias("scope"), S.parse_conflict(F.col("note")).alias("c"), S.time_in_name(F.col("name")).alias("at"), S.notes_contain("seen", F.array("note"), F.lit(None).cast("array<string>")).alias("tagged")).select("p_partkey", "scope", "c.*", "at", "tagged")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
