@@ -1,9 +1,10 @@
 """MinHash near-duplicate detection with an LSH forest.
 
 Every distinct shingle set gets a MinHash signature. The forest holds several orders of the signatures, each
-starting at another hash. Within an order, neighbours share the longest prefixes, so they are the candidates;
-a region where many rows share the least prefix is searched only among its deepest neighbours, a thin one
-wholly. Candidates are confirmed on full shingle sets and linked documents form components.
+starting at another hash. All rows of a region, which share the least prefix of an order, are candidates of each
+other. First neighbours in the orders are compared; then regions whose rows are still in several components are
+compared wholly, block by block, each row with its likeliest partners first, so that a region which is linked
+by then needs no more pairs. Candidates are confirmed on full shingle sets and linked documents form components.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own component; a text
 with fewer words than a shingle is one shingle of all its words; rows with equal texts or equal sets are one
@@ -20,6 +21,9 @@ from .common import ASCII_LOWER, components, discard, parts, settle
 
 TREES, DEPTH, LEAST = 12, 8, 3  # orders, hashes that an order sorts by, least common prefix of a candidate
 NEAR, FAR, THIN = 2, 8, 32  # neighbours looked at in dense regions, in thin regions; rows of a thin region
+BLOCK = 2048  # rows of a region that one task compares with as many others
+RANKS = (0, 8, 64, 512, None)  # a row's partners in a block by likelihood: those of each round; None is all the rest
+SMALL = 100_000  # regions up to which their keys are broadcast
 HASHES = TREES * DEPTH
 LIKELY = 0.58  # least share of equal hashes; five standard deviations under 0.8
 
@@ -201,6 +205,80 @@ def _confirm(need: int):
     return run
 
 
+def _cell(need: int, lo: int, hi: int | None):
+    """Candidate pairs of one cell, two blocks of a region or one with itself, that lie in different components."""
+
+    def run(table):
+        import pyarrow as pa
+
+        tree = table.column("tree")[0].as_py()
+        ids, ns, roots, sides = (table.column(c).to_numpy() for c in ("id", "n", "root", "side"))
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u4").reshape(-1, HASHES).astype(np.uint32)
+        heads = sigs.reshape(-1, TREES, DEPTH)[:, :tree, :LEAST].astype(np.uint64)
+        heads = (heads[:, :, 0] << np.uint64(32) | heads[:, :, 1]) * np.uint64(0x9E3779B97F4A7C15) ^ heads[:, :, 2]
+        x = np.flatnonzero(sides == 0)
+        y = np.flatnonzero(sides == 1) if (sides == 1).any() else x
+        agree = np.full((len(x), len(y)), -1, np.int16)
+        for i, r in enumerate(x):
+            # a pair that meets in an earlier order is compared there
+            fit = (np.minimum(ns[r], ns[y]) * 100 >= np.maximum(ns[r], ns[y]) * need) & (ids[y] != ids[r]) & ~(heads[y] == heads[r]).any(axis=1)
+            at = np.flatnonzero(fit)
+            equal = (sigs[y[at]] == sigs[r]).sum(axis=1)
+            agree[i, at] = np.where(equal >= LIKELY * HASHES, equal, -1)
+        take = (agree >= 0) & (roots[x][:, None] != roots[y][None, :])
+        if take.any():
+            last = max(agree.shape) if hi is None else hi
+            rank = lambda m: np.argsort(np.argsort(-m, axis=1, kind="stable"), axis=1, kind="stable")
+            rows, columns = rank(agree), rank(agree.T).T
+            take &= ((rows >= lo) & (rows < last)) | ((columns >= lo) & (columns < last))
+        i, j = np.nonzero(take)
+        a, b = ids[x[i]], ids[y[j]]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows (region, id, root) of regions in several components, once per cell: i, j, side.
+
+    Rows of a region's largest component meet all others, and the others meet each other.
+    """
+    per = rows.groupBy("region", "root").agg(F.count("*").alias("c")).groupBy("region").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"))
+    several = per.where("k > 1").select("region", F.col("top.root").alias("top"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"))
+    placed = rows.join(several.hint("shuffle_merge"), "region").withColumn("main", F.col("root") == F.col("top"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # blocks of the largest component are numbered after the others
+    mains = "transform(sequence(0, mains - 1), x -> named_struct('i', block, 'j', others + x, 'side', 0))"
+    cells = F.when(F.col("main"), F.expr("transform(sequence(0, others - 1), x -> named_struct('i', x, 'j', others + block, 'side', 1))")).otherwise(
+        F.expr(f"concat({mains}, transform(sequence(0, others - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', int(x < block))))")
+    )
+    return placed.select("region", "tree", "id", F.explode(cells).alias("cell")).select("region", "tree", "id", "cell.*")
+
+
+def _whole_regions(classes: DataFrame, roots: DataFrame, confirmed, need: int) -> DataFrame:
+    """Components (node, root) when regions of more rows than the neighbour search compares are compared wholly."""
+    key = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'region', xxhash64(t, substring(sig, t * {DEPTH * 4} + 1, {LEAST * 4}))))"))
+    regions = classes.select("id", key.alias("r")).select("id", "r.tree", "r.region")
+    dense = settle(regions.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > FAR + 1).select("region"))
+    rooted = lambda rows: rows.join(roots.select(F.col("node").alias("id"), "root").hint("shuffle_hash"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = regions.join(dense.hint("broadcast" if dense.count() <= SMALL else "shuffle_merge"), "region", "left_semi")
+    cells = settle(_cells(settle(rooted(rows))))
+    wanted = settle(cells.select("id").distinct())
+    if wanted.isEmpty():
+        return roots
+    sure = confirmed(wanted)
+    about = settle(classes.select("id", "n", "sig").join(wanted.hint("shuffle_hash"), "id", "left_semi"))
+    for lo, hi in zip(RANKS, RANKS[1:]):
+        now = rooted(cells)
+        open_ = now.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
+        now = now.join(open_.hint("shuffle_merge"), "region", "left_semi").join(about.hint("shuffle_hash"), "id")
+        pairs = settle(now.groupBy("region", "i", "j").applyInArrow(_cell(need, lo, hi), "a long, b long").distinct())
+        links = settle(sure(pairs))
+        if not links.isEmpty():
+            roots = settle(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    return roots
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); similarity in hundredths."""
     spark: SparkSession = docs.sparkSession
@@ -219,13 +297,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     sigs = classes.select("id", "sig").hint("shuffle_merge")
     near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("shuffle_merge"), "b")
     near = settle(near.mapInArrow(_alike, "a long, b long, share double"))
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    chosen = texts.join(wanted.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("id"), "text")
-    sets = settle(chosen.mapInArrow(_sets(words), "id long, s binary"))
+    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def comparing(ids: DataFrame):
+        """A function that keeps the pairs (a, b) of ids which are similar enough."""
+        chosen = texts.withColumnRenamed("doc_id", "id").join(ids.hint("shuffle_hash"), "id").select("id", "text")
+        sets = settle(chosen.mapInArrow(_sets(words), "id long, s binary"))
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        return pairs.join(x.hint("shuffle_merge"), "a").join(y.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long")
+        made.append(sets)
+        return lambda pairs: pairs.join(x.hint("shuffle_merge"), "a").join(y.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long")
+
+    made = [found]
+    confirmed = comparing(wanted)
 
     # each id's likeliest partner first; then only pairs whose ends are still apart need their sets compared
     best = near.groupBy("b").agg(F.max(F.struct("share", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
@@ -236,10 +319,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     apart = apart.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     more = settle(confirmed(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")))
     roots = settle(components(links.unionByName(more)))
+    roots = _whole_regions(classes, roots, comparing, similarity)
     classes = classes.select("key", "id").join(roots.select(F.col("node").alias("id"), "root").hint("shuffle_merge"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
     out = signed.select("doc_id", "n", "key").join(classes.hint("shuffle_merge"), "key", "left")
     component = F.coalesce("root", "doc_id")
-    for x in (found, sets):
+    for x in made:
         discard(x)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

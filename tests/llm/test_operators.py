@@ -78,6 +78,20 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert near_dedup.keep_first(docs).columns == docs.columns and near_dedup.keep_first(docs).count() == 1
 
 
+def test_near_duplicates_link_a_star(spark):
+    # copies at 0.82 of one base and about 0.69 of each other: every link goes through the base
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(1000)]
+    texts = [" ".join(base)]
+    for i in range(1000):
+        copy = list(base)
+        for at in rng.sample(range(1000), 99):
+            copy[at] = f"c{i}x{at}"
+        texts.append(" ".join(copy))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), DOCS), 1, 80).collect()
+    assert len(got) == 1001 and {r["component_id"] for r in got} == {0}
+
+
 def slow_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     o = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
