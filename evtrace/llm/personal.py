@@ -1,9 +1,10 @@
 """Personal data in whole texts: fixed patterns, and a semi-Markov conditional random field that adds to them.
 
 Base spans come from four patterns with their checks (see BASE). The field works on zones: stretches around
-digits, at-signs and secret words, with the words beside them. A zone's tokens are cut into segments; a segment
-of up to LENGTH tokens is scored as a whole (its shape, digit counts, checksum, neighbours) for each kind, and
-dynamic programming finds the best cut and kinds together. Weights are an averaged structured perceptron's,
+digits, at-signs and secret words, with the words beside them. A zone's tokens are cut into segments; a run of
+letters and digits is one token, however long, and a segment of one token or up to LENGTH characters is scored as a whole (its
+shape, digit counts, checksum, neighbours) for each kind, and dynamic programming finds the best cut and kinds
+together. Weights are an averaged structured perceptron's, not the field's likelihood,
 fitted on seed lines, on lines made by rule and on at most SAMPLE zones of the table whose labels the patterns give. Segments that
 overlap a base span are dropped: base spans always stay.
 
@@ -16,13 +17,14 @@ ends exclusive. Other columns are ignored, or kept by `redact`.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded_sample, settle
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # the first four as the patterns have them
-LENGTH = 12  # tokens of the longest segment
+LENGTH = 254  # characters of the longest segment of several tokens: the longest address that mail can have
 SAMPLE = 300  # zones that weights are fitted on, the least by hash
 ZONE = 2000  # longest zone that fitting uses
 
@@ -32,7 +34,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
+_TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]+|(?i:\b(?:password|passwd|secret|token|api[_ ]?key|iban|ssn)\b)")
 _CUE = frozenset("password passwd secret token key apikey pwd pass".split())
 
@@ -133,7 +135,8 @@ def features(tokens: list[str], i: int, j: int) -> list[str]:
 
 
 def _shape(token: str) -> str:
-    return "d" if token[0].isdigit() else "w" if token[0].isalpha() else "s" if token[0].isspace() else token if token in "+().-@=:\"'/_#" else "o"
+    mixed = token.isalnum() and any(map(str.isdigit, token)) and not token.isdigit()
+    return "m" if mixed else "d" if token[0].isdigit() else "w" if token[0].isalpha() else "s" if token[0].isspace() else token if token in "+().-@=:\"'/_#" else "o"
 
 
 class Field:
@@ -144,11 +147,13 @@ class Field:
 
     def decode(self, tokens: list[str]) -> list[tuple[int, int, str]]:
         """Best segments (first token, end, kind); what lies between them is outside."""
-        n = len(tokens)
+        n, at = len(tokens), [0, *accumulate(map(len, tokens))]
         best, back = [0.0] + [0.0] * n, [None] * (n + 1)
         for j in range(1, n + 1):
             best[j], back[j] = best[j - 1], None  # a token outside scores 0
-            for i in range(j - 1, max(-1, j - 1 - LENGTH), -1):
+            for i in range(j - 1, -1, -1):
+                if at[j] - at[i] > LENGTH and i < j - 1:
+                    break
                 if not _plausible(tokens[i], tokens[j - 1], "".join(tokens[i:j])):
                     continue
                 found = features(tokens, i, j)
@@ -177,17 +182,22 @@ class Field:
         return out
 
 
+def expressible(text: str, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether every span begins and ends with a token, and is one token or at most LENGTH characters."""
+    at = {p: i for i, p in enumerate(accumulate(map(len, _TOKEN.findall(text)), initial=0))}
+    return all(a in at and b in at and (b - a <= LENGTH or at[b] - at[a] == 1) for _, a, b in spans)
+
+
 def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 6) -> Field:
     """Averaged structured perceptron over zones with their spans (kind, start, end)."""
     field, total, step = Field(), {k: {} for k in KINDS}, 0
     known = []
     for text, spans in examples:
-        tokens, at = _TOKEN.findall(text), {0: 0}
-        p = 0
-        for i, t in enumerate(tokens):
-            p += len(t)
-            at[p] = i + 1
-        known.append((tokens, [(at[a], at[b], k) for k, a, b in spans if a in at and b in at and at[b] - at[a] <= LENGTH]))
+        if not expressible(text, spans):
+            raise ValueError(f"no segments of the field are the labelled spans {spans} of {text!r}")
+        tokens = _TOKEN.findall(text)
+        at = {p: i for i, p in enumerate(accumulate(map(len, tokens), initial=0))}
+        known.append((tokens, [(at[a], at[b], k) for k, a, b in spans]))
     for _ in range(rounds):
         for tokens, truth in known:
             step += 1
@@ -262,7 +272,9 @@ def fit_on(texts: DataFrame) -> Field:
         spans = sorted(base_spans(zone), key=lambda s: s[1])
         if all(a[2] <= b[1] for a, b in zip(spans, spans[1:])):
             cue = [("secret", m.start(1), m.end(1)) for m in re.finditer(r"(?i)(?:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?([0-9a-z]{12,})", zone)]
-            found.append((zone, spans + [c for c in cue if not any(a < c[2] and c[1] < b for _, a, b in spans)]))
+            spans += [c for c in cue if not any(a < c[2] and c[1] < b for _, a, b in spans)]
+            if expressible(zone, spans):  # else the zone teaches nothing, rather than that nothing is there
+                found.append((zone, spans))
     return fit([*map(_seed, SEEDS + made_lines()), *found])
 
 

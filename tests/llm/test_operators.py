@@ -127,6 +127,15 @@ def test_personal_query_and_redaction(spark, odd, none):
     assert personal.find(odd).count() == len(ODD) and personal.find(none).count() == 0
 
 
+def test_long_keys_are_one_span_and_redacted_whole(spark):
+    keys = [hashlib.sha512(f"k{i}".encode()).hexdigest()[: 32 + 8 * (i % 2)] for i in range(12)]
+    docs = spark.createDataFrame([(i, f'the token = "{k}" was used') for i, k in enumerate(keys)], DOCS)
+    assert {r["text"] for r in personal.redact(docs).collect()} == {'the token = "[SECRET]" was used'}
+    assert all(personal.expressible(*personal._seed(line)) for line in personal.SEEDS + personal.made_lines())
+    with pytest.raises(ValueError):
+        personal.fit([("a " * 200 + "1", [("secret", 0, 401)])])
+
+
 def test_bpe_equals_the_library(spark, odd, none):
     import tiktoken
 
