@@ -1,8 +1,10 @@
 """Main-text extraction from HTML by a maximum-scoring subsequence.
 
 A page becomes a sequence of tags and words. Tags cost, words earn what the containers around them have been
-worth on labelled pages: a container (tag name, or a word of its class, id or role) has the log odds of its
-words being content. One linear scan finds the contiguous run with the greatest sum; of that run, blocks whose
+worth on labelled pages: a sign of a container (its tag name, or a word of its class, id or role) has the log odds of
+its words being content. The nearest container with a clear sign decides; names of plain and inline tags are no
+signs, and a header or footer inside an article is told from the page's. Words that are all links, in no container
+with a clear sign, are held for a menu. One linear scan finds the contiguous run with the greatest sum; of that run, blocks whose
 own containers speak against them (adverts, forms, comments inside the article) are left out.
 
 Defined results: a null, empty or wordless page gives the empty string; script, style, template and similar raw
@@ -25,6 +27,10 @@ _RAW = frozenset("script style template noscript svg iframe object textarea titl
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Tags whose names say nothing of what they hold.
+_PLAIN = _INLINE | frozenset("html body div section p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption center details summary hgroup".split())
+_ARTICLE = frozenset("article main".split())
+_ENTRY = frozenset("article entry post".split())  # class words of an article, as in entry-header
 
 #: Pages whose content is known; `text` holds what is content, line by line.
 LABELLED = [
@@ -38,24 +44,34 @@ LABELLED = [
      "Bread\nFlour, water, salt and time.\nBaking\nHeat the oven well.\ncrumb\nthe soft inside"),
     ("<body><div class='popup modal newsletter'><p>Subscribe to our letter for more</p></div><div class=promo>Only today, half price</div><div class=sponsored>A word from those who pay</div><div class='pagination pager'><a href=/p2>Next page</a></div><div class=text><p>Plain pages have plain text.</p><figure><figcaption>a plain picture</figcaption></figure></div><div class=widget>Weather in your town</div><div class='alert banner'>The office closes early</div><div class=copyright>Nobody may copy this</div><div class=login>Sign in to go on</div></body>",
      "Plain pages have plain text.\na plain picture"),
+    ("<body class=home><div id=page class='site wrapper container'><header class=site-header><p>The gazette of the valley</p><nav><a href=/>All the issues</a></nav></header><div class='site-content wrap'><main class=site-main><article><header class=entry-header><h1>Bees come back to the valley in the first warm days of spring</h1></header><div class=entry-content><p>The <a href=/r>report of the keepers</a> says that <small>as a rule</small> bees <b>fly</b> from March on.</p><p><a href=/s>A line that is one link</a></p></div><footer><p>Filed under insects</p></footer></article></main></div><footer class=site-footer>All rights stay with the valley</footer></div></body>",
+     "Bees come back to the valley in the first warm days of spring\nThe report of the keepers says that as a rule bees fly from March on.\nA line that is one link"),
+    ("<body><div class='page outer container wrapper site'><div class=header>The stone journal</div><div role=navigation><a href=/s>All of our stones</a> <a href=/t>Every tool that we have</a></div><article><div class='header article-header'><h1>How walls were built without any mortar in the hills</h1><p>They still stand today</p></div><section class=article-body><p>Stones were laid by <a href=/w>wallers</a> in two faces, and the gap was filled.</p></section><aside>Seen by others too</aside></article><div class='related links'><p>Other readers went on to these pages about slate, lime, sand and the tools of the trade</p></div></div></body>",
+     "How walls were built without any mortar in the hills\nThey still stand today\nStones were laid by wallers in two faces, and the gap was filled."),
 ]
 
 
-def _signs(name: str, attributes: str) -> list[str]:
-    signs = [name]
+def _signs(name: str, attributes: str, outer: list) -> tuple[str, ...]:
+    """Signs of a tag within outer ones; html and body have none."""
+    if name in ("html", "body"):
+        return ()
+    words: list[str] = []
     for _, value in _ATTRIBUTE.findall(attributes):
-        signs += [f".{w}" for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value.strip("\"'")).lower())]
-    return signs
+        words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value.strip("\"'")).lower())
+    inside = any(n in _ARTICLE for n, _ in outer) or not _ENTRY.isdisjoint(words)
+    signs = [] if name in _PLAIN else [name]
+    signs += [f".{w}" for w in words]
+    return tuple(f"{s} in article" if inside and s.lstrip(".") in ("header", "footer") else s for s in signs)
 
 
 def sequence(page: str) -> list[tuple]:
-    """Tags and text blocks in page order: ("tag",) or ("text", block, text, signs of its containers)."""
+    """Tags and text blocks in page order: ("tag",) or ("text", block, text, signs by container, whether linked)."""
     out, stack, block, at = [], [], 0, 0
     raw_until = None
 
     def put(text):
         if text:
-            out.append(("text", block, text, tuple(s for _, own in stack for s in own)))
+            out.append(("text", block, text, tuple(own for _, own in stack if own), any(n == "a" for n, _ in stack)))
 
     for m in _TAG.finditer(page):
         if m.start() < at:
@@ -81,7 +97,7 @@ def sequence(page: str) -> list[tuple]:
             at = end.end() if end else len(page)
             block += 1
             continue
-        if name in _VOID or m[3].rstrip().endswith("/"):
+        if name in _VOID or re.search(r"(?:^|[\s\"'])/\s*$", m[3]):  # not the end of an address, as in href=/
             continue
         if name in _CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
@@ -90,7 +106,7 @@ def sequence(page: str) -> list[tuple]:
                     break
                 if stack[i][0] not in _INLINE:
                     break
-        stack.append((name, _signs(name, m[3])))
+        stack.append((name, _signs(name, m[3], stack)))
     put(page[at:] if not re.match(r"<[A-Za-z/!]", page[at:]) else "")
     return out
 
@@ -103,40 +119,57 @@ def fit(pages=LABELLED) -> dict[str, float]:
     """Log odds of content for each sign, from pages with known content."""
     good: dict[str, int] = {}
     bad: dict[str, int] = {}
+    total = [0, 0]
     for page, text in pages:
         content = set(text.split("\n"))
         blocks: dict[int, tuple[str, set]] = {}
         for x in sequence(page):
             if x[0] == "text":
                 t, s = blocks.get(x[1], ("", set()))
-                blocks[x[1]] = (t + x[2], s | set(x[3]))
+                blocks[x[1]] = (t + x[2], s.union(*x[3]))
         for t, signs in blocks.values():
             if t := _clean(t):
                 counts = good if t in content else bad
+                total[t not in content] += len(t.split())
                 for s in signs:
                     counts[s] = counts.get(s, 0) + len(t.split())
-    total = [sum(c.get("body", 0) for c in (good,)), sum(c.get("body", 0) for c in (bad,))]
     base = math.log(total[0] / total[1])
     return {s: math.log((good.get(s, 0) + 0.5) / (bad.get(s, 0) + 0.5)) - base for s in good | bad}
 
 
 TAG_COST, INLINE_COST, WORD = 0.6, 0.1, 0.5
+CLEAR = 1.0  # log odds from which a sign decides
 AGAINST = -0.2  # a word that its containers speak against costs this at most: such blocks are left out of the run anyway
 
 
+def _worth(containers: tuple, weights: dict[str, float]) -> float | None:
+    """What a word earns by the nearest container with a clear sign; within one the least sign counts if it is clear. None without any."""
+    for own in reversed(containers):
+        known = [weights.get(s, 0.0) for s in own]
+        if min(known) <= -CLEAR:
+            return min(known)
+        if max(known) >= CLEAR:
+            return WORD + max(known)
+    return None
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     score, items = [], sequence(page)
+    plain = {x[1] for x in items if x[0] == "text" and not x[4] and _clean(x[2])}  # blocks with words that are no links
+    known: dict[tuple, float | None] = {}
     worth: dict[tuple, float] = {}
     for x in items:
         if x[0] == "tag":
             score.append(-INLINE_COST if x[1] else -TAG_COST)
             continue
-        w = worth.get(x[3])
+        if x[3] not in known:
+            known[x[3]] = _worth(x[3], weights)
+        w = known[x[3]]
         if w is None:
-            known = [weights[s] for s in x[3] if s in weights and s not in ("html", "body")]
-            w = worth[x[3]] = WORD + (max(known, default=0.0) if min(known, default=0.0) > -1 else min(known))
+            w = WORD if x[1] in plain else -CLEAR
+        worth[x[1], x[3]] = w
         score.append(max(w, AGAINST) * len(x[2].split()))
     best, lo, hi, start, run = 0.0, 0, 0, 0, 0.0
     for i, s in enumerate(score):
@@ -147,7 +180,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             best, lo, hi = run, start, i + 1
     blocks: dict[int, list[str]] = {}
     for x in items[lo:hi]:
-        if x[0] == "text" and worth[x[3]] > 0:
+        if x[0] == "text" and worth[x[1], x[3]] > 0:
             blocks.setdefault(x[1], []).append(x[2])
     return "\n".join(t for parts in blocks.values() if (t := _clean("".join(parts))))
 

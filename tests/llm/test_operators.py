@@ -169,6 +169,15 @@ def test_html_on_labelled_and_given_pages(spark):
     assert [r["text"] for r in html_text.extract(odd).orderBy("page_id").collect()][:4] == ["", "", "", "just words & more"]
 
 
+def test_html_keeps_links_headers_and_wrapped_articles():
+    weights = html_text.fit()
+    told = "<article><header><h1>On dams</h1></header><p>See <a href=/r>the report</a> of <small>last</small> year.</p><div class=ad>Buy dams now</div></article>"
+    want = "On dams\nSee the report of last year."
+    for around in ("%s", "<div id=page class=site>%s</div>", "<div class=site-content>%s</div>", "<body class='page site'><header><p>The dam daily</p></header><nav><a href=/>Home page</a></nav>%s<footer>All rights reserved</footer></body>"):
+        assert html_text.main_text(around % told, weights) == want
+    assert html_text.main_text("<div><a href=/>Home</a> <a href=/n>News of today</a></div><p>Plain words with <a href=/x>a link</a> in them.</p>", weights) == "Plain words with a link in them."
+
+
 def test_fingerprints_against_plain_windows(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
