@@ -1,32 +1,40 @@
 """Personal data in whole texts: fixed patterns, and a semi-Markov conditional random field that adds to them.
 
-Base spans come from four patterns with their checks (see BASE). The field works on zones: stretches around
-digits, at-signs and secret words, with the words beside them. A zone's tokens are cut into segments; a run of
-letters and digits is one token, however long, and a segment of one token or up to LENGTH characters is scored as a whole (its
-shape, digit counts, checksum, neighbours) for each kind, and dynamic programming finds the best cut and kinds
-together. Weights are an averaged structured perceptron's, not the field's likelihood,
-fitted on seed lines, on lines made by rule and on at most SAMPLE zones of the table whose labels the patterns give. Segments that
-overlap a base span are dropped: base spans always stay.
+Base spans come from four patterns with their checks (base_spans). The field works on zones: the words around
+digits, at-signs and words such as "password". A zone's tokens (a run of letters and digits is one token, however
+long) are cut into segments. Every candidate segment is scored as a whole for each kind by features of its full
+span (shape, groups of digits, checksums, cue words, neighbours), a kind is also scored against the kind of the
+entity before it, and dynamic programming finds the boundaries and kinds that are best together. A segment has at
+most TOKENS tokens and LENGTH characters unless it is one token. Weights maximise the penalised likelihood of
+labelled zones (log-partition and expected counts by forward and backward sums over segments); those are seed
+lines, lines made by rule, and at most SAMPLE zones of the table, the least by hash, that the patterns label.
+Added spans that overlap a base span are dropped: base spans always stay.
 
 Defined results: a null text is empty; a text without findings has zero counts and empty strings; of equally
-good cuts the one with shorter segments counts; very long texts are searched whole, in time that grows with
-their length; repeated rows give repeated results; an empty table gives no rows. Positions are code points,
-ends exclusive. Other columns are ignored, or kept by `redact`.
+good cuts a shorter last segment counts, then the earlier kind; very long texts are searched whole, in time that
+grows with their length; rows that repeat or share a doc_id each have their result; an empty table gives no
+rows. Positions are code points, ends exclusive. Other columns, whatever their names, are ignored by `find` and
+kept by `redact`.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_sample, settle
+from .common import bounded_sample, discard, settle
 
-KINDS = ("email", "ip", "card", "phone", "secret")  # the first four as the patterns have them
+BASE = ("email", "ip", "card", "phone")  # kinds of the patterns
+KINDS = (*BASE, "secret", "iban", "ssn")
 LENGTH = 254  # characters of the longest segment of several tokens: the longest address that mail can have
-SAMPLE = 300  # zones that weights are fitted on, the least by hash
-ZONE = 2000  # longest zone that fitting uses
+TOKENS = 48  # tokens of the longest segment
+NEAR = 4  # words on either side of a trigger that its zone holds
+SAMPLE = 250  # zones of the table that weights are fitted on
+FITTED = 60  # tokens of the longest zone among them
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,12 +42,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
-_TRIGGER = re.compile(r"[0-9@]+|(?i:\b(?:password|passwd|secret|token|api[_ ]?key|iban|ssn)\b)")
-_CUE = frozenset("password passwd secret token key apikey pwd pass".split())
 
 
 def luhn(digits: str) -> bool:
+    """Whether a string of ASCII digits passes Luhn's check."""
     total = 0
     for i, d in enumerate(reversed(digits)):
         n = ord(d) - 48
@@ -63,12 +69,12 @@ def _emails(text: str):
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """The fixed patterns' spans (kind, start, end), by kind as in KINDS, then start."""
+    """The fixed patterns' spans (kind, start, end), by kind as in BASE, then start."""
     if not _DIGIT.search(text) and "@" not in text:
         return []
     out = [("email", a, b) for a, b in _emails(text)]
     # a run of digits is taken whole: no match begins inside one
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for kind, pattern, least, most in (("card", _CARD, 16, 19), ("phone", _PHONE, 8, 15)):
         for m in pattern.finditer(text):
             digits = re.sub(r"[^0-9]", "", m[0])
@@ -77,145 +83,366 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+# --- zones, tokens and candidate segments
+
+_TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
+_WORD = re.compile(r"\S+")
+#: Words that announce a kind (0 to 6: its place in KINDS).
+CUES = {
+    "password": 4, "passwd": 4, "passphrase": 4, "pwd": 4, "secret": 4, "token": 4, "key": 4, "apikey": 4, "credential": 4, "credentials": 4,
+    "iban": 5, "account": 5, "ssn": 6, "social": 6, "phone": 3, "tel": 3, "fax": 3, "call": 3, "mobile": 3, "card": 2, "visa": 2, "paid": 2,
+    "host": 1, "ip": 1, "server": 1, "mail": 0, "email": 0, "write": 0,
+}
+_TRIGGER = re.compile(r"[0-9@]|(?i:\b(?:password|passwd|passphrase|pwd|secret|token|api[_ ]?key|credentials?)\b)")
+_CODE = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]*\Z")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
+_JOINS = frozenset("._-+/=%")
+_BREAKS = frozenset(" -.()/")
+
+
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers, cut at white space, that together hold every trigger."""
+    """Stretches of whole words that hold every trigger with the NEAR words on either side of its own."""
+    first = _TRIGGER.search(text)
+    if not first:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
     out: list[list[int]] = []
+    i = 0
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - 24), min(len(text), m.end() + 40)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    for z in out:
-        while z[0] > 0 and not text[z[0] - 1].isspace() and text[z[0]].isalnum() and z[1] - z[0] < ZONE:
-            z[0] -= 1
-        while z[1] < len(text) and text[z[1]].isalnum() and z[1] - z[0] < ZONE:
-            z[1] += 1
-    joined: list[list[int]] = []
-    for z in out:
-        if joined and z[0] < joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], z[1])
+        while words[i][1] <= m.start():
+            i += 1
+        lo, hi = max(0, i - NEAR), min(len(words), i + NEAR + 1)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
         else:
-            joined.append(z)
-    return [tuple(z) for z in joined]
-
-
-def _bucket(n: int) -> str:
-    return "0" if not n else "1-3" if n < 4 else "4-7" if n < 8 else "8-11" if n < 12 else "12-15" if n < 16 else "16-19" if n < 20 else "20+"
-
-
-def _plausible(first: str, last: str, text: str) -> bool:
-    """Segments that may be an entity at all: no white space at either end, and a digit or at-sign inside."""
-    return not first.isspace() and not last.isspace() and bool(_DIGIT.search(text) or "@" in text)
-
-
-def features(tokens: list[str], i: int, j: int) -> list[str]:
-    """Features of the whole segment tokens[i:j]."""
-    text = "".join(tokens[i:j])
-    digits = sum(c.isdigit() for c in text)
-    before, after = (tokens[i - 1] if i else " "), (tokens[j] if j < len(tokens) else " ")
-    cue = any(t.lower() in _CUE for t in tokens[max(0, i - 6) : i])
-    only = text.replace(" ", "").replace("-", "")
-    parts = text.split(".")
-    out = ["bias", "tokens:" + _bucket(j - i), "digits:" + _bucket(digits), "first:" + _shape(tokens[i]), "last:" + _shape(tokens[j - 1]), "before:" + _shape(before), "after:" + _shape(after)]
-    out += [f"size:{_bucket(len(text))}", "cue" if cue else "no cue", "space" if " " in text or "\n" in text else "no space"]
-    if "@" in text:
-        out.append("one at, dotted" if text.count("@") == 1 and "." in text.split("@")[1].strip(".") else "odd at")
-    if len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts):
-        out.append("quad")
-    if only.isdigit() and len(only) > 12:
-        out.append("luhn" if luhn(only) else "no luhn")
-    if text.startswith("+"):
-        out.append("plus")
-    if digits >= 7 and all(c.isdigit() or c in " ().+-" for c in text):
-        out.append("phone-like")
-    if len(text) >= 12 and text.isalnum() and 0 < digits < len(text):
-        out.append("mixed run")
-    return out
-
-
-def _shape(token: str) -> str:
-    mixed = token.isalnum() and any(map(str.isdigit, token)) and not token.isdigit()
-    return "m" if mixed else "d" if token[0].isdigit() else "w" if token[0].isalpha() else "s" if token[0].isspace() else token if token in "+().-@=:\"'/_#" else "o"
+            out.append([lo, hi])
+    return [(words[lo][0], words[hi - 1][1]) for lo, hi in out]
+
+
+def _kind_of(token: str) -> int:
+    """Shape of a token, 0 to 15."""
+    c = token[0]
+    if c.isspace():
+        return 0
+    if token.isascii() and token.isdigit():
+        return 1
+    if c.isalnum():
+        return 3 if any(map(str.isdigit, token)) else 4 if token.isupper() else 5 if token.islower() else 2
+    return {"+": 6, "(": 7, ")": 8, ".": 9, "-": 10, "@": 11, ":": 12, "=": 12, '"': 13, "'": 13, "_": 14}.get(c, 15)
+
+
+class Zone:
+    """Tokens of a stretch of text with what features ask of them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = _TOKEN.findall(text)
+        self.at = [0, *accumulate(map(len, self.tokens))]
+        self.kind = [_kind_of(t) for t in self.tokens]
+        #: by token: the cue among the last eight tokens (7 without), and whether : or = came after it
+        self.cue, last, since, told = [], 7, 99, 0
+        for t, k in zip(self.tokens, self.kind):
+            self.cue.append((last, told) if since < 8 else (7, 0))
+            found = CUES.get(t.lower()) if 2 <= k <= 5 else None
+            if found is not None:
+                last, since, told = found, 0, 0
+            else:
+                since += 1
+                told = told or int(k == 12)
+
+    def segments(self) -> list[tuple[int, int]]:
+        """Candidate segments (first token, end), by end, shorter ones first."""
+        found: set[tuple[int, int]] = set()
+        kind, tokens, at, n = self.kind, self.tokens, self.at, len(self.tokens)
+        for i in range(n):
+            k = kind[i]
+            if k == 0:
+                continue
+            limit = min(n, i + TOKENS)
+            if k in (1, 6, 7):  # numbers with their separators
+                digits = 0
+                for j in range(i, limit):
+                    if kind[j] == 1:
+                        digits += len(tokens[j])
+                        if digits > 24 and j > i:
+                            break
+                        if digits >= 4:
+                            found.add((i, j + 1))
+                    elif not (kind[j] == 6 and j == i or tokens[j] in _BREAKS):
+                        break
+            if k in (1, 3) and _CODE.match(tokens[i]):  # codes in groups
+                for j in range(i, limit):
+                    if not (tokens[j] == " " or kind[j] in (1, 3, 4)) or at[j + 1] - at[i] > 44:
+                        break
+                    if kind[j]:
+                        found.add((i, j + 1))
+            said = self.cue[i][0] == 4
+            digit = False
+            if k in (1, 2, 3, 4, 5) or said or tokens[i] in _JOINS:  # keys, addresses, what stands after a cue
+                at_sign = 0
+                for j in range(i, limit):
+                    if kind[j] == 0 or at[j + 1] - at[i] > LENGTH and j > i:
+                        break
+                    digit = digit or kind[j] in (1, 3)
+                    at_sign += kind[j] == 11
+                    if at_sign > 1 or not said and kind[j] > 5 and kind[j] != 11 and tokens[j] not in _JOINS:
+                        break
+                    if at_sign and j - i > 0 and kind[j] != 11 or said or digit and at[j + 1] - at[i] >= 8:
+                        found.add((i, j + 1))
+        return sorted(found, key=lambda s: (s[1], -s[0]))
+
+    def features(self, i: int, j: int) -> list[int]:
+        """One feature of each template for the whole segment tokens[i:j]."""
+        text = self.text[self.at[i] : self.at[j]]
+        kind, tokens = self.kind, self.tokens
+        inside = kind[i:j]
+        groups = [len(t) for t, k in zip(tokens[i:j], inside) if k == 1]
+        digits = sum(map(str.isdigit, text))
+        before, after = (kind[i - 1] if i else 0), (kind[j] if j < len(kind) else 0)
+        cue, told = self.cue[i]
+        bare = text.replace(" ", "").replace("-", "")
+        plain = bare.isascii()
+        mail = text.count("@")
+        values = (
+            0,
+            inside[0],
+            inside[-1],
+            before,
+            after,
+            _bucket(len(text)),
+            _bucket(digits),
+            _bucket(j - i),
+            cue * 2 + told,
+            0 if not mail else 1 if mail == 1 and i < j - 1 and "." in text.split("@")[1].strip(".") and text[-1].isalnum() and text[0].isalnum() else 2,
+            1 if len(groups) == 4 and inside.count(9) == 3 and j - i == 7 and all(map(_octet, text.split("."))) else 0,
+            (1 if luhn(bare) else 2) if plain and bare.isdigit() and 12 < len(bare) < 20 else 0,
+            _iban(bare) if plain and _CODE.match(bare) else 0,
+            1 if _SSN.match(text) else 0,
+            1 + zlib.crc32(bytes(groups[:16])) % 61 if groups and max(groups) < 256 and 15 not in inside else 0,
+            (1 if text[0] == "+" else 2 if text[0] == "(" else 0) + 3 * (8 in inside) + 6 * (0 in inside),
+            _mix(text) if j - i == 1 or not mail and 0 not in inside else 0,
+            (before not in (0, 13) and before < 6) + 2 * (after not in (0, 13) and after < 6) + 4 * (after in (9, 10, 11, 14) and j + 1 < len(kind) and kind[j + 1] in (1, 2, 3, 4, 5)),
+        )
+        return [b + v for b, v in zip(_BASES, values)]
+
+
+#: Values of each template, in the order of Zone.features.
+_SIZES = (1, 16, 16, 16, 16, 10, 10, 10, 16, 3, 2, 3, 3, 2, 62, 12, 10, 8)
+_BASES = tuple(accumulate(_SIZES[:-1], initial=0))
+FEATURES = sum(_SIZES)
+
+
+def _bucket(n: int) -> int:
+    return n if n < 2 else 2 if n < 4 else 3 if n < 8 else 4 if n < 12 else 5 if n < 16 else 6 if n < 20 else 7 if n < 32 else 8 if n < 48 else 9
+
+
+def _iban(bare: str) -> int:
+    if not 15 <= len(bare) <= 34:
+        return 2
+    return 1 if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 else 2
+
+
+def _mix(text: str) -> int:
+    """Which sorts of characters a run without spaces mixes, 1 to 9, the last four for the long ones."""
+    lower, upper, digit = (any(map(f, text)) for f in (str.islower, str.isupper, str.isdigit))
+    other = not text.isalnum()
+    sort = 5 if other and (lower or upper) and digit else 4 if lower and upper and digit else 3 if (lower or upper) and digit else 2 if digit else 1
+    return sort + 4 if len(text) >= 12 and sort > 1 else sort
+
+
+# --- the field
+
+
+def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
 
 
 class Field:
-    """Semi-Markov field over a zone; weights[kind][feature]."""
-
-    def __init__(self, weights: dict[str, dict[str, float]] | None = None):
-        self.weights = weights or {k: {} for k in KINDS}
-
-    def decode(self, tokens: list[str]) -> list[tuple[int, int, str]]:
-        """Best segments (first token, end, kind); what lies between them is outside."""
-        n, at = len(tokens), [0, *accumulate(map(len, tokens))]
-        best, back = [0.0] + [0.0] * n, [None] * (n + 1)
-        for j in range(1, n + 1):
-            best[j], back[j] = best[j - 1], None  # a token outside scores 0
-            for i in range(j - 1, -1, -1):
-                if at[j] - at[i] > LENGTH and i < j - 1:
-                    break
-                if not _plausible(tokens[i], tokens[j - 1], "".join(tokens[i:j])):
-                    continue
-                found = features(tokens, i, j)
-                for kind in KINDS:
-                    w = self.weights[kind]
-                    s = best[i] + sum([w.get(f, 0.0) for f in found])
-                    if s > best[j] + 1e-12:
-                        best[j], back[j] = s, (i, kind)
-        out, j = [], n
-        while j:
-            if back[j] is None:
+    """weights[feature, kind] and after[kind of the entity before or 0 for none, kind]."""
+
+    def __init__(self, weights: np.ndarray | None = None, after: np.ndarray | None = None):
+        k = len(KINDS)
+        self.weights = np.zeros((FEATURES, k)) if weights is None else weights
+        self.after = np.zeros((k + 1, k)) if after is None else after
+
+    def scores(self, features: list[list[int]]) -> np.ndarray:
+        """A row per segment, a column per kind."""
+        out = np.empty((len(features), len(KINDS)))
+        for at in range(0, len(features), 4096):
+            out[at : at + 4096] = self.weights[np.array(features[at : at + 4096])].sum(axis=1)
+        return out
+
+    def decode(self, n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
+        """The best disjoint segments (first token, end, kind) of n tokens; tokens between them are outside and score 0."""
+        if not len(segments) or scores.max() + self.after.max() <= 0:
+            return []
+        k = len(KINDS)
+        best = np.full((n + 1, k + 1), -np.inf)  # by position and kind of the last entity
+        enter = np.empty((n + 1, k))  # best before an entity of each kind that begins here
+        come = np.empty((n + 1, k), np.int64)
+        back: list[dict[int, int]] = [{} for _ in range(n + 1)]
+        best[0, 0] = 0.0
+        at = 0
+        for j in range(n + 1):
+            if j:
+                best[j] = best[j - 1]
+                first = at
+                while at < len(segments) and segments[at][1] == j:
+                    at += 1
+                if at > first:
+                    found = enter[[segments[s][0] for s in range(first, at)]] + scores[first:at]
+                    pick = found.argmax(axis=0)
+                    for x in range(k):
+                        v = found[pick[x], x]
+                        if v > best[j, x + 1]:
+                            best[j, x + 1] = v
+                            back[j][x + 1] = first + int(pick[x])
+            step = best[j][:, None] + self.after
+            come[j] = step.argmax(axis=0)
+            enter[j] = step.max(axis=0)
+        state, j, out = int(best[n].argmax()), n, []
+        while state:
+            while state not in back[j]:
                 j -= 1
-            else:
-                out.append((back[j][0], j, back[j][1]))
-                j = back[j][0]
+            i = segments[back[j][state]][0]
+            out.append((i, j, state - 1))
+            state, j = int(come[i, state - 1]), i
         return out[::-1]
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
-        out = []
+        """Entities (kind, start, end) of all zones of a text, by start."""
+        found, features = [], []
         for a, b in zones(text):
-            tokens = _TOKEN.findall(text[a:b])
-            at = [a]
-            for t in tokens:
-                at.append(at[-1] + len(t))
-            out += [(k, at[i], at[j]) for i, j, k in self.decode(tokens)]
+            zone = Zone(text[a:b])
+            segments = zone.segments()
+            found.append((a, zone, segments, len(features)))
+            features += [zone.features(i, j) for i, j in segments]
+        if not features:
+            return []
+        scores, out = self.scores(features), []
+        for a, zone, segments, at in found:
+            out += [(KINDS[k], a + zone.at[i], a + zone.at[j]) for i, j, k in self.decode(len(zone.tokens), segments, scores[at : at + len(segments)])]
         return out
 
 
+class _Sums:
+    """Forward and backward sums over the segments of many zones at once."""
+
+    def __init__(self, known: list[tuple[Zone, dict[tuple[int, int], int]]]):
+        rows, gold, features, self.before = [], [], [], np.zeros((len(KINDS) + 1, len(KINDS)))
+        for z, (zone, truth) in enumerate(known):
+            for s in zone.segments():
+                rows.append((z, *s))
+                gold.append(truth.get(s, -1))
+                features.append(zone.features(*s))
+            state = 0
+            for s in sorted(truth):
+                self.before[state, truth[s]] += 1
+                state = truth[s] + 1
+        self.zone, self.start, self.end = np.array(rows).T
+        self.features = np.array(features)
+        self.gold = np.zeros((len(rows), len(KINDS)))
+        has = np.array(gold) >= 0
+        self.gold[has, np.array(gold)[has]] = 1
+        self.zones, self.n = len(known), max(len(z.tokens) for z, _ in known)
+        self.by_end, self.by_start = self._grouped(self.end), self._grouped(self.start)
+
+    def _grouped(self, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By place: its segments in order of zone, where each zone's begin, and those zones."""
+        order = np.lexsort((self.zone, place))
+        cut = np.searchsorted(place[order], np.arange(self.n + 2))
+        out = []
+        for a, b in zip(cut, cut[1:]):
+            own = order[a:b]
+            z = self.zone[own]
+            first = np.flatnonzero(np.r_[True, z[1:] != z[:-1]]) if len(z) else z
+            out.append((own, first, z[first]))
+        return out
+
+    @staticmethod
+    def _reduce(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+        top = np.maximum.reduceat(values, first)
+        per = np.repeat(top, np.diff(np.r_[first, len(values)]), axis=0)
+        return np.log(np.add.reduceat(np.exp(values - per), first)) + top
+
+    def step(self, field: Field) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood and its gradients in the weights."""
+        k, score = len(KINDS), field.weights[self.features].sum(axis=1)
+        ahead = np.full((self.n + 1, self.zones, k + 1), -np.inf)
+        ahead[0, :, 0] = 0.0
+        enter = np.empty((self.n + 1, self.zones, k))
+        for j in range(self.n + 1):
+            if j:
+                ahead[j] = ahead[j - 1]
+                own, first, z = self.by_end[j]
+                if len(own):
+                    come = self._reduce(enter[self.start[own], self.zone[own]] + score[own], first)
+                    ahead[j, z, 1:] = np.logaddexp(ahead[j, z, 1:], come)
+            enter[j] = _logsum(ahead[j][:, :, None] + field.after, 1)
+        total = _logsum(ahead[self.n], 1)
+        behind = np.zeros((self.n + 1, self.zones, k + 1))
+        leave = np.full((self.n + 1, self.zones, k), -np.inf)
+        for j in range(self.n - 1, -1, -1):
+            behind[j] = behind[j + 1]
+            own, first, z = self.by_start[j]
+            if len(own):
+                leave[j, z] = self._reduce(score[own] + behind[self.end[own], self.zone[own]][:, 1:], first)
+                behind[j, z] = np.logaddexp(behind[j, z], _logsum(field.after[None] + leave[j, z][:, None, :], 2))
+        chance = np.exp(enter[self.start, self.zone] + score + behind[self.end, self.zone][:, 1:] - total[self.zone][:, None])
+        moved = np.exp(ahead[:, :, :, None] + field.after + leave[:, :, None, :] - total[None, :, None, None]).sum(axis=(0, 1))
+        rest = self.gold - chance
+        flat = self.features.ravel()
+        weights = np.stack([np.bincount(flat, np.repeat(rest[:, x], self.features.shape[1]), FEATURES) for x in range(k)], axis=1)
+        like = float((score * self.gold).sum() + (field.after * self.before).sum() - total.sum())
+        return like, weights, self.before - moved
+
+
 def expressible(text: str, spans: list[tuple[str, int, int]]) -> bool:
-    """Whether every span begins and ends with a token, and is one token or at most LENGTH characters."""
-    at = {p: i for i, p in enumerate(accumulate(map(len, _TOKEN.findall(text)), initial=0))}
-    return all(a in at and b in at and (b - a <= LENGTH or at[b] - at[a] == 1) for _, a, b in spans)
+    """Whether every span is a candidate segment."""
+    zone = Zone(text)
+    at = {p: i for i, p in enumerate(zone.at)}
+    known = set(zone.segments())
+    return all((at.get(a), at.get(b)) in known for _, a, b in spans)
 
 
-def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 6) -> Field:
-    """Averaged structured perceptron over zones with their spans (kind, start, end)."""
-    field, total, step = Field(), {k: {} for k in KINDS}, 0
+def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 60, penalty: float = 0.05) -> Field:
+    """The field of greatest penalised likelihood, by Adam over all examples, for texts with their spans (kind, start, end)."""
     known = []
     for text, spans in examples:
         if not expressible(text, spans):
             raise ValueError(f"no segments of the field are the labelled spans {spans} of {text!r}")
-        tokens = _TOKEN.findall(text)
-        at = {p: i for i, p in enumerate(accumulate(map(len, tokens), initial=0))}
-        known.append((tokens, [(at[a], at[b], k) for k, a, b in spans]))
-    for _ in range(rounds):
-        for tokens, truth in known:
-            step += 1
-            guess = field.decode(tokens)
-            for some, sign in ((set(truth) - set(guess), 1.0), (set(guess) - set(truth), -1.0)):
-                for i, j, k in some:
-                    for f in features(tokens, i, j):
-                        field.weights[k][f] = field.weights[k].get(f, 0.0) + sign
-                        total[k][f] = total[k].get(f, 0.0) + sign * step
-    mean = {k: {f: w - total[k][f] / (step + 1) for f, w in field.weights[k].items()} for k in KINDS}
-    return Field(mean)
+        zone = Zone(text)
+        at = {p: i for i, p in enumerate(zone.at)}
+        known.append((zone, {(at[a], at[b]): KINDS.index(k) for k, a, b in spans}))
+    sums, field = _Sums(known), Field()
+    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in (field.weights, field.after)]
+    for t in range(1, rounds + 1):
+        _, *slopes = sums.step(field)
+        for w, g, (m, v) in zip((field.weights, field.after), slopes, moments):
+            g = g - penalty * w
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            v += 0.01 * g * g
+            w += 0.25 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    return field
 
 
 #: Lines with their entities between braces, kind first.
 SEEDS = [
     "write to {email jane.doe@mail.example.org} today", "mail {email a_b+c@x-y.example.com}, please", "host {ip 10.0.12.7} is down", "from {ip 192.168.100.200} at 12:30", "card {card 4111 1111 1111 1111} was used", "paid with {card 5500-0000-0000-0004} on 2020-01-02", "number {card 378282246310005} here",
     "call {phone +1 (212) 555-0147} now", "tel {phone +44 20 7946 0958} or later", "ring {phone (212) 555-0147} first", "fax {phone 212-555-0147} and wait", "phone {phone 020 7946 0958} here", "password={secret b7db7aa4a5fcc78305} and so on", "token = \"{secret 1beb58b8af68854f0e01b4ad40cdbb6a}\" set", "api_key: {secret sk9f8e7d6c5b4a39281706} in use", "secret={secret hunter2hunter2} kept",
+    "password: {secret correcthorsebattery} was told", "my passphrase is {secret purplemonkeydishwasher}, see", "pwd={secret Tr0ub4dor&3} again", "iban {iban GB29NWBK60161331926819} please", "to account {iban DE89 3704 0044 0532 0130 00} by friday", "ssn {ssn 123-45-6789} on file", "social security number {ssn 078-05-1120} given",
     "in 1998 there were 12 of 340 left", "page 42, line 7", "it cost 1,250.00 in all", "version 3.11.2 is out", "on 2021-03-04 at 10:15:00", "chapter 12.3.4 and 5", "see @home for more", "about 1000000 people", "order 12345678 shipped", "GNU General Public License, version 3.", "at 3 @ 5 each", "build 20210304 of 7", "isbn 978 3 16 148410 0 listed", "sum 4111 1111 1111 1112 wrong",
+    "the password is needed to go on", "a secret that nobody keeps", "each token of the text counts", "the key to the door was lost", "password reset by mail", "forgot your password? ask the office", "token = the smallest unit", "a secret: nobody knows", "part no. AB12 and C3PO were there", "flight LH1234 at gate B22", "sections 3-12-2020 to 4",
 ]
 
 
@@ -231,13 +458,14 @@ def _seed(line: str) -> tuple[str, list[tuple[str, int, int]]]:
     return text, spans
 
 
-def made_lines(n: int = 80) -> list[str]:
-    """More lines like SEEDS, made by rule with a fixed start."""
+def made_lines(n: int = 160, start: int = 11) -> list[str]:
+    """More lines like SEEDS, made by rule; another start makes others."""
     import random
 
-    rng = random.Random(11)
-    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 8)))
+    rng = random.Random(start)
+    pick = lambda of, k: "".join(rng.choice(of) for _ in range(k))
+    digits = lambda k: pick("0123456789", k)
+    word = lambda a=2, b=8: pick("abcdefghijklmnoprstuvw", rng.randint(a, b))
 
     def card():
         body = rng.choice("3456") + digits(14)
@@ -245,13 +473,26 @@ def made_lines(n: int = 80) -> list[str]:
         gap = rng.choice(["", "", " ", "-"])
         return gap.join(full[i : i + 4] for i in range(0, 16, 4))
 
+    def iban():
+        land, body = rng.choice([("GB", pick("ABCDEFGHKLMNOPRSTW", 4) + digits(14)), ("DE", digits(18)), ("ES", digits(20)), ("NL", pick("ABCDEFGHKLMNOPRSTW", 4) + digits(10)), ("FR", digits(22) + "K" + digits(2))])
+        full = next(f"{land}{c:02d}{body}" for c in range(2, 99) if _iban(f"{land}{c:02d}{body}") == 1)
+        return " ".join(full[i : i + 4] for i in range(0, len(full), 4)) if rng.random() < 0.4 else full
+
+    def secret():
+        value = rng.choice([lambda: word() + digits(rng.randint(6, 12)) + word(), lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: word(9, 22), lambda: word(3, 6) + rng.choice("!$&#") + word(2, 6) + digits(2), lambda: pick("ABCDEFGHabcdefgh0123456789", 24)])()
+        lead = rng.choice(["password=", "secret: ", "token = ", "api_key: ", "passwd ", "credentials: ", 'token = "'])
+        return f"{lead}{{secret {value}}}" + ('"' if lead.endswith('"') else "")
+
     shapes = [
         lambda: f"{{email {word()}.{word()}{rng.choice(['', digits(2)])}@{word()}{rng.choice(['', digits(1)])}.{word()}.com}}",
         lambda: "{ip " + ".".join(str(rng.randint(1, 255)) for _ in range(4)) + "}",
         lambda: f"{{card {card()}}}",
         lambda: "{phone " + rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}"]) + "}",
-        lambda: rng.choice(["password=", "secret: ", "token = ", "api_key: "]) + "{secret " + word() + digits(rng.randint(6, 12)) + word() + "}",
-        lambda: rng.choice([f"in {rng.randint(1900, 2030)}", f"{digits(rng.randint(1, 5))} items", f"version {rng.randint(1, 9)}.{rng.randint(0, 20)}", f"{digits(2)}:{digits(2)}", f"no. {digits(rng.randint(5, 9))}", f"{digits(3)}.{digits(2)}"]),
+        secret,
+        lambda: rng.choice(["iban ", "account ", ""]) + f"{{iban {iban()}}}",
+        lambda: rng.choice(["ssn ", "ssn: ", "number ", ""]) + f"{{ssn {digits(3)}-{digits(2)}-{digits(4)}}}",
+        lambda: rng.choice([f"in {rng.randint(1900, 2030)}", f"{digits(rng.randint(1, 5))} items", f"version {rng.randint(1, 9)}.{rng.randint(0, 20)}", f"{digits(2)}:{digits(2)}", f"no. {digits(rng.randint(5, 9))}", f"{digits(3)}.{digits(2)}", f"{rng.randint(1990, 2030)}-{digits(2)}-{digits(2)}"]),
+        lambda: rng.choice(["the password", "a secret", "one token", "this key", "our credentials"]) + " " + rng.choice(["of", "that", "and", "is", "was"]),
     ]
     return [" ".join([word(), rng.choice(shapes)(), word(), *([rng.choice(shapes)()] if rng.random() < 0.3 else []), word()]) for _ in range(n)]
 
@@ -260,29 +501,40 @@ def _sample_zones(batches):
     import pyarrow as pa
 
     for batch in batches:
-        out = [t[a:b] for t in batch.column("text").to_pylist() if t for a, b in zones(t) if b - a <= ZONE]
+        out = [z for t in batch.column("text").to_pylist() if t for z in (t[a:b] for a, b in zones(t)) if len(_TOKEN.findall(z[: FITTED * 40])) <= FITTED and len(z) < FITTED * 40]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["zone"])
 
 
+def labelled(zone: str) -> list[tuple[str, int, int]] | None:
+    """What the patterns say of a zone, and keys after a cue; None where patterns overlap or a span is no segment."""
+    spans = sorted(base_spans(zone), key=lambda s: s[1])
+    if any(a[2] > b[1] for a, b in zip(spans, spans[1:])):
+        return None
+    keys = [("secret", m.start(1), m.end(1)) for m in re.finditer(r"(?i)(?:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?([0-9a-z]{12,})", zone)]
+    spans += [c for c in keys if not any(a < c[2] and c[1] < b for _, a, b in spans)]
+    return spans if expressible(zone, spans) else None
+
+
 def fit_on(texts: DataFrame) -> Field:
     """The field for a table of texts (column text): seeds, and SAMPLE zones labelled by the patterns."""
-    rows = bounded_sample(settle(texts.mapInArrow(_sample_zones, "zone string").distinct()), SAMPLE).collect()
-    found = []
-    for (zone,) in rows:
-        spans = sorted(base_spans(zone), key=lambda s: s[1])
-        if all(a[2] <= b[1] for a, b in zip(spans, spans[1:])):
-            cue = [("secret", m.start(1), m.end(1)) for m in re.finditer(r"(?i)(?:password|passwd|secret|token|api_?key)\s*[=:]\s*\"?([0-9a-z]{12,})", zone)]
-            spans += [c for c in cue if not any(a < c[2] and c[1] < b for _, a, b in spans)]
-            if expressible(zone, spans):  # else the zone teaches nothing, rather than that nothing is there
-                found.append((zone, spans))
-    return fit([*map(_seed, SEEDS + made_lines()), *found])
+    found = settle(texts.mapInArrow(_sample_zones, "zone string").distinct())
+    rows = bounded_sample(found, SAMPLE).collect()
+    discard(found)
+    told = [(zone, labelled(zone)) for (zone,) in rows]
+    return fit([*map(_seed, SEEDS + made_lines()), *((z, s) for z, s in told if s is not None)])
 
 
 def all_spans(text: str, field: Field) -> tuple[list, list]:
     """Base spans, and all spans: base ones and what the field adds."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    added = [s for s in field.spans(text) if not any(a < s[2] and s[1] < b for a, b in taken)] if _TRIGGER.search(text) else []
+    reach = list(accumulate((b for _, b in taken), max))  # how far the base spans up to each one go
+    added, i = [], 0
+    for s in field.spans(text):
+        while i < len(taken) and taken[i][0] < s[2]:
+            i += 1
+        if not i or reach[i - 1] <= s[1]:
+            added.append(s)
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -297,22 +549,22 @@ def _find(field: Field):
         import pyarrow as pa
 
         for batch in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             for text in batch.column("text").to_pylist():
                 base, spans = all_spans(text or "", field)
                 kinds = [k for k, _, _ in base]
-                for c, v in zip(cols, [*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)]):
+                for c, v in zip(cols, [*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans)]):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:6]), pa.array(cols[6], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all spans) of every row of docs (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     field = fit_on(texts.select("text"))
-    return texts.mapInArrow(_find(field), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts.mapInArrow(_find(field), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def _mask(field: Field):
@@ -331,7 +583,7 @@ def _mask(field: Field):
                         parts += [text[at : max(at, a)], f"[{kind.upper()}]" if a >= at else ""]
                         at = b
                 out.append("".join([*parts, text[at:]]))
-            cols = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names]
+            cols = [pa.array(out, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(batch.schema.names)]
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
     return run
