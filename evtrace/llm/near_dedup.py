@@ -1,29 +1,36 @@
 """MinHash near-duplicate detection with an LSH forest.
 
-Every distinct shingle set gets a MinHash signature. The forest holds several orders of the signatures, each
-starting at another hash. All rows of a region, which share the least prefix of an order, are candidates of each
-other. First neighbours in the orders are compared; then regions whose rows are still in several components are
-compared wholly, block by block, each row with its likeliest partners first, so that a region which is linked
-by then needs no more pairs. Candidates are confirmed on full shingle sets and linked documents form components.
+Every distinct shingle set gets a MinHash signature. The forest holds several sorted orders of the signatures, each
+starting at another hash. Rows whose longest common prefix in an order has at least LEAST hashes lie in one region;
+a region of more than THIN rows is split by longer prefixes until its parts are that small, and all rows of a part
+are candidates of each other, besides the next rows in the order. Candidates whose signatures agree are confirmed
+on full shingle sets, likely ones first and the others only where their ends are still in different components.
+
+What the descent leaves out is searched exactly: regions that had to be split and whose rows are still in several
+components. First each row meets the region's central rows (those nearest to the most frequent hashes, so the
+centre of a star is among them); then rows outside the largest component meet all rows of the region, in cells of
+BLOCK rows by BLOCK that count overlaps of full sets and pass on a spanning forest of the links, never all pairs.
+A pair at the similarity therefore is missed only if it shares no region in any order, which for 0.8 has the
+probability (1 - 0.8**3)**12 = 0.0002, or if under LIKELY of its hashes agree.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own component; a text
 with fewer words than a shingle is one shingle of all its words; rows with equal texts or equal sets are one
 class and always linked; rows that share a doc_id count as one node; a null doc_id takes the component of its
-class, null if there is none. Any other columns are ignored. Ties in an order are broken by id.
+class, null if there is none. Any other columns, whatever their names, are ignored (keep_first keeps them). Ties in
+an order are broken by id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import ASCII_LOWER, components, discard, parts, settle
 
-TREES, DEPTH, LEAST = 12, 8, 3  # orders, hashes that an order sorts by, least common prefix of a candidate
-NEAR, FAR, THIN = 2, 8, 32  # neighbours looked at in dense regions, in thin regions; rows of a thin region
-BLOCK = 2048  # rows of a region that one task compares with as many others
-RANKS = (0, 8, 64, 512, None)  # a row's partners in a block by likelihood: those of each round; None is all the rest
-SMALL = 100_000  # regions up to which their keys are broadcast
+TREES, DEPTH, LEAST = 12, 8, 3  # orders, hashes that an order sorts by, least common prefix of a region
+THIN, NEAR = 32, 2  # most rows of a region that is compared wholly, neighbours compared in any region
+BLOCK = 1024  # rows of a region that one task compares with as many others
+CENTRAL = 32  # central rows of a region that all its rows meet
 HASHES = TREES * DEPTH
 LIKELY = 0.58  # least share of equal hashes; five standard deviations under 0.8
 
@@ -75,8 +82,8 @@ def _signatures(k: int):
         import pyarrow as pa
 
         rng = np.random.default_rng(20)
-        mul = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+        mul = rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+        add = rng.integers(0, 2**32, HASHES, dtype=np.uint32)
         hasher = _Hasher()
         for batch in batches:
             size, key, sig = [], [], []
@@ -88,93 +95,166 @@ def _signatures(k: int):
                     sig.append(None)
                     continue
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+                top = (s >> np.uint64(32)).astype(np.uint32)
+                low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
                 for at in range(0, len(s), 512):
-                    np.minimum(low, (s[at : at + 512, None] * mul + add).min(axis=0), out=low)
-                sig.append((low >> np.uint64(32)).astype(">u4").tobytes())
+                    hashed = mul[:, None] * top[None, at : at + 512]
+                    hashed += add[:, None]
+                    np.minimum(low, hashed.min(axis=1), out=low)
+                sig.append(low.astype(">u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "key", "sig"])
 
     return run
 
 
 def _trees(batches):
+    """A row per order: its hashes, and one byte of every hash of the signature."""
     import pyarrow as pa
 
     for batch in batches:
         ids, ns = batch.column("id").to_numpy(), batch.column("n").to_numpy()
         sigs = batch.column("sig").to_pylist()
         order = [s[t * DEPTH * 4 : (t + 1) * DEPTH * 4] for t in range(TREES) for s in sigs]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(ids))), pa.array(order, pa.binary()), pa.array(np.tile(ids, TREES)), pa.array(np.tile(ns, TREES))], ["tree", "path", "id", "n"])
-
-
-def _neighbours(tree, path, ids, ns, need):
-    """Candidate pairs of rows in one sorted order."""
-    found, m = [], len(ids)
-    if m < 2:
-        return np.empty((0, 2), np.int64)
-    start = np.r_[True, (tree[1:] != tree[:-1]) | (path[1:, :LEAST] != path[:-1, :LEAST]).any(axis=1)]
-    region = np.cumsum(start) - 1
-    thin = np.bincount(region)[region] <= THIN
-    before = None
-    for j in range(1, min(FAR, m - 1) + 1):
-        same = (path[j:] == path[:-j]) & (tree[j:] == tree[:-j])[:, None]
-        common = np.logical_and.accumulate(same, axis=1).sum(axis=1)
-        if j == 1:
-            before = common
-        take = common >= LEAST
-        if j > NEAR:
-            take &= thin[:-j] | ((common == before[: m - j]) & (common >= DEPTH - 1) & (j <= NEAR * 2))
-        small, large = np.minimum(ns[j:], ns[:-j]), np.maximum(ns[j:], ns[:-j])
-        take &= (small * 100 >= large * need) & (ids[j:] != ids[:-j])
-        a, b = ids[:-j][take], ids[j:][take]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-    return np.unique(np.concatenate(found), axis=0)
+        short = [s[3::4] for s in sigs] * TREES
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(ids))), pa.array(order, pa.binary()), pa.array(np.tile(ids, TREES)), pa.array(np.tile(ns, TREES)), pa.array(short, pa.binary())], ["tree", "path", "id", "n", "sig"])
+
+
+class _Order:
+    """Consecutive rows of the sorted orders: tree, path, id, n, sig as columns."""
+
+    def __init__(self, table):
+        self.tree, self.ids, self.ns = (table.column(c).to_numpy() for c in ("tree", "id", "n"))
+        self.raw, self.short = table.column("path").to_pylist(), table.column("sig").to_pylist()
+        m = len(self.ids)
+        self.path = np.frombuffer(b"".join(self.raw), ">u4").reshape(m, DEPTH)
+        self.sig = np.frombuffer(b"".join(self.short), np.uint8).reshape(m, HASHES)
+        same = (self.tree[1:] == self.tree[:-1])[:, None] & (self.path[1:] == self.path[:-1])
+        #: hashes that each row shares with the next
+        self.common = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+        self.run = np.cumsum(np.r_[True, self.common < LEAST]) - 1
+        sizes = []
+        for d in range(LEAST, DEPTH + 1):
+            run = np.cumsum(np.r_[True, self.common < d]) - 1
+            sizes.append(np.bincount(run)[run])
+        self.sizes = np.array(sizes)
+
+    def region(self, i: int) -> int:
+        import xxhash
+
+        return xxhash.xxh64_intdigest(bytes([self.tree[i]]) + self.raw[i][: 4 * LEAST]) >> 1
+
+    def pairs(self, need: int, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates a < b and their share of equal hashes; rows marked in `out` take no part."""
+        found, m, least = [], len(self.ids), self.common
+        for j in range(1, min(THIN, m)):
+            if j > 1:  # the prefix that two rows share is the least between them
+                least = np.minimum(least[:-1], self.common[j - 1 :])
+            take = least >= LEAST
+            if j > NEAR:
+                take &= self.sizes[np.maximum(least - LEAST, 0), np.arange(m - j)] <= THIN
+            if out is not None:
+                take &= ~out[j:] & ~out[:-j]
+            small, large = np.minimum(self.ns[j:], self.ns[:-j]), np.maximum(self.ns[j:], self.ns[:-j])
+            take &= (small * 100 >= large * need) & (self.ids[j:] != self.ids[:-j])
+            i = np.flatnonzero(take)
+            if not len(i) and j > NEAR and not (least >= LEAST).any():
+                break
+            for at in range(0, len(i), 20_000):
+                some = i[at : at + 20_000]
+                share = (self.sig[some] == self.sig[some + j]).mean(axis=1)
+                good = share >= LIKELY
+                found.append((self.ids[some][good], self.ids[some + j][good], share[good]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        a, b, share = map(np.concatenate, zip(*found))
+        return np.minimum(a, b), np.maximum(a, b), share
+
+
+FOUND = "what int, a long, b long, region long, tree int, path binary, id long, n long, sig binary"
+PAIR, MAYBE, DENSE, BORDER, MARK = range(5)  # what a row of FOUND is: likely pairs and others, rows of split regions, rows of regions that end a range, those of split ones
+
+
+def _forest(a, b, order) -> np.ndarray:
+    """Which pairs, taken in order, join what earlier ones left apart."""
+    parent: dict[int, int] = {}
+    first = np.zeros(len(a), bool)
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for i in order.tolist():
+        p, q = find(int(a[i])), find(int(b[i]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            first[i] = True
+    return first
+
+
+def _told(order: _Order, need: int, dense: np.ndarray, border: np.ndarray, marks: list[int]):
+    import pyarrow as pa
+
+    a, b, share = order.pairs(need, border)
+    first = _forest(a, b, np.lexsort((b, a, -share)))
+    heads = {int(r): order.region(int(i)) for i in np.r_[np.flatnonzero(dense), np.flatnonzero(border)] for r in (order.run[i],)} if len(order.ids) else {}
+    d, e = np.flatnonzero(dense), np.flatnonzero(border)
+    regions = [heads[int(order.run[i])] for i in np.r_[d, e]] + marks
+    p, k = len(a), len(regions)
+    rest = k - len(marks)
+    pick = np.r_[d, e]
+    none = lambda n, t: pa.nulls(n, t)
+    keep = lambda values, t: pa.concat_arrays([none(p, t), pa.array(values, t), none(len(marks), t)])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[np.where(first, PAIR, MAYBE), np.full(len(d), DENSE), np.full(len(e), BORDER), np.full(len(marks), MARK)].astype(np.int32)),
+            pa.concat_arrays([pa.array(a), none(k, pa.int64())]),
+            pa.concat_arrays([pa.array(b), none(k, pa.int64())]),
+            pa.concat_arrays([none(p, pa.int64()), pa.array(regions, pa.int64())]),
+            keep(order.tree[pick], pa.int32()),
+            keep([None] * len(d) + [order.raw[i] for i in e], pa.binary()),
+            keep(order.ids[pick], pa.int64()),
+            keep(order.ns[pick], pa.int64()),
+            keep([None] * len(d) + [order.short[i] for i in e], pa.binary()),
+        ],
+        [c.split()[0] for c in FOUND.split(", ")],
+    )
 
 
 def _search(need: int):
-    """Pairs of one range of the orders (a, b), and its first and last rows, which the next pass joins to other ranges."""
+    """What one range of the orders holds; its first and last region may go on in other ranges."""
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        table = pa.Table.from_batches(rows)
-        tree, ids, ns = (table.column(c).to_numpy() for c in ("tree", "id", "n"))
-        raw = table.column("path").to_pylist()
-        path = np.frombuffer(b"".join(raw), ">u4").reshape(len(raw), DEPTH)
-        pairs = _neighbours(tree, path, ids, ns, need)
-        m = len(ids)
-        edge = sorted({*range(min(FAR, m)), *range(max(0, m - FAR), m)})
-        p, e = len(pairs), len(edge)
-        none = lambda k, t: pa.nulls(k, t)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(pairs[:, 0]), none(e, pa.int64())]),
-                pa.concat_arrays([pa.array(pairs[:, 1]), none(e, pa.int64())]),
-                pa.concat_arrays([none(p, pa.int64()), pa.array([TaskContext.get().partitionId() * 2 * FAR + i for i in range(e)], pa.int64())]),
-                pa.concat_arrays([none(p, pa.int32()), pa.array(tree[edge], pa.int32())]),
-                pa.concat_arrays([none(p, pa.binary()), pa.array([raw[i] for i in edge], pa.binary())]),
-                pa.concat_arrays([none(p, pa.int64()), pa.array(ids[edge])]),
-                pa.concat_arrays([none(p, pa.int64()), pa.array(ns[edge])]),
-            ],
-            ["a", "b", "place", "tree", "path", "id", "n"],
-        )
+        order = _Order(pa.Table.from_batches(rows))
+        ends = (order.run == 0) | (order.run == order.run[-1])
+        dense = order.sizes[0] > THIN
+        marks = [order.region(int(i)) for i in {0, len(order.ids) - 1} if dense[i]]
+        yield _told(order, need, dense, ends & ~dense, marks)
 
     return run
 
 
-def _alike(batches):
-    """Keep pairs whose signatures agree often enough to be worth a full comparison."""
-    import pyarrow as pa
+def _border(need: int):
+    """The same for a region that ends a range, of its rows that are not in the midst of it."""
 
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, HASHES) for c in ("sa", "sb"))
-        share = (x == y).mean(axis=1)
-        keep = pa.array(share >= LIKELY)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(share).filter(keep)], ["a", "b", "share"])
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked = pc.any(pc.equal(table.column("what"), MARK)).as_py()
+        rows = table.filter(pc.equal(table.column("what"), BORDER))
+        if rows.num_rows:
+            order = _Order(rows.sort_by([("path", "ascending"), ("id", "ascending")]))
+            dense = np.full(rows.num_rows, marked) | (order.sizes[0] > THIN)
+            return pa.Table.from_batches([_told(order, need, dense, np.zeros(rows.num_rows, bool), [])])
+        return pa.table([pa.nulls(0, f.type) for f in table.schema], table.schema.names)
+
+    return run
 
 
 def _sets(k: int):
@@ -205,46 +285,108 @@ def _confirm(need: int):
     return run
 
 
-def _cell(need: int, lo: int, hi: int | None):
-    """Candidate pairs of one cell, two blocks of a region or one with itself, that lie in different components."""
+def _central(table):
+    """The rows of a block of a region whose signatures are nearest to its most frequent hashes."""
+    import pyarrow as pa
+
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+    usual = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
+    score = (sig == usual).sum(axis=1)
+    top = np.lexsort((table.column("id").to_numpy(), -score))[: CENTRAL // 4]
+    return pa.table([table.column("region").take(top), table.column("id").take(top), table.column("n").take(top), table.column("sig").take(top), pa.array(score[top])], ["region", "id", "n", "sig", "score"])
+
+
+def _meet(need: int):
+    """Each row with the two likeliest of its region's central rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = [], []
+            for i, n, s, centre in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "sig", "centre"))):
+                some = [c for c in centre if c["id"] != i and min(n, c["n"]) * 100 >= max(n, c["n"]) * need]
+                if some:
+                    share = (np.frombuffer(b"".join(c["sig"] for c in some), np.uint8).reshape(-1, HASHES) == np.frombuffer(s, np.uint8)).mean(axis=1)
+                    for at in np.argsort(-share, kind="stable")[:2]:
+                        if share[at] >= LIKELY:
+                            a.append(min(i, some[at]["id"]))
+                            b.append(max(i, some[at]["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets xs with all sets ys, each of distinct values."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    tx, ty = np.concatenate(xs), np.concatenate(ys)
+    rx, ry = np.repeat(np.arange(len(xs)), list(map(len, xs))), np.repeat(np.arange(len(ys)), list(map(len, ys)))
+    known = np.intersect1d(tx, ty)
+    if not len(known):
+        return out
+
+    def placed(t, r):
+        c = np.minimum(np.searchsorted(known, t), len(known) - 1)
+        own = known[c] == t
+        order = np.argsort(c[own], kind="stable")
+        return c[own][order], r[own][order]
+
+    (cx, rx), (cy, ry) = placed(tx, rx), placed(ty, ry)
+    dx, dy = np.bincount(cx, minlength=len(known)), np.bincount(cy, minlength=len(known))
+    rare = dx * dy <= 64
+    # values of few rows: their pairs one by one; others: by products of matrices of zeros and ones
+    own = np.flatnonzero(rare[cx])
+    many = dy[cx[own]]
+    left = np.repeat(rx[own], many)
+    begin = np.r_[0, np.cumsum(dy)[:-1]]
+    step = np.arange(len(left)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]] if len(many) else many, many)
+    right = ry[np.repeat(begin[cx[own]], many) + step]
+    out += np.bincount(left * len(ys) + right, minlength=out.size).reshape(out.shape)
+    often = np.flatnonzero(~rare)
+    place = np.full(len(known), -1)
+    place[often] = np.arange(len(often))
+    px, py = place[cx], place[cy]
+    for at in range(0, len(often), 2048):
+        x, y = np.zeros((len(xs), 2048), np.float32), np.zeros((len(ys), 2048), np.float32)
+        for m, p, r in ((x, px, rx), (y, py, ry)):
+            some = (p >= at) & (p < at + 2048)
+            m[r[some], p[some] - at] = 1
+        out += x @ y.T
+    return out
+
+
+def _cell(need: int):
+    """A spanning forest of the links in one cell: two blocks of a region, or one with itself."""
 
     def run(table):
         import pyarrow as pa
 
-        tree = table.column("tree")[0].as_py()
-        ids, ns, roots, sides = (table.column(c).to_numpy() for c in ("id", "n", "root", "side"))
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u4").reshape(-1, HASHES).astype(np.uint32)
-        heads = sigs.reshape(-1, TREES, DEPTH)[:, :tree, :LEAST].astype(np.uint64)
-        heads = (heads[:, :, 0] << np.uint64(32) | heads[:, :, 1]) * np.uint64(0x9E3779B97F4A7C15) ^ heads[:, :, 2]
+        ids, roots, sides = (table.column(c).to_numpy() for c in ("id", "root", "side"))
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
         x = np.flatnonzero(sides == 0)
         y = np.flatnonzero(sides == 1) if (sides == 1).any() else x
-        agree = np.full((len(x), len(y)), -1, np.int16)
-        for i, r in enumerate(x):
-            # a pair that meets in an earlier order is compared there
-            fit = (np.minimum(ns[r], ns[y]) * 100 >= np.maximum(ns[r], ns[y]) * need) & (ids[y] != ids[r]) & ~(heads[y] == heads[r]).any(axis=1)
-            at = np.flatnonzero(fit)
-            equal = (sigs[y[at]] == sigs[r]).sum(axis=1)
-            agree[i, at] = np.where(equal >= LIKELY * HASHES, equal, -1)
-        take = (agree >= 0) & (roots[x][:, None] != roots[y][None, :])
-        if take.any():
-            last = max(agree.shape) if hi is None else hi
-            rank = lambda m: np.argsort(np.argsort(-m, axis=1, kind="stable"), axis=1, kind="stable")
-            rows, columns = rank(agree), rank(agree.T).T
-            take &= ((rows >= lo) & (rows < last)) | ((columns >= lo) & (columns < last))
-        i, j = np.nonzero(take)
-        a, b = ids[x[i]], ids[y[j]]
+        if not len(x):
+            return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        both = overlaps([sets[i] for i in x], [sets[i] for i in y])
+        size = np.array(list(map(len, sets)), np.float64)
+        linked = (100 * both >= need * (size[x][:, None] + size[y][None, :] - both)) & (roots[x][:, None] != roots[y][None, :])
+        i, j = np.nonzero(linked)
+        first = _forest(roots[x[i]], roots[y[j]], np.arange(len(i)))
+        a, b = ids[x[i[first]]], ids[y[j[first]]]
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """Rows (region, id, root) of regions in several components, once per cell: i, j, side.
-
-    Rows of a region's largest component meet all others, and the others meet each other.
-    """
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Regions (of rows region, id, root) in several components, with their largest one and how many blocks it and the rest make."""
     per = rows.groupBy("region", "root").agg(F.count("*").alias("c")).groupBy("region").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"))
-    several = per.where("k > 1").select("region", F.col("top.root").alias("top"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"))
+    return per.where("k > 1").select("region", F.col("top.root").alias("top"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"))
+
+
+def _cells(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows once per cell: i, j, side. Rows of a region's largest component meet all others, and the others meet each other."""
     placed = rows.join(several.hint("shuffle_merge"), "region").withColumn("main", F.col("root") == F.col("top"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     # blocks of the largest component are numbered after the others
@@ -252,30 +394,42 @@ def _cells(rows: DataFrame) -> DataFrame:
     cells = F.when(F.col("main"), F.expr("transform(sequence(0, others - 1), x -> named_struct('i', x, 'j', others + block, 'side', 1))")).otherwise(
         F.expr(f"concat({mains}, transform(sequence(0, others - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', int(x < block))))")
     )
-    return placed.select("region", "tree", "id", F.explode(cells).alias("cell")).select("region", "tree", "id", "cell.*")
-
-
-def _whole_regions(classes: DataFrame, roots: DataFrame, confirmed, need: int) -> DataFrame:
-    """Components (node, root) when regions of more rows than the neighbour search compares are compared wholly."""
-    key = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'region', xxhash64(t, substring(sig, t * {DEPTH * 4} + 1, {LEAST * 4}))))"))
-    regions = classes.select("id", key.alias("r")).select("id", "r.tree", "r.region")
-    dense = settle(regions.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > FAR + 1).select("region"))
-    rooted = lambda rows: rows.join(roots.select(F.col("node").alias("id"), "root").hint("shuffle_hash"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = regions.join(dense.hint("broadcast" if dense.count() <= SMALL else "shuffle_merge"), "region", "left_semi")
-    cells = settle(_cells(settle(rooted(rows))))
-    wanted = settle(cells.select("id").distinct())
-    if wanted.isEmpty():
+    return placed.select("region", "id", "root", F.explode(cells).alias("cell")).select("region", "id", "root", "cell.*")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select(F.col("node").alias("id"), "root").hint("shuffle_hash"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _rest(dense: DataFrame, classes: DataFrame, roots: DataFrame, set_of, confirm, need: int) -> DataFrame:
+    """Components (node, root) when split regions (dense: region, id) that lie in several components are searched exactly."""
+    rows = settle(_rooted(dense, roots))
+    several = settle(_sizes(rows))
+    if several.isEmpty():
         return roots
-    sure = confirmed(wanted)
-    about = settle(classes.select("id", "n", "sig").join(wanted.hint("shuffle_hash"), "id", "left_semi"))
-    for lo, hi in zip(RANKS, RANKS[1:]):
-        now = rooted(cells)
-        open_ = now.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-        now = now.join(open_.hint("shuffle_merge"), "region", "left_semi").join(about.hint("shuffle_hash"), "id")
-        pairs = settle(now.groupBy("region", "i", "j").applyInArrow(_cell(need, lo, hi), "a long, b long").distinct())
-        links = settle(sure(pairs))
+    open_ = settle(rows.join(several.hint("shuffle_merge"), "region").withColumn("blocks", F.col("others") + F.col("mains")).select("region", "id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("others") + F.col("mains")).cast("int").alias("block")))
+    wanted = open_.select("id").distinct()
+    sets = settle(set_of(wanted))
+    short = classes.select("id", "n", F.expr(f"unhex(array_join(transform(sequence(0, {HASHES - 1}), i -> hex(substring(sig, i * 4 + 4, 1))), ''))").alias("sig")).join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    about = settle(open_.join(short.hint("shuffle_hash"), "id"))
+    central = about.select("region", "block", "id", "n", "sig").groupBy("region", "block").applyInArrow(_central, "region long, id long, n long, sig binary, score long")
+    best = central.withColumn("r", F.row_number().over(W.partitionBy("region").orderBy(F.desc("score"), "id"))).where(F.col("r") <= CENTRAL)
+    centres = best.groupBy("region").agg(F.collect_list(F.struct("id", "n", "sig")).alias("centre")).join(several.select("region", (F.col("others") + F.col("mains")).alias("blocks")).hint("shuffle_merge"), "region")
+    centres = settle(centres.select("region", "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    met = about.join(centres.hint("shuffle_hash"), ["region", "block"]).select("id", "n", "sig", "centre").mapInArrow(_meet(need), "a long, b long").distinct()
+    links = settle(confirm(settle(met), sets))
+    joined = lambda links: settle(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    if not links.isEmpty():
+        roots = joined(links)
+    rows = settle(_rooted(open_.select("region", "id"), roots))
+    cells = settle(_cells(rows, _sizes(rows)))
+    if not cells.isEmpty():
+        found = cells.join(sets.hint("shuffle_hash"), "id").groupBy("region", "i", "j").applyInArrow(_cell(need), "a long, b long")
+        links = settle(found.distinct())
         if not links.isEmpty():
-            roots = settle(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+            roots = joined(links)
+    for x in (several, about, centres, sets, cells):
+        discard(x)
     return roots
 
 
@@ -287,43 +441,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     # classes: equal sets, once; the smallest id stands for them
     first = F.min(F.struct(F.col("doc_id").alias("id"), "n", "sig"))
     classes = settle(signed.where("key is not null and doc_id is not null").groupBy("key").agg(first.alias("f")).select("key", "f.id", "f.n", "f.sig"))
-    orders = classes.select("id", "n", "sig").mapInArrow(_trees, "tree int, path binary, id long, n long")
+    orders = classes.select("id", "n", "sig").mapInArrow(_trees, "tree int, path binary, id long, n long, sig binary")
     at = parts(spark, classes.count() * TREES, 200_000)
     ordered = orders.repartitionByRange(at, "tree", "path", "id").sortWithinPartitions("tree", "path", "id")
-    shape = "a long, b long, place long, tree int, path binary, id long, n long"
-    found = settle(ordered.mapInArrow(_search(similarity), shape))
-    edges = found.where("place is not null").repartition(1).sortWithinPartitions("place").mapInArrow(_search(similarity), shape)
-    pairs = found.where("a is not null").select("a", "b").unionByName(edges.where("a is not null").select("a", "b")).distinct()
-    sigs = classes.select("id", "sig").hint("shuffle_merge")
-    near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("shuffle_merge"), "b")
-    near = settle(near.mapInArrow(_alike, "a long, b long, share double"))
-    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-
-    def comparing(ids: DataFrame):
-        """A function that keeps the pairs (a, b) of ids which are similar enough."""
+    found = settle(ordered.mapInArrow(_search(similarity), FOUND))
+    ends = settle(found.where(F.col("what").isin(BORDER, MARK)).groupBy("region").applyInArrow(_border(similarity), FOUND))
+    found = found.unionByName(ends)
+    pairs = settle(found.where(F.col("what").isin(PAIR, MAYBE)).groupBy("a", "b").agg(F.min("what").alias("what")))
+
+    def set_of(ids: DataFrame) -> DataFrame:
         chosen = texts.withColumnRenamed("doc_id", "id").join(ids.hint("shuffle_hash"), "id").select("id", "text")
-        sets = settle(chosen.mapInArrow(_sets(words), "id long, s binary"))
+        return chosen.mapInArrow(_sets(words), "id long, s binary").dropDuplicates(["id"])
+
+    def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar enough."""
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        made.append(sets)
-        return lambda pairs: pairs.join(x.hint("shuffle_merge"), "a").join(y.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long")
-
-    made = [found]
-    confirmed = comparing(wanted)
-
-    # each id's likeliest partner first; then only pairs whose ends are still apart need their sets compared
-    best = near.groupBy("b").agg(F.max(F.struct("share", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = settle(confirmed(best))
-    joined = components(links)
-    roots = joined.hint("shuffle_merge")
-    apart = near.select("a", "b").join(best.hint("shuffle_merge"), ["a", "b"], "left_anti")
+        return pairs.join(x.hint("shuffle_merge"), "a").join(y.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long")
+
+    # likely pairs that span what they join first; then only pairs whose ends are still apart need their sets compared
+    sets = settle(set_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    links = settle(confirm(pairs.where(F.col("what") == PAIR).select("a", "b"), sets))
+    roots = settle(components(links)).hint("shuffle_merge")
+    apart = pairs.where(F.col("what") == MAYBE).select("a", "b")
     apart = apart.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    more = settle(confirmed(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")))
-    roots = settle(components(links.unionByName(more)))
-    roots = _whole_regions(classes, roots, comparing, similarity)
-    classes = classes.select("key", "id").join(roots.select(F.col("node").alias("id"), "root").hint("shuffle_merge"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
-    out = signed.select("doc_id", "n", "key").join(classes.hint("shuffle_merge"), "key", "left")
+    more = settle(confirm(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), sets))
+    if not more.isEmpty():
+        roots = settle(components(links.unionByName(more)))
+    roots = _rest(found.where(F.col("what") == DENSE).select("region", "id"), classes, roots, set_of, confirm, similarity)
+    keyed = classes.select("key", "id").join(roots.select(F.col("node").alias("id"), "root").hint("shuffle_merge"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))
+    out = signed.select("doc_id", "n", "key").join(keyed.hint("shuffle_merge"), "key", "left")
     component = F.coalesce("root", "doc_id")
-    for x in made:
+    for x in (found, pairs, sets, links, more):
         discard(x)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

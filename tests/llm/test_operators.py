@@ -73,7 +73,9 @@ def test_components(spark):
 def test_near_duplicates_odd_rows(spark, odd, none):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd, 4, 80).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (4, 1, 4, True), (6, 8, 6, True), (5, 1, 5, True)} <= got
-    assert near_dedup.near_duplicates(none).count() == 0
+    assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.keep_first(none).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "q r s t u v w"), (3, "a b c d e f g"), (None, "a b c d e f g"), (None, "z")], DOCS)
+    assert Counter((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(twice).collect()) == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, None)])
     docs = spark.createDataFrame([(i, f"{'one two three four five six seven eight nine ten ' * 3}{i % 2} eleven " + " ".join(f"w{k}" for k in range(60 + i % 2)), "x") for i in range(80)], "doc_id long, text string, n string")
     assert near_dedup.keep_first(docs).columns == docs.columns and near_dedup.keep_first(docs).count() == 1
 
@@ -92,6 +94,49 @@ def test_near_duplicates_link_a_star(spark):
     assert len(got) == 1001 and {r["component_id"] for r in got} == {0}
 
 
+def test_near_duplicates_lose_no_pair_of_dense_families(spark, monkeypatch):
+    # 300 families share most of their text; the two members of each are at 0.81 to 0.83, members of others far below
+    rng = random.Random(1)
+    shared, texts = [f"b{k}" for k in range(210)], []
+    for f in range(300):
+        own = shared + [f"f{f}w{k}" for k in range(90)]
+        copy = list(own)
+        for at in rng.sample(range(300), 30):
+            copy[at] = f"x{f}y{at}"
+        texts += [" ".join(own), " ".join(copy)]
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], DOCS + ", sig string, component_id int").repartition(7)
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    got = near_dedup.near_duplicates(docs, 1, 80).collect()
+    assert sum(r["component_id"] == r["doc_id"] - r["doc_id"] % 2 for r in got) >= 0.99 * 600
+
+
+def test_orders_find_every_pair_of_small_regions():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    m = 300
+    path = rng.integers(0, 3, (m, near_dedup.DEPTH)).astype(">u4")
+    tree = np.sort(rng.integers(0, 2, m)).astype(np.int32)
+    rows = sorted(zip(tree.tolist(), [p.tobytes() for p in path], range(m)))
+    same = b"\1" * near_dedup.HASHES
+    order = near_dedup._Order(pa.table({"tree": pa.array([r[0] for r in rows], pa.int32()), "path": [r[1] for r in rows], "id": [r[2] for r in rows], "n": [10] * m, "sig": [same] * m}))
+    a, b, _ = order.pairs(80)
+    want = set()
+    for d in range(near_dedup.LEAST, near_dedup.DEPTH + 1):
+        parts = {}
+        for t, p, i in rows:
+            parts.setdefault((t, p[: 4 * d]), []).append(i)
+        want |= {(min(i, j), max(i, j)) for x in parts.values() if len(x) <= near_dedup.THIN for i in x for j in x if i != j}
+    assert want <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_overlaps_equal_intersections():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 400, n)).astype(np.uint64) for n in rng.integers(1, 300, 60)] + [np.arange(900, 905, dtype=np.uint64)]
+    got = near_dedup.overlaps(sets[:25], sets[20:])
+    assert (got == [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:25]]).all()
+
+
 def test_bpe_equals_the_library(spark, odd, none):
     import tiktoken
 
