@@ -1,16 +1,19 @@
 """Main-text extraction from HTML by a maximum-scoring subsequence.
 
-A page becomes a sequence of tags and words. Tags cost, words earn what the containers around them have been
-worth on labelled pages: a sign of a container (its tag name, or a word of its class, id or role) has the log odds of
-its words being content. The nearest container with a clear sign decides; names of plain and inline tags are no
-signs, and a header or footer inside an article is told from the page's. Words that are all links, in no container
-with a clear sign, are held for a menu. One linear scan finds the contiguous run with the greatest sum; of that run, blocks whose
-own containers speak against them (adverts, forms, comments inside the article) are left out.
+A page becomes a sequence of tags and words. Tags cost; a word earns the log odds of its block being content, as
+counted on labelled pages (LABELLED, and pages made by rule without class names). Two things speak for or
+against a block: the signs of the containers around it (tag names; whole class, id and role words; parts of compound
+ones, which are signs of their own), where the nearest container whose signs sum to a clear answer decides, and the
+block itself (its tag, its number of words, how many are links, whether it ends like a sentence). One linear scan finds
+the contiguous run with the greatest sum. Of that run, blocks whose own containers speak against them (adverts, forms,
+comments inside the article) are left out. Where class words leave nothing of a page that has words, the scan is
+repeated without them, and then with nothing but links to tell words apart, so no class word empties a page.
 
 Defined results: a null, empty or wordless page gives the empty string; script, style, template and similar raw
 elements and HTML comments are never text; of equally good runs the first counts, and the longer if both begin
-alike. White space inside a block becomes one space, blocks join by one newline. Repeated rows give repeated
-results; other columns are ignored; an empty table gives no rows.
+alike. White space inside a block becomes one space, blocks join by one newline. Very long pages take time that grows
+with their length; rows that repeat or share a page_id each have their result; other columns, whatever their names,
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,21 +60,23 @@ def _signs(name: str, attributes: str, outer: list) -> tuple[str, ...]:
         return ()
     words: list[str] = []
     for _, value in _ATTRIBUTE.findall(attributes):
-        words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value.strip("\"'")).lower())
-    inside = any(n in _ARTICLE for n, _ in outer) or not _ENTRY.isdisjoint(words)
+        for word in re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower().split():
+            parts = re.findall(r"[a-z]+", word)
+            words += [f".{p}" for p in parts] if len(parts) == 1 else [f"-{p}" for p in parts]
+    inside = any(n in _ARTICLE for n, _ in outer) or any(w[1:] in _ENTRY for w in words)
     signs = [] if name in _PLAIN else [name]
-    signs += [f".{w}" for w in words]
-    return tuple(f"{s} in article" if inside and s.lstrip(".") in ("header", "footer") else s for s in signs)
+    signs += words
+    return tuple(f"{s} in article" if inside and s.lstrip(".-") in ("header", "footer") else s for s in signs)
 
 
 def sequence(page: str) -> list[tuple]:
-    """Tags and text blocks in page order: ("tag",) or ("text", block, text, signs by container, whether linked)."""
+    """Tags and text in page order: ("tag", inline) or ("text", block, text, signs by container, whether linked, tag of the block)."""
     out, stack, block, at = [], [], 0, 0
     raw_until = None
 
     def put(text):
         if text:
-            out.append(("text", block, text, tuple(own for _, own in stack if own), any(n == "a" for n, _ in stack)))
+            out.append(("text", block, text, tuple(own for _, own in stack if own), any(n == "a" for n, _ in stack), next((n for n, _ in reversed(stack) if n not in _INLINE), "")))
 
     for m in _TAG.finditer(page):
         if m.start() < at:
@@ -115,62 +120,130 @@ def _clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def fit(pages=LABELLED) -> dict[str, float]:
-    """Log odds of content for each sign, from pages with known content."""
-    good: dict[str, int] = {}
-    bad: dict[str, int] = {}
+def _kinds(blocks: dict[int, list]) -> dict[int, tuple[str, ...]]:
+    """What each block (its pieces of text, as in sequence) is like, as signs."""
+    out = {}
+    for block, pieces in blocks.items():
+        words = sum(len(x[2].split()) for x in pieces)
+        linked = sum(len(x[2].split()) for x in pieces if x[4])
+        text = "".join(x[2] for x in pieces).rstrip()
+        tag = pieces[0][5] if pieces[0][5] in _TEXT_TAGS else "other"
+        size = "1" if words < 2 else "2-4" if words < 5 else "5-11" if words < 12 else "12-29" if words < 30 else "30+"
+        out[block] = (f"tag {tag}", f"words {size}", "linked" if linked * 2 > words else "some links" if linked else "no links", "sentence" if text.endswith((".", "!", "?", ":", "\"", ";")) else "no sentence")
+    return out
+
+
+def _blocks(items: list[tuple]) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for x in items:
+        if x[0] == "text" and x[2].strip():
+            out.setdefault(x[1], []).append(x)
+    return out
+
+
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote figcaption".split())
+
+
+def made_pages(n: int = 60, start: int = 5, named: bool = False) -> list[tuple[str, str]]:
+    """Labelled pages made by rule, without class names or (named) with ones that mean nothing; another start makes others."""
+    import random
+
+    rng = random.Random(start)
+    word = lambda: "".join(rng.choice("abdegiklmnoprstuv") for _ in range(rng.randint(2, 9)))
+    some = lambda lo, hi: " ".join(word() for _ in range(rng.randint(lo, hi)))
+    sentence = lambda lo, hi: some(lo, hi).capitalize() + rng.choice("...!?")
+    box = lambda inner: f"<div class={word()}>{inner}</div>" if named else f"<div>{inner}</div>"
+    link = lambda lo, hi: f"<a href=/{word()}>{some(lo, hi)}</a>"
+
+    def around():
+        return rng.choice(
+            [
+                lambda: box("<ul>" + "".join(f"<li>{link(1, 3)}</li>" for _ in range(rng.randint(3, 9))) + "</ul>"),
+                lambda: box(" ".join(link(1, 2) for _ in range(rng.randint(3, 7)))),
+                lambda: box(f"<h3>{some(1, 3)}</h3>" + "".join(f"<p>{link(3, 9)}</p>" for _ in range(rng.randint(2, 5)))),
+                lambda: box(f"<span>{some(1, 3)}</span> <span>{some(1, 4)}</span>"),
+                lambda: box(some(3, 9)),
+                lambda: box("".join(f"<div>{some(1, 4)}</div>" for _ in range(rng.randint(2, 4)))),
+            ]
+        )()
+
+    pages = []
+    for _ in range(n):
+        text, body = [], []
+        title = some(3, 10)
+        parts = [("h1", title)]
+        for _ in range(rng.randint(2, 7)):
+            parts.append(rng.choice([("p", " ".join(sentence(4, 18) for _ in range(rng.randint(1, 6)))), ("p", sentence(8, 30)), ("p", sentence(1, 6)), ("div", sentence(8, 30)), ("h2", some(1, 5)), ("li", some(2, 9)), ("li", sentence(2, 9))]))
+        parts.append(("p", sentence(6, 20)))
+        for tag, said in parts:
+            text.append(said)
+            first, _, rest = said.partition(" ")
+            inner = f"<a href=/{word()}>{first}</a> {rest}" if rest and rng.random() < 0.15 else said
+            body.append(f"<{tag}>{inner}</{tag}>" if tag != "li" else f"<ul><li>{inner}</li></ul>")
+        before, after = ("".join(around() for _ in range(rng.randint(1, 3))) for _ in range(2))
+        pages.append((f"<body>{before}{box(''.join(body))}{after}</body>", "\n".join(text)))
+    return pages
+
+
+def fit(pages=None) -> dict[str, float]:
+    """Log odds of content for each sign, per word, from pages with known content."""
+    good: dict[str, float] = {}
+    bad: dict[str, float] = {}
     total = [0, 0]
-    for page, text in pages:
+    for page, text in [*LABELLED, *made_pages()] if pages is None else pages:
         content = set(text.split("\n"))
-        blocks: dict[int, tuple[str, set]] = {}
-        for x in sequence(page):
-            if x[0] == "text":
-                t, s = blocks.get(x[1], ("", set()))
-                blocks[x[1]] = (t + x[2], s.union(*x[3]))
-        for t, signs in blocks.values():
-            if t := _clean(t):
-                counts = good if t in content else bad
-                total[t not in content] += len(t.split())
-                for s in signs:
-                    counts[s] = counts.get(s, 0) + len(t.split())
+        blocks = _blocks(sequence(page))
+        kinds = _kinds(blocks)
+        for block, pieces in blocks.items():
+            said = _clean("".join(x[2] for x in pieces))
+            words = min(len(said.split()), 12)  # so that long blocks do not speak alone
+            counts = good if said in content else bad
+            total[said not in content] += words
+            for s in {*kinds[block], *(s for x in pieces for own in x[3] for s in own)}:
+                counts[s] = counts.get(s, 0) + words
     base = math.log(total[0] / total[1])
-    return {s: math.log((good.get(s, 0) + 0.5) / (bad.get(s, 0) + 0.5)) - base for s in good | bad}
+    return {s: math.log((good.get(s, 0) + 1) / (bad.get(s, 0) + 1)) - base for s in good | bad}
 
 
 TAG_COST, INLINE_COST, WORD = 0.6, 0.1, 0.5
-CLEAR = 1.0  # log odds from which a sign decides
+CLEAR = 1.0  # sum of log odds from which a container decides
 AGAINST = -0.2  # a word that its containers speak against costs this at most: such blocks are left out of the run anyway
+MOST, LOSS = 1.5, 0.3  # a word earns or loses this at most by its block alone: a short line inside an article cuts nothing off
 
 
 def _worth(containers: tuple, weights: dict[str, float]) -> float | None:
-    """What a word earns by the nearest container with a clear sign; within one the least sign counts if it is clear. None without any."""
+    """What the nearest container says whose signs sum to a clear answer; None if there is none."""
     for own in reversed(containers):
-        known = [weights.get(s, 0.0) for s in own]
-        if min(known) <= -CLEAR:
-            return min(known)
-        if max(known) >= CLEAR:
-            return WORD + max(known)
+        told = sum(weights.get(s, 0.0) for s in own)
+        if abs(told) >= CLEAR:
+            return told
     return None
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    if not page:
-        return ""
-    score, items = [], sequence(page)
-    plain = {x[1] for x in items if x[0] == "text" and not x[4] and _clean(x[2])}  # blocks with words that are no links
+def scored(items: list[tuple], weights: dict[str, float], signs: str = "all") -> tuple[list[float], dict]:
+    """What each item earns, and what its containers say: all of their signs, only their tags, or (links) only whether words are links."""
+    kinds = _kinds(_blocks(items))
+    if signs == "links":
+        alone = {b: -CLEAR if "linked" in k else WORD for b, k in kinds.items()}
+    else:
+        alone = {b: max(-LOSS, min(MOST, sum(weights.get(s, 0.0) for s in k))) for b, k in kinds.items()}
     known: dict[tuple, float | None] = {}
-    worth: dict[tuple, float] = {}
+    score = []
     for x in items:
         if x[0] == "tag":
             score.append(-INLINE_COST if x[1] else -TAG_COST)
             continue
         if x[3] not in known:
-            known[x[3]] = _worth(x[3], weights)
+            own = x[3] if signs == "all" else tuple(tuple(s for s in c if s[0] not in ".-") for c in x[3]) if signs == "tags" else ()
+            known[x[3]] = _worth(own, weights)
         w = known[x[3]]
-        if w is None:
-            w = WORD if x[1] in plain else -CLEAR
-        worth[x[1], x[3]] = w
-        score.append(max(w, AGAINST) * len(x[2].split()))
+        w = alone.get(x[1], 0.0) if w is None else WORD + w if w > 0 else max(w, AGAINST)
+        score.append(w * len(x[2].split()))
+    return score, known
+
+
+def best_run(score: list[float]) -> tuple[int, int]:
+    """The contiguous run of the greatest sum, as (start, end); (0, 0) if no sum is over 0."""
     best, lo, hi, start, run = 0.0, 0, 0, 0, 0.0
     for i, s in enumerate(score):
         if run <= 0:
@@ -178,11 +251,25 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         run += s
         if run > best or run == best and start == lo and best:
             best, lo, hi = run, start, i + 1
-    blocks: dict[int, list[str]] = {}
-    for x in items[lo:hi]:
-        if x[0] == "text" and worth[x[1], x[3]] > 0:
-            blocks.setdefault(x[1], []).append(x[2])
-    return "\n".join(t for parts in blocks.values() if (t := _clean("".join(parts))))
+    return lo, hi
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The main text of one page, block by block."""
+    items = sequence(page) if page else []
+    if not any(x[0] == "text" and _clean(x[2]) for x in items):
+        return ""
+    for signs in ("all", "tags", "links"):
+        score, known = scored(items, weights, signs)
+        lo, hi = best_run(score)
+        blocks: dict[int, list[str]] = {}
+        for x in items[lo:hi]:
+            if x[0] == "text" and not (known[x[3]] or 0.0) < 0:
+                blocks.setdefault(x[1], []).append(x[2])
+        text = "\n".join(t for parts in blocks.values() if (t := _clean("".join(parts))))
+        if text:
+            return text
+    return ""
 
 
 def _run(weights):

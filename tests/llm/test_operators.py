@@ -155,30 +155,6 @@ def test_bpe_equals_the_library(spark, odd, none):
     assert bpe.encode(none, path, pattern).count() == 0
 
 
-def test_html_on_labelled_and_given_pages(spark):
-    weights = html_text.fit()
-    for page, text in html_text.LABELLED:
-        assert html_text.main_text(page, weights) == text
-    held = "<html><body><nav><a href=/>Home</a> <a href=/x>News</a></nav><div class=sidebar><p>Popular now: ten things to see</p></div><article><h1>Tides</h1><p>The moon pulls  the\nsea &amp; the &lt;shore&gt;.</p><script>var x='<p>no</p>'</script><div class='ad'>Buy boats</div><p>Twice a day.</p></article><section class=comments><p>Nice words, I liked them a lot</p></section><form><label>Name</label></form><footer>&copy; all rights</footer></body></html>"
-    assert html_text.main_text(held, weights) == "Tides\nThe moon pulls the sea & the <shore>.\nTwice a day."
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    for r, g in zip(pages.orderBy("page_id").collect(), html_text.extract(pages).orderBy("page_id").collect()):
-        inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br|article)\b[^>]*>", inner)]
-        assert g["text"] == "\n".join(b for b in blocks if b) and g["n_chars"] == len(g["text"])
-    odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", "just words & more"), (5, "u", "<p " * 2000), (6, "u", "<" * 3000)], "page_id long, url string, html string")
-    assert [r["text"] for r in html_text.extract(odd).orderBy("page_id").collect()][:4] == ["", "", "", "just words & more"]
-
-
-def test_html_keeps_links_headers_and_wrapped_articles():
-    weights = html_text.fit()
-    told = "<article><header><h1>On dams</h1></header><p>See <a href=/r>the report</a> of <small>last</small> year.</p><div class=ad>Buy dams now</div></article>"
-    want = "On dams\nSee the report of last year."
-    for around in ("%s", "<div id=page class=site>%s</div>", "<div class=site-content>%s</div>", "<body class='page site'><header><p>The dam daily</p></header><nav><a href=/>Home page</a></nav>%s<footer>All rights reserved</footer></body>"):
-        assert html_text.main_text(around % told, weights) == want
-    assert html_text.main_text("<div><a href=/>Home</a> <a href=/n>News of today</a></div><p>Plain words with <a href=/x>a link</a> in them.</p>", weights) == "Plain words with a link in them."
-
-
 def test_fingerprints_against_plain_windows(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
