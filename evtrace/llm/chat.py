@@ -9,11 +9,11 @@ Control strings inside a text are escaped reversibly: behind the first character
 backslashes that already stand there, one backslash is put; reading back takes one away. Roles hold the same
 escapes and theirs for newlines. The loss mask covers the assistant's texts.
 
-Defined results: null texts and roles are empty; a null operation is `message`; a null message id stands for
-its sequence number; a delta, edit or regeneration of an unknown message starts it; an event with a null
+Defined results: null texts and roles are empty; a null operation is `message`; an event with a null message id
+is a message of its own; a delta, edit or regeneration of an unknown message starts it; an event with a null
 sequence comes first; events with equal sequence and message are ordered by operation, role and text; rows that
 repeat wholly are events each. A conversation with no message left has no row. Rows with a null conversation
-are one conversation. Other columns are ignored; an empty table gives no rows. A conversation is one row of
+are one conversation. Other columns, whatever their names, are ignored; an empty table gives no rows. A conversation is one row of
 output, so one task holds its text; its folding happens before, message by message.
 """
 
@@ -41,20 +41,19 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # \\ and \n are one character each; U+0000 stands for the former meanwhile
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\0"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
+    # from left to right: a backslash and what follows it are one character
+    parts = F.regexp_extract_all(unescape(role), F.lit(r"(?s)(\\[\\n]|[^\\]+|\\)"), 1)
+    return F.array_join(F.transform(parts, lambda x: F.when(x == "\\\\", "\\").when(x == "\\n", "\n").otherwise(x)), "")
 
 
 def messages(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, place, role, text) of events (conv_id, sequence, message_id, op, role, text)."""
     op = F.lower(F.coalesce(F.col("op"), F.lit("message")))
-    rows = events.select(
-        "conv_id",
-        F.coalesce(F.col("message_id").cast("string"), F.concat(F.lit("#"), F.coalesce(F.col("sequence").cast("string"), F.lit("")), F.lit("#"), F.when(F.col("message_id").isNull(), F.monotonically_increasing_id()).cast("string"))).alias("message_id"),
-        F.struct(F.col("sequence").cast("long").alias("sequence"), op.alias("op"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"),
-    )
-    logs = rows.groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list("e")).alias("log"))
+    event = F.struct(F.col("sequence").cast("long").alias("sequence"), op.alias("op"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = events.select("conv_id", F.col("message_id").cast("string").alias("message_id"), event.alias("e"))
+    # events without an id are messages of their own: those that are equal wholly meet in one log, and each stays one
+    rows = rows.withColumn("lone", F.when(F.col("message_id").isNull(), F.xxhash64("e")))
+    logs = rows.groupBy("conv_id", "message_id", "lone").agg(F.array_sort(F.collect_list("e")).alias("log"))
     start = F.struct(F.lit("").alias("role"), F.lit("").alias("text"), F.lit(True).alias("there"))
 
     def step(m, e):
@@ -62,8 +61,10 @@ def messages(events: DataFrame) -> DataFrame:
         text = F.when(e["op"] == "delta", F.concat(m["text"], e["text"])).when(e["op"] == "delete", F.lit("")).otherwise(e["text"])
         return F.struct(role.alias("role"), text.alias("text"), (e["op"] != "delete").alias("there"))
 
-    folded = logs.select("conv_id", F.col("log")[0].alias("first"), F.aggregate("log", start, step).alias("m")).where("m.there")
-    return folded.select("conv_id", F.struct("first.sequence", "first.op", "first.role", "first.text").alias("place"), "m.role", "m.text")
+    whole = F.array(F.struct(F.col("log")[0].alias("first"), F.aggregate("log", start, step).alias("m")))
+    alone = F.transform("log", lambda e: F.struct(e.alias("first"), step(start, e).alias("m")))
+    folded = logs.select("conv_id", F.explode(F.when(F.col("message_id").isNull(), alone).otherwise(whole)).alias("x")).where("x.m.there")
+    return folded.select("conv_id", F.struct("x.first.sequence", "x.first.op", "x.first.role", "x.first.text").alias("place"), "x.m.role", "x.m.text")
 
 
 def render(final: DataFrame) -> DataFrame:

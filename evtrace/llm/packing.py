@@ -23,11 +23,13 @@ SLOT = "length long, lo long, hi long, sequence long, per long, used long"
 
 
 def _encoder(ranks_path: str, tokenizer_path: str, pattern: str):
-    """text -> token ids as the tokenizers library gives them.
+    """text -> token ids as the tokenizers library gives them for the tokenizers file.
 
-    The rank file holds the same vocabulary, and its library is several times as fast; only texts with a run
-    of white space so long that its pattern engine gives up go to the slower one.
+    The rank file holds the same vocabulary, and its library is several times as fast; texts that hold the string
+    of an added token, which becomes that token's id, or a run of white space so long that the pattern engine
+    gives up go to the library itself.
     """
+    import json
     import re
 
     import tiktoken
@@ -37,9 +39,10 @@ def _encoder(ranks_path: str, tokenizer_path: str, pattern: str):
 
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
     slow = Tokenizer.from_file(tokenizer_path)
-    slow.encode_special_tokens = True  # their strings in a text are ordinary text
-    blank = re.compile(r"\s{5000}")
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if blank.search(text) else fast.encode_ordinary(text)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    apart = re.compile("|".join([r"\s{5000}", *map(re.escape, added)]))
+    return lambda text: slow.encode(text, add_special_tokens=False).ids if apart.search(text) else fast.encode_ordinary(text)
 
 
 def _pieces(tokenizer: tuple[str, str, str], capacity: int, end_id: int):

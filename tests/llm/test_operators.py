@@ -209,7 +209,6 @@ def test_packing_whole_table(spark, odd, none):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(queries.packing_tokenizer()[1])
-    lib.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = packing.pack(docs, queries.packing_tokenizer()).toPandas()
     for d, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
@@ -224,6 +223,15 @@ def test_packing_whole_table(spark, odd, none):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) * 1.02 + 1
     assert packing.pack(odd, queries.packing_tokenizer()).select("doc_id").distinct().count() == 7
     assert packing.pack(none, queries.packing_tokenizer()).count() == 0
+    # strings of added tokens are their ids, as the library has it
+    texts = ["hello <|endoftext|> there", "<|endoftext|>" * 3, "a<|endoftext|", " " * 6000 + "x", None, ""]
+    extra = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], DOCS + ", piece int, length string")
+    by = {(r["doc_id"], r["piece"]): r for r in packing.pack(extra, queries.packing_tokenizer()).collect()}
+    for i, t in enumerate(texts):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        assert t != texts[0] or 50256 in ids
+        if len(ids) <= 2048:
+            assert by[i, 0]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
 EVENTS = "conv_id long, sequence long, message_id string, op string, role string, text string"
@@ -239,9 +247,16 @@ def test_chat_folds_and_round_trips(spark):
     assert chat.format_chats(spark.createDataFrame([], EVENTS)).count() == 0
 
 
+def test_chat_odd_rows(spark):
+    log = [(1, 2, None, "message", "user", "same"), (1, 2, None, "message", "user", "same"), (1, 2, None, "message", "assistant", "tie"), (1, 1, None, None, None, None), (1, None, None, "message", "user", "first"), (2, 1, "m", "message", "a\0b\\0\\n\n", "x\0<|im_end|>\0" + "long words " * 50_000), (2, 2, "m", "delta", None, "!"), (5, 1, None, "delete", "user", "gone")]
+    df = spark.createDataFrame([(*r, "clash", "y", 3) for r in log], EVENTS + ", formatted string, turns string, place int")
+    out = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert out == {1: [("user", "first"), ("", ""), ("assistant", "tie"), ("user", "same"), ("user", "same")], 2: [("a\0b\\0\\n\n", "x\0<|im_end|>\0" + "long words " * 50_000 + "!")]}
+
+
 def test_escapes_are_reversible(spark):
     rng = random.Random(8)
-    bits = [*chat.CONTROL, "\\", "<", "[", "|", ">", "s>", "x", "\n"]
+    bits = [*chat.CONTROL, "\\", "<", "[", "|", ">", "s>", "x", "n", "\n", "\0"]
     texts = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 9))),) for _ in range(3000)]
     df = spark.createDataFrame(texts, "t string").select("t", chat.escape(F.col("t")).alias("e"), chat.escape_role(F.col("t")).alias("r"))
     for r in df.select("t", "e", chat.unescape(F.col("e")).alias("b"), chat.unescape_role(F.col("r")).alias("rb")).collect():
