@@ -1,28 +1,30 @@
 """Language identification by Bayesian fusion of evidence.
 
-Four sources speak about a document's language: its text (naive Bayes over hashed byte trigrams, fitted on a
-bounded, documented sample of labelled rows), the language its markup declares, the suffix of its address
-(com, fr, de ...), and its host. What a declaration or suffix is worth is measured on all rows: a grouped
-aggregation counts how often each goes with each language the text alone points to. The host's prior is
-smoothed hierarchically: host counts over suffix counts over global
-counts. The log posterior is the sum; a
-document is rejected where its text has no letters or no language reaches `least`.
-
-Defined results: a null or letterless text is rejected, with the language null and posterior 0; a null or
-unknown declaration or address adds nothing; ties go to the alphabetically first language; repeated rows count
-each; with no labelled rows every document is rejected; an empty table gives no rows. All columns of the input
-stay; the added ones are named here and take the place of columns of the same name.
+Four sources speak about a document's language: its text (naive Bayes over hashed byte trigrams, fitted on labelled
+rows, of each language at most SAMPLE, the least by hash), the language its markup declares, the suffix of its
+address (com, fr, de ...), and its host. What a declaration or suffix is worth is measured on all rows: a grouped
+aggregation counts how often each goes with each language the text alone points to. The host's prior is smoothed
+hierarchically: host counts over suffix counts over global counts. The log posterior is the sum; a document is
+rejected where its text has no letters or no language reaches `least`.
+
+Whole texts are read, in fitting too; a text is scored once, and the scored table is written out before its groups
+are counted. Only counts pass through the driver: trigrams by language, and a row per language.
+
+Defined results: a null or letterless text is rejected, with the language null and posterior 0; a null or unknown
+declaration or address adds nothing; ties go to the alphabetically first language; repeated rows and rows that share
+an id count each; very long texts are scored piece by piece; with no labelled rows every document is rejected; an
+empty table gives no rows. All columns of the input stay, whatever their names; the added ones are those in ADDED
+and take the place of columns of the same name.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import bounded_sample, settle
+from .common import settle
 
-SAMPLE = 4000  # labelled rows that the text model is fitted on
-CHARS = 2000  # characters of each sampled row that fitting reads; scoring reads whole texts
+SAMPLE = 1000  # labelled rows of each language that the text model is fitted on
 BITS = 15
 TRUST = 0.25  # each byte trigram counts for so much: neighbours overlap
 SMOOTH = 20.0  # rows that a prior counts as
@@ -39,20 +41,51 @@ def _bytes(text: str | None) -> bytes:
     return f" {(text or '').lower()} ".encode()
 
 
-def fit(docs: DataFrame, label: str) -> tuple[list[str], np.ndarray]:
-    """Languages, and log likelihoods of trigrams (a row per language), from at most SAMPLE rows, the least by hash."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.substring("text", 1, CHARS).alias("t"), F.lower(label).alias("l"))
-    rows = bounded_sample(labelled, SAMPLE).toPandas()
+def _trigrams(batches):
+    """How often each hashed trigram stands in the texts of each label, batch by batch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        counts: dict[str, np.ndarray] = {}
+        for text, label in zip(batch.column("t").to_pylist(), batch.column("l").to_pylist()):
+            c = counts.setdefault(label, np.zeros(1 << BITS, np.int64))
+            c += np.bincount(_codes(_bytes(text)), minlength=1 << BITS)
+        labels, codes, n = [], [], []
+        for label, c in counts.items():
+            own = np.flatnonzero(c)
+            labels += [label] * len(own)
+            codes.append(own)
+            n.append(c[own])
+        whole = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), whole(codes), whole(n)], ["l", "code", "n"])
+
+
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages, and log likelihoods of trigrams (a row per language), from labelled rows (text, label): of each label at most SAMPLE distinct ones."""
+    labelled = docs.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("text").alias("t"), F.lower("label").alias("l"))
+    hashed = labelled.withColumn("h", F.xxhash64("t", "l"))
+    ranked = hashed.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= SAMPLE)
+    last = settle(ranked.groupBy("l").agg(F.max("h").alias("last")))  # a row per language
+    chosen = hashed.join(F.broadcast(last), "l").where(F.col("h") <= F.col("last")).dropDuplicates(["l", "h"]).select("t", "l")
+    rows = chosen.mapInArrow(_trigrams, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(rows["l"].unique()) if len(rows) else []
     counts = np.zeros((len(names), 1 << BITS))
     for i, name in enumerate(names):
-        for t in rows["t"][rows["l"] == name]:
-            counts[i] += np.bincount(_codes(_bytes(t)), minlength=1 << BITS)
+        own = rows[rows["l"] == name]
+        counts[i, own["code"].to_numpy()] = own["n"].to_numpy()
     return names, np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * (1 << BITS))).astype(np.float32)
 
 
-def _score(table: np.ndarray):
-    """Adds `_told`, the log likelihood of each row's whole text under each language; null for a text without letters."""
+def log_likelihoods(table: np.ndarray, text: str) -> np.ndarray:
+    """Of a whole text under each language."""
+    raw, total = _bytes(text), np.zeros(len(table))
+    for at in range(0, len(raw) - 2, 1 << 16):
+        total += table[:, _codes(raw[at : at + (1 << 16) + 2])].sum(axis=1, dtype=np.float64)
+    return total * TRUST
+
+
+def _score(table: np.ndarray, text: str, told: str):
+    """Puts the log likelihoods of column text into column told; null for a text without letters."""
 
     def run(batches):
         import re
@@ -61,17 +94,9 @@ def _score(table: np.ndarray):
 
         letter = re.compile(r"[^\W\d_]")
         for batch in batches:
-            out = []
-            for text in batch.column("_text").to_pylist():
-                if not text or not letter.search(text):
-                    out.append(None)
-                    continue
-                raw, total = _bytes(text), np.zeros(len(table))
-                for at in range(0, len(raw) - 2, 1 << 16):
-                    total += table[:, _codes(raw[at : at + (1 << 16) + 2])].sum(axis=1, dtype=np.float64)
-                out.append((total * TRUST).tolist())
-            kept = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(out, pa.list_(pa.float64()))], [*kept, "_told"])
+            out = [log_likelihoods(table, t).tolist() if t and letter.search(t) else None for t in batch.column(text).to_pylist()]
+            kept = [c for c in batch.schema.names if c != text]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(out, pa.list_(pa.float64()))], [*kept, told])
 
     return run
 
@@ -95,7 +120,7 @@ def declared_in(html):
 
 
 def _evidence(counted: DataFrame, names: list[str]) -> DataFrame:
-    """_said, _host and `_known`: for each language the log of its prior at the host times what the declaration is worth."""
+    """said, host and known, from counts (said, host, suffix, l, n): for each language the log of its prior at the host times what the declaration is worth."""
     n = len(names)
     sums = [F.sum(F.when(F.col("l") == l, F.col("n")).otherwise(0)).alias(f"n{i}") for i, l in enumerate(names)]
     overall = {r["l"]: r["n"] for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}  # a row per language
@@ -103,52 +128,60 @@ def _evidence(counted: DataFrame, names: list[str]) -> DataFrame:
     base = F.array(*[F.lit((overall.get(l, 0) + 1) / (total + n)) for l in names])
     every = sum((F.col(f"n{i}") for i in range(n)), F.lit(0))
     share = lambda prior: F.array(*[(F.col(f"n{i}") + SMOOTH * prior[i]) / (every + SMOOTH) for i in range(n)])
-    suffixes = counted.groupBy("_suffix").agg(*sums).select("_suffix", share(base).alias("by_suffix"))
-    hosts = counted.groupBy("_host", "_suffix").agg(*sums).join(suffixes.hint("shuffle_merge"), "_suffix").select("_host", share(F.col("by_suffix")).alias("by_host"))
+    suffixes = counted.groupBy("suffix").agg(*sums).select("suffix", share(base).alias("by_suffix"))
+    hosts = counted.groupBy("host", "suffix").agg(*sums).join(suffixes.hint("shuffle_merge"), "suffix").select("host", share(F.col("by_suffix")).alias("by_host"))
     # P(said | language); saying nothing is no evidence
-    said = counted.groupBy("_said").agg(*sums).select("_said", F.array(*[F.when(F.col("_said") == "", 0.0).otherwise(F.log((F.col(f"n{i}") + 0.5) / (overall.get(l, 0) + 0.5 * (n + 1)))) for i, l in enumerate(names)]).alias("by_said"))
-    pairs = counted.select("_said", "_host").distinct()
-    joined = pairs.join(said.hint("shuffle_merge"), "_said").join(hosts.hint("shuffle_merge"), "_host")
-    return joined.select("_said", "_host", F.zip_with("by_host", "by_said", lambda p, w: F.log(p) + w).alias("_known"))
+    said = counted.groupBy("said").agg(*sums).select("said", F.array(*[F.when(F.col("said") == "", 0.0).otherwise(F.log((F.col(f"n{i}") + 0.5) / (overall.get(l, 0) + 0.5 * (n + 1)))) for i, l in enumerate(names)]).alias("by_said"))
+    pairs = counted.select("said", "host").distinct()
+    joined = pairs.join(said.hint("shuffle_merge"), "said").join(hosts.hint("shuffle_merge"), "host")
+    return joined.select("said", "host", F.zip_with("by_host", "by_said", lambda p, w: F.log(p) + w).alias("known"))
 
 
-def identify(docs: DataFrame, declared=None, address=None, label=None, text=None, least: float = LEAST) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, declared=None, address=None, text=None, least: float = LEAST, drop: str | None = None) -> DataFrame:
     """docs with language, posterior and rejected.
 
-    declared, address and label are columns (or None): the declared language, the address or host, and the
-    language of rows that the text model may be fitted on; text is the text's column.
+    labelled (text, label) has the rows that the text model may be fitted on; declared and address are columns of
+    docs (or None), the declared language and the address or host; text is the text's column; drop is a column
+    that may serve as evidence and is not returned.
     """
     docs = docs.drop(*ADDED)
-    own = docs.columns
+    own = [c for c in docs.columns if c != drop]
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in own):  # names of ours that no column has
+        mark += "_"
+    said, host, suffix, told, known, joint, read = (mark + x for x in ("said", "host", "suffix", "told", "known", "joint", "read"))
     string = lambda c: (F.lit(None) if c is None else c).cast("string")
-    text = string(F.col("text") if text is None else text)
-    names, table = fit(docs.select(text.alias("text"), string(label).alias("label")), "label")
+    names, table = fit(labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label")))
     if not names:
         return docs.withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(0.0), "rejected": F.lit(True)})
-    host = F.coalesce(host_of(string(address)), F.lit(""))
-    facts = {"_said": F.coalesce(F.lower(string(declared)), F.lit("")), "_host": host, "_suffix": F.coalesce(suffix_of(host), F.lit(""))}
-    score = lambda df: df.mapInArrow(_score(table), T.StructType([f for f in df.schema if f.name != "_text"] + [T.StructField("_told", T.ArrayType(T.DoubleType()))]))
+    at = F.coalesce(host_of(string(address)), F.lit(""))
+    facts = docs.withColumns({said: F.coalesce(F.lower(string(declared)), F.lit("")), host: at, suffix: F.coalesce(suffix_of(at), F.lit("")), read: string(F.col("text") if text is None else text)})
+    facts = facts.drop(drop) if drop else facts
+    shape = T.StructType([f for f in facts.schema if f.name != read] + [T.StructField(told, T.ArrayType(T.DoubleType()))])
     pick = lambda scores: F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, F.array_max(scores)).cast("int"))
-    # once over the texts for what declarations and hosts are worth, once for the posterior: texts are never shuffled
-    guess = score(docs.select(text.alias("_text"), *[c.alias(k) for k, c in facts.items()])).where("_told is not null")
-    counted = settle(guess.withColumn("l", pick(F.col("_told"))).groupBy("_said", "_host", "_suffix", "l").agg(F.count("*").alias("n")))
-    known = settle(_evidence(counted, names))
-    known = known.hint("broadcast" if known.count() <= 50_000 else "shuffle_merge")  # a row per pair of declaration and host
-    told = score(docs.withColumns({k: facts[k] for k in ("_said", "_host")} | {"_text": text})).join(known, ["_said", "_host"], "left")
-    joint = told.withColumn("_joint", F.when(F.col("_known").isNull(), F.col("_told")).otherwise(F.zip_with("_told", "_known", lambda a, b: a + b)))
-    top = F.array_max("_joint")
-    weight = F.aggregate("_joint", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    scored = settle(facts.mapInArrow(_score(table, read, told), shape))
+    guess = scored.where(F.col(told).isNotNull()).select(F.col(said).alias("said"), F.col(host).alias("host"), F.col(suffix).alias("suffix"), pick(F.col(told)).alias("l"))
+    counted = settle(guess.groupBy("said", "host", "suffix", "l").agg(F.count("*").alias("n")))
+    evidence = settle(_evidence(counted, names).select(F.col("said").alias(said), F.col("host").alias(host), F.col("known").alias(known)))
+    evidence = evidence.hint("broadcast" if evidence.count() <= 50_000 else "shuffle_merge")  # a row per pair of declaration and host
+    fused = scored.join(evidence, [said, host], "left")
+    fused = fused.withColumn(joint, F.when(F.col(known).isNull(), F.col(told)).otherwise(F.zip_with(told, known, lambda a, b: a + b)))
+    top = F.array_max(joint)
+    weight = F.aggregate(joint, F.lit(0.0), lambda a, x: a + F.exp(x - top))
     posterior = F.coalesce(1 / weight, F.lit(0.0))
-    return joint.select(*[F.col(f"`{c}`") for c in own], F.when(F.col("_joint").isNotNull(), pick(F.col("_joint"))).alias("language"), posterior.alias("posterior"), (posterior < least).alias("rejected"))
+    return fused.select(*[F.col(f"`{c}`") for c in own], F.when(F.col(joint).isNotNull(), pick(F.col(joint))).alias("language"), posterior.alias("posterior"), (posterior < least).alias("rejected"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
-    """identify() over documents: lang is what a document declares and what the model is fitted on, source its host."""
-    return identify(docs, F.col("lang"), F.col("source"), F.col("lang"))
+    """identify() over documents: the model is fitted on their own labels (lang), which are no evidence besides; source is the host."""
+    return identify(docs, docs.select("text", F.col("lang").alias("label")), None, F.col("source"))
+
+
+#: What a browser would not show of a page: raw elements, then tags.
+_RAW, _TAGS = r"(?is)<(script|style)\b.*?</\1\s*>", r"(?s)<[^>]*>"
 
 
-def of_pages(pages: DataFrame, label=None) -> DataFrame:
-    """identify() over web pages (url, html): the html tag declares, the url has suffix and host, the text is the page without tags."""
-    said = declared_in(F.col("html"))
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    return identify(pages, said, F.col("url"), said if label is None else label, text)
+def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """identify() over web pages (url, html), without html: the html tag declares, the url has suffix and host, the text is the page without tags."""
+    text = F.regexp_replace(F.regexp_replace("html", _RAW, " "), _TAGS, " ")
+    return identify(pages, labelled, declared_in(F.col("html")), F.col("url"), text, drop="html")

@@ -68,7 +68,8 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def op10_language(spark, sf_dir):
-    return language.of_documents(table(spark, sf_dir, "documents")).select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
+    labelled = table(spark, sf_dir, "documents").select("text", F.col("lang").alias("label"))
+    return language.of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), labelled).select("page_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
 
 
 def queries() -> dict:

@@ -274,29 +274,6 @@ def test_line_templates(spark, odd, none):
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
-def test_language_fuses_evidence(spark, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    told = language.of_documents(docs).toPandas()
-    assert (told.language == told.lang).mean() > 0.95 and not told.rejected.any()
-    extra = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(-1, None, "en", "s"), (-2, "12 34", None, None), (-3, "", "xx", "")], "doc_id long, text string, lang string, source string"))
-    bad = language.of_documents(extra.withColumn("language", F.lit("clash"))).where("doc_id < 0").collect()
-    assert all(r["rejected"] and r["language"] is None and r["posterior"] == 0 for r in bad) and len(bad) == 3
-    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
-    assert language.of_documents(empty).count() == 0
-    # held out: fitted on half of the rows, scored on the others by text alone
-    half = docs.withColumn("seen", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
-    alone = language.identify(half, label=F.col("seen")).where("doc_id % 2 = 1").toPandas()
-    assert (alone.language == alone.lang).mean() > 0.93
-
-
-def test_pages_declare_languages(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    got = language.of_pages(pages).toPandas()
-    assert (got.language == got.url.str.extract(r"/(en|fr|de|es)/")[0]).mean() > 0.95
-    url = spark.createDataFrame([("http://u@www.Example.FR:80/x",), ("src0",), ("",), (None,)], "u string").select(language.host_of(F.col("u")).alias("h"), language.suffix_of(language.host_of(F.col("u"))).alias("s")).collect()
-    assert [tuple(r) for r in url] == [("www.example.fr", "fr"), ("src0", None), (None, None), (None, None)]
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
