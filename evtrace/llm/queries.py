@@ -117,21 +117,42 @@ g AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g
 """
 
+def _op9() -> str:
+    levels = []
+    for i in range(line_templates.LEVELS):
+        levels.append(f"""
+v{i} AS (SELECT node, p, m[p] AS token, sum(c) AS c FROM (SELECT *, unnest(range(4, len(m) + 1)) AS p FROM r{i}) GROUP BY ALL),
+u{i} AS (SELECT * FROM v{i} QUALIFY row_number() OVER (PARTITION BY node, p ORDER BY c DESC, encode(token) DESC) = 1),
+pattern{i} AS (SELECT node, list(token ORDER BY p) AS pattern FROM u{i} GROUP BY node),
+told{i} AS (
+  SELECT r.*, len(list_filter(range(4, len(m) + 1), lambda i: m[i] = pattern[i - 3] AND m[i] <> '<*>')) AS same, len(list_filter(m[4:], lambda x: x <> '<*>')) AS free
+  FROM r{i} r JOIN pattern{i} USING (node)),
+rest{i} AS (SELECT node, m, c FROM told{i} WHERE NOT (same >= 0.75 * free AND same >= 3)),
+place{i} AS (SELECT *, m[p] AS token FROM (SELECT *, unnest(range(4, len(m) + 1)) AS p FROM rest{i})),
+every{i} AS (SELECT node, count(*) AS every FROM rest{i} GROUP BY node),
+counted{i} AS (SELECT node, p, token, sum(c) AS votes, count(*) AS k FROM place{i} GROUP BY ALL),
+shared{i} AS (SELECT node, p, token, votes FROM counted{i} JOIN every{i} USING (node) WHERE k > 1 AND k < every),
+r{i + 1} AS (
+  SELECT node || [p::VARCHAR, token] AS node, m, c FROM place{i} JOIN shared{i} USING (node, p, token)
+  QUALIFY row_number() OVER (PARTITION BY node, m ORDER BY votes DESC, p) = 1),""")
+    general = " UNION ALL ".join(f"SELECT m, node || ['pattern {i}'] AS general FROM told{i} WHERE same >= 0.75 * free AND same >= 3" for i in range(line_templates.LEVELS))
+    return OP9.replace("-- levels", "".join(levels)).replace("-- general", f"general AS ({general}),")
+
+
+#: The levels of the tree stand where it says so.
 OP9 = r"""
 WITH l AS (
   SELECT doc_id, i AS line_no, list_filter(regexp_split_to_array(ls[i], '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS t
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-m AS (SELECT doc_id, line_no, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM l WHERE len(t) >= 4),
-k AS (SELECT n, m[1:3] AS lead, m, count(*) AS c FROM m GROUP BY ALL),
-mixed AS (SELECT n, lead FROM k GROUP BY ALL HAVING count(*) > 1 AND sum(c) >= 3),
-kinds AS (SELECT k.* FROM k SEMI JOIN mixed USING (n, lead)),
-votes AS (SELECT n, lead, p, m[p] AS token, sum(c) AS c FROM (SELECT *, unnest(range(1, len(m) + 1)) AS p FROM kinds) GROUP BY ALL),
-usual AS (SELECT n, lead, p, token FROM votes QUALIFY row_number() OVER (PARTITION BY n, lead, p ORDER BY c DESC, encode(token) DESC) = 1),
-pattern AS (SELECT n, lead, list(token ORDER BY p) AS pattern FROM usual GROUP BY ALL),
-close AS (SELECT n, lead, m FROM kinds JOIN pattern USING (n, lead) WHERE len(list_filter(range(1, n + 1), lambda i: m[i] = pattern[i])) >= 0.75 * n),
+masked AS (SELECT doc_id, line_no, t, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM l WHERE len(t) >= 4),
+m AS (SELECT *, len(list_filter(m, lambda x: x <> '<*>')) >= 4 AS plain FROM masked),
+k AS (SELECT [n::VARCHAR] || m[1:3] AS node, m, count(*) AS c FROM m WHERE plain GROUP BY ALL),
+r0 AS (SELECT k.* FROM k SEMI JOIN (SELECT node FROM k GROUP BY node HAVING count(*) > 1 AND max(len(m)) >= 6 AND sum(c) >= CASE WHEN max(len(m)) >= 50 THEN 2 ELSE 3 END) USING (node)),
+-- levels
+-- general
 own AS (
-  SELECT m.doc_id, m.line_no, m.n, CASE WHEN close.m IS NULL THEN [m.n::VARCHAR, 'own'] || m.m ELSE [m.n::VARCHAR, 'pattern'] || m.m[1:3] END AS template
-  FROM m LEFT JOIN close ON m.n = close.n AND m.m = close.m),
+  SELECT m.doc_id, m.line_no, m.n, CASE WHEN NOT plain THEN ['exact'] || m.t WHEN general.m IS NULL THEN ['own'] || m.m ELSE general END AS template
+  FROM m LEFT JOIN general ON plain AND m.m = general.m),
 spread AS (SELECT template, count(DISTINCT doc_id) AS docs, max(n) AS n, min(doc_id) AS first FROM own GROUP BY template),
 gone AS (
   SELECT own.doc_id, list(own.line_no) AS gone FROM own JOIN spread USING (template)
@@ -144,4 +165,4 @@ FROM d LEFT JOIN gone USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1, "op2_near_duplicates": OP2, "op8_chat": OP8, "op9_line_dedup": OP9}
+    return {"op1_top_k": OP1, "op2_near_duplicates": OP2, "op8_chat": OP8, "op9_line_dedup": _op9()}

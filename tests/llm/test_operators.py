@@ -265,15 +265,49 @@ def test_escapes_are_reversible(spark):
 
 def test_line_templates(spark, odd, none):
     mark = [f"Printed by the archive on page {n} of the year" for n in range(6)]
-    docs = spark.createDataFrame([(i, f"own words number {'abcdef'[i]} stay here\n{mark[i]}\nshort line", 9) for i in range(6)], "doc_id long, text string, n_lines int")
+    docs = spark.createDataFrame([(i, f"own words number {'abcdef'[i]} stay here\n{mark[i]}\nshort line", 9, "b") for i in range(6)], "doc_id long, text string, n_lines int, gone string")
     out = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs).collect()}
     assert mark[0] in out[0]["text"] and not any("Printed" in out[i]["text"] for i in range(1, 6))
-    assert all("short line" in r["text"] and r["n_lines"] == 3 for r in out.values()) and out[1]["n_dropped"] >= 1
+    assert all("short line" in r["text"] and "own words" in r["text"] and r["n_lines"] == 3 and r["gone"] == "b" for r in out.values()) and out[1]["n_dropped"] == 1
     got = line_templates.drop_recurring_lines(odd).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(ODD)
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
+def left_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    return [r["text"] for r in line_templates.drop_recurring_lines(docs).orderBy("doc_id").collect()]
+
+
+def test_lines_that_only_look_alike_stay(spark):
+    texts = [f"Was it said {w}.\n{i} {7 + i} 20{i}9 44\n{i} cups of {w}\nUse the {w} for {w}ing" for i, w in enumerate(["bread", "stone", "water", "paper", "glass"])]
+    assert left_of(spark, texts) == texts
+
+
+def test_several_templates_of_one_leaf(spark):
+    words = ["amber", "birch", "cedar", "dune", "elm", "fern"]
+    one = [f"The house of {w} was built on old ground by masons" for w in words]
+    two = [f"The house of {w} has been sold again this cold spring" for w in words]
+    three = [f"The house of {w} lay empty ever since {w} left town" for w in words]
+    left = left_of(spark, ["\n".join(x) for x in zip(one, two, three)])
+    assert left[0] == "\n".join([one[0], two[0], three[0]]) and set(left[1:]) == {""}
+
+
+def test_two_long_lines_that_differ_in_a_word(spark):
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    other = [*long[:40], "changed", *long[41:]]
+    assert left_of(spark, [" ".join(long), "keep me whole\n" + " ".join(other)]) == [" ".join(long), "keep me whole"]
+
+
+def test_line_dedup_odd_rows(spark):
+    mark = "A line that many documents have in common"
+    rows = [(None, mark), (3, mark), (3, mark), (2, mark + "\nmine alone is this line"), (2, "another text of the same id"), (9, "\n".join(f"{mark}\nfiller {i}" for i in range(5000)))]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert [(r["doc_id"], r["text"]) for r in got if r["doc_id"] != 9] and Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] != 9) == Counter([(None, ""), (3, ""), (3, ""), (2, mark + "\nmine alone is this line"), (2, "another text of the same id")])
+    assert next(r["text"] for r in got if r["doc_id"] == 9) == "\n".join(f"filler {i}" for i in range(5000))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
