@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.scalars import clamp01, hamming, normalize_name
 from ..plans.settle import settle
 from .lookups import hash_pairs
-from .timeline import nearest_match, throttle, with_previous
+from .chunks import WIDTH, throttle
+from .timeline import nearest_match, with_previous
 
 
 def primary_events(groups: DataFrame, changes: DataFrame, window: int, least: float = 0.58) -> DataFrame:
@@ -87,12 +88,11 @@ def select_evidence(found: DataFrame, include: dict[str, bool], by_rule: dict[st
     return found.where(shown).select("finding", F.explode(regions).alias("region"))
 
 
-def hash_changes(hashes: DataFrame, keys: list[str], most: int, least_gap: int) -> DataFrame:
-    """Rows (keys, t, id, h) whose hash is `most` bits or more from the row before, at least least_gap after the last such row kept."""
+def hash_changes(hashes: DataFrame, keys: list[str], most: int, least_gap: int, width: int = WIDTH) -> DataFrame:
+    """Rows (keys, t, id, h) whose hash is `most` bits or more from the row before, at least least_gap after the last such row kept; width is what one task looks at of a key, in units of t."""
     seen = with_previous(hashes, keys, "t", "id", ["h"])
     moved = seen.where(F.col("prev").isNotNull()).withColumn("distance", hamming(F.col("h"), F.col("prev.h"))).where(F.col("distance") >= most)
-    kept = throttle(moved, keys, least_gap, "t", "id").select("id")
-    return moved.join(kept.hint("shuffle_merge"), "id", "left_semi").select(*keys, "id", "t", "distance")
+    return throttle(moved.select(*keys, "id", "t", "distance"), keys, least_gap, "t", "id", width)
 
 
 def representatives(hashes: DataFrame, most: int = 8) -> DataFrame:

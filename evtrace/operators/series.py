@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .chunks import throttle
 from .timeline import islands, range_pairs, running_last, with_previous
 
 
@@ -57,20 +58,14 @@ def change_events(series: DataFrame, most: int, least_gap: int) -> DataFrame:
     """Changes of each channel's value (session_id, channel, id, t, value, confidence).
 
     Against the value before: a fall, or a rise by over `most`, needs review; a change within least_gap of the
-    last emitted one changes the value silently. Only changing rows are folded, in runs that a gap of least_gap
-    without any change sets apart.
+    last emitted one changes the value silently.
     """
     known = series.where("value is not null")
     seen = with_previous(known, ["session_id", "channel"], "t", "id", ["value"])
     moved = seen.where(F.col("prev").isNotNull() & (F.col("prev.value") != F.col("value"))).withColumn("from_value", F.col("prev.value")).drop("prev")
-    runs = islands(moved, ["session_id", "channel"], "t", "id", gap=least_gap - 1)
-    row = F.struct(F.col("t").cast("bigint").alias("t"), F.col("id").cast("bigint").alias("id"), F.col("from_value").cast("bigint").alias("a"), F.col("value").cast("bigint").alias("b"), F.col("confidence").cast("double").alias("c"))
-    lists = runs.groupBy("session_id", "channel", "island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.array().cast("array<struct<t:bigint,id:bigint,a:bigint,b:bigint,c:double>>")
-    step = lambda out, x: F.when((F.size(out) == 0) | (x["t"] - F.try_element_at(out, F.lit(-1))["t"] >= least_gap), F.concat(out, F.array(x))).otherwise(out)
-    done = lists.select("session_id", "channel", F.explode(F.aggregate("rows", start, step)).alias("x"))
-    rise = F.col("x.b") - F.col("x.a")
-    return done.select("session_id", "channel", F.col("x.id").alias("id"), F.col("x.t").alias("t"), F.col("x.a").alias("from_value"), F.col("x.b").alias("to_value"), F.col("x.c").alias("confidence"), F.when((rise <= 0) | (rise > most), "NEED_REVIEW").otherwise("CONFIRMED").alias("status"))
+    done = throttle(moved.select("session_id", "channel", "t", "id", "from_value", "value", "confidence"), ["session_id", "channel"], least_gap, "t", "id")
+    rise = F.col("value") - F.col("from_value")
+    return done.select("session_id", "channel", "id", "t", F.col("from_value").cast("long").alias("from_value"), F.col("value").cast("long").alias("to_value"), F.col("confidence").cast("double").alias("confidence"), F.when((rise <= 0) | (rise > most), "NEED_REVIEW").otherwise("CONFIRMED").alias("status"))
 
 
 def hit_groups(hits: DataFrame, keys: list[str], gap: int, threshold: float) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-DAY = 86_400_000_000
+from .chunks import DAY, greedy_match, throttle
+
+__all__ = ["greedy_match", "throttle"]
 
 
 def _chunk(t: str, width: int) -> Column:
@@ -92,45 +94,6 @@ def nearest_match(anchors: DataFrame, candidates: DataFrame, window: int, keys:
     return anchors.join(best.hint("shuffle_merge"), "a_id", "left")
 
 
-def greedy_match(anchors: DataFrame, candidates: DataFrame, window: int, prefer: str | None = None) -> DataFrame:
-    """Exclusive pairs (session_id, a_id, c_id, gap): anchors in time order take their nearest unused candidate.
-
-    With `prefer`, a column of both sides as a_<prefer> and c_<prefer>, unused candidates that agree in it come
-    before all others. Only the edges of the range join are folded, and only anchors that can compete meet in a
-    fold: runs of anchors whose steps are over two windows apart cannot want the same candidate.
-    """
-    runs = islands(anchors, ["session_id"], "a_t", "a_id", gap=2 * window)
-    extra = [f"a_{prefer}"] if prefer else []
-    a = runs.select("session_id", "island", "a_id", "a_t", *extra)
-    pairs = range_pairs(a, candidates, ["session_id"], window, window, "a_t", "c_t")
-    tier = F.when(F.col(f"a_{prefer}").eqNullSafe(F.col(f"c_{prefer}")), 0).otherwise(1) if prefer else F.lit(0)
-    order = F.struct(tier.alias("tier"), F.abs(F.col("c_t") - F.col("a_t")).alias("gap"), (-F.col("c_conf")).alias("conf"), "c_t", "c_id")
-    wanted = pairs.groupBy("session_id", "island", "a_id", "a_t").agg(F.array_sort(F.collect_list(order)).alias("wants"))
-    queue = wanted.groupBy("session_id", "island").agg(F.array_sort(F.collect_list(F.struct("a_t", "a_id", "wants"))).alias("queue"))
-    start = F.array().cast("array<struct<a_id:bigint,c_id:bigint,gap:bigint,tier:int>>")
-
-    def step(done, x):
-        free = F.filter(x["wants"], lambda w: ~F.exists(done, lambda d: d["c_id"] == w["c_id"]))
-        pick = F.try_element_at(free, F.lit(1))
-        taken = F.array(F.struct(x["a_id"].cast("bigint").alias("a_id"), pick["c_id"].cast("bigint").alias("c_id"), pick["gap"].cast("bigint").alias("gap"), pick["tier"].alias("tier")))
-        return F.when(pick.isNull(), done).otherwise(F.concat(done, taken))
-
-    return queue.select("session_id", F.explode(F.aggregate("queue", start, step)).alias("p")).select("session_id", "p.*")
-
-
-def throttle(events: DataFrame, keys: list[str], least: int, t: str = "t", tie: str = "event_id") -> DataFrame:
-    """Rows at least `least` after the last kept row of their key.
-
-    A row that far behind the row before it is always kept, so runs between such rows are folded on their own.
-    """
-    runs = islands(events, keys, t, tie, gap=least - 1)
-    row = F.struct(F.col(t).cast("bigint").alias("t"), F.col(tie).cast("bigint").alias("id"))
-    lists = runs.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.array().cast("array<struct<t:bigint,id:bigint>>")
-    step = lambda kept, x: F.when((F.size(kept) == 0) | (x["t"] - F.try_element_at(kept, F.lit(-1))["t"] >= least), F.concat(kept, F.array(x))).otherwise(kept)
-    return lists.select(*keys, F.explode(F.aggregate("rows", start, step)).alias("k")).select(*keys, F.col("k.t").alias(t), F.col("k.id").alias(tie))
-
-
 def first_later_match(anchors: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """Each anchor (a_id, a_t) with the first target (c_id, c_t) after it within `most`, nulls if none; later claims of a taken target are marked."""
     pairs = range_pairs(anchors, targets, ["session_id"], -1, most, "a_t", "c_t")

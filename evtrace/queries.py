@@ -117,7 +117,7 @@ def greedy_pairs(spark, sf_dir):
 
 @query(_greedy_sql("CASE WHEN a_side = c_side THEN 0 ELSE 1 END"))
 def greedy_pairs_by_side(spark, sf_dir):
-    return T.greedy_match(*_sides(V.events(spark, sf_dir), "click", "purchase"), 6 * HOUR, prefer="side")
+    return T.greedy_match(*_sides(V.events(spark, sf_dir), "click", "purchase"), 6 * HOUR, prefer="side").select("session_id", "a_id", "c_id", "gap", "tier")
 
 
 @query("WITH" + _pairs_sql("error", "view", 12) + """
@@ -199,7 +199,7 @@ r AS (
   SELECT o.session_id, o.event_id, o.t, o.n, CASE WHEN o.t - r.kept >= {12 * HOUR} THEN o.t ELSE r.kept END, o.t - r.kept >= {12 * HOUR} FROM r JOIN o ON o.session_id = r.session_id AND o.n = r.n + 1)
 SELECT session_id, t, event_id FROM r WHERE keep""")
 def throttled_rows(spark, sf_dir):
-    return T.throttle(V.events(spark, sf_dir), ["session_id"], 12 * HOUR)
+    return T.throttle(V.events(spark, sf_dir).select("session_id", "t", "event_id"), ["session_id"], 12 * HOUR)
 
 
 @query("WITH RECURSIVE" + V.SQL_READINGS + f""",
@@ -695,7 +695,7 @@ th AS (
   UNION ALL SELECT mv.lang, mv.id, mv.distance, mv.n, CASE WHEN mv.id - th.kept >= 20 THEN mv.id ELSE th.kept END, mv.id - th.kept >= 20 FROM th JOIN mv ON mv.lang = th.lang AND mv.n = th.n + 1)
 SELECT lang AS grp, id, id AS t, distance FROM th WHERE keep""")
 def hash_changes(spark, sf_dir):
-    return C.hash_changes(settle(V.document_hashes(spark, sf_dir)).withColumn("t", F.col("id")), ["grp"], 24, 20)
+    return C.hash_changes(settle(V.document_hashes(spark, sf_dir)).withColumn("t", F.col("id")), ["grp"], 24, 20, width=100_000)
 
 
 WAYPOINTS = [(990.0, 327.0), (300.0, 150.0), (1500.0, 500.0), (990.0, 100.0)]
