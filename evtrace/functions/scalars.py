@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 #: Rank of event statuses, best first.
@@ -30,11 +32,23 @@ def status_from_confidence(confidence: Column, parts: Column, conflict: Column |
     return out if conflict is None else F.when(conflict, "NEED_REVIEW").otherwise(out)
 
 
+def exact(c: Column) -> Column:
+    """A confidence as a decimal of nine places: sums of these do not depend on the order of rows."""
+    return c.cast("decimal(12,9)")
+
+
+def exact_mean(c: Column) -> Column:
+    """Aggregate: the mean of exact values, as a double."""
+    return F.avg(exact(c)).cast("double")
+
+
 def renormalized_confidence(parts: list[tuple[float, Column]]) -> Column:
-    """Weighted mean over the parts that are present; 0 if none is."""
-    weight = sum((F.when(c.isNotNull(), F.lit(float(w))).otherwise(0.0) for w, c in parts if w > 0), F.lit(0.0))
-    value = sum((F.coalesce(c * float(w), F.lit(0.0)) for w, c in parts if w > 0), F.lit(0.0))
-    return F.when(weight > 0, value / weight).otherwise(0.0)
+    """Weighted mean over the parts that are present, worked out in decimals; 0 if none is."""
+    weigh = lambda w: F.lit(Decimal(str(w)))
+    none = F.lit(Decimal(0))
+    weight = sum((F.when(c.isNotNull(), weigh(w)).otherwise(none) for w, c in parts if w > 0), none)
+    value = sum((F.coalesce(exact(c) * weigh(w), none) for w, c in parts if w > 0), none)
+    return F.when(weight > 0, (value / weight).cast("double")).otherwise(0.0)
 
 
 def classify(c: Column, rules: list[tuple[Column, str]], default: str = "other") -> Column:

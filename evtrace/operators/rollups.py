@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.scalars import exact_mean
+
 RESULTS = ("FAIL", "NEED_REVIEW", "UNCERTAIN", "PASS")  # the worst first
 
 
@@ -28,7 +30,7 @@ def objective_rollup(subjects: DataFrame, findings: DataFrame, keys: list[str])
 
 def timeline_summary(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """Counts, first and last time and mean confidence per session; 0 and nulls for sessions without events."""
-    found = events.groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("types"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.avg("confidence").alias("c"))
+    found = events.groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("types"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), exact_mean(F.col("confidence")).alias("c"))
     out = sessions.join(found.hint("shuffle_merge"), "session_id", "left")
     return out.select("session_id", F.coalesce("n", F.lit(0)).cast("long").alias("events"), F.coalesce("types", F.lit(0)).cast("long").alias("types"), "first_t", "last_t", F.coalesce("c", F.lit(0.0)).alias("mean_confidence"))
 

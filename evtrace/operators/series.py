@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import exact, exact_mean
 from .chunks import throttle
 from .timeline import islands, range_pairs, running_last, with_previous
 
@@ -43,7 +44,7 @@ def smooth_states(scores: DataFrame, window: int, threshold: float, priority: di
 def state_segments(states: DataFrame, least: int) -> DataFrame:
     """Runs of equal state (session_id, id, t, state, confidence); runs shorter than least vanish."""
     runs = islands(states, ["session_id"], "t", "id", changes=["state"])
-    segments = runs.groupBy("session_id", "island").agg(F.first("state").alias("state"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("readings"), F.avg("confidence").alias("confidence"))
+    segments = runs.groupBy("session_id", "island").agg(F.first("state").alias("state"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("readings"), exact_mean(F.col("confidence")).alias("confidence"))
     return segments.where((F.col("end_t") - F.col("start_t")) >= least).withColumn("id", F.col("island.id")).drop("island")
 
 
@@ -51,7 +52,7 @@ def transitions(segments: DataFrame) -> DataFrame:
     """Steps between a session's consecutive segments of different state."""
     seen = with_previous(segments, ["session_id"], "start_t", "id", ["state", "confidence"])
     both = seen.where(F.col("prev").isNotNull() & (F.col("prev.state") != F.col("state")))
-    return both.select("session_id", F.col("start_t").alias("t"), F.concat_ws("_to_", "prev.state", "state").alias("event"), F.least(F.lit(1.0), (F.col("prev.confidence") + F.col("confidence")) / 2).alias("confidence"))
+    return both.select("session_id", F.col("start_t").alias("t"), F.concat_ws("_to_", "prev.state", "state").alias("event"), F.least(F.lit(1.0), ((exact(F.col("prev.confidence")) + exact(F.col("confidence"))) / 2).cast("double")).alias("confidence"))
 
 
 def change_events(series: DataFrame, most: int, least_gap: int) -> DataFrame:

@@ -31,6 +31,16 @@ def _sides(ev, a: str, b: str):
     return left, right
 
 
+#: Rounding half up of num / (den * 10^9), whole numbers both: the same in every engine.
+_PPM = "((2 * ({num}) + ({den}) * 1000) // (2000 * ({den}))) / 1e6"
+_NANO = "round(({c}) * 1e9)::HUGEINT"
+
+
+def _mean_sql(c: str) -> str:
+    """Mean of c over a group, rounded to six places."""
+    return _PPM.format(num=f"sum({_NANO.format(c=c)})::HUGEINT", den="count(*)::HUGEINT")
+
+
 _STATUS = "CASE WHEN event_type = 'purchase' THEN 5 WHEN event_type = 'click' THEN 3 WHEN event_type = 'error' THEN 1 ELSE 0 END"
 
 
@@ -70,11 +80,11 @@ def near_duplicates(spark, sf_dir):
 
 
 @query("WITH" + V.SQL_EVENTS + """
-SELECT c.c_custkey AS session_id, count(event_id) AS events, count(DISTINCT event_type) AS types, min(t) AS first_t, max(t) AS last_t, round(coalesce(avg(confidence), 0) + 1e-9, 6) AS mean_confidence
+SELECT c.c_custkey AS session_id, count(event_id) AS events, count(DISTINCT event_type) AS types, min(t) AS first_t, max(t) AS last_t, coalesce(""" + _PPM.format(num="sum(" + _NANO.format(c="confidence") + ")", den="nullif(count(confidence), 0)::HUGEINT") + """, 0) AS mean_confidence
 FROM customer c LEFT JOIN ev ON ev.session_id = c.c_custkey GROUP BY c.c_custkey""")
 def timeline_counts(spark, sf_dir):
     sessions = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("session_id"))
-    return R.timeline_summary(sessions, V.events(spark, sf_dir)).withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-9, 6))
+    return R.timeline_summary(sessions, V.events(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 def _pairs_sql(a: str, b: str, hours: int) -> str:
@@ -172,23 +182,23 @@ def smoothed_states(spark, sf_dir):
 _SEGMENTS = V.SQL_STATES + """,
 s1 AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY session_id ORDER BY t, id) THEN 0 ELSE 1 END AS fresh FROM st),
 s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY t, id) AS g FROM s1),
-seg AS (SELECT session_id, first(id ORDER BY t, id) AS id, any_value(state) AS state, min(t) AS start_t, max(t) AS end_t, count(*) AS readings, avg(score) AS confidence FROM s2 GROUP BY session_id, g HAVING max(t) - min(t) >= 200000)"""
+seg AS (SELECT session_id, first(id ORDER BY t, id) AS id, any_value(state) AS state, min(t) AS start_t, max(t) AS end_t, count(*) AS readings, avg(score) AS confidence, sum(round(score * 1e9)::HUGEINT)::HUGEINT AS s9 FROM s2 GROUP BY session_id, g HAVING max(t) - min(t) >= 200000)"""
 
 
 def _segments(spark, sf_dir):
     return series.state_segments(V.states(spark, sf_dir).withColumnRenamed("score", "confidence"), 200_000)
 
 
-@query("WITH" + _SEGMENTS + " SELECT session_id, id, state, start_t, end_t, readings, round(confidence, 6) AS confidence FROM seg")
+@query("WITH" + _SEGMENTS + " SELECT session_id, id, state, start_t, end_t, readings, " + _PPM.format(num="s9", den="readings::HUGEINT") + " AS confidence FROM seg")
 def state_segments(spark, sf_dir):
     return _segments(spark, sf_dir).select("session_id", "id", "state", "start_t", "end_t", "readings", F.round("confidence", 6).alias("confidence"))
 
 
 @query("WITH" + _SEGMENTS + """,
-x AS (SELECT session_id, start_t AS t, state, confidence, lag(state) OVER w AS p, lag(confidence) OVER w AS pc FROM seg WINDOW w AS (PARTITION BY session_id ORDER BY start_t, id))
-SELECT session_id, t, p || '_to_' || state AS event, round(least(1.0, (confidence + pc) / 2) + 1e-9, 6) AS confidence FROM x WHERE p <> state""")
+x AS (SELECT session_id, start_t AS t, state, confidence, readings AS n, s9, lag(state) OVER w AS p, lag(readings) OVER w AS pn, lag(s9) OVER w AS ps9 FROM seg WINDOW w AS (PARTITION BY session_id ORDER BY start_t, id))
+SELECT session_id, t, p || '_to_' || state AS event, """ + _PPM.format(num="s9 * pn + ps9 * n", den="2 * n::HUGEINT * pn") + """ AS confidence FROM x WHERE p <> state""")
 def transitions(spark, sf_dir):
-    return series.transitions(_segments(spark, sf_dir)).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))  # off the halves
+    return series.transitions(_segments(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("WITH RECURSIVE" + V.SQL_EVENTS + f""",
@@ -460,9 +470,11 @@ def _role_sql(name: str, role: str, without: str | None = None) -> str:
     return f",\n{name} AS (SELECT * FROM raw WHERE role = '{role}'" + (f" AND event_id NOT IN (SELECT c_id FROM {without})" if without else "") + ")"
 
 
-def _weighted_sql(*parts: tuple[float, str]) -> str:
-    total, weight = (" + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {x} END" for x, c in ((f"{w} * ({c})" if i == 0 else str(w), c) for w, c in parts)) for i in (0, 1))
-    return f"(({total}) / ({weight}))"
+def _weighted_sql(*parts: tuple[int, str]) -> str:
+    """num and den of the weighted mean over the parts that are there; weights in hundredths."""
+    num = " + ".join(f"coalesce({w} * {_NANO.format(c=c)}, 0)" for w, c in parts)
+    den = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w} END" for w, c in parts)
+    return f"({num})::HUGEINT AS num, ({den})::HUGEINT AS den"
 
 
 _LADDER = "CASE WHEN {c} >= 0.75 AND {n} >= 2 THEN 'CONFIRMED' WHEN {c} >= 0.5 THEN 'INFERRED' ELSE 'UNCERTAIN' END"
@@ -475,26 +487,26 @@ _TIMELINE = (
     + _exclusive_sql("m4", "rc", "ds", 8) + _exclusive_sql("m5", "rc", "dt", 8) + ",\nrt AS (SELECT * FROM rc WHERE end_t IS NOT NULL)" + _exclusive_sql("m6", "rt", "lo", 8, at="end_t")
     + _role_sql("dl", "down_signal", "m4") + _role_sql("dv", "down_state", "m5") + _exclusive_sql("m7", "dl", "dv", 8)
     + f""",
-i1 AS (SELECT a.session_id, 'primary' AS incident_type, least(a.t, c.t, s.t) AS t, NULL::BIGINT AS end_t, {_weighted_sql((0.45, "a.confidence"), (0.35, "c.confidence"), (0.2, "s.confidence"))} AS c, a.event_id AS anchor_id, [a.event_id, c.event_id, s.event_id] AS parts,
+i1 AS (SELECT a.session_id, 'primary' AS incident_type, least(a.t, c.t, s.t) AS t, NULL::BIGINT AS end_t, {_weighted_sql((45, "a.confidence"), (35, "c.confidence"), (20, "s.confidence"))}, a.event_id AS anchor_id, [a.event_id, c.event_id, s.event_id] AS parts,
   [CASE WHEN c.t IS NULL THEN 'signal_without_change' END, CASE WHEN c.side <> a.side THEN 'change_of_other_side' END] AS notes
   FROM kept a LEFT JOIN m1 ON m1.a_id = a.event_id LEFT JOIN raw c ON c.event_id = m1.c_id LEFT JOIN m2 ON m2.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m2.c_id),
-i2 AS (SELECT a.session_id, CASE WHEN a.matched IS NOT NULL THEN 'primary' ELSE 'candidate' END AS incident_type, a.t, NULL::BIGINT AS end_t, {_weighted_sql((0.45, "a.matched"), (0.35, "a.confidence"), (0.2, "s.confidence"))} AS c, a.event_id AS anchor_id, [a.event_id, s.event_id] AS parts,
+i2 AS (SELECT a.session_id, CASE WHEN a.matched IS NOT NULL THEN 'primary' ELSE 'candidate' END AS incident_type, a.t, NULL::BIGINT AS end_t, {_weighted_sql((45, "a.matched"), (35, "a.confidence"), (20, "s.confidence"))}, a.event_id AS anchor_id, [a.event_id, s.event_id] AS parts,
   [CASE WHEN a.matched IS NOT NULL THEN 'signal_crosscheck' ELSE 'change_without_signal' END] AS notes, a.matched
   FROM cl a LEFT JOIN m3 ON m3.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m3.c_id),
 l3 AS (SELECT a.*, d.confidence AS d_conf, s.confidence AS s_conf, l.result AS l_result, CASE WHEN l.result = 'FAIL' THEN 0.0 WHEN l.result IN ('UNCERTAIN', 'OBSERVED') THEN l.confidence * 0.5 ELSE l.confidence END AS l_conf, [a.event_id, d.event_id, s.event_id, l.event_id] AS parts
   FROM rc a LEFT JOIN m4 ON m4.a_id = a.event_id LEFT JOIN raw d ON d.event_id = m4.c_id LEFT JOIN m5 ON m5.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m5.c_id LEFT JOIN m6 ON m6.a_id = a.event_id LEFT JOIN raw l ON l.event_id = m6.c_id),
-i3 AS (SELECT session_id, CASE WHEN missing THEN 'recovery_missing' ELSE 'recovery' END AS incident_type, t, end_t, {_weighted_sql((0.45, "confidence"), (0.2, "d_conf"), (0.15, "s_conf"), (0.2, "l_conf"))} AS c, event_id AS anchor_id, parts,
+i3 AS (SELECT session_id, CASE WHEN missing THEN 'recovery_missing' ELSE 'recovery' END AS incident_type, t, end_t, {_weighted_sql((45, "confidence"), (20, "d_conf"), (15, "s_conf"), (20, "l_conf"))}, event_id AS anchor_id, parts,
   [CASE WHEN missing THEN 'down_without_recovery' WHEN l_result IS NULL THEN 'recovery_without_location' WHEN l_result = 'FAIL' THEN 'location_failed' WHEN l_result = 'UNCERTAIN' THEN 'location_uncertain' END] AS notes, missing, l_result FROM l3),
-i4 AS (SELECT a.session_id, a.t, {_weighted_sql((0.6, "a.confidence"), (0.4, "s.confidence"))} AS c, a.event_id AS anchor_id, [a.event_id, s.event_id] AS parts FROM dl a LEFT JOIN m7 ON m7.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m7.c_id),
+i4 AS (SELECT a.session_id, a.t, {_weighted_sql((60, "a.confidence"), (40, "s.confidence"))}, a.event_id AS anchor_id, [a.event_id, s.event_id] AS parts FROM dl a LEFT JOIN m7 ON m7.a_id = a.event_id LEFT JOIN raw s ON s.event_id = m7.c_id),
 al AS (
-  SELECT session_id, incident_type, t, end_t, c, {_LADDER.format(c="c", n="len(list_filter(parts, lambda x: x IS NOT NULL))")} AS status, anchor_id, parts, notes, 1 AS stage FROM i1
-  UNION ALL SELECT session_id, incident_type, t, end_t, c, CASE WHEN matched IS NULL THEN {_FLOOR} ELSE {_LADDER.format(c="c", n="2")} END, anchor_id, parts, notes, 2 FROM i2
-  UNION ALL SELECT session_id, incident_type, t, end_t, c, CASE WHEN missing THEN 'MISSING' WHEN l_result = 'FAIL' THEN 'NEED_REVIEW' ELSE {_LADDER.format(c="c", n="len(list_filter(parts, lambda x: x IS NOT NULL))")} END, anchor_id, parts, notes, 3 FROM i3
-  UNION ALL SELECT session_id, 'down_only', t, NULL, c, {_FLOOR}, anchor_id, parts, ['down_without_recovery_match'], 4 FROM i4
-  UNION ALL SELECT session_id, CASE WHEN result = 'OBSERVED' THEN 'location_observed' ELSE 'location_check' END, t, NULL, confidence, status, event_id, [event_id], ['standalone_location'], 5 FROM lo WHERE event_id NOT IN (SELECT c_id FROM m6)
-  UNION ALL SELECT session_id, 'supporting_' || role, t, end_t, confidence, status, event_id, [event_id], ['supporting_not_linked'], 6 FROM raw
+  SELECT session_id, incident_type, t, end_t, num, den, num::DOUBLE / (den * 1e9)::DOUBLE AS c, {_LADDER.format(c="c", n="len(list_filter(parts, lambda x: x IS NOT NULL))")} AS status, anchor_id, parts, notes, 1 AS stage FROM i1
+  UNION ALL SELECT session_id, incident_type, t, end_t, num, den, num::DOUBLE / (den * 1e9)::DOUBLE AS c, CASE WHEN matched IS NULL THEN {_FLOOR} ELSE {_LADDER.format(c="c", n="2")} END, anchor_id, parts, notes, 2 FROM i2
+  UNION ALL SELECT session_id, incident_type, t, end_t, num, den, num::DOUBLE / (den * 1e9)::DOUBLE AS c, CASE WHEN missing THEN 'MISSING' WHEN l_result = 'FAIL' THEN 'NEED_REVIEW' ELSE {_LADDER.format(c="c", n="len(list_filter(parts, lambda x: x IS NOT NULL))")} END, anchor_id, parts, notes, 3 FROM i3
+  UNION ALL SELECT session_id, 'down_only', t, NULL, num, den, num::DOUBLE / (den * 1e9)::DOUBLE AS c, {_FLOOR}, anchor_id, parts, ['down_without_recovery_match'], 4 FROM i4
+  UNION ALL SELECT session_id, CASE WHEN result = 'OBSERVED' THEN 'location_observed' ELSE 'location_check' END, t, NULL, {_NANO.format(c='confidence')}, 1, confidence, status, event_id, [event_id], ['standalone_location'], 5 FROM lo WHERE event_id NOT IN (SELECT c_id FROM m6)
+  UNION ALL SELECT session_id, 'supporting_' || role, t, end_t, {_NANO.format(c='confidence')}, 1, confidence, status, event_id, [event_id], ['supporting_not_linked'], 6 FROM raw
     WHERE confidence >= 0.35 AND (role = 'state' AND event_id NOT IN (SELECT c_id FROM m2 UNION ALL SELECT c_id FROM m3) OR role = 'down_state' AND event_id NOT IN (SELECT c_id FROM m5 UNION ALL SELECT c_id FROM m7))),
-tl AS (SELECT session_id, incident_type, t, end_t, c AS confidence, status, anchor_id, list_filter(parts, lambda x: x IS NOT NULL) AS linked, list_filter(notes, lambda x: x IS NOT NULL) AS notes, printf('evt_%05d', row_number() OVER (PARTITION BY session_id ORDER BY t, stage, anchor_id)) AS incident_id FROM al)"""
+tl AS (SELECT session_id, incident_type, t, end_t, {_PPM.format(num='num', den='den')} AS confidence, status, anchor_id, list_filter(parts, lambda x: x IS NOT NULL) AS linked, list_filter(notes, lambda x: x IS NOT NULL) AS notes, printf('evt_%05d', row_number() OVER (PARTITION BY session_id ORDER BY t, stage, anchor_id)) AS incident_id FROM al)"""
 )
 
 
@@ -502,10 +514,10 @@ def _timeline(spark, sf_dir):
     return I.build_timeline(_roles(spark, sf_dir), I.Linking(change_window=6 * HOUR, state_window=2 * HOUR, down_window=8 * HOUR, location_window=8 * HOUR))
 
 
-@query(_TIMELINE + " SELECT session_id, incident_id, incident_type, t, end_t, round(confidence, 6) AS confidence, status, anchor_id, array_to_string(linked, ',') AS linked, array_to_string(notes, ',') AS notes FROM tl")
+@query(_TIMELINE + " SELECT session_id, incident_id, incident_type, t, end_t, confidence, status, anchor_id, array_to_string(list_sort(linked), ',') AS linked, array_to_string(notes, ',') AS notes FROM tl")
 def incident_timeline(spark, sf_dir):
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return _timeline(spark, sf_dir)[0].select("session_id", "incident_id", "incident_type", "t", "end_t", F.round("confidence", 6).alias("confidence"), "status", "anchor_id", text("linked"), text("notes"))
+    return _timeline(spark, sf_dir)[0].withColumn("linked", F.sort_array("linked")).select("session_id", "incident_id", "incident_type", "t", "end_t", F.round("confidence", 6).alias("confidence"), "status", "anchor_id", text("linked"), text("notes"))
 
 
 @query(_TIMELINE + ", us AS (SELECT DISTINCT unnest(linked) AS e FROM tl) SELECT event_id, role FROM raw WHERE event_id NOT IN (SELECT e FROM us)")
@@ -560,8 +572,8 @@ def offset_readings(spark, sf_dir):
 
 
 @query("WITH" + V.SQL_EVENTS + """,
-s AS (SELECT session_id, event_type, side, round(sum(confidence), 9) AS s, avg(confidence) AS m, count(*) AS votes, first(event_id ORDER BY confidence DESC, event_id) AS best_id FROM ev GROUP BY session_id, event_type, side)
-SELECT session_id, event_type, side, round(m, 6) AS confidence, votes, best_id FROM s QUALIFY row_number() OVER (PARTITION BY session_id, event_type ORDER BY s DESC, side) = 1""")
+s AS (SELECT session_id, event_type, side, sum(""" + _NANO.format(c="confidence") + ") AS s, " + _mean_sql("confidence") + """ AS m, count(*) AS votes, first(event_id ORDER BY confidence DESC, event_id) AS best_id FROM ev GROUP BY session_id, event_type, side)
+SELECT session_id, event_type, side, m AS confidence, votes, best_id FROM s QUALIFY row_number() OVER (PARTITION BY session_id, event_type ORDER BY s DESC, side) = 1""")
 def side_votes(spark, sf_dir):
     return I.vote_side(V.events(spark, sf_dir).withColumn("id", F.col("event_id")), ["session_id", "event_type"]).withColumn("confidence", F.round("confidence", 6))
 
