@@ -42,6 +42,12 @@ def exact_mean(c: Column) -> Column:
     return F.avg(exact(c)).cast("double")
 
 
+def weighted(*parts: tuple[float, Column]) -> Column:
+    """Weighted sum, worked out in decimals, held to 0..1; missing values add 0."""
+    total = sum((F.coalesce(exact(c), F.lit(Decimal(0))) * F.lit(Decimal(str(w))) for w, c in parts), F.lit(Decimal(0)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total.cast("double")))
+
+
 def renormalized_confidence(parts: list[tuple[float, Column]]) -> Column:
     """Weighted mean over the parts that are present, worked out in decimals; 0 if none is."""
     weigh = lambda w: F.lit(Decimal(str(w)))
@@ -193,3 +199,34 @@ def notes_contain(tag: str, *notes: Column) -> Column:
     for n in notes:
         held = held | F.coalesce(F.array_contains(n, tag), F.lit(False))
     return held
+
+
+#: States that state_scores() scores, in the order in which the first of equals counts.
+STATES = ("up", "engaged", "overlay", "down", "panel", "recovered", "menu", "unknown")
+LOW_PRESENCE = 0.12  # every presence below it: nothing of the display is there
+
+
+def state_scores(presence: dict[str, Column], template: dict[str, Column], hint: dict[str, Column]) -> dict[str, Column]:
+    """Score of each of STATES from what of the display is present, template matches and hints, all 0..1.
+
+    presence: health, tool, aim, map, bar. template: up, overlay, down, panel, menu. hint: overlay, panel, recovered.
+    """
+    of = lambda d, k: clamp01(d[k]) if k in d else F.lit(0.0)
+    has = {k: of(presence, k) for k in ("health", "tool", "aim", "map", "bar")}
+    display = clamp01(0.30 * has["health"] + 0.35 * has["tool"] + 0.20 * has["aim"] + 0.10 * has["map"] + 0.05 * has["bar"])
+    panel = F.greatest(of(template, "panel"), of(template, "down") * 0.85, of(hint, "panel"))
+    down = F.greatest(of(template, "down"), panel * 0.92, clamp01((1 - has["tool"]) * 0.30 + (1 - has["aim"]) * 0.25 + of(hint, "panel") * 0.45))
+    up = F.greatest(of(template, "up"), display * (1 - F.least(F.lit(0.85), panel)))
+    recovered = F.greatest(of(hint, "recovered"), F.when(of(hint, "recovered") > 0, up * 0.70).otherwise(0.0))
+    bare = clamp01((1 - has["health"]) * 0.25 + (1 - has["tool"]) * 0.25 + (1 - has["map"]) * 0.25 + (1 - has["bar"]) * 0.25)
+    menu = F.greatest(of(template, "menu"), F.when(F.greatest(has["health"], has["tool"], has["map"], has["bar"]) < LOW_PRESENCE, bare).otherwise(0.0))
+    scores = (up, F.lit(0.0), F.greatest(of(template, "overlay"), of(hint, "overlay")), down, panel, recovered, menu, F.lit(0.0))
+    return {k: clamp01(v) for k, v in zip(STATES, scores)}
+
+
+def display_gate(luma: Column, bright: Column, white: Column, *colours: Column) -> Column:
+    """Whether a frame shows the display: bright enough, with white marks and at least one team colour in some half."""
+    any_colour = F.lit(False)
+    for c in colours:
+        any_colour = any_colour | (c >= 0.04)
+    return F.coalesce((luma >= 45.0) & (bright >= 0.08) & (white >= 0.04) & any_colour, F.lit(False))

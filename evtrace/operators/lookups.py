@@ -25,21 +25,42 @@ def nearest_reference(queries: DataFrame, references: DataFrame, k: int = 5, lim
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "r_id", "score", "rank")
 
 
-def fuzzy_match(queries: DataFrame, entries: DataFrame, least: float = 0.55) -> DataFrame:
-    """Best dictionary entry (entry) for each query (q_id, name): by edit ratio or containment, joined on shared two-letter pieces.
-
-    An entry that shares no two letters in a row with the query is none of its matches.
+def fuzzy_match(queries: DataFrame, entries: DataFrame, least: float = 0.55, least_reading: float = 0.25, block: int = 1000) -> DataFrame:
+    """Best dictionary entry (entry) for each query (q_id, name, confidence): q_id, entry, score, confidence, status.
+
+    The score is 1 where one name holds the other, else the edit ratio; of equal ones the first entry by name. Status
+    is low_reading under least_reading of the query's confidence, low_match under `least` of the score, else ok; the
+    confidence blends both where it is ok and is their product elsewhere. Every query meets every entry: entries come
+    in blocks of `block`, sent along where they are few, so no pair is lost and none is a row. A query without letters
+    and digits has no entry.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    a = queries.select("q_id", plain(F.col("name")).alias("q")).where("q <> ''")
     b = entries.select("entry", plain(F.col("entry")).alias("e")).where("e <> ''").distinct()
-    x, y = a.select("q_id", "q", F.explode(pieces(F.col("q"))).alias("p")), b.select("entry", "e", F.explode(pieces(F.col("e"))).alias("p"))
-    pairs = x.join(y.hint("shuffle_merge"), "p").select("q_id", "q", "entry", "e").distinct()
-    ratio = 1 - F.levenshtein("q", "e") / F.greatest(F.length("q"), F.length("e"))
-    inside = F.when(F.contains("q", "e") | F.contains("e", "q"), F.least(F.length("q"), F.length("e")) / F.greatest(F.length("q"), F.length("e"))).otherwise(0.0)
-    scored = pairs.withColumn("score", F.round(F.greatest(ratio, inside * 0.45 + ratio * 0.55), 6)).where(F.col("score") >= least)
-    return scored.groupBy("q_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry")).alias("m")).select("q_id", "m.entry", (-F.col("m.s")).alias("score"))
+    blocks = max(1, -(-b.count() // block))
+    known = b.groupBy(F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("entry", "e")).alias("known"))
+    a = queries.select("q_id", plain(F.col("name")).alias("q"), F.col("confidence").cast("double").alias("c")).where("q <> ''")
+    dealt = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = dealt.join(known.hint("broadcast" if blocks <= 20 else "shuffle_merge"), "block")
+
+    def scored(x):
+        ratio = 1 - F.levenshtein(F.col("q"), x["e"]) / F.greatest(F.length("q"), F.length(x["e"]))
+        score = F.when(F.contains(F.col("q"), x["e"]) | F.contains(x["e"], F.col("q")), F.lit(1.0)).otherwise(ratio)
+        return F.struct((-F.round(score, 9)).alias("s"), x["entry"].alias("entry"))
+
+    best = pairs.select("q_id", "c", F.array_min(F.transform("known", scored)).alias("m")).groupBy("q_id").agg(F.first("c").alias("c"), F.min("m").alias("m"))
+    score = -F.col("m.s")
+    status = F.when(F.col("c") < least_reading, "low_reading").when(score < least, "low_match").otherwise("ok")
+    blend = F.when(status == "ok", 0.55 * F.col("c") + 0.45 * score).otherwise(F.col("c") * score)
+    return best.select("q_id", "m.entry", score.alias("score"), blend.alias("confidence"), status.alias("status"))
+
+
+def apply_labels(frames: DataFrame, labels: DataFrame) -> DataFrame:
+    """frames (frame, slot, side) with `label`: the digits of the last label (frame, key, value, seq) for their slot, else for their side."""
+    digits = F.regexp_replace(F.col("value").cast("string"), "[^0-9]", "")
+    last = labels.select("frame", "key", digits.alias("digits"), "seq").where("digits <> '' and key <> ''").groupBy("frame", "key").agg(F.max_by("digits", "seq").alias("digits"))
+    by = lambda name: last.select("frame", F.col("key").alias(name), F.col("digits").alias(f"_{name}")).hint("shuffle_merge")
+    out = frames.join(by("slot"), ["frame", "slot"], "left").join(by("side"), ["frame", "side"], "left")
+    return out.withColumn("label", F.coalesce("_slot", "_side")).select(*frames.columns, "label")
 
 
 def exact_duplicates(df: DataFrame, key, order: str) -> DataFrame:

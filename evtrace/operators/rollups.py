@@ -22,12 +22,37 @@ def objective_rollup(subjects: DataFrame, findings: DataFrame, keys: list[str])
     without findings are UNCERTAIN at 0.
     """
     of = lambda r: F.when(F.col("result") == r, F.col("confidence"))
-    found = findings.groupBy(*keys).agg(worst(F.col("result")).alias("result"), F.count("*").alias("findings"), F.max(of("FAIL")).alias("f"), F.max(of("NEED_REVIEW")).alias("n"), F.avg(of("UNCERTAIN")).alias("u"), F.min(of("PASS")).alias("p"))
+    found = findings.groupBy(*keys).agg(worst(F.col("result")).alias("result"), F.count("*").alias("findings"), F.max(of("FAIL")).alias("f"), F.max(of("NEED_REVIEW")).alias("n"), exact_mean(of("UNCERTAIN")).alias("u"), F.min(of("PASS")).alias("p"))
     out = subjects.join(found.hint("shuffle_merge"), keys, "left")
     conf = F.when(F.col("result") == "FAIL", F.col("f")).when(F.col("result") == "NEED_REVIEW", F.col("n")).when(F.col("result") == "UNCERTAIN", F.col("u")).otherwise(F.col("p"))
     return out.select(*keys, F.coalesce("result", F.lit("UNCERTAIN")).alias("result"), F.coalesce(conf, F.lit(0.0)).alias("confidence"), F.coalesce("findings", F.lit(0)).cast("long").alias("findings"))
 
 
+def session_verdicts(objectives: DataFrame, keys: list[str]) -> DataFrame:
+    """One verdict per subject over its objectives (keys, result, confidence, findings): the worst result, with a
+    confidence by its kind as in objective_rollup, the number of each result and of all findings."""
+    of = lambda r: F.when(F.col("result") == r, F.col("confidence"))
+    counts = [F.count_if(F.col("result") == r).alias(r.lower()) for r in RESULTS]
+    told = objectives.groupBy(*keys).agg(worst(F.col("result")).alias("verdict"), F.max(of("FAIL")).alias("_f"), F.max(of("NEED_REVIEW")).alias("_n"), exact_mean(of("UNCERTAIN")).alias("_u"), F.min(of("PASS")).alias("_p"), *counts, F.sum("findings").alias("findings"))
+    conf = F.when(F.col("verdict") == "FAIL", F.col("_f")).when(F.col("verdict") == "NEED_REVIEW", F.col("_n")).when(F.col("verdict") == "UNCERTAIN", F.col("_u")).otherwise(F.col("_p"))
+    return told.withColumn("confidence", F.coalesce(conf, F.lit(0.0))).drop("_f", "_n", "_u", "_p")
+
+
+def dataset_verdict(verdicts: DataFrame) -> DataFrame:
+    """One row: the worst verdict of all subjects, UNKNOWN without any, and how many have each."""
+    counts = [F.count_if(F.col("verdict") == r).alias(r.lower()) for r in RESULTS]
+    told = verdicts.agg(F.count("*").alias("subjects"), *counts)
+    overall = F.when(F.col("subjects") == 0, "UNKNOWN")
+    for r in RESULTS:
+        overall = overall.when(F.col(r.lower()) > 0, r)
+    return told.withColumn("verdict", overall.otherwise("UNKNOWN"))
+
+
+def uncertainty_causes(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key how often each note stands on a finding that did not pass (keys, note, findings)."""
+    return found.where(F.col("result") != "PASS").select(*keys, F.explode("notes").alias("note")).groupBy(*keys, "note").agg(F.count("*").alias("findings"))
+
+
 def timeline_summary(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """Counts, first and last time and mean confidence per session; 0 and nulls for sessions without events."""
     found = events.groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("types"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), exact_mean(F.col("confidence")).alias("c"))

@@ -55,13 +55,13 @@ def transitions(segments: DataFrame) -> DataFrame:
     return both.select("session_id", F.col("start_t").alias("t"), F.concat_ws("_to_", "prev.state", "state").alias("event"), F.least(F.lit(1.0), ((exact(F.col("prev.confidence")) + exact(F.col("confidence"))) / 2).cast("double")).alias("confidence"))
 
 
-def change_events(series: DataFrame, most: int, least_gap: int) -> DataFrame:
-    """Changes of each channel's value (session_id, channel, id, t, value, confidence).
+def change_events(series: DataFrame, most: int, least_gap: int, least_conf: float = 0.0) -> DataFrame:
+    """Changes of each channel's value (session_id, channel, id, t, value, confidence; readings under least_conf do not count).
 
     Against the value before: a fall, or a rise by over `most`, needs review; a change within least_gap of the
     last emitted one changes the value silently.
     """
-    known = series.where("value is not null")
+    known = series.where(F.col("value").isNotNull() & (F.col("confidence") >= least_conf))
     seen = with_previous(known, ["session_id", "channel"], "t", "id", ["value"])
     moved = seen.where(F.col("prev").isNotNull() & (F.col("prev.value") != F.col("value"))).withColumn("from_value", F.col("prev.value")).drop("prev")
     done = throttle(moved.select("session_id", "channel", "t", "id", "from_value", "value", "confidence"), ["session_id", "channel"], least_gap, "t", "id")
@@ -69,6 +69,20 @@ def change_events(series: DataFrame, most: int, least_gap: int) -> DataFrame:
     return done.select("session_id", "channel", "id", "t", F.col("from_value").cast("long").alias("from_value"), F.col("value").cast("long").alias("to_value"), F.col("confidence").cast("double").alias("confidence"), F.when((rise <= 0) | (rise > most), "NEED_REVIEW").otherwise("CONFIRMED").alias("status"))
 
 
+def cross_checked(changes: DataFrame, signals: DataFrame, window: int) -> DataFrame:
+    """changes (what change_events gives) with the nearest signal (session_id, id, t, side; no side fits any channel) within window.
+
+    A match lifts the confidence to 0.85 of it and 0.15; without one a confirmed change is UNCERTAIN. Adds signal_id.
+    """
+    a = changes.select("session_id", F.col("id").alias("a_id"), F.col("t").alias("a_t"), "channel")
+    s = signals.select("session_id", F.col("id").alias("c_id"), F.col("t").alias("c_t"), "side")
+    pairs = range_pairs(a, s, ["session_id"], window, window, "a_t", "c_t").where(F.col("side").isNull() | (F.col("side") == F.col("channel")))
+    best = pairs.groupBy("a_id").agg(F.min(F.struct(F.abs(F.col("c_t") - F.col("a_t")).alias("gap"), "c_t", "c_id")).alias("m")).select(F.col("a_id").alias("id"), F.col("m.c_id").alias("signal_id"))
+    out, met = changes.join(best.hint("shuffle_merge"), "id", "left"), F.col("signal_id").isNotNull()
+    lifted = F.least(F.lit(1.0), F.col("confidence") * 0.85 + 0.15)
+    return out.withColumns({"confidence": F.when(met, lifted).otherwise(F.col("confidence")), "status": F.when(~met & (F.col("status") == "CONFIRMED"), "UNCERTAIN").otherwise(F.col("status"))})
+
+
 def hit_groups(hits: DataFrame, keys: list[str], gap: int, threshold: float) -> DataFrame:
     """Runs of hits (keys, id, t, confidence) over the threshold: weighted time, mean and best confidence, rows."""
     runs = islands(hits.where(F.col("confidence") >= threshold), keys, "t", "id", gap=gap)

@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def register(spark: SparkSession, sf_dir: str, prefix: str = "") -> list[str]:
+    """Temporary views of every table and of the shapes below, for SQL; returns their names."""
+    shapes = {"session_events": events, "readings": readings, "states": states, "positions": positions, "actions": actions, "document_hashes": document_hashes}
+    names = []
+    for name, make in [*((t, None) for t in TABLES), *shapes.items()]:
+        (make(spark, sf_dir) if make else table(spark, sf_dir, name)).createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with time in microseconds, k of their properties, a confidence, a source and a side."""
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")

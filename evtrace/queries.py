@@ -212,16 +212,27 @@ def throttled_rows(spark, sf_dir):
     return T.throttle(V.events(spark, sf_dir).select("session_id", "t", "event_id"), ["session_id"], 12 * HOUR)
 
 
-@query("WITH RECURSIVE" + V.SQL_READINGS + f""",
-m AS (SELECT *, lag(value) OVER (PARTITION BY session_id, channel ORDER BY t, id) AS p FROM rd),
+_CHANGES = "WITH RECURSIVE" + V.SQL_READINGS + f""",
+m AS (SELECT *, lag(value) OVER (PARTITION BY session_id, channel ORDER BY t, id) AS p FROM rd WHERE confidence >= 0.25),
 o AS (SELECT *, row_number() OVER (PARTITION BY session_id, channel ORDER BY t, id) AS n FROM m WHERE p IS NOT NULL AND p <> value),
 r AS (
-  SELECT session_id, channel, id, t, p, value, n, t AS kept, true AS keep FROM o WHERE n = 1
+  SELECT session_id, channel, id, t, p, value, confidence, n, t AS kept, true AS keep FROM o WHERE n = 1
   UNION ALL
-  SELECT o.session_id, o.channel, o.id, o.t, o.p, o.value, o.n, CASE WHEN o.t - r.kept >= {12 * HOUR} THEN o.t ELSE r.kept END, o.t - r.kept >= {12 * HOUR} FROM r JOIN o ON o.session_id = r.session_id AND o.channel = r.channel AND o.n = r.n + 1)
-SELECT session_id, channel, id, t, p AS from_value, value AS to_value, CASE WHEN value <= p OR value - p > 1 THEN 'NEED_REVIEW' ELSE 'CONFIRMED' END AS status FROM r WHERE keep""")
+  SELECT o.session_id, o.channel, o.id, o.t, o.p, o.value, o.confidence, o.n, CASE WHEN o.t - r.kept >= {12 * HOUR} THEN o.t ELSE r.kept END, o.t - r.kept >= {12 * HOUR} FROM r JOIN o ON o.session_id = r.session_id AND o.channel = r.channel AND o.n = r.n + 1),
+ce AS (SELECT session_id, channel, id, t, p AS from_value, value AS to_value, confidence, CASE WHEN value <= p OR value - p > 1 THEN 'NEED_REVIEW' ELSE 'CONFIRMED' END AS status FROM r WHERE keep)"""
+
+
+@query(_CHANGES + " SELECT session_id, channel, id, t, from_value, to_value, status FROM ce")
 def change_events(spark, sf_dir):
-    return series.change_events(V.readings(spark, sf_dir), 1, 12 * HOUR).drop("confidence")
+    return series.change_events(V.readings(spark, sf_dir), 1, 12 * HOUR, 0.25).drop("confidence")
+
+
+@query(_CHANGES + f""",
+x AS (SELECT ce.id, s.event_id AS signal_id FROM ce JOIN ev s ON s.session_id = ce.session_id AND s.event_type = 'click' AND abs(s.t - ce.t) <= {6 * HOUR} AND (s.k % 10 = 0 OR s.side = ce.channel) QUALIFY row_number() OVER (PARTITION BY ce.id ORDER BY abs(s.t - ce.t), s.t, s.event_id) = 1)
+SELECT session_id, channel, id, t, from_value, to_value, signal_id, round(CASE WHEN signal_id IS NULL THEN confidence ELSE least(1, confidence * 0.85 + 0.15) END, 6) AS confidence, CASE WHEN signal_id IS NULL AND status = 'CONFIRMED' THEN 'UNCERTAIN' ELSE status END AS status FROM ce LEFT JOIN x USING (id)""")
+def checked_changes(spark, sf_dir):
+    signals = V.events(spark, sf_dir).where("event_type = 'click'").select("session_id", F.col("event_id").alias("id"), "t", F.when(F.col("k") % 10 != 0, F.col("side")).alias("side"))
+    return series.cross_checked(series.change_events(V.readings(spark, sf_dir), 1, 12 * HOUR, 0.25), signals, 6 * HOUR).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("WITH" + V.SQL_EVENTS + f""",
@@ -236,58 +247,152 @@ def hit_groups(spark, sf_dir):
     return out.select("session_id", "event_type", "start_t", "end_t", "hits", F.round("mean_conf", 6).alias("mean_conf"), F.round("best_conf", 6).alias("best_conf"), "peak_id", "status")
 
 
-_INCIDENTS = _pairs_sql("purchase", "click", 6) + """,
-m AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY gap, c_conf DESC, c_t, c_id) = 1),
-inc AS (SELECT ev.session_id, ev.event_id AS incident_id, ev.confidence AS signal_conf, m.c_conf AS change_conf, m.c_t - ev.t AS delay FROM ev LEFT JOIN m ON m.a_id = ev.event_id WHERE event_type = 'purchase'),
+def _conf_sql(*parts: tuple[int, str]) -> str:
+    """Weighted sum of confidences, weights in hundredths, rounded to six places."""
+    return _PPM.format(num=" + ".join(f"{w} * coalesce({_NANO.format(c=c)}, 0)" for w, c in parts), den="100::HUGEINT")
+
+
+_OWN = _conf_sql((100, "confidence"))
+_SUPPORT = "greatest(coalesce(recovery_conf, 0), coalesce(state_conf, 0), confidence)"
+_BACK = "coalesce(recovery_conf, confidence)"
+_SCORE = "coalesce(location_score, 0)"
+_TYPED = V.SQL_EVENTS + """,
+inc AS (
+  SELECT session_id, event_id AS incident_id, t, confidence, CASE event_type WHEN 'purchase' THEN 'primary' WHEN 'click' THEN 'candidate' WHEN 'error' THEN CASE k % 3 WHEN 0 THEN 'recovery' WHEN 1 THEN 'recovery_missing' ELSE 'down_only' END ELSE 'other' END AS incident_type,
+    CASE WHEN k % 4 <> 0 THEN k / 100.0 END::DOUBLE AS signal_conf, CASE WHEN k % 5 <> 0 THEN confidence END AS change_conf, CASE WHEN k % 7 <> 0 THEN (k - 50)::BIGINT * 100000 END AS delay,
+    CASE WHEN k % 3 = 0 THEN (99 - k) / 100.0 END::DOUBLE AS recovery_conf, CASE WHEN k % 2 = 0 THEN k / 100.0 END::DOUBLE AS state_conf,
+    CASE k % 5 WHEN 1 THEN 'PASS' WHEN 2 THEN 'fail' WHEN 3 THEN 'UNCERTAIN' WHEN 4 THEN 'ODD' END AS location_result, confidence AS location_score
+  FROM ev)"""
+_RULES = _TYPED + f""",
 cust AS (SELECT c_custkey AS session_id FROM customer),
-fi AS (
-  SELECT session_id, incident_id, CASE WHEN change_conf IS NOT NULL AND signal_conf >= 0.45 AND change_conf >= 0.45 THEN CASE WHEN abs(delay) <= 7200000000 THEN 'PASS' ELSE 'FAIL' END WHEN change_conf IS NOT NULL THEN 'UNCERTAIN' WHEN signal_conf >= 0.45 THEN 'FAIL' ELSE 'UNCERTAIN' END AS result,
-    greatest(signal_conf, coalesce(change_conf, 0)) AS confidence FROM inc
-  UNION ALL SELECT session_id, NULL, 'UNCERTAIN', 0.0 FROM cust WHERE session_id NOT IN (SELECT session_id FROM inc)),
-ob AS (
-  SELECT session_id, CASE WHEN bool_or(result = 'FAIL') THEN 'FAIL' WHEN bool_or(result = 'UNCERTAIN') THEN 'UNCERTAIN' ELSE 'PASS' END AS result,
-    max(confidence) FILTER (result = 'FAIL') AS f, avg(confidence) FILTER (result = 'UNCERTAIN') AS u, min(confidence) FILTER (result = 'PASS') AS p, count(*) AS findings
-  FROM fi WHERE session_id IN (SELECT session_id FROM cust) GROUP BY session_id)"""
+counted AS (SELECT *, coalesce(signal_conf, 0) >= 0.45 AS has_signal, coalesce(change_conf, 0) >= 0.45 AS has_change FROM inc WHERE incident_type IN ('primary', 'candidate')),
+down AS (SELECT *, coalesce(signal_conf, 0) >= 0.45 AS has_signal, upper(location_result) AS verdict FROM inc WHERE incident_type IN ('recovery', 'recovery_missing', 'down_only')),
+every AS (
+  SELECT session_id, incident_id, 'count' AS rule, CASE WHEN has_signal AND has_change THEN CASE WHEN delay IS NULL OR delay <= 2000000 THEN 'PASS' ELSE 'FAIL' END WHEN has_signal THEN 'FAIL' WHEN has_change THEN 'NEED_REVIEW' ELSE 'UNCERTAIN' END AS result,
+    CASE WHEN has_signal AND has_change THEN {_conf_sql((50, "change_conf"), (30, "signal_conf"), (20, "confidence"))} WHEN has_signal THEN {_conf_sql((65, "signal_conf"), (35, "confidence"))} WHEN has_change THEN {_conf_sql((70, "change_conf"), (30, "confidence"))} ELSE {_OWN} END AS confidence,
+    CASE WHEN has_signal AND has_change THEN CASE WHEN delay > 2000000 THEN 'change_delay_exceeded' ELSE '' END WHEN has_signal THEN 'missing_change' WHEN has_change THEN 'change_without_signal' ELSE 'weak_evidence' END AS note FROM counted
+  UNION ALL SELECT session_id, incident_id, 'signal', CASE WHEN has_signal OR has_change THEN 'PASS' ELSE 'UNCERTAIN' END, CASE WHEN has_signal THEN {_conf_sql((65, "signal_conf"), (35, "confidence"))} WHEN has_change THEN {_conf_sql((65, "change_conf"), (35, "confidence"))} ELSE {_OWN} END,
+    CASE WHEN has_signal THEN '' WHEN has_change THEN 'change_only_ignored' ELSE 'weak_signal' END FROM counted
+  UNION ALL SELECT session_id, incident_id, 'signal', CASE WHEN has_signal OR {_SUPPORT} >= 0.45 THEN 'PASS' ELSE 'UNCERTAIN' END, CASE WHEN has_signal THEN {_conf_sql((65, "signal_conf"), (35, "confidence"))} ELSE {_conf_sql((100, _SUPPORT))} END,
+    CASE WHEN has_signal THEN '' WHEN {_SUPPORT} >= 0.45 THEN 'missing_optional_signal' ELSE 'weak_signal' END FROM down
+  UNION ALL SELECT session_id, incident_id, 'recovery', CASE WHEN incident_type = 'recovery_missing' THEN 'FAIL' WHEN incident_type = 'down_only' OR verdict IS NULL THEN 'UNCERTAIN' WHEN verdict = 'PASS' AND {_SCORE} >= 0.75 THEN 'PASS' WHEN verdict = 'FAIL' OR {_SCORE} <= 0.45 THEN 'FAIL' WHEN verdict IN ('UNCERTAIN', 'OBSERVED', 'UNKNOWN') THEN 'UNCERTAIN' ELSE 'NEED_REVIEW' END,
+    CASE WHEN incident_type = 'recovery_missing' THEN {_conf_sql((100, f"greatest(confidence, {_BACK})"))} WHEN incident_type = 'down_only' OR verdict IS NULL THEN {_OWN} WHEN verdict = 'PASS' AND {_SCORE} >= 0.75 THEN {_conf_sql((75, _SCORE), (25, _BACK))}
+      WHEN verdict = 'FAIL' OR {_SCORE} <= 0.45 THEN {_conf_sql((100, f"greatest({_SCORE}, confidence)"))} WHEN verdict IN ('UNCERTAIN', 'OBSERVED', 'UNKNOWN') THEN greatest({_conf_sql((100, _SCORE))}, {_conf_sql((50, "confidence"))}) ELSE {_conf_sql((100, f"greatest({_SCORE}, confidence)"))} END,
+    CASE WHEN incident_type = 'recovery_missing' THEN 'missing_recovery' WHEN incident_type = 'down_only' THEN 'down_without_recovery' WHEN verdict IS NULL THEN 'missing_location_check' WHEN verdict = 'PASS' AND {_SCORE} >= 0.75 THEN '' WHEN verdict = 'FAIL' OR {_SCORE} <= 0.45 THEN 'location_mismatch_or_low_score' WHEN verdict IN ('UNCERTAIN', 'OBSERVED', 'UNKNOWN') THEN 'location_uncertain' ELSE 'unexpected_location_status' END FROM down
+  UNION ALL SELECT session_id, NULL, 'count', 'UNCERTAIN', 0.0, 'no_incidents' FROM cust WHERE session_id NOT IN (SELECT session_id FROM counted)
+  UNION ALL SELECT session_id, NULL, 'signal', 'UNCERTAIN', 0.0, 'no_incidents' FROM cust WHERE session_id NOT IN (SELECT session_id FROM counted UNION ALL SELECT session_id FROM down)
+  UNION ALL SELECT session_id, NULL, 'recovery', 'PASS', 1.0, 'no_recovery_required' FROM cust WHERE session_id NOT IN (SELECT session_id FROM down)),
+fi AS (SELECT * FROM every WHERE rule = 'count'),
+obs AS (
+  SELECT session_id, rule, bool_or(result = 'FAIL') AS any_fail, bool_or(result = 'NEED_REVIEW') AS any_review, bool_or(result = 'UNCERTAIN') AS any_uncertain,
+    max(confidence) FILTER (result = 'FAIL') AS f, max(confidence) FILTER (result = 'NEED_REVIEW') AS n, min(confidence) FILTER (result = 'PASS') AS p, count(*) AS findings,
+    {_PPM.format(num="sum(round(confidence * 1e6)::HUGEINT * 1000) FILTER (result = 'UNCERTAIN')", den="nullif(count(*) FILTER (result = 'UNCERTAIN'), 0)::HUGEINT")} AS u
+  FROM every WHERE session_id IN (SELECT session_id FROM cust) GROUP BY session_id, rule),
+obj AS (SELECT session_id, rule, findings, CASE WHEN any_fail THEN 'FAIL' WHEN any_review THEN 'NEED_REVIEW' WHEN any_uncertain THEN 'UNCERTAIN' ELSE 'PASS' END AS result, CASE WHEN any_fail THEN f WHEN any_review THEN n WHEN any_uncertain THEN u ELSE p END AS confidence FROM obs),
+ob AS (SELECT * FROM obj WHERE rule = 'count')"""
 
 
 def _incidents(spark, sf_dir):
-    ev = V.events(spark, sf_dir)
-    left, right = _sides(ev, "purchase", "click")
-    own = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("a_id"), F.col("confidence").alias("signal_conf"))
-    hit = T.nearest_match(left, right, 6 * HOUR).join(own.hint("shuffle_merge"), "a_id").join(right.select("c_id", F.col("c_conf").alias("change_conf")).hint("shuffle_merge"), "c_id", "left")
-    null = F.lit(None)
-    return hit.select("session_id", F.col("a_id").alias("incident_id"), "signal_conf", "change_conf", (F.col("c_t") - F.col("a_t")).alias("delay"), F.lit(0).alias("supporting"), null.cast("long").alias("down_t"), null.cast("long").alias("recovered_t"), null.cast("double").alias("location"))
+    ev, kind, k, conf = V.events(spark, sf_dir), F.col("event_type"), F.col("k"), F.col("confidence")
+    typed = F.when(kind == "purchase", "primary").when(kind == "click", "candidate").when(kind == "error", F.element_at(F.array(*map(F.lit, rules.DOWN)), k % 3 + 1)).otherwise("other")
+    return ev.select(
+        "session_id", F.col("event_id").alias("incident_id"), "t", "confidence", typed.alias("incident_type"), F.when(k % 4 != 0, k / 100).alias("signal_conf"), F.when(k % 5 != 0, conf).alias("change_conf"), F.when(k % 7 != 0, (k - 50).cast("long") * 100_000).alias("delay"),
+        F.when(k % 3 == 0, (99 - k) / 100).alias("recovery_conf"), F.when(k % 2 == 0, k / 100).alias("state_conf"), F.when(k % 5 == 1, "PASS").when(k % 5 == 2, "fail").when(k % 5 == 3, "UNCERTAIN").when(k % 5 == 4, "ODD").alias("location_result"), conf.alias("location_score"),
+    )
 
 
-def _findings(spark, sf_dir):
+def _every_finding(spark, sf_dir):
     sessions = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("session_id"))
-    found = rules.findings(_incidents(spark, sf_dir), sessions, rules.Policy(max_delay=2 * HOUR)).where("rule = 'count'")
-    return sessions, found
+    return sessions, rules.findings(_incidents(spark, sf_dir), sessions).withColumn("confidence", F.round("confidence", 6))
+
 
+def _findings(spark, sf_dir):
+    sessions, found = _every_finding(spark, sf_dir)
+    return sessions, found.where("rule = 'count'").drop("notes")
 
-@query("WITH" + _INCIDENTS + " SELECT session_id, incident_id, result, round(confidence, 6) AS confidence FROM fi")
+
+_SHOWN = " SELECT session_id, incident_id, result, confidence, note FROM every WHERE rule = '{}'"
+
+
+def _by_rule(spark, sf_dir, rule):
+    return _every_finding(spark, sf_dir)[1].where(F.col("rule") == rule).select("session_id", "incident_id", "result", "confidence", F.array_join("notes", ",").alias("note"))
+
+
+@query("WITH" + _RULES + _SHOWN.format("count"))
 def rule_count(spark, sf_dir):
-    return _findings(spark, sf_dir)[1].select("session_id", "incident_id", "result", F.round("confidence", 6).alias("confidence"))
+    return _by_rule(spark, sf_dir, "count")
+
+
+@query("WITH" + _RULES + _SHOWN.format("signal"))
+def rule_signal(spark, sf_dir):
+    return _by_rule(spark, sf_dir, "signal")
+
+
+@query("WITH" + _RULES + _SHOWN.format("recovery"))
+def rule_recovery(spark, sf_dir):
+    return _by_rule(spark, sf_dir, "recovery")
+
+
+def _three_objectives(spark, sf_dir):
+    sessions, found = _every_finding(spark, sf_dir)
+    subjects = sessions.select("session_id", F.explode(F.array(*map(F.lit, rules.RULES))).alias("rule"))
+    return R.objective_rollup(subjects, found, ["session_id", "rule"]).withColumn("confidence", F.round("confidence", 6))
+
+
+_VERDICTS = """,
+ve AS (
+  SELECT session_id, count(*) FILTER (result = 'FAIL') AS fail, count(*) FILTER (result = 'NEED_REVIEW') AS need_review, count(*) FILTER (result = 'UNCERTAIN') AS uncertain, count(*) FILTER (result = 'PASS') AS pass, sum(findings)::BIGINT AS findings,
+    max(confidence) FILTER (result = 'FAIL') AS f, max(confidence) FILTER (result = 'NEED_REVIEW') AS n, min(confidence) AS p, """ + _PPM.format(num="sum(round(confidence * 1e6)::HUGEINT * 1000) FILTER (result = 'UNCERTAIN')", den="nullif(count(*) FILTER (result = 'UNCERTAIN'), 0)::HUGEINT") + """ AS u
+  FROM obj GROUP BY session_id),
+vd AS (SELECT session_id, fail, need_review, uncertain, pass, findings, CASE WHEN fail > 0 THEN 'FAIL' WHEN need_review > 0 THEN 'NEED_REVIEW' WHEN uncertain > 0 THEN 'UNCERTAIN' ELSE 'PASS' END AS verdict, CASE WHEN fail > 0 THEN f WHEN need_review > 0 THEN n WHEN uncertain > 0 THEN u ELSE p END AS confidence FROM ve)"""
+
+
+@query("WITH" + _RULES + _VERDICTS + " SELECT * FROM vd")
+def session_verdicts(spark, sf_dir):
+    return R.session_verdicts(_three_objectives(spark, sf_dir), ["session_id"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("WITH" + _RULES + _VERDICTS + " SELECT CASE WHEN count(*) = 0 THEN 'UNKNOWN' WHEN bool_or(verdict = 'FAIL') THEN 'FAIL' WHEN bool_or(verdict = 'NEED_REVIEW') THEN 'NEED_REVIEW' WHEN bool_or(verdict = 'UNCERTAIN') THEN 'UNCERTAIN' ELSE 'PASS' END AS verdict, count(*) AS subjects, count(*) FILTER (verdict = 'FAIL') AS fail, count(*) FILTER (verdict = 'NEED_REVIEW') AS need_review, count(*) FILTER (verdict = 'UNCERTAIN') AS uncertain, count(*) FILTER (verdict = 'PASS') AS pass FROM vd")
+def dataset_verdict(spark, sf_dir):
+    return R.dataset_verdict(R.session_verdicts(_three_objectives(spark, sf_dir), ["session_id"]))
+
+
+@query("WITH" + _RULES + " SELECT rule, note, count(*) AS findings FROM every WHERE result <> 'PASS' AND note <> '' GROUP BY rule, note")
+def uncertainty_causes(spark, sf_dir):
+    return R.uncertainty_causes(_every_finding(spark, sf_dir)[1], ["rule"])
+
+
+@query("WITH" + _RULES + """,
+tr AS (
+  SELECT e.session_id, e.incident_id, e.rule, coalesce(change_conf, 0) AS cc, coalesce(signal_conf, 0) AS sc, coalesce(recovery_conf, i.confidence) AS rc, incident_type, e.result = 'PASS' AS passed FROM every e JOIN inc i USING (incident_id))
+SELECT session_id, incident_id, rule, 'change_detected' AS condition, true AS expected, cc >= 0.45 AS observed, cc AS confidence, CASE WHEN cc >= 0.45 THEN 'satisfied' ELSE 'not_satisfied' END AS outcome, '' AS note FROM tr WHERE rule = 'count'
+UNION ALL SELECT session_id, incident_id, rule, 'signal_detected', true, sc >= 0.45, sc, CASE WHEN sc >= 0.45 THEN 'satisfied' ELSE 'not_satisfied' END, '' FROM tr WHERE rule = 'count' OR rule = 'signal' AND incident_type = 'primary'
+UNION ALL SELECT session_id, incident_id, rule, 'down_signal_detected', true, sc >= 0.45, sc, CASE WHEN sc >= 0.45 THEN 'satisfied' ELSE 'not_required' END, CASE WHEN sc >= 0.45 THEN '' ELSE 'optional' END FROM tr WHERE rule = 'signal' AND incident_type NOT IN ('primary', 'candidate')
+UNION ALL SELECT session_id, incident_id, rule, 'recovery_detected', true, passed, rc, CASE WHEN passed THEN 'satisfied' ELSE 'not_satisfied' END, '' FROM tr WHERE rule = 'recovery'""")
+def decision_traces(spark, sf_dir):
+    facts = _incidents(spark, sf_dir).select("incident_id", "incident_type", "signal_conf", "change_conf", "recovery_conf", F.col("confidence").alias("own"))
+    found = _every_finding(spark, sf_dir)[1].drop("confidence").join(facts.hint("shuffle_merge"), "incident_id").withColumnRenamed("own", "confidence")
+    return rules.decision_trace(found).select("session_id", "incident_id", "rule", F.explode("trace").alias("x")).select("session_id", "incident_id", "rule", "x.condition", "x.expected", "x.observed", F.round("x.confidence", 6).alias("confidence"), F.col("x.result").alias("outcome"), "x.note")
 
 
 def _objectives(spark, sf_dir):
     return R.objective_rollup(*_findings(spark, sf_dir), ["session_id"])
 
 
-@query("WITH" + _INCIDENTS + " SELECT session_id, result, round(CASE result WHEN 'FAIL' THEN f WHEN 'UNCERTAIN' THEN u ELSE p END, 6) AS confidence, findings FROM ob")
+@query("WITH" + _RULES + " SELECT session_id, result, confidence, findings FROM ob")
 def objectives(spark, sf_dir):
     return _objectives(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("WITH" + _INCIDENTS + """
-SELECT c_mktsegment AS segment, count(*) AS checks, count(*) FILTER (result = 'FAIL') AS fail, 0::BIGINT AS need_review, count(*) FILTER (result = 'UNCERTAIN') AS uncertain, count(*) FILTER (result = 'PASS') AS pass
+@query("WITH" + _RULES + """
+SELECT c_mktsegment AS segment, count(*) AS checks, count(*) FILTER (result = 'FAIL') AS fail, count(*) FILTER (result = 'NEED_REVIEW') AS need_review, count(*) FILTER (result = 'UNCERTAIN') AS uncertain, count(*) FILTER (result = 'PASS') AS pass
 FROM ob JOIN customer ON c_custkey = session_id GROUP BY GROUPING SETS ((c_mktsegment), ())""")
 def dataset_summary(spark, sf_dir):
     segment = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("session_id"), F.col("c_mktsegment").alias("segment"))
     return R.result_matrix(_objectives(spark, sf_dir).join(segment.hint("shuffle_merge"), "session_id"), "segment")
 
 
-@query("WITH" + _INCIDENTS + """,
+@query("WITH" + _RULES + """,
 ch AS (SELECT session_id, incident_id AS check_id, result FROM fi WHERE incident_id IS NOT NULL)
 SELECT session_id, check_id, result FROM ch WHERE result <> 'PASS' AND check_id NOT IN (SELECT event_id FROM ev WHERE k < 10)""")
 def review_queue(spark, sf_dir):
@@ -296,7 +401,7 @@ def review_queue(spark, sf_dir):
     return R.review_queue(checks, excluded)
 
 
-@query("WITH" + _INCIDENTS + " SELECT session_id, incident_id, confidence, rank FROM (SELECT session_id, incident_id, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY session_id ORDER BY round(confidence, 6) DESC, incident_id) AS rank FROM fi WHERE result = 'PASS') WHERE rank <= 2")
+@query("WITH" + _RULES + " SELECT session_id, incident_id, confidence, rank FROM (SELECT session_id, incident_id, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY session_id ORDER BY round(confidence, 6) DESC, incident_id) AS rank FROM fi WHERE result = 'PASS') WHERE rank <= 2")
 def pass_examples(spark, sf_dir):
     passed = _findings(spark, sf_dir)[1].where("result = 'PASS'").select("session_id", "incident_id", F.round("confidence", 6).alias("confidence"))
     return R.top_per_group(passed, ["session_id"], [F.desc("confidence"), "incident_id"], 2).withColumn("rank", F.col("rank").cast("long"))
@@ -330,16 +435,28 @@ def nearest_reference(spark, sf_dir):
 
 
 @query(r"""
-WITH e AS (SELECT DISTINCT n_name AS entry, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS e FROM nation),
-q AS (SELECT n_nationkey AS q_id, regexp_replace(lower(' ' || substr(n_name, 2)), '[^a-z0-9]', '', 'g') AS q FROM nation),
-s AS (
-  SELECT q_id, entry, 1 - levenshtein(q, e) / greatest(length(q), length(e)) AS ratio, CASE WHEN contains(q, e) OR contains(e, q) THEN least(length(q), length(e)) / greatest(length(q), length(e)) ELSE 0 END AS inside
-  FROM q JOIN e ON len(list_filter(range(1, length(q)), lambda i: contains(e, substr(q, i, 2)))) > 0),
-t AS (SELECT q_id, entry, round(greatest(ratio, inside * 0.45 + ratio * 0.55), 6) AS score FROM s)
-SELECT q_id, entry, score FROM t WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, entry) = 1""")
+WITH e AS (SELECT DISTINCT p_brand AS entry, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS e FROM part),
+q AS (SELECT p_partkey AS q_id, regexp_replace(lower(CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN substr(p_brand, 2) || 'x' WHEN 2 THEN 'of ' || p_brand ELSE 'z' || (p_partkey % 89) END), '[^a-z0-9]', '', 'g') AS q, (p_partkey % 101) / 100.0::DOUBLE AS c FROM part),
+s AS (SELECT q_id, c, entry, round(CASE WHEN contains(q, e) OR contains(e, q) THEN 1.0 ELSE 1 - levenshtein(q, e) / greatest(length(q), length(e)) END, 9) AS score FROM q, e),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, entry) = 1)
+SELECT q_id, entry, round(score, 6) AS score, round(CASE WHEN c >= 0.25 AND score >= 0.55 THEN 0.55 * c + 0.45 * score ELSE c * score END, 5) AS confidence, CASE WHEN c < 0.25 THEN 'low_reading' WHEN score < 0.55 THEN 'low_match' ELSE 'ok' END AS status FROM b""")
 def fuzzy_match(spark, sf_dir):
-    n = V.table(spark, sf_dir, "nation")
-    return L.fuzzy_match(n.select(F.col("n_nationkey").alias("q_id"), F.concat(F.lit(" "), F.substring("n_name", 2, 100)).alias("name")), n.select(F.col("n_name").alias("entry")))
+    part, key, brand = V.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_brand")
+    name = F.when(key % 4 == 0, brand).when(key % 4 == 1, F.concat(F.substring(brand, 2, 100), F.lit("x"))).when(key % 4 == 2, F.concat(F.lit("of "), brand)).otherwise(F.concat(F.lit("z"), key % 89))
+    out = L.fuzzy_match(part.select(key.alias("q_id"), name.alias("name"), (key % 101 / 100).alias("confidence")), part.select(brand.alias("entry")))
+    return out.withColumns({"score": F.round("score", 6), "confidence": F.round("confidence", 5)})
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS frame, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 7 + 1)::VARCHAR ELSE CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END END AS key, 'no. ' || o_custkey AS value FROM orders),
+d AS (SELECT frame, key, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM l)
+SELECT l_orderkey AS frame, l_linenumber::VARCHAR AS slot, l_returnflag AS side, coalesce(a.digits, b.digits) AS label FROM lineitem LEFT JOIN d a ON a.frame = l_orderkey AND a.key = l_linenumber::VARCHAR LEFT JOIN d b ON b.frame = l_orderkey AND b.key = l_returnflag""")
+def labelled_frames(spark, sf_dir):
+    frames = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("string").alias("slot"), F.col("l_returnflag").alias("side"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    side = F.when(cust % 3 == 0, "A").when(cust % 3 == 1, "N").otherwise("R")
+    labels = V.table(spark, sf_dir, "orders").select(key.alias("frame"), F.when(key % 2 == 0, (cust % 7 + 1).cast("string")).otherwise(side).alias("key"), F.concat(F.lit("no. "), cust).alias("value"), F.lit(0).alias("seq"))
+    return L.apply_labels(frames, labels)
 
 
 _PATH = V.SQL_POSITIONS + """,
@@ -352,9 +469,36 @@ def trajectory(spark, sf_dir):
     return spatial.trajectory(V.positions(spark, sf_dir)).select("session_id", "id", F.round("step", 4).alias("step"), F.round("from_home", 4).alias("from_home"))
 
 
-@query("WITH" + _PATH + " SELECT session_id, id, t FROM tr WHERE step > 200 AND from_home < 80")
+_JUMPS = "WITH RECURSIVE" + _PATH + """,
+o AS (SELECT *, step > 150 AND from_home < 120 AS back, row_number() OVER (PARTITION BY session_id ORDER BY t, id) AS n FROM tr),
+f AS (
+  SELECT session_id, id, t, n, from_home AS far, CASE WHEN back AND from_home > 150 THEN 1 ELSE 0 END AS hits, back AND from_home > 150 AS hit, from_home AS since, back FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.session_id, o.id, o.t, o.n, CASE WHEN o.back AND greatest(CASE WHEN f.hit THEN 0 ELSE f.far END, o.from_home) > 150 AND f.hits < 5 THEN o.from_home ELSE greatest(CASE WHEN f.hit THEN 0 ELSE f.far END, o.from_home) END,
+    f.hits + CASE WHEN o.back AND greatest(CASE WHEN f.hit THEN 0 ELSE f.far END, o.from_home) > 150 AND f.hits < 5 THEN 1 ELSE 0 END, o.back AND greatest(CASE WHEN f.hit THEN 0 ELSE f.far END, o.from_home) > 150 AND f.hits < 5,
+    greatest(CASE WHEN f.back THEN 0 ELSE f.since END, o.from_home), o.back
+  FROM f JOIN o ON o.session_id = f.session_id AND o.n = f.n + 1)"""
+
+
+@query(_JUMPS + " SELECT session_id, id, t, hits::INTEGER AS n FROM f WHERE hit")
 def teleports(spark, sf_dir):
-    return spatial.teleports(spatial.trajectory(V.positions(spark, sf_dir)), 200.0, 80.0).select("session_id", "id", "t")
+    return spatial.teleports(spatial.trajectory(V.positions(spark, sf_dir)), 150.0, 120.0)
+
+
+@query(_JUMPS + " SELECT session_id, id, round(since, 4) AS farthest FROM f")
+def farthest_points(spark, sf_dir):
+    return spatial.farthest_since(spatial.trajectory(V.positions(spark, sf_dir)), 150.0, 120.0).select("session_id", "id", F.round("farthest", 4).alias("farthest"))
+
+
+@query(_JUMPS + f""",
+w AS (SELECT h.id AS r_id, p.t, p.id, p.step < 400 AS calm FROM f h JOIN tr p ON h.hit AND p.session_id = h.session_id AND p.t > h.t AND p.t <= h.t + {72 * HOUR}),
+g AS (SELECT *, sum(CASE WHEN calm THEN 0 ELSE 1 END) OVER (PARTITION BY r_id ORDER BY t, id) AS run FROM w),
+n AS (SELECT r_id, t, row_number() OVER (PARTITION BY r_id, run ORDER BY t, id) AS n FROM g WHERE calm),
+z AS (SELECT r_id, min(t) AS s FROM n WHERE n = 2 GROUP BY r_id)
+SELECT session_id, f.id, coalesce(s, f.t + {72 * HOUR}) AS settled_t, s IS NOT NULL AS settled FROM f LEFT JOIN z ON z.r_id = f.id WHERE hit""")
+def settled_recoveries(spark, sf_dir):
+    path = settle(spatial.trajectory(V.positions(spark, sf_dir)))
+    return spatial.settle_after(spatial.teleports(path, 150.0, 120.0), path, 400.0, 2, 72 * HOUR)
 
 
 @query("WITH" + _PATH + """,
@@ -383,6 +527,32 @@ def zones(spark, sf_dir):
     return V.positions(spark, sf_dir).select("session_id", "id", spatial.walkable(F.col("x"), F.col("y"), OBSTACLES, CORRIDORS, FLOORS).alias("walkable"))
 
 
+def _free_sql(x: str, y: str) -> str:
+    return f"CASE WHEN {x} >= 600 AND {x} < 900 AND {y} >= 200 AND {y} < 420 THEN false WHEN {x} >= 0 AND {x} < 60 AND {y} >= 300 AND {y} < 360 THEN true ELSE {x} >= 60 AND {x} < 1920 AND {y} >= 60 AND {y} < 600 END"
+
+
+@query("WITH" + V.SQL_POSITIONS + f""",
+g AS (SELECT gx, gy FROM range(80) a(gx), range(28) b(gy) WHERE {_free_sql("(gx + 0.5) * 25", "(gy + 0.5) * 25")}),
+c AS (SELECT DISTINCT floor(x / 25)::BIGINT AS cx, floor(y / 25)::BIGINT AS cy FROM po),
+m AS (SELECT cx, cy, gx, gy FROM c JOIN g ON greatest(abs(gx - cx), abs(gy - cy)) <= 59 QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY greatest(abs(gx - cx), abs(gy - cy)), gx - cx, gy - cy) = 1)
+SELECT id, round_even(gx * 25 + 12.5, 0)::BIGINT AS sx, round_even(gy * 25 + 12.5, 0)::BIGINT AS sy FROM po JOIN m ON cx = floor(x / 25) AND cy = floor(y / 25)""")
+def snapped_points(spark, sf_dir):
+    points = V.positions(spark, sf_dir).select("id", "x", "y")
+    return spatial.snap_to_walkable(points, OBSTACLES, CORRIDORS, FLOORS, 25.0, 80, 28).select("id", "sx", "sy")
+
+
+@query("WITH" + V.SQL_POSITIONS + f""",
+n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM po WINDOW w AS (PARTITION BY session_id ORDER BY t, id)),
+s AS (SELECT id, floor(x / 30) AS ax, floor(y / 30) AS ay, floor(nx / 30) AS bx, floor(ny / 30) AS dy FROM n WHERE nx IS NOT NULL),
+p AS (SELECT *, unnest(range(0, greatest(abs(bx - ax), abs(dy - ay), 1)::BIGINT + 1)) AS i, greatest(abs(bx - ax), abs(dy - ay), 1) AS steps FROM s),
+c AS (SELECT id, (round(ax + (bx - ax) * i / steps) + 0.5) * 30 AS x, (round(ay + (dy - ay) * i / steps) + 0.5) * 30 AS y FROM p)
+SELECT id, bool_and({_free_sql("x", "y")}) AS clear FROM c GROUP BY id""")
+def lines_of_sight(spark, sf_dir):
+    turned = V.positions(spark, sf_dir).withColumns({"_t": -F.col("t"), "_i": -F.col("id")})
+    ahead = T.with_previous(turned, ["session_id"], "_t", "_i", ["x", "y"], "n").where("n is not null")
+    return spatial.line_of_sight(ahead.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n.x").alias("x2"), F.col("n.y").alias("y2")), OBSTACLES, CORRIDORS, FLOORS, 30.0)
+
+
 @query("WITH" + V.SQL_ACTIONS + """,
 e AS (SELECT session_id, t_ms, CASE kind WHEN 'mouse_click' THEN 'mouse_down' ELSE kind END AS kind, code FROM ac UNION ALL SELECT session_id, t_ms + 30, 'mouse_up', code FROM ac WHERE kind = 'mouse_click')
 SELECT session_id, t_ms, kind, code FROM e""")
@@ -644,9 +814,9 @@ def location_verdicts(spark, sf_dir):
     return C.location_verdicts(recoveries, evidence, {"text": 0.45, "map": 0.2, "view": 0.2}, 0.15).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("score", "confidence")})  # off the halves
 
 
-@query("WITH" + _INCIDENTS + """
-SELECT session_id, concat_ws(':', session_id, 'count', coalesce(incident_id::VARCHAR, 'session')) AS check_id, 'count_after_signal' AS check_type, 'critical' AS severity, result, round(fi.confidence, 6) AS confidence, result = 'UNCERTAIN' AS uncertain,
-  CASE WHEN result = 'UNCERTAIN' THEN CASE WHEN incident_id IS NULL THEN 'no_incident' WHEN fi.confidence < 0.5 THEN 'low_confidence' ELSE 'conflicting_evidence' END END AS reason,
+@query("WITH" + _RULES + """
+SELECT session_id, concat_ws(':', session_id, 'count', coalesce(incident_id::VARCHAR, 'session')) AS check_id, 'count_after_signal' AS check_type, 'critical' AS severity, result, fi.confidence, result IN ('UNCERTAIN', 'NEED_REVIEW') AS uncertain,
+  CASE WHEN result IN ('UNCERTAIN', 'NEED_REVIEW') THEN CASE WHEN incident_id IS NULL THEN 'no_incident' WHEN fi.confidence < 0.5 THEN 'low_confidence' ELSE 'conflicting_evidence' END END AS reason,
   greatest(0, t - 2000000) AS lo, t + 3000000 AS hi FROM fi LEFT JOIN (SELECT event_id AS incident_id, t FROM ev) USING (incident_id)""")
 def built_checks(spark, sf_dir):
     at = V.events(spark, sf_dir).select(F.col("event_id").alias("incident_id"), "t")
@@ -655,7 +825,7 @@ def built_checks(spark, sf_dir):
     return out.withColumns({"lo": F.when(F.col("hi").isNotNull(), F.col("lo")).otherwise(F.lit(0).cast("long"))})
 
 
-@query("WITH" + _INCIDENTS + """
+@query("WITH" + _RULES + """
 SELECT session_id, incident_id, unnest(CASE WHEN session_id % 3 = 0 THEN ['list', 'count'] WHEN session_id % 3 = 1 THEN ['map'] ELSE ['whole'] END) AS region FROM fi WHERE result <> 'PASS' AND incident_id IS NOT NULL""")
 def selected_evidence(spark, sf_dir):
     found = _findings(spark, sf_dir)[1].where("incident_id is not null")
@@ -737,6 +907,26 @@ def evidence_scores(spark, sf_dir):
     return scored.select("frame", "region", F.round("up", 6).alias("up"), F.round("down", 6).alias("down"), S.argmax_with_priority([("down", F.round("down", 9)), ("up", F.round("up", 9))], 0.4)["state"].alias("state"))
 
 
+@query("""
+WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS region, l_discount::DOUBLE * 10 AS a, (l_linenumber / 10.0)::DOUBLE AS b, (l_partkey % 11 / 10.0)::DOUBLE AS c, (l_suppkey % 11 / 10.0)::DOUBLE AS d, l_quantity::DOUBLE / 50 AS q FROM lineitem),
+g AS (SELECT *, 0.30 * a + 0.35 * b + 0.20 * c + 0.10 * d + 0.05 * a AS display, greatest(CASE WHEN q > 0.9 THEN c ELSE 0 END, d * 0.5 * 0.85, CASE WHEN q < 0.2 THEN d ELSE 0 END) AS panel FROM f),
+h AS (SELECT *, greatest(d * 0.5, panel * 0.92, (1 - b) * 0.30 + (1 - c) * 0.25 + CASE WHEN q < 0.2 THEN d ELSE 0 END * 0.45) AS down, display * (1 - least(0.85, panel)) AS up, CASE WHEN q > 0.5 AND q < 0.6 THEN a ELSE 0 END AS rec FROM g)
+SELECT frame, region, round(up, 8) AS up, round(down, 8) AS down, round(panel, 8) AS panel, round(greatest(rec, CASE WHEN rec > 0 THEN up * 0.7 ELSE 0 END), 8) AS recovered,
+  round(CASE WHEN greatest(a, b, d) < 0.12 THEN (1 - a) * 0.25 + (1 - b) * 0.25 + (1 - d) * 0.25 + (1 - a) * 0.25 ELSE 0 END, 8) AS menu FROM h""")
+def state_scores(spark, sf_dir):
+    col = lambda c: F.col(c).cast("double")
+    a, b, c, d, q = col("l_discount") * 10, F.col("l_linenumber") / 10, F.col("l_partkey") % 11 / 10, F.col("l_suppkey") % 11 / 10, col("l_quantity") / 50
+    made = S.state_scores({"health": a, "tool": b, "aim": c, "map": d, "bar": a}, {"down": d * 0.5, "panel": F.when(q > 0.9, c).otherwise(0.0)}, {"panel": F.when(q < 0.2, d).otherwise(0.0), "recovered": F.when((q > 0.5) & (q < 0.6), a).otherwise(0.0)})
+    return V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("region"), *[F.round(made[k], 8).alias(k) for k in ("up", "down", "panel", "recovered", "menu")])
+
+
+@query("SELECT l_orderkey AS frame, l_linenumber AS region FROM lineitem WHERE l_quantity * 2 >= 45 AND l_discount >= 0.08 AND l_tax >= 0.04 AND (l_partkey % 10 / 100.0 >= 0.04 OR l_suppkey % 10 / 100.0 >= 0.04)")
+def gated_frames(spark, sf_dir):
+    f = V.table(spark, sf_dir, "lineitem")
+    shown = S.display_gate(F.col("l_quantity").cast("double") * 2, F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.col("l_partkey") % 10 / 100, F.col("l_suppkey") % 10 / 100)
+    return f.where(shown).select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("region"))
+
+
 @query("""
 WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS region, l_discount::DOUBLE / 5 AS a1, l_tax::DOUBLE / 4 AS b1, l_tax::DOUBLE / 5 AS a2, l_quantity::DOUBLE / 2500 AS b2 FROM lineitem),
 s AS (SELECT frame, region, CASE WHEN a1 + b1 >= 0.003 THEN CASE WHEN a1 > b1 THEN 'x' ELSE 'y' END END AS p, CASE WHEN a1 + b1 >= 0.003 THEN abs(a1 - b1) / (a1 + b1) * least(1, (a1 + b1) * 80) ELSE 0 END AS pc, CASE WHEN a2 + b2 >= 0.003 THEN CASE WHEN a2 > b2 THEN 'x' ELSE 'y' END END AS q, CASE WHEN a2 + b2 >= 0.003 THEN abs(a2 - b2) / (a2 + b2) * least(1, (a2 + b2) * 80) ELSE 0 END AS qc FROM f),
