@@ -155,36 +155,75 @@ def test_bpe_equals_the_library(spark, odd, none):
     assert bpe.encode(none, path, pattern).count() == 0
 
 
+def plain_fingerprint(text):
+    """position:hash of the least gram of each window, the rightmost of equals, from plain loops."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+    rotate = lambda x: (x << 1 | x >> 63) & mask
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[ \t\n\x0b\f\r]+", text.lower()) if w]
+    grams = []
+    for i in range(max(1, len(words) - fingerprints.K + 1) if words else 0):
+        h = 0
+        for x in words[i : i + fingerprints.K]:
+            h = rotate(h) ^ x
+        grams.append(h >> 25)
+    picked = []
+    for i in range(max(1, len(grams) - fingerprints.WINDOW + 1) if grams else 0):
+        w = grams[i : i + fingerprints.WINDOW]
+        at = i + max(j for j, x in enumerate(w) if x == min(w))
+        if at not in picked:
+            picked.append(at)
+    return [(p, grams[p]) for p in picked]
+
+
+def plain_likeness(a, b):
+    x, y = {h for _, h in a}, {h for _, h in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 def test_fingerprints_against_plain_windows(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs.withColumns({"_h": F.lit(1), "own": F.lit("x"), "range": F.lit(2)})).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     ids = sorted(texts)
-    grams = docs.select("doc_id", fingerprints._grams(fingerprints._words(F.col("text"))).alias("g")).collect()
-    for r in grams:
-        h = [g >> 24 for g in r["g"]]
-        picked = []
-        for i in range(max(1, len(h) - fingerprints.WINDOW + 1) if h else 0):
-            w = h[i : i + fingerprints.WINDOW]
-            at = i + max(j for j, x in enumerate(w) if x == min(w))
-            if at not in picked:
-                picked.append(at)
-        assert got[r["doc_id"]]["fingerprint"] == ",".join(f"{p}:{h[p]:x}" for p in picked)
     for i, d in enumerate(ids):
         own, following = texts[d], texts[ids[(i + 1) % len(ids)]]
         half = len(own) // 2
-        assert got[d]["edited_sha256"] == hashlib.sha256((own[: len(own) - half] + following[:half]).encode()).hexdigest()
+        edited = own[: len(own) - half] + following[:half]
+        a, b, c = map(plain_fingerprint, (own, edited, following))
+        r = got[d]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == ",".join(f"{p}:{h:x}" for p, h in a) and r["edited_fingerprint"] == ",".join(f"{p}:{h:x}" for p, h in b)
+        assert abs(r["near_edited"] - plain_likeness(a, b)) < 1e-12 and abs(r["near_next"] - plain_likeness(a, c)) < 1e-12
     rows_ = fingerprints.fingerprints(odd).collect()
     assert len(rows_) == len(ODD) and {r["fingerprint"] for r in rows_ if r["doc_id"] in (1, 2, 3)} == {""}
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_shared_passages_share_a_hash():
+    rng = random.Random(2)
+    for _ in range(200):
+        words = [f"w{rng.randrange(500)}" for _ in range(60)]
+        shared = [f"s{rng.randrange(500)}" for _ in range(fingerprints.K + fingerprints.WINDOW - 1)]
+        a, b = (" ".join(words[:k] + shared + words[k : k + 7]) for k in (5, 31))
+        assert {h for _, h in plain_fingerprint(a)} & {h for _, h in plain_fingerprint(b)}
+
+
 def test_fingerprints_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS", 7)
+    monkeypatch.setattr(fingerprints, "STEP", 3)
     docs = spark.createDataFrame([(i * 3 % 101, f"text {i} " * 5) for i in range(101)], DOCS)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in fingerprints.with_next(docs).collect():
         assert r["next_text"] == texts[(r["doc_id"] + 1) % 101]
+    # an id and the null id that hold many rows each are split over ranges, in order
+    rows_ = [(None, f"n {i}") for i in range(60)] + [(5, f"five {i}") for i in range(60)] + [(i, f"t {i}") for i in range(1, 40) if i != 5]
+    df = spark.createDataFrame(rows_, DOCS)
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows_, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    follows = {t: order[(i + 1) % len(order)][1] for i, (_, t) in enumerate(order)}
+    assert {r["text"]: r["next_text"] for r in fingerprints.with_next(df).collect()} == follows
 
 
 def test_best_fit_plan_fills_sequences_without_gaps():
