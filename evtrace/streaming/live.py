@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -32,8 +32,8 @@ def near_duplicates(events: DataFrame, gap: str) -> DataFrame:
 
 def matches(anchors: DataFrame, candidates: DataFrame, within: str) -> DataFrame:
     """All pairs of a session within an interval; anchors without one come with nulls once the watermark has passed."""
-    a = anchors.select("session_id", F.col("event_id").alias("a_id"), F.col("ts").alias("a_ts")).withWatermark("a_ts", "1 day")
-    c = candidates.select(F.col("session_id").alias("c_session"), F.col("event_id").alias("c_id"), F.col("ts").alias("c_ts")).withWatermark("c_ts", "1 day")
+    a = anchors.select("session_id", F.col("event_id").alias("a_id"), F.col("ts").alias("a_ts"))
+    c = candidates.select(F.col("session_id").alias("c_session"), F.col("event_id").alias("c_id"), F.col("ts").alias("c_ts"))
     return a.join(c, F.expr(f"session_id = c_session and c_ts >= a_ts - interval {within} and c_ts <= a_ts + interval {within}"), "leftOuter").drop("c_session")
 
 
@@ -87,3 +87,180 @@ def to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "appen
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+
+
+def notify(stream: DataFrame, folder: str, checkpoint: str, queue: int) -> None:
+    """Write a payload (session_id, payload as JSON) per event, at most `queue` of each session and batch, the earliest; the others are counted.
+
+    Batches land in folder/payloads and folder/dropped by their number, so a batch that runs again replaces itself.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        placed = batch.withColumn("place", F.row_number().over(W.partitionBy("session_id").orderBy("ts", "event_id")))
+        kept, full = placed.where(F.col("place") <= queue).drop("place"), placed.where(F.col("place") > queue)
+        kept.select("session_id", F.to_json(F.struct(*batch.columns)).alias("payload")).write.mode("overwrite").parquet(f"{folder}/payloads/batch={number}")
+        full.groupBy("session_id").agg(F.count("*").alias("dropped")).write.mode("overwrite").parquet(f"{folder}/dropped/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+
+
+def _in_order(rows: Iterator):
+    import pandas as pd
+
+    return pd.concat(list(rows)).sort_values(["ts", "event_id"])
+
+
+class LiveCounters(StatefulProcessor):
+    """Counts a session's frames, what was dispatched (rows of one type) and failures in a row (rows of another type).
+
+    Emits the counters once per batch and session. A session ends as `error` once over `cap` failures follow each
+    other, as `done` once `needed` rows were dispatched; rows after its end do not count.
+    """
+
+    def __init__(self, dispatched: str, failed: str, cap: int, needed: int):
+        self.dispatched, self.failed, self.cap, self.needed = dispatched, failed, cap, needed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("counters", "frames long, dispatched long, failures long, state string")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import pandas as pd
+
+        frames, sent, failures, state = self.state.get() if self.state.exists() else (0, 0, 0, "running")
+        for kind in _in_order(rows)["event_type"]:
+            if state != "running":
+                break
+            frames += 1
+            failures = failures + 1 if kind == self.failed else 0
+            sent += kind == self.dispatched
+            state = "error" if failures > self.cap else "done" if sent >= self.needed else "running"
+        self.state.update((frames, sent, failures, state))
+        yield pd.DataFrame([(key[0], frames, sent, failures, state)], columns=["session_id", "frames", "dispatched", "failures", "state"])
+
+    def close(self) -> None:
+        pass
+
+
+def live_counters(events: DataFrame, dispatched: str, failed: str, cap: int, needed: int) -> DataFrame:
+    """Counters of each session as they change; needs the RocksDB state store."""
+    return events.groupBy("session_id").transformWithStateInPandas(LiveCounters(dispatched, failed, cap, needed), "session_id long, frames long, dispatched long, failures long, state string", "append", "none")
+
+
+class SessionTimeouts(StatefulProcessor):
+    """Ends a session `seconds` after its first event, by a row behind that or by an event-time timer; later events begin the next one.
+
+    The generation number tells the sessions of a key apart, and a timer of an ended one does nothing.
+    """
+
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "generation long, start double, events long")
+
+    def _arm(self, stop: float) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(stop * 1000))
+
+    def _closed(self, key, generation, start, events):
+        return (key[0], generation, start, start + self.seconds, events)
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import pandas as pd
+
+        generation, start, events = self.state.get() if self.state.exists() else (0, None, 0)
+        out = []
+        for ts in _in_order(rows)["ts"]:
+            now = ts.timestamp()
+            if start is not None and now >= start + self.seconds:
+                out.append(self._closed(key, generation, start, events))
+                start, events, generation = None, 0, generation + 1
+            if start is None:
+                start = now
+            events += 1
+        self.state.update((generation, start, events))
+        self._arm(start + self.seconds)
+        yield pd.DataFrame(out, columns=["session_id", "generation", "start", "stop", "events"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        generation, start, events = self.state.get() if self.state.exists() else (0, None, 0)
+        due = start is not None and expiredTimerInfo.getExpiryTimeInMs() >= int((start + self.seconds) * 1000)
+        if due:
+            self.state.update((generation + 1, None, 0))
+            yield pd.DataFrame([self._closed(key, generation, start, events)], columns=["session_id", "generation", "start", "stop", "events"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_timeouts(events: DataFrame, seconds: float) -> DataFrame:
+    """Sessions that ended (session_id, generation, start and stop in seconds, events); needs the RocksDB state store."""
+    return events.groupBy("session_id").transformWithStateInPandas(SessionTimeouts(seconds), "session_id long, generation long, start double, stop double, events long", "append", "eventTime")
+
+
+class StreamRecoveries(StatefulProcessor):
+    """Recoveries by teleport, as operators.spatial.teleports has them, and when each has settled or timed out.
+
+    A jump over `jump` that lands within `near` of the session's first position, once it has been over `moved` away, is
+    a recovery; then `calm_rows` steps in a row under `calm` settle it, else `most` seconds of event time end the wait.
+    """
+
+    def __init__(self, jump: float, near: float, moved: float, calm: float, calm_rows: int, most: float):
+        self.jump, self.near, self.moved, self.calm, self.calm_rows, self.most = jump, near, moved, calm, calm_rows, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("place", "hx double, hy double, x double, y double, far double, waiting long, since double, still long")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import math
+
+        import pandas as pd
+
+        hx, hy, px, py, far, waiting, since, still = self.state.get() if self.state.exists() else (None, None, None, None, 0.0, None, None, 0)
+        out, data = [], _in_order(rows)
+        for event, ts, x, y in zip(data["event_id"], data["ts"], data["x"], data["y"]):
+            now = ts.timestamp()
+            hx, hy = (x, y) if hx is None else (hx, hy)
+            step = 0.0 if px is None else math.hypot(x - px, y - py)
+            home = math.hypot(x - hx, y - hy)
+            far = max(far, home)
+            if waiting is not None and now > since + self.most:
+                out.append((key[0], waiting, "timed_out", since + self.most))
+                waiting = None
+            if waiting is not None:
+                still = still + 1 if step < self.calm else 0
+                if still >= self.calm_rows:
+                    out.append((key[0], waiting, "settled", now))
+                    waiting = None
+            if far > self.moved and step > self.jump and home < self.near:
+                out.append((key[0], event, "recovered", now))
+                far, waiting, since, still = 0.0, event, now, 0
+            px, py = x, y
+        self.state.update((hx, hy, px, py, far, waiting, since, still))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if waiting is not None:
+            self.handle.registerTimer(int((since + self.most) * 1000))
+        yield pd.DataFrame(out, columns=["session_id", "event_id", "what", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        if self.state.exists():
+            *place, waiting, since, still = self.state.get()
+            if waiting is not None and expiredTimerInfo.getExpiryTimeInMs() >= int((since + self.most) * 1000):
+                self.state.update((*place, None, None, 0))
+                yield pd.DataFrame([(key[0], waiting, "timed_out", since + self.most)], columns=["session_id", "event_id", "what", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def recoveries(positions: DataFrame, jump: float, near: float, moved: float, calm: float, calm_rows: int, most: float) -> DataFrame:
+    """What happens to recoveries of a stream of positions (session_id, event_id, ts, x, y): session_id, event_id, what, at."""
+    return positions.groupBy("session_id").transformWithStateInPandas(StreamRecoveries(jump, near, moved, calm, calm_rows, most), "session_id long, event_id long, what string, at double", "append", "eventTime")
