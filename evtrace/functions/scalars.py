@@ -108,6 +108,29 @@ def grid_cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
+def cell_centre(v: Column, size: float) -> Column:
+    """Centre of the grid cell that v lies in."""
+    return (F.floor(v / size) + 0.5) * size
+
+
+def rotated(x: Column, y: Column, height: float) -> Column:
+    """struct<x, y> of a point turned a quarter clockwise in a frame of that height."""
+    return F.struct((F.lit(height) - y).alias("x"), x.alias("y"))
+
+
+def clamped(v: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+
+
+def expand_box(x: Column, y: Column, w: Column, h: Column, by: int) -> Column:
+    """struct<x, y, w, h> grown by `by` on every side."""
+    return F.struct((x - by).alias("x"), (y - by).alias("y"), (w + 2 * by).alias("w"), (h + 2 * by).alias("h"))
+
+
+def shift_box(x: Column, y: Column, w: Column, h: Column, dx: Column, dy: Column) -> Column:
+    return F.struct((x + dx).alias("x"), (y + dy).alias("y"), w.alias("w"), h.alias("h"))
+
+
 def clip_box(x, y, w, h, width, height) -> Column:
     """Box within width x height, at least one pixel each way."""
     x1, y1 = F.greatest(F.lit(0), F.least(x, F.lit(width - 1))), F.greatest(F.lit(0), F.least(y, F.lit(height - 1)))

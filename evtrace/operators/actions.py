@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .incidents import numbered
+
 
 def expand_actions(actions: DataFrame, default_ms: int = 30) -> DataFrame:
     """Presses and clicks become a down and, duration_ms later, an up (session_id, t_ms, kind, code, duration_ms)."""
@@ -15,11 +17,12 @@ def expand_actions(actions: DataFrame, default_ms: int = 30) -> DataFrame:
     return out.select("session_id", "e.t_ms", "e.kind", "code")
 
 
-def repeat_scenario(actions: DataFrame, times: int) -> DataFrame:
-    """The ordered log n times over, at least once, with a running index per session."""
-    n = max(1, times)
-    again = actions.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return again.withColumn("index", F.row_number().over(W.partitionBy("session_id").orderBy("run", "t_ms", "kind", "code")))
+def repeat_scenario(actions: DataFrame, times: int, width: int = 600_000) -> DataFrame:
+    """The ordered log n times over, at least once, with a running index per session; places are counted in chunks of width milliseconds."""
+    placed = numbered(actions, ["session_id"], "t_ms", ["kind", "code"], "_place", width)
+    size = actions.groupBy("session_id").agg(F.count("*").alias("_size"))
+    again = placed.join(size.hint("shuffle_merge"), "session_id").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(max(1, times) - 1))))
+    return again.withColumn("index", (F.col("run") * F.col("_size") + F.col("_place")).cast("int")).drop("_place", "_size")
 
 
 def held_inputs(actions: DataFrame) -> DataFrame:
@@ -37,7 +40,11 @@ def normalize_actions(raw: DataFrame) -> DataFrame:
 
     A legacy row without a time starts its delay after the row before it.
     """
-    w = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    clock = F.sum(F.coalesce("delay_ms", F.lit(0))).over(w)
+    rows = raw.withColumn("_c", F.floor(F.col("seq") / 100_000))
+    own = F.sum(F.coalesce("delay_ms", F.lit(0))).over(W.partitionBy("session_id", "_c").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    per = rows.groupBy("session_id", "_c").agg(F.sum(F.coalesce("delay_ms", F.lit(0))).alias("_d"))
+    before = per.select("session_id", "_c", (F.sum("_d").over(W.partitionBy("session_id").orderBy("_c")) - F.col("_d")).alias("_before"))
+    raw = rows.withColumn("_own", own).join(before.hint("shuffle_merge"), ["session_id", "_c"])
+    clock = F.col("_own") + F.col("_before")
     kind = F.coalesce("type", F.concat_ws("_", F.when(F.col("kind") == "keyboard", "key").otherwise(F.col("kind")), F.col("action")))
     return raw.select("session_id", "seq", F.coalesce(F.round(F.col("t") * 1000).cast("long"), F.round(F.col("time") * 1000).cast("long"), clock.cast("long")).alias("t_ms"), kind.alias("kind"), "code")

@@ -84,7 +84,10 @@ def review_queue(checks: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def evidence_index(artifacts: DataFrame) -> DataFrame:
-    """Per artifact path its events and checks, each once, in order of first sight (path, event_id, check_id, seq)."""
-    firsts = artifacts.groupBy("path", "event_id", "check_id").agg(F.min("seq").alias("seq"))
-    seen = lambda c: F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]), lambda v: v.isNotNull()))
-    return firsts.groupBy("path").agg(seen("event_id").alias("events"), seen("check_id").alias("checks"))
+    """Per artifact path its events and checks, each once and a row each: path, kind (event or check), id, seq of first sight.
+
+    artifacts: path, event_id, check_id, seq; null ids name nothing.
+    """
+    named = lambda k, c: F.struct(F.lit(k).alias("kind"), F.col(c).cast("long").alias("id"))
+    each = artifacts.select("path", "seq", F.explode(F.array(named("event", "event_id"), named("check", "check_id"))).alias("x")).where("x.id is not null")
+    return each.groupBy("path", "x.kind", "x.id").agg(F.min("seq").alias("seq"))

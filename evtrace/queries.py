@@ -9,6 +9,7 @@ from .operators import actions as A, checks as C, incidents as I, lookups as L,
 from .plans import views as V
 from .plans.settle import settle
 from .plans.views import HOUR
+from .sources import reports
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -795,7 +796,7 @@ def primary_events(spark, sf_dir):
 
 @query("""
 WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 'Zone ' || (o_orderkey % 3) END AS expected, (o_orderkey % 101) / 100.0::DOUBLE AS own FROM orders),
-e AS (SELECT l_orderkey AS id, l_linenumber % 2 AS frame, CASE l_linenumber % 3 WHEN 0 THEN 0.45 WHEN 1 THEN 0.2 ELSE 0.2 END::DOUBLE AS weight, CASE WHEN l_partkey % 5 <> 0 THEN 'Zone ' || (l_suppkey % 3) END AS detected, l_quantity::DOUBLE / 50 AS score FROM lineitem WHERE l_orderkey % 11 <> 0),
+e AS (SELECT l_orderkey AS id, l_linenumber % 2 AS frame, CASE l_linenumber % 3 WHEN 0 THEN 0.45 WHEN 1 THEN 0.2 ELSE 0.2 END::DOUBLE AS weight, CASE WHEN l_partkey % 5 <> 0 THEN 'Zone ' || (l_suppkey % 3) END AS detected, l_quantity::DOUBLE / 50 AS score FROM lineitem),
 x AS (SELECT e.*, r.expected, r.own, detected IS NOT NULL AND expected IS NOT NULL AND detected <> expected AS wrong, CASE WHEN detected IS NULL THEN 0 ELSE weight END AS w FROM e JOIN r USING (id)),
 y AS (SELECT *, CASE WHEN detected IS NULL OR wrong THEN 0 ELSE score END AS s FROM x),
 f AS (SELECT id, frame, sum(w * s) AS ws, sum(w) AS sw, max(own) AS own, bool_or(wrong AND score >= 0.2) AS strong FROM y GROUP BY id, frame),
@@ -804,14 +805,14 @@ m AS (SELECT id, least(1, avg(fs)) AS score, max(fs) AS top, bool_or(strong) AS
 v AS (SELECT id, detected, round(sum(score), 9) AS v FROM y WHERE detected IS NOT NULL GROUP BY id, detected QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sum(score), 9) DESC, detected) = 1),
 z AS (SELECT r.id, r.expected, v.detected, m.score, m.top, m.frames, coalesce(m.strong AND v.detected <> r.expected, false) AS conflict FROM r LEFT JOIN m USING (id) LEFT JOIN v USING (id)),
 q AS (SELECT *, CASE WHEN frames IS NULL THEN 'NO_EVIDENCE' WHEN expected IS NULL THEN 'NO_EXPECTED' WHEN score >= 0.75 AND NOT conflict THEN 'CONFIRMED' WHEN score <= 0.45 AND conflict THEN 'CONFLICT' WHEN score <= 0.45 AND detected IS NULL THEN 'INSUFFICIENT' WHEN score <= 0.45 THEN 'LOW_MATCH' ELSE 'AMBIGUOUS' END AS status FROM z)
-SELECT id AS recovery_id, expected, detected, round(coalesce(score, 0) + 1e-9, 6) AS score, status, CASE status WHEN 'NO_EVIDENCE' THEN 'UNCERTAIN' WHEN 'NO_EXPECTED' THEN 'OBSERVED' WHEN 'CONFIRMED' THEN 'PASS' WHEN 'CONFLICT' THEN 'FAIL' WHEN 'LOW_MATCH' THEN 'FAIL' ELSE 'UNCERTAIN' END AS result,
-  round(CASE status WHEN 'NO_EVIDENCE' THEN 0 WHEN 'NO_EXPECTED' THEN least(1, greatest(score, top)) WHEN 'CONFIRMED' THEN score WHEN 'CONFLICT' THEN greatest(1 - score, 0.5) WHEN 'AMBIGUOUS' THEN greatest(score, 1 - abs(score - 0.5)) ELSE 1 - score END + 1e-9, 6) AS confidence, coalesce(frames, 0) AS frames FROM q""")
+SELECT id AS recovery_id, expected, detected, round(coalesce(score, 0), 9) AS score, status, CASE status WHEN 'NO_EVIDENCE' THEN 'UNCERTAIN' WHEN 'NO_EXPECTED' THEN 'OBSERVED' WHEN 'CONFIRMED' THEN 'PASS' WHEN 'CONFLICT' THEN 'FAIL' WHEN 'LOW_MATCH' THEN 'FAIL' ELSE 'UNCERTAIN' END AS result,
+  round(CASE status WHEN 'NO_EVIDENCE' THEN 0 WHEN 'NO_EXPECTED' THEN least(1, greatest(score, top)) WHEN 'CONFIRMED' THEN score WHEN 'CONFLICT' THEN greatest(1 - score, 0.5) WHEN 'AMBIGUOUS' THEN greatest(score, 1 - abs(score - 0.5)) ELSE 1 - score END, 9) AS confidence, coalesce(frames, 0) AS frames FROM q""")
 def location_verdicts(spark, sf_dir):
-    key, li = F.col("o_orderkey"), V.table(spark, sf_dir, "lineitem").where("l_orderkey % 11 <> 0")
+    key, li = F.col("o_orderkey"), V.table(spark, sf_dir, "lineitem")
     recoveries = V.table(spark, sf_dir, "orders").select(key.alias("recovery_id"), F.when(key % 7 != 0, F.concat(F.lit("Zone "), key % 3)).alias("expected"), (key % 101 / 100).alias("confidence"))
     part = F.element_at(F.array(F.lit("text"), F.lit("map"), F.lit("view")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     evidence = li.select(F.col("l_orderkey").alias("recovery_id"), (F.col("l_linenumber") % 2).alias("frame"), part.alias("component"), F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit("Zone "), F.col("l_suppkey") % 3)).alias("detected"), (F.col("l_quantity").cast("double") / 50).alias("score"))
-    return C.location_verdicts(recoveries, evidence, {"text": 0.45, "map": 0.2, "view": 0.2}, 0.15).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("score", "confidence")})  # off the halves
+    return C.location_verdicts(recoveries, evidence, {"text": 0.45, "map": 0.2, "view": 0.2}, 0.15).withColumns({c: F.round(c, 9) for c in ("score", "confidence")})
 
 
 @query("WITH" + _RULES + """
@@ -953,6 +954,45 @@ def parsed_notes(spark, sf_dir):
     return n.select("p_partkey", S.actor_scope(F.col("a"), F.col("b"), F.lit("brand 23")).alias("scope"), S.parse_conflict(F.col("note")).alias("c"), S.time_in_name(F.col("name")).alias("at"), S.notes_contain("seen", F.array("note"), F.lit(None).cast("array<string>")).alias("tagged")).select("p_partkey", "scope", "c.*", "at", "tagged")
 
 
+@query("""
+SELECT user_id AS session_id, event_id, 'feed' AS source, event_type, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) + 2000000 END AS end_t, greatest(0, least(1, value / 100)) AS confidence, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE 'UNKNOWN' END AS status FROM events""")
+def normalized_events(spark, sf_dir):
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = (at / 1_000_000).cast("decimal(20,6)")
+    raw = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.lit("feed").alias("source_module"), "event_type", F.lit(None).cast("double").alias("time"), seconds.cast("double").alias("timestamp_sec"), F.when(F.col("event_id") % 3 == 0, (at / 1_000_000 + 2).cast("double")).alias("end_time"), (F.col("value") / 100).cast("string").alias("confidence"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("status"))
+    return reports.normalize_events(raw)
+
+
+@query("""
+WITH r AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN turn % 2 = 0 THEN turn * 0.5 END AS t, length(text) % 500 AS d, CASE WHEN turn % 3 = 0 THEN 'key_press' END AS type, role FROM conversations)
+SELECT session_id, seq, coalesce(round(t * 1000)::BIGINT, sum(d) OVER (PARTITION BY session_id ORDER BY seq))::BIGINT AS t_ms, coalesce(type, 'key_' || role) AS kind, seq % 3 AS code FROM r""")
+def normalized_actions(spark, sf_dir):
+    turn = F.col("turn")
+    raw = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), turn.alias("seq"), F.when(turn % 2 == 0, turn * 0.5).alias("t"), F.lit(None).cast("double").alias("time"), (F.length("text") % 500).alias("delay_ms"), F.when(turn % 3 == 0, "key_press").alias("type"), F.lit("keyboard").alias("kind"), F.col("role").alias("action"), (turn % 3).alias("code"))
+    return A.normalize_actions(raw)
+
+
+@query("""
+WITH a AS (SELECT l_partkey % 700 AS path, l_orderkey AS event_id, CASE WHEN l_linenumber > 2 THEN l_suppkey END AS check_id, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
+SELECT path, 'event' AS kind, event_id AS id, min(seq) AS seq FROM a GROUP BY ALL UNION ALL SELECT path, 'check', check_id, min(seq) FROM a WHERE check_id IS NOT NULL GROUP BY ALL""")
+def evidence_index(spark, sf_dir):
+    li = V.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 700).alias("path"), F.col("l_orderkey").alias("event_id"), F.when(F.col("l_linenumber") > 2, F.col("l_suppkey")).alias("check_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return R.evidence_index(li)
+
+
+@query("""
+SELECT p_partkey, CASE replace(trim(lower(p_type)), ' ', '_') WHEN 'standard_brass' THEN 'brass' WHEN 'economy_tin' THEN 'tin' ELSE replace(trim(lower(p_type)), ' ', '_') END AS class,
+  CASE WHEN p_size % 3 = 0 THEN greatest(0.5, p_size / 50.0) WHEN p_size % 3 = 1 THEN greatest(0.5, least(0.9, p_size / 50.0)) ELSE 0.7 END::DOUBLE AS confidence,
+  (p_size // 7) * 7 + 3.5::DOUBLE AS centre, 60 - p_size AS rx, p_partkey % 40 AS ry, greatest(5.0, least(20.0, p_size))::DOUBLE AS held, p_partkey % 40 - 3 AS bx, p_size + 6 AS bw, round_even(p_size * 1.5, 0)::BIGINT AS scaled FROM part""")
+def frame_values(spark, sf_dir):
+    size, x = F.col("p_size").cast("double"), F.col("p_partkey") % 40
+    kind = S.normalize_class(F.col("p_type"), {"standard_brass": "brass", "economy_tin": "tin"})
+    share = size / 50
+    conf = S.region_confidence(F.when(F.col("p_size") % 3 == 0, share), F.when(F.col("p_size") % 3 == 1, share))
+    turned, grown = S.rotated(x, F.col("p_size"), 60), S.expand_box(x, F.col("p_size"), F.col("p_size"), F.col("p_size"), 3)
+    return V.table(spark, sf_dir, "part").select("p_partkey", kind.alias("class"), conf.cast("double").alias("confidence"), S.cell_centre(size, 7.0).alias("centre"), turned["x"].cast("int").alias("rx"), turned["y"].alias("ry"), S.clamped(size, 5.0, 20.0).alias("held"), grown["x"].alias("bx"), grown["w"].alias("bw"), S.rescale(size, 1.5).alias("scaled"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -22,9 +22,9 @@ def read_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def read_reports(spark: SparkSession, path: str, schema: T.StructType, rows: str) -> DataFrame:
-    """Nested stage reports with the array `rows` exploded; an empty folder gives no rows."""
+    """Nested stage reports with the array `rows` exploded; a report without rows gives one of nulls, an empty folder none."""
     files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("session_id"), F.explode(rows).alias("r")).select("session_id", "r.*")
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("session_id"), F.explode_outer(rows).alias("r")).select("session_id", "r.*")
 
 
 def normalize_events(raw: DataFrame) -> DataFrame:
@@ -52,6 +52,24 @@ def write_tables(tables: dict[str, DataFrame], folder: str, partition: str | Non
         (writer.partitionBy(partition) if partition and partition in df.columns else writer).save(f"{folder}/{name}")
 
 
+def markdown(df: DataFrame, title: str, columns: list[str], order: list[str]) -> DataFrame:
+    """session_id, line_no, line: a Markdown table of each session's rows, headed by the title and the number of rows.
+
+    A line is a row, so a long session is no large value; write them sorted, by session.
+    """
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]), F.lit(" |"))
+    body = df.select("session_id", (F.row_number().over(W.partitionBy("session_id").orderBy(*order)) + 3).cast("long").alias("line_no"), row.alias("line"))
+    head = df.groupBy("session_id").agg(F.count("*").alias("n"))
+    said = [F.format_string(f"# {title}: %d", "n"), F.lit("| " + " | ".join(columns) + " |"), F.lit("|" + "-|" * len(columns))]
+    heads = head.select("session_id", F.posexplode(F.array(*said)).alias("p", "line")).select("session_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
+    return heads.unionByName(body)
+
+
+def write_markdown(lines: DataFrame, folder: str) -> None:
+    """One folder of text per session, lines in order."""
+    lines.repartition("session_id").sortWithinPartitions("session_id", "line_no").select("session_id", "line").write.mode("overwrite").partitionBy("session_id").text(folder)
+
+
 def lineage(configs: DataFrame) -> DataFrame:
     """One hash over all config files (path, content), in order of path."""
     each = configs.select("path", F.sha2("content", 256).alias("h"))
