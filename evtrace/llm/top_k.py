@@ -2,8 +2,9 @@
 
 A bounded sample gives the top nodes, chosen farthest first; every query and every vector belongs to its
 nearest top node, so both share the top of the index. Each node's vectors are dealt into blocks of bounded
-size by id, and each task builds the lower levels of a block: a node's children cover it with half its radius
-and are chosen farthest first. A query group is the queries of one top node.
+size by id, and each task builds the lower levels of a block: a node's children are chosen farthest first until they
+cover it with half its radius, or until there is one for every eight of its rows. A query group is the queries of one
+top node.
 
 For a query node (centre c, radius r) and a data node (d, s) no score exceeds c.d + |c| s + |d| r + r s. A
 first round searches each group against blocks of its own node and gives every query a kth score to beat; the
@@ -14,7 +15,7 @@ query can use more. Blocks of data meet query groups in superblocks, so neither
 Defined results: vectors that are null or hold null or non-finite components take no part, as query or as
 candidate; shorter vectors count as padded with zeros, so an empty one scores 0; a query is never its own
 candidate (rows that repeat its id are not either); repeated rows are one candidate; ties go to the smaller id;
-a null id takes no part. Scores are exact 64-bit integers. Other columns are ignored; no queries, no rows.
+a null id takes no part. Scores are exact 64-bit integers. Other columns, whatever their names, are ignored; no queries, no rows.
 """
 
 from __future__ import annotations

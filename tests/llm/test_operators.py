@@ -2,7 +2,6 @@
 
 import hashlib
 import html
-import json
 import random
 import re
 import zlib
@@ -345,21 +344,3 @@ def test_line_dedup_odd_rows(spark):
     got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()
     assert [(r["doc_id"], r["text"]) for r in got if r["doc_id"] != 9] and Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] != 9) == Counter([(None, ""), (3, ""), (3, ""), (2, mark + "\nmine alone is this line"), (2, "another text of the same id")])
     assert next(r["text"] for r in got if r["doc_id"] == 9) == "\n".join(f"filler {i}" for i in range(5000))
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for name, stage in p.STAGES[:4]:
-        out = stage(spark, docs, SF).cache()
-        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
-        kept = {r["doc_id"] for r in out.select("doc_id").collect()}
-        assert kept <= ids and (name != "line dedup" or kept == ids)
-        assert out.where("n_chars <> length(text)").count() == 0
-    near = {r["doc_id"] for r in near_dedup.near_duplicates(docs, 5, 80).where("kept").collect()}
-    assert {r["doc_id"] for r in p.drop_near_duplicates(spark, docs, SF).collect()} == near
-    packed = p.run(spark, SF)
-    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 and packed.count() > 0
-    assert json.dumps([n for n, _ in p.STAGES])
