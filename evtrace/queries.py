@@ -712,13 +712,13 @@ n AS (SELECT d.*, s_id, s_conf FROM d LEFT JOIN g USING (id)), l AS (SELECT * FR
 b AS (SELECT l.*, u.id AS u_id, u.s AS us, u.e AS ue, u.confidence AS uc FROM l LEFT JOIN u ON u.session_id = l.session_id AND u.s > l.e AND u.s <= l.e + {72 * HOUR} QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY u.s, u.id) = 1),
 o AS (SELECT * FROM b QUALIFY u_id IS NULL OR row_number() OVER (PARTITION BY u_id ORDER BY s, id) = 1),
 c AS (SELECT *, round(0.35 * (0.55 * confidence + 0.45 * least(1, (e - s) / {HOUR / 2})) + 0.35 * coalesce(0.55 * uc + 0.45 * least(1, (ue - us) / {HOUR / 2}), 0) + 0.15 * coalesce(1 - (us - e) / {72.0 * HOUR} * 0.5, 0) + 0.15 * coalesce(s_conf, 0), 9) AS conf FROM o)
-SELECT session_id, id, s_id, u_id, round(conf, 6) AS confidence, CASE WHEN u_id IS NULL THEN CASE WHEN conf >= 0.45 THEN 'MISSING_OR_UNOBSERVED' ELSE 'MISSING' END WHEN conf >= 0.7 THEN 'DETECTED' WHEN conf >= 0.45 THEN 'DETECTED_LOW_CONFIDENCE' ELSE 'DETECTED_UNCERTAIN' END AS result FROM c
-UNION ALL SELECT session_id, id, NULL, NULL, round(confidence, 6), 'FILTERED_SHORT_SEGMENT' FROM n WHERE s_id IS NULL AND e - s < {HOUR // 2}""")
+SELECT session_id, id, s_id, u_id, conf AS confidence, CASE WHEN u_id IS NULL THEN CASE WHEN conf >= 0.45 THEN 'MISSING_OR_UNOBSERVED' ELSE 'MISSING' END WHEN conf >= 0.7 THEN 'DETECTED' WHEN conf >= 0.45 THEN 'DETECTED_LOW_CONFIDENCE' ELSE 'DETECTED_UNCERTAIN' END AS result FROM c
+UNION ALL SELECT session_id, id, NULL, NULL, confidence, 'FILTERED_SHORT_SEGMENT' FROM n WHERE s_id IS NULL AND e - s < {HOUR // 2}""")
 def recovery_events(spark, sf_dir):
     ev = V.events(spark, sf_dir)
     span = lambda kind: ev.where(F.col("event_type") == kind).select("session_id", F.col("event_id").alias("id"), F.col("t").alias("start_t"), (F.col("t") + F.col("k").cast("long") * 60_000_000).alias("end_t"), "confidence")
     signals = ev.where("event_type = 'click'").select("session_id", F.col("event_id").alias("id"), "t", "confidence")
-    return I.recovery_events(span("error"), span("view"), signals, HOUR // 2, 72 * HOUR, 2 * HOUR).withColumn("confidence", F.round("confidence", 6))
+    return I.recovery_events(span("error"), span("view"), signals, HOUR // 2, 72 * HOUR, 2 * HOUR)
 
 
 @query("WITH" + V.SQL_EVENTS + f""",
