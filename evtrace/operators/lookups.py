@@ -12,7 +12,7 @@ BITS = 64
 
 
 def nearest_reference(queries: DataFrame, references: DataFrame, k: int = 5, limit: int = 20_000) -> DataFrame:
-    """The k references (r_id, r_v) most similar in cosine to each query (q_id, q_v), of the query's class if both have one.
+    """The k references (r_id, r_v) most similar in cosine to each query (q_id, q_v), of the query's class; a query without class has none.
 
     References are a curated set; up to `limit` of them are broadcast, beyond it the join shuffles on class.
     """

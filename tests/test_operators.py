@@ -70,10 +70,39 @@ def test_rollup_precedence(spark):
     assert got == {0: ("PASS", 0.6), 1: ("UNCERTAIN", 0.3), 2: ("FAIL", 0.8), 3: ("NEED_REVIEW", 0.1), 4: ("UNCERTAIN", 0.0)}
 
 
+INCIDENTS = "session_id long, incident_id long, incident_type string, confidence double, signal_conf double, change_conf double, delay long, recovery_conf double, state_conf double, location_result string, location_score double"
+
+
+def ladder(spark, policy, *incidents):
+    """(rule, result, confidence, notes) of every finding of session 1; session 2 has no incident."""
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(incidents)], INCIDENTS)
+    got = rules.findings(df, spark.createDataFrame([(1,), (2,)], "session_id long"), policy).collect()
+    said = lambda s: sorted((r["incident_id"] or 0, r["rule"], r["result"], round(r["confidence"], 4), ",".join(r["notes"])) for r in got if r["session_id"] == s)
+    return [x[1:] for x in said(1)], [x[1:] for x in said(2)]
+
+
+def test_rules_of_signals_and_changes(spark):
+    one, two = ladder(
+        spark, rules.Policy(), ("primary", 0.8, 0.9, 0.5, 2_000_000, None, None, None, None), ("primary", 0.8, 0.9, 0.5, 2_000_001, None, None, None, None), ("primary", 0.4, 0.9, 0.2, None, None, None, None, None), ("candidate", 0.4, None, 0.6, None, None, None, None, None), ("candidate", 0.4, 0.1, 0.2, None, None, None, None, None),
+    )
+    assert {("count", "PASS", 0.68, ""), ("count", "FAIL", 0.68, "change_delay_exceeded"), ("count", "FAIL", 0.725, "missing_change"), ("count", "NEED_REVIEW", 0.54, "change_without_signal"), ("count", "UNCERTAIN", 0.4, "weak_evidence"), ("signal", "PASS", 0.53, "change_only_ignored"), ("signal", "UNCERTAIN", 0.4, "weak_signal"), ("recovery", "PASS", 1.0, "no_recovery_required")} <= set(one)
+    assert two == [("count", "UNCERTAIN", 0.0, "no_incidents"), ("recovery", "PASS", 1.0, "no_recovery_required"), ("signal", "UNCERTAIN", 0.0, "no_incidents")]
+
+
+def test_rules_of_recoveries(spark):
+    down = lambda kind, own, back, verdict, score: (kind, own, None, None, None, back, None, verdict, score)
+    one, _ = ladder(spark, rules.Policy(), down("recovery", 0.6, 0.8, "PASS", 0.75), down("recovery", 0.6, 0.8, "PASS", 0.7), down("recovery", 0.6, 0.8, "fail", 0.9), down("recovery", 0.3, 0.8, "OBSERVED", 0.45), down("recovery", 0.9, None, "uncertain", 0.46), down("recovery", 0.6, 0.8, None, None), down("recovery_missing", 0.6, 0.8, None, None), down("down_only", 0.6, None, None, None))
+    assert [x[1:] for x in one if x[0] == "recovery"] == [
+        ("PASS", 0.7625, ""), ("NEED_REVIEW", 0.7, "unexpected_location_status"), ("FAIL", 0.9, "location_mismatch_or_low_score"), ("FAIL", 0.45, "location_mismatch_or_low_score"), ("UNCERTAIN", 0.46, "location_uncertain"), ("UNCERTAIN", 0.6, "missing_location_check"), ("FAIL", 0.8, "missing_recovery"), ("UNCERTAIN", 0.6, "down_without_recovery"),
+    ]
+    lax, _ = ladder(spark, rules.Policy(location_required=False, fail_missing=False, fail_down_only=True, down_signal_optional=False), down("recovery", 0.6, 0.4, None, None), down("recovery_missing", 0.6, None, None, None), down("down_only", 0.6, None, None, None))
+    assert [x[1:] for x in lax if x[0] == "recovery"] == [("UNCERTAIN", 0.6, "location_check_disabled"), ("UNCERTAIN", 0.6, "missing_recovery"), ("FAIL", 0.6, "down_without_recovery")] and all(x[1] == "FAIL" for x in lax if x[0] == "signal")
+
+
 def test_disabled_rules_pass(spark):
-    sessions = spark.createDataFrame([(1,)], "session_id long")
-    row = rules.findings(sessions, sessions, rules.Policy(enabled=False)).first()
-    assert (row["result"], row["confidence"]) == ("PASS", 1.0)
+    one, two = ladder(spark, rules.Policy(change_required=False, signal_required=False, recovery_required=False), ("primary", 0.8, 0.9, None, None, None, None, None, None))
+    assert ("count", "PASS", 1.0, "rule_disabled") in one and ("recovery", "PASS", 1.0, "rule_disabled") in one and ("signal", "PASS", 0.865, "") in one
+    assert {x[0] for x in two} == {"count", "signal", "recovery"}
 
 
 def test_hash_pairs_equal_brute_force(spark):
