@@ -12,8 +12,9 @@ A template that recurs across documents, in at least `least` of them (`least_lon
 whole passages), is dropped everywhere but in its first document by doc_id; within a document repeats stay.
 
 Texts are not shuffled with their lines: lines travel as hashes, only nodes with several distinct lines are compared
-place by place, and each document receives the numbers of its lines to drop. Templates are counted before they are
-joined back, in SALTS parts each, so a line that a third of all documents have is not one task's work.
+place by place, and each document receives the numbers of its lines to drop. The most frequent templates, at most
+HOT of them, are sent to the lines; only lines of the others are dealt by template, so a line that a third of all
+documents have is not one task's work.
 
 Defined results: a null text stays null, an empty one empty; blank lines and lines under `shortest` tokens are
 never dropped; of documents that share a template the smallest doc_id keeps it (null ids come last), and rows
@@ -31,7 +32,7 @@ from .common import settle
 LEADING, LONG = 3, 50
 FIXED, SAME = 4, 3  # tokens without digits of a line that may be generalised; places behind the leading ones that must agree
 LEVELS = 3
-SALTS = 16
+HOT, FEW = 1000, 10_000  # templates are hot from a 1/HOT share of all lines, and FEW lines, on: at most HOT are
 SMALL = 100_000  # rows of places up to which they are broadcast
 ANY = "<*>"
 
@@ -77,7 +78,7 @@ def line_templates(docs: DataFrame, shortest: int = 4, least: int = 3, least_lon
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
     lines = _masked(texts.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))).withColumn("n_tokens", F.size("masked"))
-    plain = F.size(F.filter("masked", lambda t: t != ANY)) >= FIXED
+    plain = F.when(F.col("line").rlike("[0-9]"), F.size(F.filter("masked", lambda t: t != ANY))).otherwise(F.col("n_tokens")) >= FIXED
     leaf = F.when(plain, F.xxhash64(F.col("n_tokens"), F.slice("masked", 1, LEADING)))
     own = F.when(plain, F.xxhash64(F.lit("masked"), "masked")).otherwise(F.xxhash64(F.lit("exact"), "tokens"))
     keyed = settle(lines.where(F.col("n_tokens") >= shortest).select("doc_id", "text_hash", "line_no", "n_tokens", leaf.alias("leaf"), own.alias("own")))
@@ -100,12 +101,15 @@ def line_templates(docs: DataFrame, shortest: int = 4, least: int = 3, least_lon
 def drop_recurring_lines(docs: DataFrame, shortest: int = 4, least: int = 3, least_long: int = 2, agree: float = 0.75) -> DataFrame:
     """docs with recurring template lines taken out of text, and n_lines and n_dropped (of the text as it was)."""
     docs = docs.drop("n_lines", "n_dropped")
-    lines = settle(line_templates(docs, shortest, least, least_long, agree).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")))
+    lines = settle(line_templates(docs, shortest, least, least_long, agree))
     per = lines.groupBy("template", "doc_id", "text_hash").agg(F.first("n_tokens").alias("n_tokens"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     spread = per.groupBy("template").agg(F.count("*").alias("n"), F.max("n_tokens").alias("size"), first.alias("f"))
-    recurring = spread.where(F.col("n") >= F.when(F.col("size") >= LONG, least_long).otherwise(least)).select("template", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hit = lines.join(recurring.hint("shuffle_merge"), ["template", "salt"]).where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))))
+    recurring = settle(spread.where(F.col("n") >= F.when(F.col("size") >= LONG, least_long).otherwise(least)).select("template", "n", "f"))
+    often = F.col("n") >= max(FEW, lines.count() // HOT)
+    hot, others = recurring.where(often).drop("n"), recurring.where(~often).drop("n")
+    rest = lines.join(F.broadcast(hot.select("template")), "template", "left_anti").join(others.hint("shuffle_merge"), "template")
+    hit = lines.join(F.broadcast(hot), "template").unionByName(rest).where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_hash") == F.col("f.text_hash"))))
     gone = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "gone")
     text = F.col("a.text").cast("string")
     out = docs.alias("a").join(gone.alias("b").hint("shuffle_hash"), F.col("a.doc_id").cast("long").eqNullSafe(F.col("b._d")) & (F.xxhash64(text) == F.col("b._h")), "left")

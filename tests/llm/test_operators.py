@@ -338,6 +338,13 @@ def test_two_long_lines_that_differ_in_a_word(spark):
     assert left_of(spark, [" ".join(long), "keep me whole\n" + " ".join(other)]) == [" ".join(long), "keep me whole"]
 
 
+def test_hot_templates_are_dropped_alike(spark, monkeypatch):
+    monkeypatch.setattr(line_templates, "FEW", 4)
+    texts = ["\n".join(["A line that all of them have in common", f"A line that only some have {chr(97 + i % 4)} here now", f"own words of number {chr(97 + i)} alone"]) for i in range(12)]
+    left = left_of(spark, texts)
+    assert left[0] == texts[0] and all("in common" not in t and "own words" in t for t in left[1:])
+
+
 def test_line_dedup_odd_rows(spark):
     mark = "A line that many documents have in common"
     rows = [(None, mark), (3, mark), (3, mark), (2, mark + "\nmine alone is this line"), (2, "another text of the same id"), (9, "\n".join(f"{mark}\nfiller {i}" for i in range(5000)))]
