@@ -18,40 +18,74 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.settle import discard, settle
 
 DAY = 86_400_000_000
-WIDTH = 28 * DAY
+WIDTH = 56 * DAY
+
+
+def _each(decide: Callable, at: list[str], names: list[str]):
+    """decide for each run of rows with equal columns `at`, many small ones to a batch."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        left, out, size = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table]).combine_chunks()
+            step = np.zeros(table.num_rows - 1, bool)
+            for c in at:
+                values = table.column(c).to_numpy(zero_copy_only=False)
+                step |= values[1:] != values[:-1]
+            cuts = [0, *(np.flatnonzero(step) + 1).tolist()]
+            for i, j in zip(cuts, cuts[1:]):
+                made = decide(table.slice(i, j - i))
+                out.append(made)
+                size += made.num_rows
+                if size > 10_000:
+                    yield from pa.concat_tables(out).combine_chunks().select(names).to_batches()
+                    out, size = [], 0
+            left = table.slice(cuts[-1])
+        if left is not None:
+            out.append(decide(left))
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().select(names).to_batches()
+
+    return run
 
 
 def by_chunks(rows: DataFrame, keys: list[str], decide: Callable, shape: str, carry: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What `decide` says of every chunk, an Arrow table of rows of one (keys, chunk), given what the one before carries over.
 
     rows: keys, chunk, carried (false) and more columns. decide returns a table of `shape`, which begins with keys and
-    chunk. carry takes such a table and gives rows for later chunks, with the columns of rows and carried true.
+    chunk, also of a chunk that has carried rows only. carry takes such a table and gives rows for later chunks, with
+    the columns of rows and carried true.
     """
-    rows, at = settle(rows), [*keys, "chunk"]
-    done = settle(rows.groupBy(*at).applyInArrow(decide, shape))
-    told = None
+    at = [*keys, "chunk"]
+    names = [c.split()[0].strip("`") for c in shape.split(", ")]
+    decided = lambda df: df.repartition(*at).sortWithinPartitions(*at).mapInArrow(_each(decide, at, names), shape)
+    done = settle(decided(rows))
+    given, told = carry(done).select(*rows.columns), None
+    if given.isEmpty():  # nothing lies near an end of a chunk
+        return done
+    rows = settle(rows)
+    payload = [c for c in rows.columns if c not in at]
+    mark = lambda df: df.groupBy(*at).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*payload) % 1_000_000_007).alias("h"))
     while True:
-        given = settle(carry(done).select(*rows.columns).join(rows.select(*at).distinct().hint("shuffle_hash"), at, "left_semi"))
-        if told is None and given.isEmpty():
-            break
-        payload = [c for c in rows.columns if c not in at]
-        mark = lambda df: df.groupBy(*at).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*payload) % 1_000_000_007).alias("h"))
-        now = mark(given)
+        given = settle(carry(done).select(*rows.columns))
         if told is None:
-            changed = settle(now.select(*at))
+            changed = settle(given.select(*at).distinct())
         else:
             before = mark(told).withColumnsRenamed({"n": "n0", "h": "h0"})
-            both = now.join(before.hint("shuffle_merge"), at, "full")
+            both = mark(given).join(before.hint("shuffle_merge"), at, "full")
             changed = settle(both.where(~(F.col("n").eqNullSafe(F.col("n0")) & F.col("h").eqNullSafe(F.col("h0")))).select(*at))
             discard(told)
         if changed.isEmpty():
-            break
+            return done
         mine = lambda df: df.join(changed.hint("shuffle_hash"), at, "left_semi")
-        again = mine(rows.unionByName(given)).groupBy(*at).applyInArrow(decide, shape)
-        following = settle(done.join(changed.hint("shuffle_hash"), at, "left_anti").unionByName(again))
+        following = settle(done.join(changed.hint("shuffle_hash"), at, "left_anti").unionByName(decided(mine(rows.unionByName(given)))))
         discard(done, changed)
         done, told = following, given
-    return done
 
 
 class _Free:
@@ -146,7 +180,7 @@ def _greedy(keys: list[str]):
             sides[side[pick]].take(pick)
             out.append((int(ids[a]), int(ids[pick]), abs(int(t[pick]) - at), tier, int(t[pick])))
         n = len(out)
-        fixed = [pa.repeat(table.column(k)[0], n) for k in (*keys, "chunk")]
+        fixed = [pa.repeat(table.column(k)[0], n) for k in (*keys, "chunk")]  # equal in all rows
         made = list(zip(*out)) if out else [()] * 5
         return pa.table([*fixed, pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int64()), pa.array(made[3], pa.int32()), pa.array(made[4], pa.int64())], [*keys, "chunk", "a_id", "c_id", "gap", "tier", "c_t"])
 
