@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, fingerprints, html_text, language, line_templates, near_dedup, packing, personal, top_k
+from . import bpe, chat, fingerprints, html_text, language, line_templates, near_dedup, packing, personal, resampling, top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,8 +72,17 @@ def op10_language(spark, sf_dir):
     return language.of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), labelled).select("page_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
 
 
+def op12_resampling(spark, sf_dir):
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_top_k, op2_near_duplicates, op3_personal_data, op4_bpe, op5_main_text, op6_fingerprints, op7_packing, op8_chat, op9_line_dedup, op10_language)}
+    every = (
+        op1_top_k, op2_near_duplicates, op3_personal_data, op4_bpe, op5_main_text, op6_fingerprints, op7_packing, op8_chat,
+        op9_line_dedup, op10_language, op12_resampling,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP1 = """
@@ -164,5 +173,48 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 
+#: A CRC is linear: it is the exclusive or of what each byte adds, given how many bytes follow it, and of that of as many zeros.
+OP12 = r"""
+WITH RECURSIVE
+step AS (
+  SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)::BIGINT AS v
+  FROM (SELECT unnest(range(256)) AS b)),
+w AS (
+  SELECT *, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 'd' AS kind, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', NULL, coalesce(text, '') FROM benchmark)),
+g AS (
+  SELECT kind, r, unnest(w) AS f FROM w
+  UNION ALL SELECT kind, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT kind, r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS MATERIALIZED (SELECT kind, r, f, count(*) AS c FROM g GROUP BY ALL),
+d AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM f GROUP BY f),
+longest AS MATERIALIZED (SELECT max(length(h)) // 2 AS n FROM d),
+zeros AS (
+  SELECT 0::BIGINT AS n, 4294967295::BIGINT AS s
+  UNION ALL SELECT zeros.n + 1, xor(s >> 8, v) FROM zeros JOIN step ON b = s & 255 WHERE zeros.n < (SELECT n FROM longest)),
+behind AS (
+  SELECT 0::BIGINT AS n, b, v FROM step
+  UNION ALL SELECT behind.n + 1, behind.b, xor(behind.v >> 8, step.v) FROM behind JOIN step ON step.b = behind.v & 255 WHERE behind.n < (SELECT n FROM longest)),
+bytes AS (
+  SELECT f, length(h) // 2 AS n, i, (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS b
+  FROM (SELECT f, h, unnest(range(length(h) // 2)) AS i FROM d)),
+crc AS (
+  SELECT f, xor(xor(bit_xor(behind.v), any_value(zeros.s)), 4294967295) % 10000 AS bucket
+  FROM bytes JOIN behind ON behind.n = bytes.n - 1 - i AND behind.b = bytes.b JOIN zeros ON zeros.n = bytes.n GROUP BY f),
+placed AS MATERIALIZED (SELECT kind, r, bucket, sum(c) AS c FROM f JOIN crc USING (f) GROUP BY ALL),
+total AS (SELECT bucket, coalesce(sum(c) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (kind = 'b'), 0)::DOUBLE AS t FROM placed GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM total),
+doc AS (
+  SELECT w.r, any_value(doc_id) AS doc_id, any_value(len(w)) AS n_words, coalesce(sum(c), 0)::BIGINT AS n_features, coalesce(sum(c * gain), 0)::BIGINT AS weight
+  FROM w LEFT JOIN placed ON placed.r = w.r LEFT JOIN gain USING (bucket) WHERE w.kind = 'd' GROUP BY w.r),
+scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM doc),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1, "op2_near_duplicates": OP2, "op8_chat": OP8, "op9_line_dedup": _op9()}
+    return {"op1_top_k": OP1, "op2_near_duplicates": OP2, "op8_chat": OP8, "op9_line_dedup": _op9(), "op12_resampling": OP12}
