@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, fingerprints, html_text, language, line_templates, near_dedup, packing, personal, resampling, top_k
+from . import alignment, bpe, chat, fingerprints, html_text, language, line_templates, near_dedup, packing, personal, resampling, top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,6 +72,11 @@ def op10_language(spark, sf_dir):
     return language.of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), labelled).select("page_id", "language", F.round("posterior", 6).alias("posterior"), "rejected")
 
 
+def op11_alignment(spark, sf_dir):
+    paths = [tokenizer_path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents"), (*paths, pattern()))
+
+
 def op12_resampling(spark, sf_dir):
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -80,7 +85,7 @@ def op12_resampling(spark, sf_dir):
 def queries() -> dict:
     every = (
         op1_top_k, op2_near_duplicates, op3_personal_data, op4_bpe, op5_main_text, op6_fingerprints, op7_packing, op8_chat,
-        op9_line_dedup, op10_language, op12_resampling,
+        op9_line_dedup, op10_language, op11_alignment, op12_resampling,
     )
     return {f.__name__: f for f in every}
 
