@@ -6,7 +6,7 @@ keep their ids, groups and links. The distinct id pairs of a text, with how ofte
 measures; pair counts over the collection are sums weighted by the copies of each text. Pairs that make up one in HEAD of
 all those counted are at most HEAD, whatever the input: they are broadcast and looked up where the texts lie. Rarer pairs
 are joined by a shuffle, which no frequent pair can make uneven. Measures reach the documents by the digest of the text;
-the few texts that are one in HOT of all rows come by broadcast, all others by a shuffle.
+the few texts with very many copies come by broadcast, all others by a shuffle (spread_join).
 
 Tokens are those of " " + text: ids of a rank file (A), and pieces of a sentencepiece model (B), which adds that space.
 Byte offsets where tokens of both end cut them into groups; every A token of a group is linked with each of its B tokens.
@@ -22,11 +22,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import settle
+from .common import settle, spread_join
 from .tokens import word_parts
 
 HEAD = 1 << 20  # a pair that is broadcast makes up one in so many of all counted pairs, at least
-HOT = 1000  # a text that is broadcast is one in so many rows, at least
 KEPT = 100_000  # parts that a worker keeps before it starts anew
 SHORT = 200  # characters of a part that is kept
 BITS = 16  # bits of an id in a pair
@@ -280,11 +279,5 @@ def align(docs: DataFrame, tokenizers: tuple[str, str, str, str]) -> DataFrame:
 
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     many = measures.agg(F.sum("copies")).first()[0] or 0
-    found = F.struct(*names)
-    hot = measures.where(F.col("copies") * HOT >= many).select(F.col("key").alias("hot_key"), found.alias("hot"))  # at most HOT rows
-    cold = measures.where(F.col("copies") * HOT < many).select("key", found.alias("cold"))
-    keyed = rows.select("doc_id", F.sha2("text", 256).alias("text_key")).join(F.broadcast(hot), F.col("text_key") == F.col("hot_key"), "left")
-    # rows already served get keys that nothing has, all different, so that they do not meet in one task
-    keyed = keyed.withColumn("key", F.when(F.col("hot").isNull(), F.col("text_key")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))))
-    out = keyed.join(cold.hint("shuffle_merge"), "key", "left").withColumn("m", F.coalesce("hot", "cold"))
-    return out.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in names))
+    keyed = rows.select("doc_id", F.sha2("text", 256).alias("key"))
+    return spread_join(keyed, measures.select("key", "copies", *names), "key", "copies", many).select("doc_id", *names)

@@ -52,6 +52,29 @@ def parts(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+HOT = 1000  # a key that is broadcast is that of one in so many rows, at least
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows (key and other columns) with the columns of table (key, weight and others) beside them, all keys being in table.
+
+    weight says how many of the total rows have a key. The keys of one in HOT rows and more, HOT of them at most, come by
+    broadcast; the others by a shuffle in which rows already served get keys of their own, so that they do not meet in
+    one task.
+    """
+    names = [c for c in table.columns if c not in (key, weight)]
+    beside = F.struct(*names)
+    often = F.col(weight) * HOT >= total
+    hot = table.where(often).select(F.col(key).alias("_hot_key"), beside.alias("_hot"))
+    cold = table.where(~often).select(F.col(key).alias("_cold_key"), beside.alias("_cold"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    kind = rows.schema[key].dataType
+    other = F.xxhash64(*[c for c in rows.columns if c != key]).cast("string").cast(kind)
+    met = met.withColumn("_cold_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(other))
+    out = met.join(cold.hint("shuffle_merge"), "_cold_key", "left").withColumn("_m", F.coalesce("_hot", "_cold"))
+    return out.select(*rows.columns, *(F.col("_m")[c].alias(c) for c in names))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node, root being its smallest node.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, chat, fingerprints, html_text, language, line_templates, near_dedup, packing, personal, resampling, top_k
+from . import alignment, bpe, chat, fingerprints, html_text, language, line_templates, near_dedup, ngram_join, packing, personal, resampling, top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,10 +82,14 @@ def op12_resampling(spark, sf_dir):
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), words=5, similarity=80)
+
+
 def queries() -> dict:
     every = (
         op1_top_k, op2_near_duplicates, op3_personal_data, op4_bpe, op5_main_text, op6_fingerprints, op7_packing, op8_chat,
-        op9_line_dedup, op10_language, op11_alignment, op12_resampling,
+        op9_line_dedup, op10_language, op11_alignment, op12_resampling, op13_ngram_join,
     )
     return {f.__name__: f for f in every}
 
@@ -118,6 +122,9 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY a) m USING (doc_id)
 """
 
+#: The same with five words, and without the choice of one document.
+OP13 = OP2.replace("w[i : i + 3]", "w[i : i + 4]").replace("len(w) - 3", "len(w) - 4").replace(", d.doc_id <= coalesce(m.b, d.doc_id) AS kept", "")
+
 OP8 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -222,4 +229,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN ra
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1, "op2_near_duplicates": OP2, "op8_chat": OP8, "op9_line_dedup": _op9(), "op12_resampling": OP12}
+    return {"op1_top_k": OP1, "op2_near_duplicates": OP2, "op8_chat": OP8, "op9_line_dedup": _op9(), "op12_resampling": OP12, "op13_ngram_join": OP13}

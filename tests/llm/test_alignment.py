@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from evtrace.llm import alignment as A, queries
+from evtrace.llm import alignment as A, common, queries
 
 DOCS = "doc_id long, text string"
 
@@ -87,10 +87,10 @@ def test_parts_are_whole_encodings(paths, libraries):
         assert got == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups(libraries, text)), text
 
 
-@pytest.mark.parametrize("head, hot, kept", [(A.HEAD, A.HOT, A.KEPT), (40, 5, 3), (1, 1, 100)])
+@pytest.mark.parametrize("head, hot, kept", [(A.HEAD, common.HOT, A.KEPT), (40, 5, 3), (1, 1, 100)])
 def test_equals_plain_loops(spark, monkeypatch, paths, libraries, head, hot, kept):
     monkeypatch.setattr(A, "HEAD", head)
-    monkeypatch.setattr(A, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     monkeypatch.setattr(A, "KEPT", kept)
     rng = random.Random(head)
     docs = [(i, "".join(rng.choice(ALPHABET) for _ in range(rng.choice([1, 5, 40, 200])))) for i in range(120)]
