@@ -39,6 +39,18 @@ def running_last(df: DataFrame, keys: list[str], t: str, tie: str, value: Column
     return joined.withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far", "_c", "_v")
 
 
+def running_next(df: DataFrame, keys: list[str], t: str, tie: str, value: Column, name: str, width: int = 7 * DAY) -> DataFrame:
+    """df with the first non-null `value` behind each row, itself left out, in (t, tie) order."""
+    chunked = df.withColumns({"_v": value, "_c": _chunk(t, width)})
+    backwards = W.partitionBy(*keys, "_c").orderBy(F.desc(t), F.desc(tie)).rowsBetween(W.unboundedPreceding, -1)
+    near = chunked.withColumn("_near", F.last("_v", True).over(backwards))
+    first = chunked.where("_v is not null").groupBy(*keys, "_c").agg(F.min_by("_v", F.struct(t, tie)).alias("_first"))
+    every = chunked.select(*keys, "_c").distinct().join(first.hint("shuffle_merge"), [*keys, "_c"], "left")
+    carried = every.select(*keys, "_c", F.last("_first", True).over(W.partitionBy(*keys).orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)).alias("_far"))
+    joined = near.join(carried.hint("shuffle_merge"), [*keys, "_c"], "left")
+    return joined.withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far", "_c", "_v")
+
+
 def islands(df: DataFrame, keys: list[str], t: str, tie: str, gap: int | None = None, changes: list[str] = (), name: str = "island") -> DataFrame:
     """df with `name`: the (t, tie) of the first row of its run.
 

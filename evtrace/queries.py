@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .functions import scalars as S
-from .operators import actions as A, checks as C, incidents as I, lookups as L, rollups as R, rules, series, spatial, timeline as T
+from .operators import actions as A, checks as C, incidents as I, lookups as L, recovery, rollups as R, rules, series, spatial, timeline as T
 from .plans import views as V
 from .plans.settle import settle
 from .plans.views import HOUR
@@ -705,20 +705,101 @@ def check_links(spark, sf_dir):
     return I.resolve_links(checks, incidents, _roles(spark, sf_dir)).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("events", "roles")})
 
 
-@query("WITH" + V.SQL_EVENTS + f""",
-d AS (SELECT session_id, event_id AS id, t AS s, t + k::BIGINT * 60000000 AS e, confidence FROM ev WHERE event_type = 'error'), u AS (SELECT session_id, event_id AS id, t AS s, t + k::BIGINT * 60000000 AS e, confidence FROM ev WHERE event_type = 'view'),
-g AS (SELECT d.id, n.event_id AS s_id, n.confidence AS s_conf FROM d JOIN ev n ON n.session_id = d.session_id AND n.event_type = 'click' AND n.t BETWEEN d.s - {2 * HOUR} AND d.e + {2 * HOUR} QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY abs(n.t - d.s) / 1e6 - 0.1 * n.confidence, n.event_id) = 1),
-n AS (SELECT d.*, s_id, s_conf FROM d LEFT JOIN g USING (id)), l AS (SELECT * FROM n WHERE s_id IS NOT NULL OR e - s >= {HOUR // 2}),
-b AS (SELECT l.*, u.id AS u_id, u.s AS us, u.e AS ue, u.confidence AS uc FROM l LEFT JOIN u ON u.session_id = l.session_id AND u.s > l.e AND u.s <= l.e + {72 * HOUR} QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY u.s, u.id) = 1),
-o AS (SELECT * FROM b QUALIFY u_id IS NULL OR row_number() OVER (PARTITION BY u_id ORDER BY s, id) = 1),
-c AS (SELECT *, round(0.35 * (0.55 * confidence + 0.45 * least(1, (e - s) / {HOUR / 2})) + 0.35 * coalesce(0.55 * uc + 0.45 * least(1, (ue - us) / {HOUR / 2}), 0) + 0.15 * coalesce(1 - (us - e) / {72.0 * HOUR} * 0.5, 0) + 0.15 * coalesce(s_conf, 0), 9) AS conf FROM o)
-SELECT session_id, id, s_id, u_id, conf AS confidence, CASE WHEN u_id IS NULL THEN CASE WHEN conf >= 0.45 THEN 'MISSING_OR_UNOBSERVED' ELSE 'MISSING' END WHEN conf >= 0.7 THEN 'DETECTED' WHEN conf >= 0.45 THEN 'DETECTED_LOW_CONFIDENCE' ELSE 'DETECTED_UNCERTAIN' END AS result FROM c
-UNION ALL SELECT session_id, id, NULL, NULL, confidence, 'FILTERED_SHORT_SEGMENT' FROM n WHERE s_id IS NULL AND e - s < {HOUR // 2}""")
+_SEARCH = recovery.Recovery(least_down=HOUR // 2, least_up=HOUR // 2, most=72 * HOUR, gap=12 * HOUR, window=2 * HOUR)
+
+
+def _sec(micros: str) -> str:
+    """Microseconds as text in seconds."""
+    return f"printf('%d.%03d', (({micros}) + 500) // 1000 // 1000, (({micros}) + 500) // 1000 % 1000)"
+
+
+#: Events as segments of several states, signals and state events; the search that the recoveries rest on, pair by pair.
+_RECOVERY = V.SQL_EVENTS + f""",
+sg AS (
+  SELECT *, row_number() OVER w AS o, lag(e) OVER w AS pe FROM (
+    SELECT session_id, event_id AS id, t AS s, t + k::BIGINT * 60000000 AS e, confidence, 1 + k % 3 AS readings,
+      CASE event_type WHEN 'error' THEN CASE WHEN k % 4 = 0 THEN 'panel' ELSE 'down' END WHEN 'view' THEN CASE WHEN k % 3 = 0 THEN 'recovered' ELSE 'up' END WHEN 'purchase' THEN 'overlay' ELSE 'unknown' END AS state
+    FROM ev WHERE event_type <> 'click') WINDOW w AS (PARTITION BY session_id ORDER BY s, e, id)),
+noted AS (
+  SELECT *, list_filter([
+    CASE WHEN state <> 'unknown' AND greatest(0, s - pe) > {12 * HOUR} THEN 'large_gap_before_candidate:' || {_sec("greatest(0, s - pe)")} || '>' || {_sec(str(12 * HOUR))} END,
+    CASE WHEN state = 'overlay' THEN 'intermediate_state:' || state || '@' || {_sec("s")} END], lambda x: x IS NOT NULL) AS told FROM sg),
+near AS (
+  SELECT d.id, n.event_id AS s_id, n.confidence AS s_conf FROM sg d JOIN ev n ON n.session_id = d.session_id AND n.event_type = 'click' AND n.k % 2 = 0 AND n.t BETWEEN d.s - {2 * HOUR} AND d.e + {2 * HOUR}
+  WHERE d.state IN ('panel', 'down') QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY abs(n.t - d.s) / 1e6 - 0.1 * n.confidence, n.t, n.event_id) = 1),
+dn AS (SELECT sg.*, s_id, s_conf, s_id IS NULL AND e - s < {HOUR // 2} AS filtered FROM sg LEFT JOIN near USING (id) WHERE state IN ('panel', 'down')),
+fu AS (
+  SELECT d.id, u.id AS u_id, u.o AS uo, u.s AS us, u.e AS ue, u.confidence AS uc, u.readings AS un FROM dn d JOIN sg u ON u.session_id = d.session_id AND u.o > d.o AND u.state IN ('up', 'recovered')
+  WHERE NOT filtered QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY u.o) = 1),
+wk AS (SELECT d.*, fu.* EXCLUDE (id) FROM dn d LEFT JOIN fu ON fu.id = d.id AND us <= d.e + {72 * HOUR} WHERE NOT filtered),
+se AS (
+  SELECT w.id, list(struct_pack(o := x.o, told := x.told) ORDER BY x.o) AS between FROM wk w JOIN noted x ON x.session_id = w.session_id AND x.o > w.o AND len(x.told) > 0 AND CASE WHEN u_id IS NULL THEN x.s <= w.e + {72 * HOUR} ELSE x.o <= uo END
+  GROUP BY w.id),
+la AS (SELECT w.id, min(x.s) - any_value(w.e) AS late FROM wk w JOIN sg x ON x.session_id = w.session_id AND x.o > w.o AND x.s > w.e + {72 * HOUR} WHERE u_id IS NULL GROUP BY w.id),
+ow AS (SELECT * FROM wk QUALIFY u_id IS NULL OR row_number() OVER (PARTITION BY u_id ORDER BY o) = 1),
+su AS (
+  SELECT w.id, n.event_id AS up_event, n.confidence AS up_conf FROM ow w JOIN ev n ON n.session_id = w.session_id AND n.event_type = 'click' AND n.k % 4 = 1 AND n.t BETWEEN us - {2 * HOUR} AND ue + {2 * HOUR}
+  QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(n.t - us), n.t, n.event_id) = 1),
+sd AS (
+  SELECT w.id, n.event_id AS down_event FROM ow w JOIN ev n ON n.session_id = w.session_id AND n.event_type = 'click' AND n.k % 4 = 3 AND n.t BETWEEN w.s - {2 * HOUR} AND w.e + {2 * HOUR}
+  QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(n.t - w.s), n.t, n.event_id) = 1),
+sc AS (
+  SELECT ow.*, between, late, up_event, up_conf, down_event, round(greatest(0, least(1,
+      0.35 * greatest(0, least(1, 0.55 * confidence + 0.45 * greatest(0, least(1, (e - s) / {HOUR / 2}))))
+    + 0.35 * CASE WHEN u_id IS NULL THEN 0 ELSE greatest(0, least(1, 0.55 * uc + 0.30 * greatest(0, least(1, (ue - us) / {HOUR / 2})) + 0.15 * CASE WHEN un >= 2 THEN 1.0 ELSE 0.65 END)) END
+    + 0.15 * CASE WHEN u_id IS NULL THEN 0 ELSE greatest(greatest(0, least(1, 1 - greatest(0, us - e) / {72.0 * HOUR} * 0.5)), coalesce(up_conf, 0)) END
+    + 0.15 * coalesce(s_conf, 0))), 9) AS c
+  FROM ow LEFT JOIN se USING (id) LEFT JOIN la USING (id) LEFT JOIN su USING (id) LEFT JOIN sd USING (id)),
+rec AS (
+  SELECT session_id, id AS down_id, u_id AS up_id, s AS down_t, us AS recovery_t, CASE WHEN u_id IS NOT NULL THEN greatest(0, us - e) END AS delay, s_id AS signal_id, coalesce(up_event, down_event) AS state_event_id, c AS confidence,
+    CASE WHEN u_id IS NULL THEN CASE WHEN late IS NULL OR c >= 0.45 THEN 'UNCERTAIN' ELSE 'MISSING' END WHEN c >= 0.7 THEN 'CONFIRMED' WHEN c >= 0.45 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status,
+    CASE WHEN u_id IS NULL THEN CASE WHEN late IS NULL THEN 'UNOBSERVED_END' WHEN c >= 0.45 THEN 'MISSING_OR_UNOBSERVED' ELSE 'MISSING' END
+      WHEN c >= 0.7 THEN 'DETECTED' WHEN c >= 0.45 THEN 'DETECTED_LOW_CONFIDENCE' ELSE 'DETECTED_UNCERTAIN' END AS result,
+    concat_ws(',', 'state_segments', CASE WHEN s_id IS NOT NULL THEN 'signal_crosscheck' END, CASE WHEN up_event IS NOT NULL THEN 'state_event_crosscheck' END, CASE WHEN u_id IS NOT NULL THEN 'up_returned' END) AS sources,
+    array_to_string(list_filter(list_concat([CASE WHEN e - s < {HOUR // 2} THEN 'short_down_segment:' || {_sec("e - s")} || '<' || {_sec(str(HOUR // 2))} END], flatten(list_transform(coalesce(between, []), lambda x: x.told)), [
+      CASE WHEN u_id IS NOT NULL THEN NULL WHEN late IS NULL THEN 'no_later_segment' ELSE 'max_delay_exceeded:' || {_sec("late")} || '>' || {_sec(str(72 * HOUR))} END,
+      CASE WHEN u_id IS NOT NULL AND c < 0.45 THEN 'confidence_below_inferred:' || {_sec("floor(c * 1e6)::BIGINT")} || '<0.450' END]), lambda x: x IS NOT NULL), ',') AS notes
+  FROM sc),
+recs AS (
+  SELECT session_id, id, state, s AS start_t, e AS end_t, confidence, s_id AS signal_id,
+    CASE WHEN filtered THEN 'FILTERED_SHORT_SEGMENT' WHEN s_id IS NOT NULL OR (state = 'panel' AND confidence >= 0.6) THEN 'CONFIRMED' ELSE 'INFERRED' END AS status,
+    concat_ws(',', 'state_segment', CASE WHEN s_id IS NOT NULL THEN 'signal_crosscheck' END) AS sources,
+    concat_ws(',', CASE WHEN e - s < {HOUR // 2} THEN 'short_down_segment:' || {_sec("e - s")} || '<' || {_sec(str(HOUR // 2))} END, CASE WHEN filtered THEN 'not_promoted' END) AS notes
+  FROM dn)"""
+
+
+def _recovery(spark, sf_dir):
+    ev = V.events(spark, sf_dir).withColumn("id", F.col("event_id"))
+    kind, k = F.col("event_type"), F.col("k")
+    state = F.when(kind == "error", F.when(k % 4 == 0, "panel").otherwise("down")).when(kind == "view", F.when(k % 3 == 0, "recovered").otherwise("up")).when(kind == "purchase", "overlay").otherwise("unknown")
+    segments = ev.where("event_type <> 'click'").select("session_id", "id", state.alias("state"), F.col("t").alias("start_t"), (F.col("t") + k.cast("long") * 60_000_000).alias("end_t"), "confidence", (k % 3 + 1).alias("readings"))
+    clicks = ev.where("event_type = 'click'")
+    told = clicks.where("k % 2 = 1").withColumn("kind", F.when(k % 4 == 1, "up").otherwise("down"))
+    return recovery.recovery_events(segments, clicks.where("k % 2 = 0"), told, _SEARCH)
+
+
+def _joined(df, *lists):
+    return df.withColumns({c: F.array_join(c, ",") for c in lists})
+
+
+@query("WITH" + _RECOVERY + " SELECT * FROM rec")
 def recovery_events(spark, sf_dir):
-    ev = V.events(spark, sf_dir)
-    span = lambda kind: ev.where(F.col("event_type") == kind).select("session_id", F.col("event_id").alias("id"), F.col("t").alias("start_t"), (F.col("t") + F.col("k").cast("long") * 60_000_000).alias("end_t"), "confidence")
-    signals = ev.where("event_type = 'click'").select("session_id", F.col("event_id").alias("id"), "t", "confidence")
-    return I.recovery_events(span("error"), span("view"), signals, HOUR // 2, 72 * HOUR, 2 * HOUR)
+    return _joined(_recovery(spark, sf_dir)[0], "sources", "notes")
+
+
+@query("WITH" + _RECOVERY + " SELECT * FROM recs")
+def down_records(spark, sf_dir):
+    return _joined(_recovery(spark, sf_dir)[1], "sources", "notes")
+
+
+@query("WITH" + _RECOVERY + """,
+a AS (SELECT session_id, count(*) AS down_segments, min(start_t) AS first_down_t FROM recs GROUP BY 1),
+b AS (SELECT session_id, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'INFERRED') AS inferred, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'UNCERTAIN') AS uncertain, first(recovery_t ORDER BY down_t, recovery_t) FILTER (recovery_t IS NOT NULL) AS first_recovery_t FROM rec GROUP BY 1)
+SELECT c_custkey AS session_id, coalesce(down_segments, 0) AS down_segments, coalesce(confirmed, 0) AS confirmed, coalesce(inferred, 0) AS inferred, coalesce(missing, 0) AS missing, coalesce(uncertain, 0) AS uncertain, first_down_t, first_recovery_t
+FROM customer LEFT JOIN a ON a.session_id = c_custkey LEFT JOIN b ON b.session_id = c_custkey""")
+def recovery_summaries(spark, sf_dir):
+    sessions = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
+    return recovery.recovery_summary(sessions, *_recovery(spark, sf_dir))
 
 
 @query("WITH" + V.SQL_EVENTS + f""",
