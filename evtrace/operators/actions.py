@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .incidents import numbered
+from .timeline import running_last
 
 
 def expand_actions(actions: DataFrame, default_ms: int = 30) -> DataFrame:
@@ -36,15 +37,18 @@ def recording_summary(actions: DataFrame) -> DataFrame:
 
 
 def normalize_actions(raw: DataFrame) -> DataFrame:
-    """Current rows (type) and legacy ones (kind, action, delay_ms) as session_id, t_ms, kind, code.
+    """Current rows (type) and legacy ones (kind, action, delay_ms) as session_id, seq, t_ms, kind, code, in order of seq.
 
-    A legacy row without a time starts its delay after the row before it.
+    A row with a time (t, else time, in seconds) sets the clock. One without starts its delay after the row before it, so
+    its time is the last known one plus the delays since, from 0 where none is known yet.
     """
-    rows = raw.withColumn("_c", F.floor(F.col("seq") / 100_000))
-    own = F.sum(F.coalesce("delay_ms", F.lit(0))).over(W.partitionBy("session_id", "_c").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    per = rows.groupBy("session_id", "_c").agg(F.sum(F.coalesce("delay_ms", F.lit(0))).alias("_d"))
+    known = F.round(F.coalesce("t", "time") * 1000).cast("long")
+    rows = raw.withColumns({"_known": known, "_wait": F.when(known.isNull(), F.coalesce("delay_ms", F.lit(0))).otherwise(0).cast("long"), "_c": F.floor(F.col("seq") / 100_000)})
+    inside = F.sum("_wait").over(W.partitionBy("session_id", "_c").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    per = rows.groupBy("session_id", "_c").agg(F.sum("_wait").alias("_d"))
     before = per.select("session_id", "_c", (F.sum("_d").over(W.partitionBy("session_id").orderBy("_c")) - F.col("_d")).alias("_before"))
-    raw = rows.withColumn("_own", own).join(before.hint("shuffle_merge"), ["session_id", "_c"])
-    clock = F.col("_own") + F.col("_before")
+    waited = rows.withColumn("_in", inside).join(before.hint("shuffle_merge"), ["session_id", "_c"]).withColumn("_waited", F.col("_in") + F.col("_before"))
+    # the clock less what was waited until it was set, carried on
+    held = running_last(waited.drop("_c"), ["session_id"], "seq", "seq", F.col("_known") - F.col("_waited"), "_clock", 100_000)
     kind = F.coalesce("type", F.concat_ws("_", F.when(F.col("kind") == "keyboard", "key").otherwise(F.col("kind")), F.col("action")))
-    return raw.select("session_id", "seq", F.coalesce(F.round(F.col("t") * 1000).cast("long"), F.round(F.col("time") * 1000).cast("long"), clock.cast("long")).alias("t_ms"), kind.alias("kind"), "code")
+    return held.select("session_id", "seq", (F.coalesce("_clock", F.lit(0)) + F.col("_waited")).cast("long").alias("t_ms"), kind.alias("kind"), "code")

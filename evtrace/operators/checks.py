@@ -65,7 +65,7 @@ def build_checks(found: DataFrame, kinds: dict[str, str], critical: list[str], b
     open_ = F.col("result").isin("UNCERTAIN", "NEED_REVIEW")
     why = F.when(open_ & F.col("incident_id").isNull(), "no_incident").when(open_ & (F.col("confidence") < 0.5), "low_confidence").when(open_, "conflicting_evidence")
     return found.select(
-        "session_id", F.concat_ws(":", F.col("session_id").cast("string"), "rule", F.coalesce(F.col("incident_id").cast("string"), F.lit("session"))).alias("check_id"), kind.alias("check_type"),
+        "session_id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("rule"), F.coalesce(F.col("incident_id").cast("string"), F.lit("session"))).alias("check_id"), kind.alias("check_type"),
         F.when(F.col("rule").isin(*critical), "critical").otherwise("major").alias("severity"), "result", "confidence", open_.alias("uncertain"), why.alias("reason"),
         F.greatest(F.lit(0).cast("long"), F.col("t") - before).alias("lo"), (F.col("t") + after).alias("hi"),
     )

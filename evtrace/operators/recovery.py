@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import clamp01
+from ..functions.scalars import clamp01, seconds
 from ..plans.settle import settle
 from .timeline import running_next, with_previous
 
@@ -31,12 +31,6 @@ class Recovery:
     sure_from: float = 0.60
 
 
-def seconds(micros: Column) -> Column:
-    """Microseconds as text in seconds, three places, half up."""
-    ms = F.floor((micros + 500) / 1000).cast("long")
-    return F.format_string("%d.%03d", F.floor(ms / 1000), ms % 1000)
-
-
 def best_in_span(spans: DataFrame, points: DataFrame, window: int, bonus: float, width: int) -> DataFrame:
     """id, point, point_conf: the point (session_id, p_id, p_t, p_conf) within window of each span (session_id, id, start_t,
     end_t) whose distance to the span's start in seconds, less bonus times its confidence, is smallest; then by time and id.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import exact_mean
+from .timeline import range_pairs
 
 RESULTS = ("FAIL", "NEED_REVIEW", "UNCERTAIN", "PASS")  # the worst first
 
@@ -60,10 +61,10 @@ def timeline_summary(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("session_id", F.coalesce("n", F.lit(0)).cast("long").alias("events"), F.coalesce("types", F.lit(0)).cast("long").alias("types"), "first_t", "last_t", F.coalesce("c", F.lit(0.0)).alias("mean_confidence"))
 
 
-def result_matrix(checks: DataFrame, rows: str, results=RESULTS) -> DataFrame:
-    """One row per value of `rows` and one for all (null), with a count per result; zeros where there are none."""
+def result_matrix(checks: DataFrame, *by: str, results=RESULTS) -> DataFrame:
+    """In one pass one row per value of each column of `by` (the others null) and one for all, with a count per result; zeros where there are none."""
     counts = [F.count_if(F.col("result") == r).alias(r.lower()) for r in results]
-    return checks.groupingSets([(F.col(rows),), ()], rows).agg(F.count("*").alias("checks"), *counts)
+    return checks.groupingSets([*((F.col(c),) for c in by), ()], *by).agg(F.count("*").alias("checks"), *counts)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -78,9 +79,18 @@ def weighted_offsets(anchors: DataFrame, keys: list[str], threshold: float) -> D
     return used.groupBy(*keys).agg(mean("dx").alias("dx"), mean("dy").alias("dy"), F.avg("score").alias("score"), F.count("*").alias("anchors"))
 
 
-def review_queue(checks: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Checks that did not pass and that no exclusion names (session_id, check_id)."""
-    return checks.where(F.col("result") != "PASS").join(excluded.select("session_id", "check_id").distinct().hint("shuffle_merge"), ["session_id", "check_id"], "left_anti")
+def review_package(checks: DataFrame, recoveries: DataFrame, before: int, after: int, rule: str = "recovery") -> DataFrame:
+    """Checks that did not pass (session_id, check_id, rule, result, notes, t), with `exclusion`, null where one is to be reviewed.
+
+    A failed check of `rule` for a missing recovery shows nothing wrong where a recovery (session_id, down_t, notes) from
+    before its time until after it was searched to the session's end: it is excluded, with the reason.
+    """
+    open_ = checks.where(F.col("result") != "PASS")
+    missed = open_.where((F.col("rule") == rule) & (F.col("result") == "FAIL") & F.array_contains("notes", "missing_recovery"))
+    ended = recoveries.where(F.array_contains(F.split("notes", ",") if dict(recoveries.dtypes)["notes"] == "string" else F.col("notes"), "no_later_segment")).select("session_id", "down_t")
+    near = range_pairs(missed.select("session_id", "check_id", "t"), ended, ["session_id"], before, after, "t", "down_t").select("session_id", "check_id").distinct()
+    out = open_.join(near.withColumn("_out", F.lit(True)).hint("shuffle_merge"), ["session_id", "check_id"], "left")
+    return out.withColumn("exclusion", F.when(F.col("_out"), "missing_recovery_at_end_no_later_segment")).drop("_out")
 
 
 def evidence_index(artifacts: DataFrame) -> DataFrame:

@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import exact, exact_mean
+from ..functions.scalars import exact, exact_mean, seconds
 from .chunks import throttle
 from .timeline import islands, range_pairs, running_last, with_previous
 
 
 def stable_series(readings: DataFrame, window: int, least_conf: float, least_votes: int) -> DataFrame:
-    """Centred vote per reading: the value most often read within half a window on both sides.
+    """Centred vote per frame and channel: the value most often read within half a window on both sides.
 
-    readings: session_id, channel, id, t, value, confidence. Ties go to the value seen first in time.
+    readings: session_id, channel, id, t, value, confidence; id and t name the frame, which may have a reading of each
+    channel or of some. Every channel of a session has a row at every frame of it: one without a usable reading near is
+    no_valid_reading. Frames meet the readings once, whatever their channel, and carry the session's channels along for
+    the rows that nothing voted for. Ties go to the value seen first in time.
     """
     half = window // 2
-    points = readings.select("session_id", "channel", F.col("id").alias("a_id"), F.col("t").alias("a_t"))
-    votes = readings.where((F.col("confidence") >= least_conf) & F.col("value").isNotNull()).select("session_id", "channel", F.col("id").alias("c_id"), F.col("t").alias("c_t"), "value", "confidence")
-    pairs = range_pairs(points, votes, ["session_id", "channel"], half, half, "a_t", "c_t")
-    counted = pairs.groupBy("a_id", "value").agg(F.count("*").alias("votes"), F.avg("confidence").alias("mean"), F.min(F.struct("c_t", "c_id")).alias("seen"))
-    best = counted.groupBy("a_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "seen", "value", "mean")).alias("b"))
+    frames = readings.select("session_id", F.col("id").alias("a_id"), F.col("t").alias("a_t")).distinct()
+    usable = readings.where((F.col("confidence") >= least_conf) & F.col("value").isNotNull()).select("session_id", "channel", F.col("id").alias("c_id"), F.col("t").alias("c_t"), "value", "confidence")
+    pairs = range_pairs(frames, usable, ["session_id"], half, half, "a_t", "c_t")
+    counted = pairs.groupBy("a_id", "channel", "value").agg(F.count("*").alias("votes"), F.avg("confidence").alias("mean"), F.min(F.struct("c_t", "c_id")).alias("seen"))
+    best = counted.groupBy("a_id", "channel").agg(F.min(F.struct((-F.col("votes")).alias("v"), "seen", "value", "mean")).alias("b"))
+    channels = readings.groupBy("session_id").agg(F.collect_set("channel").alias("_all"))
+    grid = frames.join(channels.hint("shuffle_merge"), "session_id").withColumn("channel", F.explode("_all")).drop("_all")
     n = -F.col("b.v")
-    out = points.join(best.hint("shuffle_merge"), "a_id", "left")
+    out = grid.join(best.hint("shuffle_merge"), ["a_id", "channel"], "left")
     return out.select(
         "session_id", "channel", F.col("a_id").alias("id"), F.col("a_t").alias("t"), F.col("b.value").alias("value"), F.coalesce(n, F.lit(0)).cast("long").alias("votes"),
         F.coalesce(F.col("b.mean") * F.least(F.lit(1.0), n / float(least_votes)), F.lit(0.0)).alias("confidence"),
@@ -29,6 +34,36 @@ def stable_series(readings: DataFrame, window: int, least_conf: float, least_vot
     )
 
 
+def anchored_changes(points: DataFrame, moments: DataFrame, window: int, most: int) -> DataFrame:
+    """Rises of a side's value from the last point at or before a moment to the first at or after it, both within window.
+
+    points: session_id, side, id, t, value, confidence. moments: session_id, id, t, side, confidence. Of points at one
+    time the most confident counts, then the smaller id. A rise by more than `most` needs review. Of rises of a side
+    that end in the same hundredth of a second the first moment's stays. A moment without side has none; one without
+    confidence, or with 0, counts as 0.7.
+    """
+    a = moments.select("session_id", "side", F.col("id").alias("a_id"), F.col("t").alias("a_t"), F.col("confidence").alias("a_conf"))
+    c = points.select("session_id", "side", F.col("id").alias("c_id"), F.col("t").alias("c_t"), F.col("value").alias("v"), F.col("confidence").alias("c"))
+    pairs = range_pairs(a, c, ["session_id", "side"], window, window, "a_t", "c_t")
+    point, less = F.struct(F.col("c_t").alias("t"), "v", "c"), (-F.col("c_id")).alias("i")
+    found = pairs.groupBy("session_id", "side", "a_id", "a_t").agg(
+        F.max_by(point, F.when(F.col("c_t") <= F.col("a_t"), F.struct("c_t", "c", less))).alias("b"),
+        F.min_by(point, F.when(F.col("c_t") >= F.col("a_t"), F.struct("c_t", (-F.col("c")).alias("n"), "c_id"))).alias("f"), F.max("a_conf").alias("a_conf"),
+    )
+    risen = found.where("b is not null and f is not null and f.v > b.v").withColumn("_cent", F.bround(F.col("f.t") / 10_000).cast("long"))
+    first = risen.groupBy("session_id", "side", "_cent").agg(F.min(F.struct("a_t", "a_id", "b", "f", "a_conf")).alias("m")).select("session_id", "side", "m.*")
+    own = F.when(F.coalesce("a_conf", F.lit(0.0)) == 0, 0.7).otherwise(F.col("a_conf"))
+    rise = F.col("f.v") - F.col("b.v")
+    notes = [
+        F.concat(F.lit("expected_side:"), "side"), F.concat(F.lit("anchored_before:"), seconds(F.col("b.t"))), F.concat(F.lit("anchored_after:"), seconds(F.col("f.t"))),
+        F.when(rise > most, F.concat(F.lit("abnormal_jump:"), rise.cast("string"))),
+    ]
+    return first.select(
+        "session_id", "side", "a_id", F.col("f.t").alias("t"), F.col("b.v").alias("from_value"), F.col("f.v").alias("to_value"),
+        F.least(F.lit(1.0), 0.45 * F.col("b.c") + 0.45 * F.col("f.c") + 0.10 * own).alias("confidence"), F.when(rise <= most, "CONFIRMED").otherwise("NEED_REVIEW").alias("status"), F.array_compact(F.array(*notes)).alias("notes"),
+    )
+
+
 def smooth_states(scores: DataFrame, window: int, threshold: float, priority: dict[str, int]) -> DataFrame:
     """Centred sum of state scores (session_id, id, t, state, score); best by sum, then priority; confidence is its share."""
     half = window // 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .functions import scalars as S
+from .operators.order import numbered
 from .operators import actions as A, checks as C, incidents as I, lookups as L, recovery, rollups as R, rules, series, spatial, timeline as T
 from .plans import views as V
 from .plans.settle import settle
@@ -42,6 +43,15 @@ def _mean_sql(c: str) -> str:
     return _PPM.format(num=f"sum({_NANO.format(c=c)})::HUGEINT", den="count(*)::HUGEINT")
 
 
+def _sec(micros: str) -> str:
+    """Microseconds as text in seconds."""
+    return f"printf('%d.%03d', (({micros}) + 500) // 1000 // 1000, (({micros}) + 500) // 1000 % 1000)"
+
+
+def _joined(df, *lists):
+    return df.withColumns({c: F.array_join(c, ",") for c in lists})
+
+
 _STATUS = "CASE WHEN event_type = 'purchase' THEN 5 WHEN event_type = 'click' THEN 3 WHEN event_type = 'error' THEN 1 ELSE 0 END"
 
 
@@ -162,11 +172,29 @@ def recoveries(spark, sf_dir):
 
 
 @query("WITH" + V.SQL_READINGS + f""",
-p AS (SELECT a.id, c.value, c.confidence, c.t, c.id AS c_id FROM rd a JOIN rd c ON a.session_id = c.session_id AND a.channel = c.channel AND c.t BETWEEN a.t - {12 * HOUR} AND a.t + {12 * HOUR} AND c.confidence >= 0.3),
-v AS (SELECT id, value, count(*) AS votes, avg(confidence) AS m, min((t, c_id)) AS seen FROM p GROUP BY id, value),
-b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, seen) = 1)
-SELECT rd.session_id, rd.channel, rd.id, rd.t, b.value, coalesce(votes, 0) AS votes, round(coalesce(m * least(1.0, votes / 2.0), 0), 6) AS confidence, CASE WHEN b.id IS NULL THEN 'no_valid_reading' WHEN votes < 2 THEN 'weak_votes' ELSE 'stable' END AS status
-FROM rd LEFT JOIN b USING (id)""")
+m AS (SELECT event_id AS a_id, session_id, side, t, confidence FROM ev WHERE event_type = 'click'),
+p AS (SELECT m.a_id, m.session_id, m.side, m.t AS a_t, m.confidence AS a_conf, rd.t, rd.id, rd.value, rd.confidence FROM m JOIN rd ON rd.session_id = m.session_id AND rd.channel = m.side AND rd.confidence >= 0.3 AND rd.t BETWEEN m.t - {24 * HOUR} AND m.t + {24 * HOUR}),
+b AS (SELECT * FROM p WHERE t <= a_t QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY t DESC, confidence DESC, id) = 1),
+f AS (SELECT * FROM p WHERE t >= a_t QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY t, confidence DESC, id) = 1),
+x AS (
+  SELECT b.session_id, b.side, b.a_id, b.a_t, f.t, b.t AS bt, b.value AS from_value, f.value AS to_value, least(1.0, 0.45 * b.confidence + 0.45 * f.confidence + 0.10 * CASE WHEN coalesce(b.a_conf, 0) = 0 THEN 0.7 ELSE b.a_conf END) AS confidence
+  FROM b JOIN f USING (a_id) WHERE f.value > b.value QUALIFY row_number() OVER (PARTITION BY b.session_id, b.side, round_even(f.t / 10000, 0) ORDER BY b.a_t, b.a_id) = 1)
+SELECT session_id, side, a_id, t, from_value, to_value, round(confidence, 9) AS confidence, CASE WHEN to_value - from_value <= 1 THEN 'CONFIRMED' ELSE 'NEED_REVIEW' END AS status,
+  concat_ws(',', 'expected_side:' || side, 'anchored_before:' || {_sec("bt")}, 'anchored_after:' || {_sec("t")}, CASE WHEN to_value - from_value > 1 THEN 'abnormal_jump:' || (to_value - from_value) END) AS notes FROM x""")
+def anchored_changes(spark, sf_dir):
+    points = V.readings(spark, sf_dir).where("confidence >= 0.3").withColumnRenamed("channel", "side")
+    moments = V.events(spark, sf_dir).where("event_type = 'click'").select("session_id", F.col("event_id").alias("id"), "t", "side", "confidence")
+    out = series.anchored_changes(points, moments, 24 * HOUR, 1)
+    return _joined(out.withColumn("confidence", F.round("confidence", 9)), "notes")
+
+
+@query("WITH" + V.SQL_READINGS + f""",
+g AS (SELECT a.session_id, a.id, a.t, c.channel FROM rd a JOIN (SELECT DISTINCT session_id, channel FROM rd) c USING (session_id)),
+p AS (SELECT a.id, a.channel, c.value, c.confidence, c.t, c.id AS c_id FROM g a JOIN rd c ON a.session_id = c.session_id AND a.channel = c.channel AND c.t BETWEEN a.t - {12 * HOUR} AND a.t + {12 * HOUR} AND c.confidence >= 0.3),
+v AS (SELECT id, channel, value, count(*) AS votes, avg(confidence) AS m, min((t, c_id)) AS seen FROM p GROUP BY ALL),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id, channel ORDER BY votes DESC, seen) = 1)
+SELECT g.session_id, g.channel, g.id, g.t, b.value, coalesce(votes, 0) AS votes, round(coalesce(m * least(1.0, votes / 2.0), 0), 6) AS confidence, CASE WHEN b.id IS NULL THEN 'no_valid_reading' WHEN votes < 2 THEN 'weak_votes' ELSE 'stable' END AS status
+FROM g LEFT JOIN b USING (id, channel)""")
 def stable_series(spark, sf_dir):
     return series.stable_series(V.readings(spark, sf_dir), 24 * HOUR, 0.3, 2).withColumn("confidence", F.round("confidence", 6))
 
@@ -283,14 +311,13 @@ every AS (
   UNION ALL SELECT session_id, NULL, 'count', 'UNCERTAIN', 0.0, 'no_incidents' FROM cust WHERE session_id NOT IN (SELECT session_id FROM counted)
   UNION ALL SELECT session_id, NULL, 'signal', 'UNCERTAIN', 0.0, 'no_incidents' FROM cust WHERE session_id NOT IN (SELECT session_id FROM counted UNION ALL SELECT session_id FROM down)
   UNION ALL SELECT session_id, NULL, 'recovery', 'PASS', 1.0, 'no_recovery_required' FROM cust WHERE session_id NOT IN (SELECT session_id FROM down)),
-fi AS (SELECT * FROM every WHERE rule = 'count'),
+fi AS (SELECT * FROM every),
 obs AS (
   SELECT session_id, rule, bool_or(result = 'FAIL') AS any_fail, bool_or(result = 'NEED_REVIEW') AS any_review, bool_or(result = 'UNCERTAIN') AS any_uncertain,
     max(confidence) FILTER (result = 'FAIL') AS f, max(confidence) FILTER (result = 'NEED_REVIEW') AS n, min(confidence) FILTER (result = 'PASS') AS p, count(*) AS findings,
     {_PPM.format(num="sum(round(confidence * 1e6)::HUGEINT * 1000) FILTER (result = 'UNCERTAIN')", den="nullif(count(*) FILTER (result = 'UNCERTAIN'), 0)::HUGEINT")} AS u
   FROM every WHERE session_id IN (SELECT session_id FROM cust) GROUP BY session_id, rule),
-obj AS (SELECT session_id, rule, findings, CASE WHEN any_fail THEN 'FAIL' WHEN any_review THEN 'NEED_REVIEW' WHEN any_uncertain THEN 'UNCERTAIN' ELSE 'PASS' END AS result, CASE WHEN any_fail THEN f WHEN any_review THEN n WHEN any_uncertain THEN u ELSE p END AS confidence FROM obs),
-ob AS (SELECT * FROM obj WHERE rule = 'count')"""
+obj AS (SELECT session_id, rule, findings, CASE WHEN any_fail THEN 'FAIL' WHEN any_review THEN 'NEED_REVIEW' WHEN any_uncertain THEN 'UNCERTAIN' ELSE 'PASS' END AS result, CASE WHEN any_fail THEN f WHEN any_review THEN n WHEN any_uncertain THEN u ELSE p END AS confidence FROM obs)"""
 
 
 def _incidents(spark, sf_dir):
@@ -309,7 +336,7 @@ def _every_finding(spark, sf_dir):
 
 def _findings(spark, sf_dir):
     sessions, found = _every_finding(spark, sf_dir)
-    return sessions, found.where("rule = 'count'").drop("notes")
+    return sessions, found.drop("notes")
 
 
 _SHOWN = " SELECT session_id, incident_id, result, confidence, note FROM every WHERE rule = '{}'"
@@ -376,36 +403,137 @@ def decision_traces(spark, sf_dir):
     return rules.decision_trace(found).select("session_id", "incident_id", "rule", F.explode("trace").alias("x")).select("session_id", "incident_id", "rule", "x.condition", "x.expected", "x.observed", F.round("x.confidence", 6).alias("confidence"), F.col("x.result").alias("outcome"), "x.note")
 
 
-def _objectives(spark, sf_dir):
-    return R.objective_rollup(*_findings(spark, sf_dir), ["session_id"])
-
-
-@query("WITH" + _RULES + " SELECT session_id, result, confidence, findings FROM ob")
+@query("WITH" + _RULES + " SELECT session_id, rule, result, confidence, findings FROM obj")
 def objectives(spark, sf_dir):
-    return _objectives(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+    return _three_objectives(spark, sf_dir)
 
 
 @query("WITH" + _RULES + """
-SELECT c_mktsegment AS segment, count(*) AS checks, count(*) FILTER (result = 'FAIL') AS fail, count(*) FILTER (result = 'NEED_REVIEW') AS need_review, count(*) FILTER (result = 'UNCERTAIN') AS uncertain, count(*) FILTER (result = 'PASS') AS pass
-FROM ob JOIN customer ON c_custkey = session_id GROUP BY GROUPING SETS ((c_mktsegment), ())""")
+SELECT rule, c_mktsegment AS segment, count(*) AS checks, count(*) FILTER (result = 'FAIL') AS fail, count(*) FILTER (result = 'NEED_REVIEW') AS need_review, count(*) FILTER (result = 'UNCERTAIN') AS uncertain, count(*) FILTER (result = 'PASS') AS pass
+FROM obj JOIN customer ON c_custkey = session_id GROUP BY GROUPING SETS ((rule), (c_mktsegment), ())""")
 def dataset_summary(spark, sf_dir):
     segment = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("session_id"), F.col("c_mktsegment").alias("segment"))
-    return R.result_matrix(_objectives(spark, sf_dir).join(segment.hint("shuffle_merge"), "session_id"), "segment")
+    return R.result_matrix(_three_objectives(spark, sf_dir).join(segment.hint("shuffle_merge"), "session_id"), "rule", "segment")
 
 
-@query("WITH" + _RULES + """,
-ch AS (SELECT session_id, incident_id AS check_id, result FROM fi WHERE incident_id IS NOT NULL)
-SELECT session_id, check_id, result FROM ch WHERE result <> 'PASS' AND check_id NOT IN (SELECT event_id FROM ev WHERE k < 10)""")
+_SEARCH = recovery.Recovery(least_down=HOUR // 2, least_up=HOUR // 2, most=72 * HOUR, gap=12 * HOUR, window=2 * HOUR)
+
+
+#: Events as segments of several states, signals and state events; the search that the recoveries rest on, pair by pair.
+_RECOVERY = V.SQL_EVENTS + f""",
+sg AS (
+  SELECT *, row_number() OVER w AS o, lag(e) OVER w AS pe FROM (
+    SELECT session_id, event_id AS id, t AS s, t + k::BIGINT * 60000000 AS e, confidence, 1 + k % 3 AS readings,
+      CASE event_type WHEN 'error' THEN CASE WHEN k % 4 = 0 THEN 'panel' ELSE 'down' END WHEN 'view' THEN CASE WHEN k % 3 = 0 THEN 'recovered' ELSE 'up' END WHEN 'purchase' THEN 'overlay' ELSE 'unknown' END AS state
+    FROM ev WHERE event_type <> 'click') WINDOW w AS (PARTITION BY session_id ORDER BY s, e, id)),
+noted AS (
+  SELECT *, list_filter([
+    CASE WHEN state <> 'unknown' AND greatest(0, s - pe) > {12 * HOUR} THEN 'large_gap_before_candidate:' || {_sec("greatest(0, s - pe)")} || '>' || {_sec(str(12 * HOUR))} END,
+    CASE WHEN state = 'overlay' THEN 'intermediate_state:' || state || '@' || {_sec("s")} END], lambda x: x IS NOT NULL) AS told FROM sg),
+near AS (
+  SELECT d.id, n.event_id AS s_id, n.confidence AS s_conf FROM sg d JOIN ev n ON n.session_id = d.session_id AND n.event_type = 'click' AND n.k % 2 = 0 AND n.t BETWEEN d.s - {2 * HOUR} AND d.e + {2 * HOUR}
+  WHERE d.state IN ('panel', 'down') QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY abs(n.t - d.s) / 1e6 - 0.1 * n.confidence, n.t, n.event_id) = 1),
+dn AS (SELECT sg.*, s_id, s_conf, s_id IS NULL AND e - s < {HOUR // 2} AS filtered FROM sg LEFT JOIN near USING (id) WHERE state IN ('panel', 'down')),
+fu AS (
+  SELECT d.id, u.id AS u_id, u.o AS uo, u.s AS us, u.e AS ue, u.confidence AS uc, u.readings AS un FROM dn d JOIN sg u ON u.session_id = d.session_id AND u.o > d.o AND u.state IN ('up', 'recovered')
+  WHERE NOT filtered QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY u.o) = 1),
+wk AS (SELECT d.*, fu.* EXCLUDE (id) FROM dn d LEFT JOIN fu ON fu.id = d.id AND us <= d.e + {72 * HOUR} WHERE NOT filtered),
+se AS (
+  SELECT w.id, list(struct_pack(o := x.o, told := x.told) ORDER BY x.o) AS between FROM wk w JOIN noted x ON x.session_id = w.session_id AND x.o > w.o AND len(x.told) > 0 AND CASE WHEN u_id IS NULL THEN x.s <= w.e + {72 * HOUR} ELSE x.o <= uo END
+  GROUP BY w.id),
+la AS (SELECT w.id, min(x.s) - any_value(w.e) AS late FROM wk w JOIN sg x ON x.session_id = w.session_id AND x.o > w.o AND x.s > w.e + {72 * HOUR} WHERE u_id IS NULL GROUP BY w.id),
+ow AS (SELECT * FROM wk QUALIFY u_id IS NULL OR row_number() OVER (PARTITION BY u_id ORDER BY o) = 1),
+su AS (
+  SELECT w.id, n.event_id AS up_event, n.confidence AS up_conf FROM ow w JOIN ev n ON n.session_id = w.session_id AND n.event_type = 'click' AND n.k % 4 = 1 AND n.t BETWEEN us - {2 * HOUR} AND ue + {2 * HOUR}
+  QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(n.t - us), n.t, n.event_id) = 1),
+sd AS (
+  SELECT w.id, n.event_id AS down_event FROM ow w JOIN ev n ON n.session_id = w.session_id AND n.event_type = 'click' AND n.k % 4 = 3 AND n.t BETWEEN w.s - {2 * HOUR} AND w.e + {2 * HOUR}
+  QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(n.t - w.s), n.t, n.event_id) = 1),
+sc AS (
+  SELECT ow.*, between, late, up_event, up_conf, down_event, round(greatest(0, least(1,
+      0.35 * greatest(0, least(1, 0.55 * confidence + 0.45 * greatest(0, least(1, (e - s) / {HOUR / 2}))))
+    + 0.35 * CASE WHEN u_id IS NULL THEN 0 ELSE greatest(0, least(1, 0.55 * uc + 0.30 * greatest(0, least(1, (ue - us) / {HOUR / 2})) + 0.15 * CASE WHEN un >= 2 THEN 1.0 ELSE 0.65 END)) END
+    + 0.15 * CASE WHEN u_id IS NULL THEN 0 ELSE greatest(greatest(0, least(1, 1 - greatest(0, us - e) / {72.0 * HOUR} * 0.5)), coalesce(up_conf, 0)) END
+    + 0.15 * coalesce(s_conf, 0))), 9) AS c
+  FROM ow LEFT JOIN se USING (id) LEFT JOIN la USING (id) LEFT JOIN su USING (id) LEFT JOIN sd USING (id)),
+rec AS (
+  SELECT session_id, id AS down_id, u_id AS up_id, s AS down_t, us AS recovery_t, CASE WHEN u_id IS NOT NULL THEN greatest(0, us - e) END AS delay, s_id AS signal_id, coalesce(up_event, down_event) AS state_event_id, c AS confidence,
+    CASE WHEN u_id IS NULL THEN CASE WHEN late IS NULL OR c >= 0.45 THEN 'UNCERTAIN' ELSE 'MISSING' END WHEN c >= 0.7 THEN 'CONFIRMED' WHEN c >= 0.45 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status,
+    CASE WHEN u_id IS NULL THEN CASE WHEN late IS NULL THEN 'UNOBSERVED_END' WHEN c >= 0.45 THEN 'MISSING_OR_UNOBSERVED' ELSE 'MISSING' END
+      WHEN c >= 0.7 THEN 'DETECTED' WHEN c >= 0.45 THEN 'DETECTED_LOW_CONFIDENCE' ELSE 'DETECTED_UNCERTAIN' END AS result,
+    concat_ws(',', 'state_segments', CASE WHEN s_id IS NOT NULL THEN 'signal_crosscheck' END, CASE WHEN up_event IS NOT NULL THEN 'state_event_crosscheck' END, CASE WHEN u_id IS NOT NULL THEN 'up_returned' END) AS sources,
+    array_to_string(list_filter(list_concat([CASE WHEN e - s < {HOUR // 2} THEN 'short_down_segment:' || {_sec("e - s")} || '<' || {_sec(str(HOUR // 2))} END], flatten(list_transform(coalesce(between, []), lambda x: x.told)), [
+      CASE WHEN u_id IS NOT NULL THEN NULL WHEN late IS NULL THEN 'no_later_segment' ELSE 'max_delay_exceeded:' || {_sec("late")} || '>' || {_sec(str(72 * HOUR))} END,
+      CASE WHEN u_id IS NOT NULL AND c < 0.45 THEN 'confidence_below_inferred:' || {_sec("floor(c * 1e6)::BIGINT")} || '<0.450' END]), lambda x: x IS NOT NULL), ',') AS notes
+  FROM sc),
+recs AS (
+  SELECT session_id, id, state, s AS start_t, e AS end_t, confidence, s_id AS signal_id,
+    CASE WHEN filtered THEN 'FILTERED_SHORT_SEGMENT' WHEN s_id IS NOT NULL OR (state = 'panel' AND confidence >= 0.6) THEN 'CONFIRMED' ELSE 'INFERRED' END AS status,
+    concat_ws(',', 'state_segment', CASE WHEN s_id IS NOT NULL THEN 'signal_crosscheck' END) AS sources,
+    concat_ws(',', CASE WHEN e - s < {HOUR // 2} THEN 'short_down_segment:' || {_sec("e - s")} || '<' || {_sec(str(HOUR // 2))} END, CASE WHEN filtered THEN 'not_promoted' END) AS notes
+  FROM dn)"""
+
+
+def _recovery(spark, sf_dir):
+    ev = V.events(spark, sf_dir).withColumn("id", F.col("event_id"))
+    kind, k = F.col("event_type"), F.col("k")
+    state = F.when(kind == "error", F.when(k % 4 == 0, "panel").otherwise("down")).when(kind == "view", F.when(k % 3 == 0, "recovered").otherwise("up")).when(kind == "purchase", "overlay").otherwise("unknown")
+    segments = ev.where("event_type <> 'click'").select("session_id", "id", state.alias("state"), F.col("t").alias("start_t"), (F.col("t") + k.cast("long") * 60_000_000).alias("end_t"), "confidence", (k % 3 + 1).alias("readings"))
+    clicks = ev.where("event_type = 'click'")
+    told = clicks.where("k % 2 = 1").withColumn("kind", F.when(k % 4 == 1, "up").otherwise("down"))
+    return recovery.recovery_events(segments, clicks.where("k % 2 = 0"), told, _SEARCH)
+
+
+@query("WITH" + _RECOVERY + " SELECT * FROM rec")
+def recovery_events(spark, sf_dir):
+    return _joined(_recovery(spark, sf_dir)[0], "sources", "notes")
+
+
+@query("WITH" + _RECOVERY + " SELECT * FROM recs")
+def down_records(spark, sf_dir):
+    return _joined(_recovery(spark, sf_dir)[1], "sources", "notes")
+
+
+@query("WITH" + _RECOVERY + """,
+a AS (SELECT session_id, count(*) AS down_segments, min(start_t) AS first_down_t FROM recs GROUP BY 1),
+b AS (SELECT session_id, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'INFERRED') AS inferred, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'UNCERTAIN') AS uncertain, first(recovery_t ORDER BY down_t, recovery_t) FILTER (recovery_t IS NOT NULL) AS first_recovery_t FROM rec GROUP BY 1)
+SELECT c_custkey AS session_id, coalesce(down_segments, 0) AS down_segments, coalesce(confirmed, 0) AS confirmed, coalesce(inferred, 0) AS inferred, coalesce(missing, 0) AS missing, coalesce(uncertain, 0) AS uncertain, first_down_t, first_recovery_t
+FROM customer LEFT JOIN a ON a.session_id = c_custkey LEFT JOIN b ON b.session_id = c_custkey""")
+def recovery_summaries(spark, sf_dir):
+    sessions = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
+    return recovery.recovery_summary(sessions, *_recovery(spark, sf_dir))
+
+
+#: Checks that did not pass, and whether a down segment near them was followed by nothing.
+_REVIEW = _RULES + "," + _RECOVERY.removeprefix(V.SQL_EVENTS).lstrip(",") + f""",
+tail AS (
+  SELECT fi.session_id, fi.incident_id, fi.rule, fi.result, fi.note, fi.rule = 'recovery' AND fi.result = 'FAIL' AND fi.note = 'missing_recovery' AND EXISTS (
+    FROM rec WHERE rec.session_id = fi.session_id AND rec.down_t BETWEEN ev.t - {2 * HOUR} AND ev.t + {3 * HOUR} AND list_contains(string_split(rec.notes, ','), 'no_later_segment')) AS unobservable
+  FROM fi JOIN ev ON fi.incident_id = ev.event_id WHERE fi.result <> 'PASS')"""
+
+
+def _review(spark, sf_dir):
+    at = V.events(spark, sf_dir).select(F.col("event_id").alias("incident_id"), "t")
+    found = _every_finding(spark, sf_dir)[1].where("incident_id is not null").join(at.hint("shuffle_merge"), "incident_id").withColumn("check_id", F.concat_ws(":", "rule", "incident_id"))
+    return R.review_package(found, _recovery(spark, sf_dir)[0], 2 * HOUR, 3 * HOUR)
+
+
+@query("WITH" + _REVIEW + " SELECT session_id, incident_id, rule, result, note FROM tail WHERE NOT unobservable")
 def review_queue(spark, sf_dir):
-    checks = _findings(spark, sf_dir)[1].where("incident_id is not null").select("session_id", F.col("incident_id").alias("check_id"), "result")
-    excluded = V.events(spark, sf_dir).where("k < 10").select("session_id", F.col("event_id").alias("check_id"))
-    return R.review_queue(checks, excluded)
+    kept = _review(spark, sf_dir).where("exclusion is null")
+    return kept.select("session_id", "incident_id", "rule", "result", F.array_join("notes", ",").alias("note"))
+
 
+@query("WITH" + _REVIEW + " SELECT session_id, incident_id, rule, result, note, 'missing_recovery_at_end_no_later_segment' AS exclusion FROM tail WHERE unobservable")
+def excluded_checks(spark, sf_dir):
+    out = _review(spark, sf_dir).where("exclusion is not null")
+    return out.select("session_id", "incident_id", "rule", "result", F.array_join("notes", ",").alias("note"), "exclusion")
 
-@query("WITH" + _RULES + " SELECT session_id, incident_id, confidence, rank FROM (SELECT session_id, incident_id, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY session_id ORDER BY round(confidence, 6) DESC, incident_id) AS rank FROM fi WHERE result = 'PASS') WHERE rank <= 2")
+
+@query("WITH" + _RULES + " SELECT session_id, rule, incident_id, confidence, rank FROM (SELECT session_id, rule, incident_id, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY session_id, rule ORDER BY round(confidence, 6) DESC, incident_id) AS rank FROM fi WHERE result = 'PASS') WHERE rank <= 2")
 def pass_examples(spark, sf_dir):
-    passed = _findings(spark, sf_dir)[1].where("result = 'PASS'").select("session_id", "incident_id", F.round("confidence", 6).alias("confidence"))
-    return R.top_per_group(passed, ["session_id"], [F.desc("confidence"), "incident_id"], 2).withColumn("rank", F.col("rank").cast("long"))
+    passed = _findings(spark, sf_dir)[1].where("result = 'PASS'").select("session_id", "rule", "incident_id", F.round("confidence", 6).alias("confidence"))
+    return R.top_per_group(passed, ["session_id", "rule"], [F.desc("confidence"), F.asc_nulls_last("incident_id")], 2).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(r"""
@@ -705,103 +833,6 @@ def check_links(spark, sf_dir):
     return I.resolve_links(checks, incidents, _roles(spark, sf_dir)).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("events", "roles")})
 
 
-_SEARCH = recovery.Recovery(least_down=HOUR // 2, least_up=HOUR // 2, most=72 * HOUR, gap=12 * HOUR, window=2 * HOUR)
-
-
-def _sec(micros: str) -> str:
-    """Microseconds as text in seconds."""
-    return f"printf('%d.%03d', (({micros}) + 500) // 1000 // 1000, (({micros}) + 500) // 1000 % 1000)"
-
-
-#: Events as segments of several states, signals and state events; the search that the recoveries rest on, pair by pair.
-_RECOVERY = V.SQL_EVENTS + f""",
-sg AS (
-  SELECT *, row_number() OVER w AS o, lag(e) OVER w AS pe FROM (
-    SELECT session_id, event_id AS id, t AS s, t + k::BIGINT * 60000000 AS e, confidence, 1 + k % 3 AS readings,
-      CASE event_type WHEN 'error' THEN CASE WHEN k % 4 = 0 THEN 'panel' ELSE 'down' END WHEN 'view' THEN CASE WHEN k % 3 = 0 THEN 'recovered' ELSE 'up' END WHEN 'purchase' THEN 'overlay' ELSE 'unknown' END AS state
-    FROM ev WHERE event_type <> 'click') WINDOW w AS (PARTITION BY session_id ORDER BY s, e, id)),
-noted AS (
-  SELECT *, list_filter([
-    CASE WHEN state <> 'unknown' AND greatest(0, s - pe) > {12 * HOUR} THEN 'large_gap_before_candidate:' || {_sec("greatest(0, s - pe)")} || '>' || {_sec(str(12 * HOUR))} END,
-    CASE WHEN state = 'overlay' THEN 'intermediate_state:' || state || '@' || {_sec("s")} END], lambda x: x IS NOT NULL) AS told FROM sg),
-near AS (
-  SELECT d.id, n.event_id AS s_id, n.confidence AS s_conf FROM sg d JOIN ev n ON n.session_id = d.session_id AND n.event_type = 'click' AND n.k % 2 = 0 AND n.t BETWEEN d.s - {2 * HOUR} AND d.e + {2 * HOUR}
-  WHERE d.state IN ('panel', 'down') QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY abs(n.t - d.s) / 1e6 - 0.1 * n.confidence, n.t, n.event_id) = 1),
-dn AS (SELECT sg.*, s_id, s_conf, s_id IS NULL AND e - s < {HOUR // 2} AS filtered FROM sg LEFT JOIN near USING (id) WHERE state IN ('panel', 'down')),
-fu AS (
-  SELECT d.id, u.id AS u_id, u.o AS uo, u.s AS us, u.e AS ue, u.confidence AS uc, u.readings AS un FROM dn d JOIN sg u ON u.session_id = d.session_id AND u.o > d.o AND u.state IN ('up', 'recovered')
-  WHERE NOT filtered QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY u.o) = 1),
-wk AS (SELECT d.*, fu.* EXCLUDE (id) FROM dn d LEFT JOIN fu ON fu.id = d.id AND us <= d.e + {72 * HOUR} WHERE NOT filtered),
-se AS (
-  SELECT w.id, list(struct_pack(o := x.o, told := x.told) ORDER BY x.o) AS between FROM wk w JOIN noted x ON x.session_id = w.session_id AND x.o > w.o AND len(x.told) > 0 AND CASE WHEN u_id IS NULL THEN x.s <= w.e + {72 * HOUR} ELSE x.o <= uo END
-  GROUP BY w.id),
-la AS (SELECT w.id, min(x.s) - any_value(w.e) AS late FROM wk w JOIN sg x ON x.session_id = w.session_id AND x.o > w.o AND x.s > w.e + {72 * HOUR} WHERE u_id IS NULL GROUP BY w.id),
-ow AS (SELECT * FROM wk QUALIFY u_id IS NULL OR row_number() OVER (PARTITION BY u_id ORDER BY o) = 1),
-su AS (
-  SELECT w.id, n.event_id AS up_event, n.confidence AS up_conf FROM ow w JOIN ev n ON n.session_id = w.session_id AND n.event_type = 'click' AND n.k % 4 = 1 AND n.t BETWEEN us - {2 * HOUR} AND ue + {2 * HOUR}
-  QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(n.t - us), n.t, n.event_id) = 1),
-sd AS (
-  SELECT w.id, n.event_id AS down_event FROM ow w JOIN ev n ON n.session_id = w.session_id AND n.event_type = 'click' AND n.k % 4 = 3 AND n.t BETWEEN w.s - {2 * HOUR} AND w.e + {2 * HOUR}
-  QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY abs(n.t - w.s), n.t, n.event_id) = 1),
-sc AS (
-  SELECT ow.*, between, late, up_event, up_conf, down_event, round(greatest(0, least(1,
-      0.35 * greatest(0, least(1, 0.55 * confidence + 0.45 * greatest(0, least(1, (e - s) / {HOUR / 2}))))
-    + 0.35 * CASE WHEN u_id IS NULL THEN 0 ELSE greatest(0, least(1, 0.55 * uc + 0.30 * greatest(0, least(1, (ue - us) / {HOUR / 2})) + 0.15 * CASE WHEN un >= 2 THEN 1.0 ELSE 0.65 END)) END
-    + 0.15 * CASE WHEN u_id IS NULL THEN 0 ELSE greatest(greatest(0, least(1, 1 - greatest(0, us - e) / {72.0 * HOUR} * 0.5)), coalesce(up_conf, 0)) END
-    + 0.15 * coalesce(s_conf, 0))), 9) AS c
-  FROM ow LEFT JOIN se USING (id) LEFT JOIN la USING (id) LEFT JOIN su USING (id) LEFT JOIN sd USING (id)),
-rec AS (
-  SELECT session_id, id AS down_id, u_id AS up_id, s AS down_t, us AS recovery_t, CASE WHEN u_id IS NOT NULL THEN greatest(0, us - e) END AS delay, s_id AS signal_id, coalesce(up_event, down_event) AS state_event_id, c AS confidence,
-    CASE WHEN u_id IS NULL THEN CASE WHEN late IS NULL OR c >= 0.45 THEN 'UNCERTAIN' ELSE 'MISSING' END WHEN c >= 0.7 THEN 'CONFIRMED' WHEN c >= 0.45 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status,
-    CASE WHEN u_id IS NULL THEN CASE WHEN late IS NULL THEN 'UNOBSERVED_END' WHEN c >= 0.45 THEN 'MISSING_OR_UNOBSERVED' ELSE 'MISSING' END
-      WHEN c >= 0.7 THEN 'DETECTED' WHEN c >= 0.45 THEN 'DETECTED_LOW_CONFIDENCE' ELSE 'DETECTED_UNCERTAIN' END AS result,
-    concat_ws(',', 'state_segments', CASE WHEN s_id IS NOT NULL THEN 'signal_crosscheck' END, CASE WHEN up_event IS NOT NULL THEN 'state_event_crosscheck' END, CASE WHEN u_id IS NOT NULL THEN 'up_returned' END) AS sources,
-    array_to_string(list_filter(list_concat([CASE WHEN e - s < {HOUR // 2} THEN 'short_down_segment:' || {_sec("e - s")} || '<' || {_sec(str(HOUR // 2))} END], flatten(list_transform(coalesce(between, []), lambda x: x.told)), [
-      CASE WHEN u_id IS NOT NULL THEN NULL WHEN late IS NULL THEN 'no_later_segment' ELSE 'max_delay_exceeded:' || {_sec("late")} || '>' || {_sec(str(72 * HOUR))} END,
-      CASE WHEN u_id IS NOT NULL AND c < 0.45 THEN 'confidence_below_inferred:' || {_sec("floor(c * 1e6)::BIGINT")} || '<0.450' END]), lambda x: x IS NOT NULL), ',') AS notes
-  FROM sc),
-recs AS (
-  SELECT session_id, id, state, s AS start_t, e AS end_t, confidence, s_id AS signal_id,
-    CASE WHEN filtered THEN 'FILTERED_SHORT_SEGMENT' WHEN s_id IS NOT NULL OR (state = 'panel' AND confidence >= 0.6) THEN 'CONFIRMED' ELSE 'INFERRED' END AS status,
-    concat_ws(',', 'state_segment', CASE WHEN s_id IS NOT NULL THEN 'signal_crosscheck' END) AS sources,
-    concat_ws(',', CASE WHEN e - s < {HOUR // 2} THEN 'short_down_segment:' || {_sec("e - s")} || '<' || {_sec(str(HOUR // 2))} END, CASE WHEN filtered THEN 'not_promoted' END) AS notes
-  FROM dn)"""
-
-
-def _recovery(spark, sf_dir):
-    ev = V.events(spark, sf_dir).withColumn("id", F.col("event_id"))
-    kind, k = F.col("event_type"), F.col("k")
-    state = F.when(kind == "error", F.when(k % 4 == 0, "panel").otherwise("down")).when(kind == "view", F.when(k % 3 == 0, "recovered").otherwise("up")).when(kind == "purchase", "overlay").otherwise("unknown")
-    segments = ev.where("event_type <> 'click'").select("session_id", "id", state.alias("state"), F.col("t").alias("start_t"), (F.col("t") + k.cast("long") * 60_000_000).alias("end_t"), "confidence", (k % 3 + 1).alias("readings"))
-    clicks = ev.where("event_type = 'click'")
-    told = clicks.where("k % 2 = 1").withColumn("kind", F.when(k % 4 == 1, "up").otherwise("down"))
-    return recovery.recovery_events(segments, clicks.where("k % 2 = 0"), told, _SEARCH)
-
-
-def _joined(df, *lists):
-    return df.withColumns({c: F.array_join(c, ",") for c in lists})
-
-
-@query("WITH" + _RECOVERY + " SELECT * FROM rec")
-def recovery_events(spark, sf_dir):
-    return _joined(_recovery(spark, sf_dir)[0], "sources", "notes")
-
-
-@query("WITH" + _RECOVERY + " SELECT * FROM recs")
-def down_records(spark, sf_dir):
-    return _joined(_recovery(spark, sf_dir)[1], "sources", "notes")
-
-
-@query("WITH" + _RECOVERY + """,
-a AS (SELECT session_id, count(*) AS down_segments, min(start_t) AS first_down_t FROM recs GROUP BY 1),
-b AS (SELECT session_id, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'INFERRED') AS inferred, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'UNCERTAIN') AS uncertain, first(recovery_t ORDER BY down_t, recovery_t) FILTER (recovery_t IS NOT NULL) AS first_recovery_t FROM rec GROUP BY 1)
-SELECT c_custkey AS session_id, coalesce(down_segments, 0) AS down_segments, coalesce(confirmed, 0) AS confirmed, coalesce(inferred, 0) AS inferred, coalesce(missing, 0) AS missing, coalesce(uncertain, 0) AS uncertain, first_down_t, first_recovery_t
-FROM customer LEFT JOIN a ON a.session_id = c_custkey LEFT JOIN b ON b.session_id = c_custkey""")
-def recovery_summaries(spark, sf_dir):
-    sessions = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
-    return recovery.recovery_summary(sessions, *_recovery(spark, sf_dir))
-
-
 @query("WITH" + V.SQL_EVENTS + f""",
 f AS (SELECT * FROM ev WHERE event_type = 'view'), h AS (SELECT * FROM ev WHERE event_type = 'click'), w AS (SELECT session_id, event_id, t AS lo, t + k::BIGINT * 60000000 AS hi FROM ev WHERE event_type = 'purchase'),
 a AS (SELECT f.event_id, h.event_id AS h1 FROM f JOIN h ON f.session_id = h.session_id AND f.k = h.k QUALIFY row_number() OVER (PARTITION BY f.event_id ORDER BY h.confidence DESC, h.event_id) = 1),
@@ -896,17 +927,40 @@ def location_verdicts(spark, sf_dir):
     return C.location_verdicts(recoveries, evidence, {"text": 0.45, "map": 0.2, "view": 0.2}, 0.15).withColumns({c: F.round(c, 9) for c in ("score", "confidence")})
 
 
-@query("WITH" + _RULES + """
-SELECT session_id, concat_ws(':', session_id, 'count', coalesce(incident_id::VARCHAR, 'session')) AS check_id, 'count_after_signal' AS check_type, 'critical' AS severity, result, fi.confidence, result IN ('UNCERTAIN', 'NEED_REVIEW') AS uncertain,
-  CASE WHEN result IN ('UNCERTAIN', 'NEED_REVIEW') THEN CASE WHEN incident_id IS NULL THEN 'no_incident' WHEN fi.confidence < 0.5 THEN 'low_confidence' ELSE 'conflicting_evidence' END END AS reason,
-  greatest(0, t - 2000000) AS lo, t + 3000000 AS hi FROM fi LEFT JOIN (SELECT event_id AS incident_id, t FROM ev) USING (incident_id)""")
-def built_checks(spark, sf_dir):
+_CHECKS = _RULES + """,
+ck AS (
+  SELECT session_id, concat_ws(':', session_id, rule, coalesce(incident_id::VARCHAR, 'session')) AS check_id, CASE rule WHEN 'count' THEN 'count_after_signal' WHEN 'signal' THEN 'signal_for_state' ELSE 'recovery_after_down' END AS check_type,
+    CASE rule WHEN 'recovery' THEN 'critical' ELSE 'major' END AS severity, result, fi.confidence, result IN ('UNCERTAIN', 'NEED_REVIEW') AS uncertain,
+    CASE WHEN result IN ('UNCERTAIN', 'NEED_REVIEW') THEN CASE WHEN incident_id IS NULL THEN 'no_incident' WHEN fi.confidence < 0.5 THEN 'low_confidence' ELSE 'conflicting_evidence' END END AS reason,
+    greatest(0, t - 2000000) AS lo, t + 3000000 AS hi, rule FROM fi LEFT JOIN (SELECT event_id AS incident_id, t FROM ev) USING (incident_id))"""
+
+
+def _checks(spark, sf_dir):
     at = V.events(spark, sf_dir).select(F.col("event_id").alias("incident_id"), "t")
-    found = _findings(spark, sf_dir)[1].drop("t").join(at.hint("shuffle_merge"), "incident_id", "left").withColumns({"confidence": F.round("confidence", 6), "t": F.col("t")})
-    out = C.build_checks(found, {"count": "count_after_signal"}, ["count"], 2_000_000, 3_000_000)
+    found = _findings(spark, sf_dir)[1].join(at.hint("shuffle_merge"), "incident_id", "left")
+    kinds = {"count": "count_after_signal", "signal": "signal_for_state", "recovery": "recovery_after_down"}
+    out = C.build_checks(found, kinds, ["recovery"], 2_000_000, 3_000_000)
     return out.withColumns({"lo": F.when(F.col("hi").isNotNull(), F.col("lo")).otherwise(F.lit(0).cast("long"))})
 
 
+@query("WITH" + _CHECKS + " SELECT * EXCLUDE (rule) FROM ck")
+def built_checks(spark, sf_dir):
+    return _checks(spark, sf_dir)
+
+
+@query("WITH" + _CHECKS + " SELECT printf('check_%04d', row_number() OVER (ORDER BY session_id, check_type, hi NULLS FIRST, check_id)) AS number, check_id, result FROM ck")
+def numbered_checks(spark, sf_dir):
+    """Checks numbered over the whole dataset, session by session, by type, time and id."""
+    placed = numbered(_checks(spark, sf_dir), "session_id", "check_type", F.asc_nulls_first("hi"), "check_id")
+    return placed.select(F.format_string("check_%04d", "number").alias("number"), "check_id", "result")
+
+
+@query("WITH" + V.SQL_EVENTS + " SELECT event_id, printf('raw_%05d_', row_number() OVER (PARTITION BY session_id ORDER BY source DESC, t, event_id)) || event_type AS raw_id FROM ev")
+def raw_ids(spark, sf_dir):
+    """Raw events numbered in each session in the order in which its sources are read."""
+    return I.raw_ids(V.events(spark, sf_dir), ["b", "a"]).select("event_id", "raw_id")
+
+
 @query("WITH" + _RULES + """
 SELECT session_id, incident_id, unnest(CASE WHEN session_id % 3 = 0 THEN ['list', 'count'] WHEN session_id % 3 = 1 THEN ['map'] ELSE ['whole'] END) AS region FROM fi WHERE result <> 'PASS' AND incident_id IS NOT NULL""")
 def selected_evidence(spark, sf_dir):
@@ -1046,7 +1100,8 @@ def normalized_events(spark, sf_dir):
 
 @query("""
 WITH r AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN turn % 2 = 0 THEN turn * 0.5 END AS t, length(text) % 500 AS d, CASE WHEN turn % 3 = 0 THEN 'key_press' END AS type, role FROM conversations)
-SELECT session_id, seq, coalesce(round(t * 1000)::BIGINT, sum(d) OVER (PARTITION BY session_id ORDER BY seq))::BIGINT AS t_ms, coalesce(type, 'key_' || role) AS kind, seq % 3 AS code FROM r""")
+SELECT session_id, seq, (coalesce(max(round(t * 1000)) OVER g, 0) + sum(CASE WHEN t IS NULL THEN coalesce(d, 0) ELSE 0 END) OVER (g ORDER BY seq))::BIGINT AS t_ms, coalesce(type, 'key_' || role) AS kind, seq % 3 AS code
+FROM (SELECT *, count(t) OVER (PARTITION BY session_id ORDER BY seq) AS known FROM r) WINDOW g AS (PARTITION BY session_id, known)""")
 def normalized_actions(spark, sf_dir):
     turn = F.col("turn")
     raw = V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), turn.alias("seq"), F.when(turn % 2 == 0, turn * 0.5).alias("t"), F.lit(None).cast("double").alias("time"), (F.length("text") % 500).alias("delay_ms"), F.when(turn % 3 == 0, "key_press").alias("type"), F.lit("keyboard").alias("kind"), F.col("role").alias("action"), (turn % 3).alias("code"))
