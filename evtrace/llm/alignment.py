@@ -26,8 +26,9 @@ from .common import settle, spread_join
 from .tokens import word_parts
 
 HEAD = 1 << 20  # a pair that is broadcast makes up one in so many of all counted pairs, at least
-KEPT = 100_000  # parts that a worker keeps before it starts anew
+KEPT = 250_000  # parts that a worker keeps before it starts anew
 SHORT = 200  # characters of a part that is kept
+LARGE = 10_000  # links of a group whose equal ids are counted before they are paired
 BITS = 16  # bits of an id in a pair
 TEXTS = "key string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, copies long, pairs binary, times binary"
 
@@ -44,17 +45,20 @@ class Aligner:
         from .bpe import read_ranks
 
         ranks = read_ranks(ranks_path)
-        self.a_bytes = {i: b for b, i in ranks.items()}
+        self.a_length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.a_length[list(ranks.values())] = list(map(len, ranks))
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.slow, self.tokenizer_path = None, tokenizer_path
         self.apart = re.compile(r"\s{5000}")  # the pattern engine gives up on longer runs
         self.b = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
+        self.text = list(map(str, range(max(len(self.a_length), len(pieces)))))
         #: no piece holds a space behind something else, so a cut before a space crosses none
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.space = self.b.piece_to_id("▁")
-        if max(len(pieces), max(self.a_bytes) + 1) > 1 << BITS:
+        if len(self.text) > 1 << BITS:
             raise ValueError(f"vocabularies of more than {1 << BITS} ids")
         self._clear()
 
@@ -62,7 +66,7 @@ class Aligner:
         from array import array
 
         self.kept: dict[str, int] = {}
-        self.groups: list[str] = []
+        self.groups: list[str] = []  # empty where the bytes differ
         self.sizes = array("q")  # of each part the tokens of A, of B, groups, links; no tokens where the bytes differ
         self.first = array("q", [0])  # where the pairs of each part begin
         self.pairs, self.times = array("q"), array("q")
@@ -77,40 +81,57 @@ class Aligner:
             self.slow.encode_special_tokens = True
         return self.slow.encode(part, add_special_tokens=False).ids
 
-    def _add(self, part: str, b: list[int]) -> None:
-        a = self._ids_a(part)
-        ta, tb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        raw = part.encode()
-        if b"".join(ta) != raw or b"".join(tb) != raw:
-            self.groups.append("")
-            self.sizes.extend((0, 0, 0, 0))
-            self.first.append(len(self.pairs))
-            return
-        text, found, links, i, j, upto_a, upto_b = [], {}, 0, 0, 0, 0, 0
-        while i < len(a):
-            k, m = i, j
-            upto_a += len(ta[i])
-            i += 1
-            upto_b += len(tb[j])
-            j += 1
-            while upto_a != upto_b:
-                if upto_a < upto_b:
-                    upto_a += len(ta[i])
-                    i += 1
-                else:
-                    upto_b += len(tb[j])
-                    j += 1
-            text.append(f"{a[k]}|{b[m]}" if i - k == j - m == 1 else ",".join(map(str, a[k:i])) + "|" + ",".join(map(str, b[m:j])))
-            links += (i - k) * (j - m)
-            for x, c in _counted(a[k:i]):
-                for y, d in _counted(b[m:j]):
-                    p = x << BITS | y
-                    found[p] = found.get(p, 0) + c * d
-        self.groups.append(";".join(text))
-        self.sizes.extend((len(a), len(b), len(text), links))
-        self.pairs.extend(found)
-        self.times.extend(found.values())
-        self.first.append(len(self.pairs))
+    def _add(self, parts: list[str], b_ids: list[list[int]]) -> None:
+        """Align many parts at once: their bytes lie one after another, and every part's end is one of both vocabularies."""
+        a_ids = list(map(self._ids_a, parts))
+        b_bytes = self.b_bytes
+        good = np.array([b"".join([b_bytes[i] for i in b]) == x.encode() for x, b in zip(parts, b_ids)], bool)
+        many_a, many_b = (np.where(good, list(map(len, ids)), 0) for ids in (a_ids, b_ids))
+        a = np.array([i for ids, g in zip(a_ids, good) if g for i in ids], np.int64)
+        b = np.array([i for ids, g in zip(b_ids, good) if g for i in ids], np.int64)
+        end_a, end_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        if len(a) and end_a[-1] != end_b[-1]:
+            raise ValueError("tokens of the rank file do not give the text back")
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        in_a, in_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)  # the group of each token
+        size_a, size_b = (np.bincount(g, minlength=len(common)) for g in (in_a, in_b))
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        part_of = np.repeat(np.arange(len(parts)), many_a)[first_a]  # the part of each group
+        many_groups = np.bincount(part_of, minlength=len(parts))
+        links = np.bincount(part_of, size_a * size_b, minlength=len(parts)).astype(np.int64)
+
+        # every A token with every B token of its group; of large groups the distinct ids with their counts
+        large = size_a * size_b > LARGE
+        keep = ~large[in_a]
+        times = np.where(keep, size_b[in_a], 0)
+        at = np.repeat(np.arange(len(a)), times)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        key = part_of[in_a[at]] << 2 * BITS | a[at] << BITS | b[first_b[in_a[at]] + step]
+        key, count = np.unique(key, return_counts=True)
+        for g in np.flatnonzero(large).tolist():
+            x, c = np.unique(a[first_a[g] : first_a[g] + size_a[g]], return_counts=True)
+            y, d = np.unique(b[first_b[g] : first_b[g] + size_b[g]], return_counts=True)
+            key = np.r_[key, (part_of[g] << 2 * BITS | x[:, None] << BITS | y[None, :]).ravel()]
+            count = np.r_[count, (c[:, None] * d[None, :]).ravel()]
+        if large.any():
+            key, back = np.unique(key, return_inverse=True)
+            count = np.bincount(back, count, minlength=len(key)).astype(np.int64)
+        of = key >> 2 * BITS
+        ends = np.searchsorted(of, np.arange(1, len(parts) + 1)) + len(self.pairs)
+        self.pairs.frombytes((key & (1 << 2 * BITS) - 1).tobytes())
+        self.times.frombytes(count.astype(np.int64).tobytes())
+        self.first.frombytes(ends.astype(np.int64).tobytes())
+        self.sizes.frombytes(np.stack([many_a, many_b, many_groups, links], axis=1).astype(np.int64).tobytes())
+
+        text, a, b = self.text, a.tolist(), b.tolist()
+        told = [
+            f"{text[a[i]]}|{text[b[j]]}" if m == n == 1 else ",".join([text[x] for x in a[i : i + m]]) + "|" + ",".join([text[x] for x in b[j : j + n]])
+            for i, j, m, n in zip(first_a.tolist(), first_b.tolist(), size_a.tolist(), size_b.tolist())
+        ]
+        upto = 0
+        for n in many_groups.tolist():
+            self.groups.append(";".join(told[upto : upto + n]) if n != 1 else told[upto])
+            upto += n
 
     def parts(self, texts: list[str]) -> list[list[int]]:
         """For each text the numbers of its parts, good until the next call."""
@@ -128,22 +149,14 @@ class Aligner:
                 if x not in self.kept:
                     new[x] = None
         fresh = dict(zip(new, range(len(self.groups), len(self.groups) + len(new))))
-        for part, b in zip(new, self.b.encode([x[1:] for x in new], num_threads=1) if new else ()):
-            self._add(part, [self.space] if part == " " else b)
+        if new:
+            pieces = self.b.encode([x[1:] for x in new], num_threads=1)
+            self._add(list(new), [[self.space] if x == " " else b for x, b in zip(new, pieces)])
         numbers = [[self.kept[x] if x in self.kept else fresh[x] for x in found] for found in split]
         self.kept.update((x, i) for x, i in fresh.items() if len(x) <= SHORT)
         return numbers
 
 
-def _counted(ids):
-    if len(ids) == 1:
-        return ((ids[0], 1),)
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out.items()
-
-
 def _measured(aligner: Aligner, texts: list[str]):
     """Digests of texts and of their groups, sizes, and their distinct pairs (one text after another, parted at ends)."""
     import hashlib

@@ -89,6 +89,7 @@ def test_parts_are_whole_encodings(paths, libraries):
 
 @pytest.mark.parametrize("head, hot, kept", [(A.HEAD, common.HOT, A.KEPT), (40, 5, 3), (1, 1, 100)])
 def test_equals_plain_loops(spark, monkeypatch, paths, libraries, head, hot, kept):
+    monkeypatch.setattr(A, "LARGE", 10_000 if head > 1 else 2)
     monkeypatch.setattr(A, "HEAD", head)
     monkeypatch.setattr(common, "HOT", hot)
     monkeypatch.setattr(A, "KEPT", kept)
