@@ -31,15 +31,16 @@ from itertools import groupby
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import components, discard, parts, settle, spread_join
-from .near_dedup import _Hasher, _words, shingle_set
+from ..operators.order import numbered
+from .common import components, discard, settle, spread_join
 
+WINDOW = 1_000_000  # bytes of texts that are hashed at a time
 CHUNK = 1_000_000  # shingles dealt to fragments at a time
-FRAGMENT = 4_000_000  # shingles that a fragment holds, about
+FRAGMENT, FRAGMENTS = 4_000_000, 32  # shingles that a fragment holds, about; fragments at least
 BLOCK = 1024  # classes of a block
 SAMPLED = 16  # one shingle in so many serves to find central classes
 PART = 4096  # members of a part of an inverted list
-MU = 0.01  # weight of probing against merging: of a query's lists, T / (MU log2(longest) + 1) are long
+MU = 0.08  # weight of probing against merging: of a query's lists, T / (MU log2(longest) + 1) are long
 HEAP = 4000  # entries merged from a heap; longer inputs are sorted at once
 
 
@@ -54,15 +55,106 @@ def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+#: Every byte to what it is for words: A-Z lowered, white space a space.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+
+
+class Shingler:
+    """Sets of 64-bit hashes of the k-word shingles of texts, many texts at a time.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over a whole window of texts and mixed; a
+    shingle's combines those of its words in order.
+    """
+
+    BASE = 0x9E3779B97F4A7C15 | 5
+
+    def __init__(self, k: int):
+        self.k, self.power, self.inverse = k, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, WINDOW + 4096)
+            self.power = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, self.BASE, np.uint64)])
+            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(self.BASE, -1, 1 << 64), np.uint64)])
+
+    def _words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of raw begin, which starts and ends with a space, and their hashes."""
+        x = np.frombuffer(raw, np.uint8)
+        self._grow(len(x))
+        edge = np.flatnonzero(np.diff(x == 32))
+        start, end = edge[::2] + 1, edge[1::2] + 1
+        total = np.cumsum((x.astype(np.uint64) + np.uint64(1)) * self.power[: len(x)])
+        return start, _mixed((total[end - 1] - total[start - 1]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+    def _shingles(self, h: np.ndarray) -> np.ndarray:
+        """Hashes of all runs of k words."""
+        n = len(h) - self.k + 1
+        out = h[: max(n, 0)].copy()
+        for i in range(1, self.k):
+            out = _mixed(out) + h[i : n + i]
+        return _mixed(out)
+
+    def _whole(self, h: np.ndarray) -> np.ndarray:
+        out = np.array([len(h)], np.uint64)
+        for x in h:
+            out = _mixed(out) + x
+        return _mixed(out)
+
+    def sets(self, texts: list[str | None]):
+        """The sorted set of each text, in order."""
+        waiting: list[bytes] = []
+        size = 0
+        for text in texts:
+            raw = text.encode().translate(WORD_BYTES) if text else b""
+            if len(raw) > WINDOW:
+                yield from self._some(waiting)
+                waiting, size = [], 0
+                yield self._long(raw)
+                continue
+            if size + len(raw) > WINDOW:
+                yield from self._some(waiting)
+                waiting, size = [], 0
+            waiting.append(raw)
+            size += len(raw) + 1
+        yield from self._some(waiting)
+
+    def _some(self, raws: list[bytes]):
+        if not raws:
+            return
+        at, h = self._words(b" " + b" ".join(raws) + b" ")
+        ends = np.searchsorted(at, np.cumsum([len(r) + 1 for r in raws]) + 1)
+        every = self._shingles(h)
+        first = 0
+        for end in ends.tolist():
+            yield np.unique(every[first : end - self.k + 1]) if end - first >= self.k else self._whole(h[first:end]) if end > first else np.empty(0, np.uint64)
+            first = end
+
+    def _long(self, raw: bytes) -> np.ndarray:
+        words, at = [], 0
+        while at < len(raw):
+            end = len(raw) if len(raw) - at <= WINDOW else raw.rfind(b" ", at, at + WINDOW)
+            if end <= at:  # one word fills the window
+                end = raw.find(b" ", at + WINDOW)
+                end = len(raw) if end < 0 else end
+            words.append(self._words(b" " + raw[at:end] + b" ")[1])
+            at = end + 1
+        h = np.concatenate(words)
+        return np.unique(self._shingles(h)) if len(h) >= self.k else self._whole(h) if len(h) else np.empty(0, np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def _signed(k: int):
     def run(batches):
         import pyarrow as pa
 
-        hasher = _Hasher()
+        shingler = Shingler(k)
         for batch in batches:
             n, key = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(_words(text), k, hasher)
+            for s in shingler.sets(batch.column("text").to_pylist()):
                 n.append(len(s))
                 key.append(_key(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["doc_id", "h", "n", "key"])
@@ -74,10 +166,9 @@ def _of_texts(k: int):
     """Sets of texts under the first eight bytes of their keys, which are their labels too."""
 
     def read(batches):
-        hasher = _Hasher()
+        shingler = Shingler(k)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(_words(text), k, hasher)
+            for s in shingler.sets(batch.column("text").to_pylist()):
                 if len(s):
                     i = int.from_bytes(_key(s)[:8], "big", signed=True)
                     yield i, i, s
@@ -154,7 +245,7 @@ def _shared(table):
 
 def shared_counts(rows: DataFrame, read, shingles: int) -> DataFrame:
     """id, c: for each set how many of its shingles lie on lists of several labels; rows hold about so many shingles."""
-    fragments = max(1, -(-shingles // FRAGMENT))
+    fragments = max(FRAGMENTS, -(-shingles // FRAGMENT))
     shape = "fragment int, ids binary, labels binary, sizes binary, hashes binary"
     dealt = rows.mapInArrow(_fragments(read, fragments), shape)
     return dealt.groupBy("fragment").applyInArrow(_shared, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
@@ -164,11 +255,10 @@ def _sets(k: int):
     def run(batches):
         import pyarrow as pa
 
-        hasher = _Hasher()
+        shingler = Shingler(k)
         for batch in batches:
             out = [[], []]
-            for i, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                s = shingle_set(_words(text), k, hasher)
+            for i, key, s in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), shingler.sets(batch.column("text").to_pylist())):
                 if _key(s) == key:
                     out[0].append(i)
                     out[1].append(s.tobytes())
@@ -285,13 +375,29 @@ def _blocks(sets: DataFrame, central: DataFrame, similarity: int) -> DataFrame:
     return links
 
 
+def _packed(batches):
+    """Sorted numbers of members as one byte for the width of a step and the steps: near members take a byte each."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for x in batch.column("members").to_pylist():
+            step = np.diff(np.array(x, np.int64), prepend=0)
+            width = 1 if step.max() < 1 << 8 else 2 if step.max() < 1 << 16 else 4 if step.max() < 1 << 32 else 8
+            out.append(bytes([width]) + step.astype(f"<u{width}").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("least"), pa.array(out, pa.binary())], ["a", "least", "members"])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, f"<u{raw[0]}", offset=1), dtype=np.int64)
+
+
 def _merge(table):
     """Candidates of one query: members met on enough of its short lists."""
     import pyarrow as pa
 
     a, least = table.column("a")[0].as_py(), table.column("least")[0].as_py()
-    lists = [np.sort(np.array(x, np.int64)) for x in table.column("members").to_pylist()]
-    ids, c = occurrences(lists, least)
+    ids, c = occurrences([_unpacked(x) for x in table.column("members").to_pylist()], least)
     return pa.table([pa.array(np.full(len(ids), a), pa.int64()), pa.array(ids), pa.array(c)], ["a", "b", "c"])
 
 
@@ -314,31 +420,38 @@ def _probe(similarity: int):
 
 
 def _divide_skip(sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between sets (id, label, n, s) of different labels, over all of them."""
-    about = sets.select("id", "label", "n")
-    entries = sets.select("id", "s").mapInArrow(_exploded(1), "s long, id long").join(about.hint("shuffle_hash"), "id")
-    entries = settle(entries)
+    """Links (a, b) between sets (id, label, n, s) of different labels, over all of them.
+
+    Sets are numbered by size, and a pair is asked for by its smaller number: what it must share is what sets of equal
+    size must, and what a list sends is its members behind the asking one.
+    """
+    sets = settle(numbered(sets.select("id", "label", "n", "s"), "n", "id", name="p"))
+    about = sets.select("p", "id", "label", "n")
+    entries = sets.select(F.col("p").alias("id"), "s").mapInArrow(_exploded(1), "s long, id long").withColumnRenamed("id", "p")
+    entries = settle(entries.join(about.drop("id").hint("shuffle_hash"), "p"))
     lists = entries.groupBy("s").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("s", "df")
-    own = entries.join(lists.hint("shuffle_merge"), "s")
-    t = F.ceil(F.lit(similarity) * F.col("n") / 100).cast("int")
-    of = W.partitionBy("id")
-    ranked = own.withColumn("t", t).withColumn("k", F.count("*").over(of)).where(F.col("k") >= F.col("t"))
-    ranked = ranked.withColumn("r", F.row_number().over(of.orderBy("df", "s"))).withColumn("longest", F.max("df").over(of))
+    of = W.partitionBy("p")
+    own = entries.join(lists.hint("shuffle_merge"), "s").withColumn("k", F.count("*").over(of)).where(F.col("k") * 100 >= similarity * F.col("n"))
+    t = F.ceil(F.lit(2 * similarity) * F.col("n") / (100 + similarity)).cast("int")
+    ranked = own.withColumn("t", t).withColumn("r", F.row_number().over(of.orderBy("df", "s"))).withColumn("longest", F.max("df").over(of))
     many = F.least(F.col("t") - 1, F.floor(F.col("t") / (F.lit(MU) * F.log2("longest") + 1)).cast("int"))
     ranked = settle(ranked.withColumn("many", many))
-    short = ranked.where(F.col("r") <= F.col("k") - F.col("many"))
-    cut = ranked.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / PART)).cast("int"))
-    index = cut.groupBy("s", "part").agg(F.collect_list(F.struct("id", "label", "n")).alias("members"))
-    asked = short.select("s", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("t") - F.col("many")).alias("least"))
-    others = F.expr(f"transform(filter(members, m -> m.label <> la and 100 * least(m.n, na) >= {similarity} * greatest(m.n, na)), m -> m.id)")
+    asking = ranked.where(F.col("k") >= F.col("t"))
+    is_short = F.col("r") <= F.col("k") - F.col("many")
+    part = F.pmod(F.xxhash64("p"), F.ceil(F.col("df") / PART)).cast("int")
+    index = ranked.groupBy("s", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("p", "label", "n"))).alias("members"))
+    asked = asking.where(is_short).select("s", F.col("p").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), (F.col("t") - F.col("many")).alias("least"))
+    others = F.expr(f"transform(filter(members, m -> m.p > a and m.label <> la and 100 * na >= {similarity} * m.n), m -> m.p)")
     sent = asked.join(index.hint("shuffle_merge"), "s").select("a", "least", others.alias("members")).where("size(members) > 0")
-    found = settle(sent.groupBy("a").applyInArrow(_merge, "a long, b long, c long"))
-    long = ranked.where(F.col("r") > F.col("k") - F.col("many")).groupBy("id").agg(F.collect_list("s").alias("long"))
-    long = about.select("id", "n").join(long.hint("shuffle_hash"), "id", "left").withColumnRenamed("id", "a")
-    probed = found.join(long.hint("shuffle_hash"), "a").join(sets.select(F.col("id").alias("b"), "s").hint("shuffle_hash"), "b")
+    packed = sent.mapInArrow(_packed, "a long, least int, members binary")
+    found = settle(packed.groupBy("a").applyInArrow(_merge, "a long, b long, c long"))
+    long = asking.where(~is_short).groupBy(F.col("p").alias("a")).agg(F.collect_list("s").alias("long"))
+    long = about.select(F.col("p").alias("a"), F.col("id").alias("a_id"), "n").join(long.hint("shuffle_hash"), "a", "left")
+    other = sets.select(F.col("p").alias("b"), F.col("id").alias("b_id"), "s")
+    probed = found.join(long.hint("shuffle_hash"), "a").join(other.hint("shuffle_hash"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "c", "n", "long", "s")
     links = settle(probed.mapInArrow(_probe(similarity), "a long, b long"))
-    discard(entries)
-    discard(ranked)
+    for x in (entries, ranked, sets):
+        discard(x)
     return links
 
 

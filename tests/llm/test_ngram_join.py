@@ -12,7 +12,7 @@ DOCS = "doc_id long, text string"
 
 
 def shingles(text, k):
-    w = (text or "").translate({c: c + 32 for c in range(65, 91)}).split()
+    w = (text or "").encode().translate(J.WORD_BYTES).split()
     return frozenset(tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)) if w else frozenset()
 
 
@@ -125,3 +125,21 @@ def test_search_connects_what_links():
 def test_empty_tables(spark):
     assert got(spark, [], 5, 80) == Counter()
     assert got(spark, [(1, None), (None, "")], 5, 80) == Counter([(1, 0, 1), (None, 0, None)])
+
+
+def test_sets_of_many_texts_at_once_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(J, "WINDOW", 37)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab  \n\té漢AB\x0b") for _ in range(rng.randint(0, 200))) for _ in range(300)] + [None, "", "x" * 90]
+    for k in (1, 2, 5):
+        plain_sets, sets = [shingles(t, k) for t in texts], list(J.Shingler(k).sets(texts))
+        assert list(map(len, plain_sets)) == list(map(len, sets))
+        assert len(frozenset().union(*plain_sets)) == len(np.unique(np.concatenate(sets)))
+
+
+def test_lists_are_packed_without_loss():
+    import pyarrow as pa
+
+    lists = [[1], [5, 6, 300], [7, 70_000], [1, 1 << 40], list(range(1, 2000, 3))]
+    batch = pa.RecordBatch.from_pydict({"a": [1] * len(lists), "least": [1] * len(lists), "members": lists})
+    assert [J._unpacked(x).tolist() for x in next(J._packed([batch])).column("members").to_pylist()] == lists
