@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evtrace.operators import spatial
+from evtrace.operators import spatial, timeline
 from evtrace.streaming import live
 
 BEGIN = dt.datetime(2024, 1, 1)
@@ -72,15 +72,73 @@ def test_notices_of_a_full_queue_are_dropped(spark, feed, tmp_path):
     assert sorted(r["e"] for r in sent.select(F.get_json_object("payload", "$.event_id").cast("int").alias("e")).collect()) == [0, 1, 2, 7, 9] and [tuple(r) for r in lost.collect()] == [(1, 2)]
 
 
+def test_repeats_within_the_watermark_count_once(spark, feed, tmp_path):
+    rows = [(1, 1, 0, "a", 1), (1, 2, 10, "a", 5), (1, 3, 30, "a", 2), (2, 1, 5, "a", 1), (1, 9, 500, "a", 3)]
+    stream = feed(rows[:3], [rows[1], rows[0], rows[3]], [rows[4], rows[2], rows[1]], [(3, 7, 900_000, "a", 1)], [(3, 8, 900_001, "a", 1)])
+    got = run(spark, live.near_duplicates(stream, "60 seconds"), tmp_path).collect()
+    batch = spark.createDataFrame([(u, e, s * 1_000_000, k, float(v)) for u, e, s, k, v in rows + rows], "session_id long, event_id long, t long, event_type string, confidence double").dropDuplicates()
+    twin = batch.withColumns({"end": F.lit(None).cast("long"), "status_rank": F.lit(0)})
+    want = timeline.merge_near_duplicates(twin, ["session_id", "event_type"], 59_999_999).collect()
+    assert sorted((r["session_id"], r["members"], r["value"]) for r in got if r["session_id"] != 3) == sorted((r["session_id"], r["members"], r["confidence"]) for r in want)
+
+
+def test_nearest_matches_equal_batch(spark, feed, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), i, rng.randrange(400), rng.choice("ab"), rng.randrange(5)) for i in range(90)]
+    cut = [rows[:30], rows[30:60], rows[60:]]  # each batch within the watermark's hour of the others
+    stream = feed(*cut, [(9, 900, 900_000, "a", 1), (9, 901, 900_000, "b", 1)], [(9, 902, 1_900_000, "a", 1), (9, 903, 1_900_000, "b", 1)], [(9, 904, 2_900_000, "a", 1), (9, 905, 2_900_000, "b", 1)])
+    got = run(spark, live.nearest_matches(stream.where("event_type = 'a'"), stream.where("event_type = 'b'"), "10 seconds"), tmp_path).where("session_id < 9").collect()
+    at = lambda k: [(u, e, s * 1_000_000, float(v)) for u, e, s, kind, v in rows if kind == k]
+    anchors = spark.createDataFrame([(u, e, t) for u, e, t, _ in at("a")], "session_id long, a_id long, a_t long")
+    want = timeline.nearest_match(anchors, spark.createDataFrame(at("b"), "session_id long, c_id long, c_t long, c_conf double"), 10_000_000).collect()
+    assert sorted((r["a_id"], r["c_id"], r["gap"]) for r in got) == sorted((r["a_id"], r["c_id"], r["gap"]) for r in want)
+
+
+END = [[(2, 99, 900_000, "p", 0)], [(2, 100, 900_001, "p", 0)], [(2, 101, 900_002, "p", 0)]]
+
+
+def places(feed, *batches, late="1 hour"):
+    return feed(*batches, *END, late=late).withColumns({"x": F.col("value"), "y": F.lit(0.0)})
+
+
 def test_stream_recoveries_equal_batch(spark, feed, tmp_path):
-    track = [(0, 0), (100, 0), (400, 0), (20, 0), (21, 0), (22, 0), (23, 0), (500, 0), (900, 0), (10, 0), (300, 0), (5, 0)]
-    rows = [(1, i, i, "p", x) for i, (x, _) in enumerate(track)]
-    stream = feed(rows[:5], rows[5:8], rows[8:], [(2, 99, 900_000, "p", 0)], [(2, 100, 900_001, "p", 0)]).withColumns({"x": F.col("value"), "y": F.lit(0.0)})
-    got = run(spark, live.recoveries(stream, 200.0, 80.0, 150.0, 5.0, 3, 8.0), tmp_path).collect()
-    batch = spark.createDataFrame([(1, i, i * 1_000_000, float(x), float(y)) for i, (x, y) in enumerate(track)], "session_id long, id long, t long, x double, y double")
+    track = [0, 100, 400, 20, 21, 22, 23, 500, 900, 10, 300, 5, 400, 6, 390, 7, 380, 8, 370, 9, 10, 10, 10, 10]
+    rows = [(1, i, i, "p", x) for i, x in enumerate(track)]
+    limits = live.Run(calm_rows=3)
+    got = run(spark, live.recoveries(places(feed, rows[:5], rows[5:8], rows[8:15], rows[15:]), limits), tmp_path).where("session_id = 1").collect()
+    batch = spark.createDataFrame([(1, i, i * 1_000_000, float(x), 0.0) for i, x in enumerate(track)], "session_id long, id long, t long, x double, y double")
     path = spatial.trajectory(batch)
-    want = [r["id"] for r in spatial.teleports(path, 200.0, 80.0).orderBy("t").collect()]
-    assert sorted(r["event_id"] for r in got if r["what"] == "recovered") == want == [3, 9, 11]
-    assert {(r["event_id"], r["what"]) for r in got if r["what"] != "recovered"} >= {(3, "settled"), (11, "timed_out")}
-    after = {r["id"]: r["settled"] for r in spatial.settle_after(spatial.teleports(path, 200.0, 80.0), path, 5.0, 3, 8_000_000).collect()}
-    assert after == {3: True, 9: False, 11: False}
+    found = spatial.teleports(path, 200.0, 80.0, most=5)
+    want = [r["id"] for r in found.orderBy("t").collect()]
+    assert [r["event_id"] for r in sorted(got, key=lambda r: r["at"]) if r["what"] == "recovered"] == want == [3, 9, 11, 13, 15]
+    assert [r["event_id"] for r in got if r["what"] == "aborted"] == [17]  # the sixth
+    after = {r["id"]: (r["settled"], r["settled_t"] / 1e6) for r in spatial.settle_after(found, path, 5.0, 3, 8_000_000).collect()}
+    begin = BEGIN.replace(tzinfo=dt.timezone.utc).timestamp()
+    assert {r["event_id"]: (r["what"] == "settled", r["at"] - begin) for r in got if r["what"] in ("settled", "timed_out")} == after
+
+
+def test_rows_behind_decided_ones_are_left_out(spark, feed, tmp_path):
+    rows = [(1, 1, 0, "p", 0), (1, 2, 10, "p", 300), (1, 3, 20, "p", 310)]
+    got = run(spark, live.recoveries(places(feed, rows, [(1, 4, 15, "p", 1)], [(1, 5, 30, "p", 2)])), tmp_path).where("session_id = 1").collect()
+    assert {(r["event_id"], r["what"]) for r in got} == {(5, "recovered"), (5, "timed_out")}
+
+
+def test_waypoints_with_their_timers(spark, feed, tmp_path):
+    limits = live.Run(waypoints=((200.0, 0.0), (400.0, 0.0), (600.0, 0.0)), reach=10.0, tries=2)
+    rows = [(1, 1, 0, "p", 0), (1, 2, 5, "p", 195), (1, 3, 10, "p", 300), (1, 4, 50, "p", 405), (1, 5, 60, "p", 0), (1, 6, 61, "p", 200), (1, 7, 200, "p", 600)]
+    begin = BEGIN.replace(tzinfo=dt.timezone.utc).timestamp()
+    got = run(spark, live.recoveries(places(feed, rows[:3], rows[3:6], rows[6:]), limits), tmp_path).where("session_id = 1").collect()
+    told = sorted((r["at"] - begin, r["event_id"], r["what"]) for r in got)
+    assert told == [
+        (5, 0, "reached"), (35, 1, "waypoint_tried_again"), (50, 1, "reached"), (60, 5, "recovered"), (61, 0, "reached"), (68, 5, "timed_out"),
+        (91, 1, "waypoint_tried_again"), (121, 1, "waypoint_left_out"), (151, 2, "waypoint_tried_again"), (181, 2, "completed"), (181, 2, "waypoint_left_out"),
+    ]
+
+
+def test_idle_sessions_are_forgotten(spark, feed, tmp_path):
+    limits = live.Run(idle=1000.0)
+    late = [(1, 8, 950_000, "p", 500), (1, 9, 950_010, "p", 100)]  # a new first position: no recovery
+    stream = feed([(1, 1, 0, "p", 0), (1, 2, 10, "p", 300)], [(2, 5, 900_000, "p", 0)], [(2, 6, 900_001, "p", 0)], late, [(2, 7, 990_000, "p", 0)]).withColumns({"x": F.col("value"), "y": F.lit(0.0)})
+    assert run(spark, live.recoveries(stream, limits), tmp_path).where("session_id = 1").count() == 0
