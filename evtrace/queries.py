@@ -9,6 +9,7 @@ from .operators.order import numbered
 from .operators import actions as A, checks as C, incidents as I, lookups as L, recovery, rollups as R, rules, series, spatial, timeline as T
 from .plans import views as V
 from .plans.settle import settle
+from .plans.sql_functions import register_functions
 from .plans.views import HOUR
 from .sources import reports
 
@@ -1129,6 +1130,27 @@ def frame_values(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", kind.alias("class"), conf.cast("double").alias("confidence"), S.cell_centre(size, 7.0).alias("centre"), turned["x"].cast("int").alias("rx"), turned["y"].alias("ry"), S.clamped(size, 5.0, 20.0).alias("held"), grown["x"].alias("bx"), grown["w"].alias("bw"), S.rescale(size, 1.5).alias("scaled"))
 
 
+@query("WITH" + V.SQL_READINGS + f""",
+d AS (SELECT session_id, channel, t // {24 * HOUR} AS day, value, count(*) AS n, avg(confidence) AS c, min((t, id)) AS seen FROM rd WHERE value IS NOT NULL GROUP BY ALL),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY session_id, channel, day ORDER BY n DESC, seen) = 1)
+SELECT session_id, channel, day, value::VARCHAR AS value, round(c, 5) AS confidence, n::VARCHAR AS votes FROM b""")
+def sql_votes(spark, sf_dir):
+    """The registered aggregate, called by name over a view: the most read value of each channel's day."""
+    V.register(spark, sf_dir, "sf_")
+    register_functions(spark)
+    told = spark.sql(f"SELECT session_id, channel, t DIV {24 * HOUR} AS day, split(stable_vote(value, confidence, t, id), ':') AS v FROM sf_readings GROUP BY ALL")
+    return told.select("session_id", "channel", "day", F.col("v")[0].alias("value"), F.round(F.col("v")[1].cast("double"), 5).alias("confidence"), F.col("v")[2].alias("votes"))
+
+
+@query("WITH" + V.SQL_ACTIONS + """
+SELECT session_id, code, unnest(CASE WHEN kind = 'mouse_click' THEN [t_ms, t_ms + 30] ELSE [t_ms] END) AS at_ms, unnest(CASE WHEN kind = 'mouse_click' THEN ['mouse_down', 'mouse_up'] ELSE [kind] END) AS action FROM ac""")
+def sql_actions(spark, sf_dir):
+    """The registered table function, called by name for every row of a view."""
+    V.register(spark, sf_dir, "sf_")
+    register_functions(spark)
+    return spark.sql("SELECT a.session_id, a.code, e.at_ms, e.action FROM sf_actions a, LATERAL expand_action(a.kind, a.t_ms, a.duration_ms) e")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
