@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..operators.order import numbered
 from .common import components, discard, settle, spread_join
 
-WINDOW = 1_000_000  # bytes of texts that are hashed at a time
+WINDOW = 200_000  # bytes of texts that are hashed at a time
 CHUNK = 1_000_000  # shingles dealt to fragments at a time
 FRAGMENT, FRAGMENTS = 4_000_000, 32  # shingles that a fragment holds, about; fragments at least
 BLOCK = 1024  # classes of a block
@@ -100,8 +100,8 @@ class Shingler:
             out = _mixed(out) + x
         return _mixed(out)
 
-    def sets(self, texts: list[str | None]):
-        """The sorted set of each text, in order."""
+    def sets(self, texts):
+        """The sorted set of each text (an iterable of texts and nulls), in order."""
         waiting: list[bytes] = []
         size = 0
         for text in texts:
@@ -147,6 +147,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _texts(column):
+    """The texts of an Arrow column, some at a time."""
+    for at in range(0, len(column), 500):
+        yield from column.slice(at, 500).to_pylist()
+
+
 def _signed(k: int):
     def run(batches):
         import pyarrow as pa
@@ -154,7 +160,7 @@ def _signed(k: int):
         shingler = Shingler(k)
         for batch in batches:
             n, key = [], []
-            for s in shingler.sets(batch.column("text").to_pylist()):
+            for s in shingler.sets(_texts(batch.column("text"))):
                 n.append(len(s))
                 key.append(_key(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["doc_id", "h", "n", "key"])
@@ -168,7 +174,7 @@ def _of_texts(k: int):
     def read(batches):
         shingler = Shingler(k)
         for batch in batches:
-            for s in shingler.sets(batch.column("text").to_pylist()):
+            for s in shingler.sets(_texts(batch.column("text"))):
                 if len(s):
                     i = int.from_bytes(_key(s)[:8], "big", signed=True)
                     yield i, i, s
@@ -258,7 +264,7 @@ def _sets(k: int):
         shingler = Shingler(k)
         for batch in batches:
             out = [[], []]
-            for i, key, s in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), shingler.sets(batch.column("text").to_pylist())):
+            for i, key, s in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), shingler.sets(_texts(batch.column("text")))):
                 if _key(s) == key:
                     out[0].append(i)
                     out[1].append(s.tobytes())
