@@ -8,7 +8,9 @@ hierarchically: host counts over suffix counts over global counts. The log poste
 rejected where its text has no letters or no language reaches `least`.
 
 Whole texts are read, in fitting too; a text is scored once, and the scored table is written out before its groups
-are counted. Only counts pass through the driver: trigrams by language, and a row per language.
+are counted. The classifier knows the LABELS most frequent labels (of equals the first by name), so what passes through
+the driver is bounded: a row of trigrams and one of counts for each of them. Counts by language are rows and arrays,
+never columns. Pairs of declaration and host that are one in HOT rows come to the rows by broadcast, others by a shuffle.
 
 Defined results: a null or letterless text is rejected, with the language null and posterior 0; a null or unknown
 declaration or address adds nothing; ties go to the alphabetically first language; repeated rows and rows that share
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .common import settle
 
+LABELS = 1024  # languages that are told apart, at most
+HOT = 1000  # a pair of declaration and host that is broadcast is one in so many rows, at least
 SAMPLE = 1000  # labelled rows of each language that the text model is fitted on
 BITS = 15
 TRUST = 0.25  # each byte trigram counts for so much: neighbours overlap
@@ -60,20 +64,31 @@ def _trigrams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), whole(codes), whole(n)], ["l", "code", "n"])
 
 
+def _fitted(table):
+    """One label's counts as log likelihoods of all trigrams."""
+    import pyarrow as pa
+
+    counts = np.zeros(1 << BITS)
+    np.add.at(counts, table.column("code").to_numpy(), table.column("n").to_numpy())
+    told = np.log((counts + 0.1) / (counts.sum() + 0.1 * (1 << BITS))).astype(np.float32)
+    return pa.table([pa.array([table.column("l")[0].as_py()]), pa.array([told.tobytes()], pa.binary())], ["l", "told"])
+
+
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and log likelihoods of trigrams (a row per language), from labelled rows (text, label): of each label at most SAMPLE distinct ones."""
+    """Languages, and log likelihoods of trigrams (a row per language), from labelled rows (text, label).
+
+    At most LABELS languages, of each at most SAMPLE distinct rows.
+    """
     labelled = docs.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("text").alias("t"), F.lower("label").alias("l"))
+    known = labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LABELS).select("l")
     hashed = labelled.withColumn("h", F.xxhash64("t", "l"))
-    ranked = hashed.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= SAMPLE)
+    ranked = hashed.select("l", "h").distinct().join(F.broadcast(known), "l").withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= SAMPLE)
     last = settle(ranked.groupBy("l").agg(F.max("h").alias("last")))  # a row per language
     chosen = hashed.join(F.broadcast(last), "l").where(F.col("h") <= F.col("last")).dropDuplicates(["l", "h"]).select("t", "l")
-    rows = chosen.mapInArrow(_trigrams, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(rows["l"].unique()) if len(rows) else []
-    counts = np.zeros((len(names), 1 << BITS))
-    for i, name in enumerate(names):
-        own = rows[rows["l"] == name]
-        counts[i, own["code"].to_numpy()] = own["n"].to_numpy()
-    return names, np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * (1 << BITS))).astype(np.float32)
+    rows = chosen.mapInArrow(_trigrams, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n"))
+    fitted = sorted((r["l"], r["told"]) for r in rows.groupBy("l").applyInArrow(_fitted, "l string, told binary").collect())
+    table = [np.frombuffer(told, np.float32) for _, told in fitted]
+    return [name for name, _ in fitted], np.stack(table) if table else np.zeros((0, 1 << BITS), np.float32)
 
 
 def log_likelihoods(table: np.ndarray, text: str) -> np.ndarray:
@@ -119,22 +134,31 @@ def declared_in(html):
     return F.when(found != "", found)
 
 
-def _evidence(counted: DataFrame, names: list[str]) -> DataFrame:
-    """said, host and known, from counts (said, host, suffix, l, n): for each language the log of its prior at the host times what the declaration is worth."""
-    n = len(names)
-    sums = [F.sum(F.when(F.col("l") == l, F.col("n")).otherwise(0)).alias(f"n{i}") for i, l in enumerate(names)]
-    overall = {r["l"]: r["n"] for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}  # a row per language
-    total = sum(overall.values())
-    base = F.array(*[F.lit((overall.get(l, 0) + 1) / (total + n)) for l in names])
-    every = sum((F.col(f"n{i}") for i in range(n)), F.lit(0))
-    share = lambda prior: F.array(*[(F.col(f"n{i}") + SMOOTH * prior[i]) / (every + SMOOTH) for i in range(n)])
-    suffixes = counted.groupBy("suffix").agg(*sums).select("suffix", share(base).alias("by_suffix"))
-    hosts = counted.groupBy("host", "suffix").agg(*sums).join(suffixes.hint("shuffle_merge"), "suffix").select("host", share(F.col("by_suffix")).alias("by_host"))
+def _evidence(counted: DataFrame, n: int) -> DataFrame:
+    """said, host, rows and known, from counts (said, host, suffix, l, n), l being a language's place among n: for each
+    language the log of its prior at the host times what the declaration is worth."""
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def counts(*keys: str) -> DataFrame:
+        """keys and c, an array of the languages' counts."""
+        each = counted.groupBy(*keys, "l").agg(F.sum("n").alias("n"))
+        found = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("m"))
+        return found.select(*keys, F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("c"))
+
+    seen = {r["l"]: r["n"] for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}  # a row per language
+    overall = [seen.get(i, 0) for i in range(n)]
+    base = F.lit([(c + 1) / (sum(overall) + n) for c in overall])
+    every = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    smoothed = lambda prior: F.zip_with("c", prior, lambda c, p: (c + SMOOTH * p) / (F.col("_every") + SMOOTH))
+    suffixes = counts("suffix").withColumn("_every", every).select("suffix", smoothed(base).alias("by_suffix"))
+    hosts = counts("host", "suffix").withColumn("_every", every).join(suffixes.hint("shuffle_merge"), "suffix").select("host", smoothed(F.col("by_suffix")).alias("by_host"))
     # P(said | language); saying nothing is no evidence
-    said = counted.groupBy("said").agg(*sums).select("said", F.array(*[F.when(F.col("said") == "", 0.0).otherwise(F.log((F.col(f"n{i}") + 0.5) / (overall.get(l, 0) + 0.5 * (n + 1)))) for i, l in enumerate(names)]).alias("by_said"))
-    pairs = counted.select("said", "host").distinct()
+    among = F.lit([c + 0.5 * (n + 1) for c in overall])
+    worth = F.zip_with("c", among, lambda c, a: F.when(F.col("said") == "", 0.0).otherwise(F.log((c + 0.5) / a)))
+    said = counts("said").select("said", worth.alias("by_said"))
+    pairs = counted.groupBy("said", "host").agg(F.sum("n").alias("rows"))
     joined = pairs.join(said.hint("shuffle_merge"), "said").join(hosts.hint("shuffle_merge"), "host")
-    return joined.select("said", "host", F.zip_with("by_host", "by_said", lambda p, w: F.log(p) + w).alias("known"))
+    return joined.select("said", "host", "rows", F.zip_with("by_host", "by_said", lambda p, w: F.log(p) + w).alias("known"))
 
 
 def identify(docs: DataFrame, labelled: DataFrame, declared=None, address=None, text=None, least: float = LEAST, drop: str | None = None) -> DataFrame:
@@ -149,7 +173,7 @@ def identify(docs: DataFrame, labelled: DataFrame, declared=None, address=None,
     mark = "_"
     while any(c.lower().startswith(mark) for c in own):  # names of ours that no column has
         mark += "_"
-    said, host, suffix, told, known, joint, read = (mark + x for x in ("said", "host", "suffix", "told", "known", "joint", "read"))
+    said, host, suffix, told, known, joint, read, hot, lone = (mark + x for x in ("said", "host", "suffix", "told", "known", "joint", "read", "hot", "lone"))
     string = lambda c: (F.lit(None) if c is None else c).cast("string")
     names, table = fit(labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label")))
     if not names:
@@ -158,18 +182,24 @@ def identify(docs: DataFrame, labelled: DataFrame, declared=None, address=None,
     facts = docs.withColumns({said: F.coalesce(F.lower(string(declared)), F.lit("")), host: at, suffix: F.coalesce(suffix_of(at), F.lit("")), read: string(F.col("text") if text is None else text)})
     facts = facts.drop(drop) if drop else facts
     shape = T.StructType([f for f in facts.schema if f.name != read] + [T.StructField(told, T.ArrayType(T.DoubleType()))])
-    pick = lambda scores: F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, F.array_max(scores)).cast("int"))
+    best = lambda scores: F.array_position(scores, F.array_max(scores)).cast("int")
     scored = settle(facts.mapInArrow(_score(table, read, told), shape))
-    guess = scored.where(F.col(told).isNotNull()).select(F.col(said).alias("said"), F.col(host).alias("host"), F.col(suffix).alias("suffix"), pick(F.col(told)).alias("l"))
+    guess = scored.where(F.col(told).isNotNull()).select(F.col(said).alias("said"), F.col(host).alias("host"), F.col(suffix).alias("suffix"), (best(F.col(told)) - 1).alias("l"))
     counted = settle(guess.groupBy("said", "host", "suffix", "l").agg(F.count("*").alias("n")))
-    evidence = settle(_evidence(counted, names).select(F.col("said").alias(said), F.col("host").alias(host), F.col("known").alias(known)))
-    evidence = evidence.hint("broadcast" if evidence.count() <= 50_000 else "shuffle_merge")  # a row per pair of declaration and host
-    fused = scored.join(evidence, [said, host], "left")
+    evidence = settle(_evidence(counted, len(names)).select(F.col("said").alias(said), F.col("host").alias(host), "rows", F.col("known").alias(known)))
+    often = F.col("rows") * HOT >= (counted.agg(F.sum("n")).first()[0] or 0)
+    fused = scored.join(F.broadcast(evidence.where(often).select(said, host, F.col(known).alias(hot))), [said, host], "left")
+    # rows already served, or in need of nothing, get hosts that nothing has, so that they do not meet in one task
+    apart = [F.col(f"`{f.name}`") for f in docs.schema if f.name != drop and isinstance(f.dataType, (T.NumericType, T.StringType))]
+    alone = F.concat(F.lit("\0"), F.xxhash64(F.col(told), *apart).cast("string"))
+    fused = fused.withColumn(lone, F.when(F.col(told).isNotNull() & F.col(hot).isNull(), F.col(host)).otherwise(alone))
+    rare = evidence.where(~often).select(said, F.col(host).alias(lone), known)
+    fused = fused.join(rare.hint("shuffle_merge"), [said, lone], "left").withColumn(known, F.coalesce(hot, known))
     fused = fused.withColumn(joint, F.when(F.col(known).isNull(), F.col(told)).otherwise(F.zip_with(told, known, lambda a, b: a + b)))
     top = F.array_max(joint)
     weight = F.aggregate(joint, F.lit(0.0), lambda a, x: a + F.exp(x - top))
     posterior = F.coalesce(1 / weight, F.lit(0.0))
-    return fused.select(*[F.col(f"`{c}`") for c in own], F.when(F.col(joint).isNotNull(), pick(F.col(joint))).alias("language"), posterior.alias("posterior"), (posterior < least).alias("rejected"))
+    return fused.select(*[F.col(f"`{c}`") for c in own], F.when(F.col(joint).isNotNull(), F.element_at(F.lit(names), best(F.col(joint)))).alias("language"), posterior.alias("posterior"), (posterior < least).alias("rejected"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:

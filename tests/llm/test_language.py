@@ -88,6 +88,18 @@ def test_each_label_has_its_sample(spark, monkeypatch):
     assert names == ["en", "fr"] and table.shape == (2, 1 << language.BITS)
 
 
+def test_many_labels_and_hosts(spark, monkeypatch):
+    # 600 languages of a word each; hosts of one in three rows and rare ones; the least frequent labels are unknown
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 30, f"l{i:04d}", f"http://h{i % 3}.example/") for i in range(600)] + [(i, "zq " * 9, "rest", f"http://x{i}.example/") for i in range(600, 640)]
+    docs = spark.createDataFrame(rows, "id long, text string, label string, url string")
+    monkeypatch.setattr(language, "HOT", 20)
+    got = {r["id"]: r["language"] for r in language.identify(docs, docs.select("text", "label"), None, F.col("url")).collect()}
+    assert len(got) == 640 and sum(got[i] == label for i, _, label, _ in rows) >= 630
+    monkeypatch.setattr(language, "LABELS", 5)
+    names, table = language.fit(docs.select("text", "label"))
+    assert names == ["l0000", "l0001", "l0002", "l0003", "rest"] and len(table) == 5
+
+
 def test_hosts_and_suffixes(spark):
     url = spark.createDataFrame([("http://u@www.Example.FR:80/x",), ("src0",), ("",), (None,)], "u string").select(language.host_of(F.col("u")).alias("h"), language.suffix_of(language.host_of(F.col("u"))).alias("s")).collect()
     assert [tuple(r) for r in url] == [("www.example.fr", "fr"), ("src0", None), (None, None), (None, None)]
