@@ -19,7 +19,7 @@ output, so one task holds its text; its folding happens before, message by messa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Strings that mark turns in this template or in other common ones.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -67,6 +67,26 @@ def messages(events: DataFrame) -> DataFrame:
     return folded.select("conv_id", F.struct("x.first.sequence", "x.first.op", "x.first.role", "x.first.text").alias("place"), "x.m.role", "x.m.text")
 
 
+def log_of_turns(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as the log of events that a chat leaves behind; messages() gives the turns back.
+
+    Each turn is a message under an id of its own: a draft of the whole text, to which a delta adds; then an edit cuts it
+    to its first half, or, for an assistant, a regeneration to nothing, and deltas stream what is missing. Rows that
+    repeat are messages each. Null turns come first; a turn is below 2^59 in size.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    rows = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 59))).alias("turn"), role.alias("role"), text.alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("conv_id", "turn", "role").orderBy("text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda step, op, said: F.struct((F.col("turn") * 8 + step).alias("sequence"), F.lit(op).alias("op"), said.cast("string").alias("text"))
+    draft = [event(0, "message", F.col("text")), event(1, "delta", F.lit(" <|im_end|> and more"))]
+    edited = [event(2, "edit", first), event(3, "delta", rest)]
+    anew = [event(2, "regenerate", F.lit(None)), event(3, "delta", first), event(4, "delta", rest)]
+    log = rows.withColumn("e", F.explode(F.when(F.col("role") == "assistant", F.array(*draft, *anew)).otherwise(F.array(*draft, *edited))))
+    return log.select("conv_id", "e.sequence", F.concat_ws("|", F.col("turn").cast("string"), "role", F.col("n").cast("string")).alias("message_id"), "e.op", "role", "e.text")
+
+
 def render(final: DataFrame) -> DataFrame:
     """conv_id and formatted, from final messages (conv_id, place, role, text)."""
     line = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"), escape(F.coalesce("text", F.lit(""))), F.lit(END))

@@ -59,8 +59,7 @@ def op8_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("sequence"), F.lit(None).cast("string").alias("message_id"), F.lit("message").alias("op"), "role", "text")
-    return chat.digests(chat.read_back(chat.format_chats(events)))
+    return chat.digests(chat.read_back(chat.format_chats(chat.log_of_turns(rows.unionByName(extra)))))
 
 
 def op9_line_dedup(spark, sf_dir):
