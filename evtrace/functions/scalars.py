@@ -85,9 +85,12 @@ def argmax_with_priority(scores: list[tuple[str, Column]], threshold: float) ->
     return F.struct(F.when(ok, best["n"]).otherwise("unknown").alias("state"), F.when(ok, best["s"]).otherwise(0.0).alias("confidence"))
 
 
-def normalize_name(c: Column) -> Column:
-    """Letters and digits, single spaces, initial capitals."""
-    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9 ]", " "), r" +", " ")))
+def normalize_name(c: Column, codes: tuple[str, ...] = ()) -> Column:
+    """Letters and digits, single spaces, initial capitals; codes before another word or a mark keep their capitals."""
+    out = F.initcap(F.regexp_replace(F.regexp_replace(F.trim(c), r"[^A-Za-z0-9 ]+", " "), r"\s+", " "))
+    for code in codes:
+        out = F.replace(out, F.lit(code.capitalize() + " "), F.lit(code + " "))
+    return F.trim(out)
 
 
 def safe_name(c: Column) -> Column:
@@ -171,6 +174,21 @@ def evidence_window(t: Column, end: Column, before: int, after: int, least: int)
     return F.struct(lo.alias("lo"), F.greatest(lo + least, hi).alias("hi"))
 
 
+#: Fixed values of `focus_time`: shares of a session at which checks without a time look, and the time where nothing is known.
+FOCUS, NO_FOCUS = (0.18, 0.34, 0.50, 0.66, 0.82), 8_000_000
+
+
+def focus_time(t: Column, lo: Column, hi: Column, duration: Column, number: Column) -> Column:
+    """Where to look for a check, in microseconds: its time, else the middle of its range, else a share of its session by
+    its number, a second off both ends; 8 s where the duration is not known either."""
+    ends = F.array_compact(F.array(lo.cast("double"), hi.cast("double")))
+    middle = F.when(F.size(ends) > 0, F.aggregate(ends, F.lit(0.0), lambda a, x: a + x) / F.size(ends))
+    share = F.get(F.array(*map(F.lit, FOCUS)), F.pmod(F.coalesce(number, F.lit(0)), F.lit(len(FOCUS))).cast("int"))
+    second = F.lit(1_000_000.0)
+    placed = F.least(F.greatest(second, duration * share), F.greatest(second, duration - second))
+    return F.coalesce(t.cast("double"), middle, F.when(duration > 0, placed), F.lit(float(NO_FOCUS)))
+
+
 def capped_score(terms: list[tuple[float, Column, float, float]]) -> Column:
     """Sum of weight times (value - low) / (high - low), each held to 0..1, and so is the sum; missing values add 0."""
     total = F.lit(0.0)

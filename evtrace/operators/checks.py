@@ -10,20 +10,7 @@ from ..functions.scalars import clamp01, hamming, normalize_name
 from ..plans.settle import settle
 from .lookups import hash_pairs
 from .chunks import WIDTH, throttle
-from .timeline import nearest_match, with_previous
-
-
-def primary_events(groups: DataFrame, changes: DataFrame, window: int, least: float = 0.58) -> DataFrame:
-    """Each hit group (session_id, id, time, mean_conf, status) with its nearest change (c_id, c_t, c_conf).
-
-    Matched groups take the mean of both confidences and are UNCERTAIN under `least`; the others stay as supporting.
-    """
-    anchors = groups.select("session_id", F.col("id").alias("a_id"), F.col("time").alias("a_t"), "mean_conf", "status")
-    hit = nearest_match(anchors, changes, window)
-    sure = hit.join(changes.select("c_id", "c_conf").hint("shuffle_merge"), "c_id", "left")
-    conf = F.when(F.col("c_id").isNull(), F.col("mean_conf")).otherwise((F.col("mean_conf") + F.col("c_conf")) / 2)
-    status = F.when(F.col("c_id").isNull(), F.col("status")).when(conf < least, "UNCERTAIN").otherwise(F.col("status"))
-    return sure.select("session_id", F.col("a_id").alias("id"), F.col("a_t").alias("t"), "c_id", conf.alias("confidence"), status.alias("status"), F.col("c_id").isNull().alias("supporting"))
+from .timeline import with_previous
 
 
 def location_verdicts(recoveries: DataFrame, evidence: DataFrame, weights: dict[str, float], own: float, good: float = 0.75, bad: float = 0.45, margin: float = 0.2) -> DataFrame:

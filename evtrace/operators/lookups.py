@@ -32,13 +32,13 @@ def fuzzy_match(queries: DataFrame, entries: DataFrame, least: float = 0.55, lea
     is low_reading under least_reading of the query's confidence, low_match under `least` of the score, else ok; the
     confidence blends both where it is ok and is their product elsewhere. Every query meets every entry: entries come
     in blocks of `block`, sent along where they are few, so no pair is lost and none is a row. A query without letters
-    and digits has no entry.
+    and digits has no row, one that nothing resembles (score 0) no entry; a null confidence counts as 0.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     b = entries.select("entry", plain(F.col("entry")).alias("e")).where("e <> ''").distinct()
     blocks = max(1, -(-b.count() // block))
     known = b.groupBy(F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("entry", "e")).alias("known"))
-    a = queries.select("q_id", plain(F.col("name")).alias("q"), F.col("confidence").cast("double").alias("c")).where("q <> ''")
+    a = queries.select("q_id", plain(F.col("name")).alias("q"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("c")).where("q <> ''")
     dealt = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = dealt.join(known.hint("broadcast" if blocks <= 20 else "shuffle_merge"), "block")
 
@@ -51,7 +51,7 @@ def fuzzy_match(queries: DataFrame, entries: DataFrame, least: float = 0.55, lea
     score = -F.col("m.s")
     status = F.when(F.col("c") < least_reading, "low_reading").when(score < least, "low_match").otherwise("ok")
     blend = F.when(status == "ok", 0.55 * F.col("c") + 0.45 * score).otherwise(F.col("c") * score)
-    return best.select("q_id", "m.entry", score.alias("score"), blend.alias("confidence"), status.alias("status"))
+    return best.select("q_id", F.when(score > 0, F.col("m.entry")).alias("entry"), score.alias("score"), blend.alias("confidence"), status.alias("status"))
 
 
 def apply_labels(frames: DataFrame, labels: DataFrame) -> DataFrame:

@@ -61,6 +61,40 @@ def timeline_summary(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("session_id", F.coalesce("n", F.lit(0)).cast("long").alias("events"), F.coalesce("types", F.lit(0)).cast("long").alias("types"), "first_t", "last_t", F.coalesce("c", F.lit(0.0)).alias("mean_confidence"))
 
 
+def location_summary(recoveries: DataFrame, verdicts: DataFrame, most: int | None = None) -> DataFrame:
+    """Per session its recoveries (session_id), how many location checks (session_id, result) each result has, and how many
+    recoveries a limit of `most` checks leaves without one; 0 for sessions without checks."""
+    results = ("PASS", "FAIL", "UNCERTAIN", "OBSERVED")
+    every = recoveries.groupBy("session_id").agg(F.count("*").alias("recoveries"))
+    told = verdicts.groupBy("session_id").agg(F.count("*").alias("checks"), *[F.count_if(F.col("result") == r).alias(r.lower()) for r in results])
+    out = every.join(told.hint("shuffle_merge"), "session_id", "left").na.fill(0, ["checks", *map(str.lower, results)])
+    skipped = F.lit(0) if most is None else F.greatest(F.lit(0), F.col("recoveries") - most)
+    return out.withColumn("skipped", skipped.cast("long"))
+
+
+def evidence_summary(items: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Per session its evidence items (session_id, result), of each result, and its artifacts (session_id, status) that are
+    ok, missing or disabled; sessions without items have no row."""
+    of = items.groupBy("session_id").agg(F.count("*").alias("items"), *[F.count_if(F.col("result") == r).alias(r.lower()) for r in RESULTS])
+    kept = artifacts.groupBy("session_id").agg(*[F.count_if(F.col("status") == k).alias("artifacts_" + k) for k in ("ok", "missing", "disabled")])
+    return of.join(kept.hint("shuffle_merge"), "session_id", "left").na.fill(0, ["artifacts_ok", "artifacts_missing", "artifacts_disabled"])
+
+
+def run_summary(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row over a dataset's runs (session_id, status): how many, completed, failed, and how many completed ones have
+    each verdict (session_id, verdict); one without a verdict is unknown."""
+    done = F.col("status") == "COMPLETED"
+    told = runs.select("session_id", "status").join(verdicts.select("session_id", "verdict").hint("shuffle_merge"), "session_id", "left")
+    known = [F.count_if(done & (F.col("verdict") == r)).alias(r.lower()) for r in RESULTS]
+    return told.agg(F.count("*").alias("runs"), F.count_if(done).alias("completed"), F.count_if(~F.coalesce(done, F.lit(False))).alias("failed"), *known, F.count_if(done & F.col("verdict").isNull()).alias("unknown"))
+
+
+def status_counts(events: DataFrame, by: str) -> DataFrame:
+    """How many events have each status, for each value of `by` and over all (null), in one pass; a null status is UNKNOWN."""
+    named = events.withColumn("status", F.coalesce(F.upper("status"), F.lit("UNKNOWN")))
+    return named.groupingSets([(F.col(by), F.col("status")), (F.col("status"),)], by, "status").agg(F.count("*").alias("events"))
+
+
 def result_matrix(checks: DataFrame, *by: str, results=RESULTS) -> DataFrame:
     """In one pass one row per value of each column of `by` (the others null) and one for all, with a count per result; zeros where there are none."""
     counts = [F.count_if(F.col("result") == r).alias(r.lower()) for r in results]

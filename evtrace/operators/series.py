@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import exact, exact_mean, seconds
+from ..plans.settle import settle
 from .chunks import throttle
-from .timeline import islands, range_pairs, running_last, with_previous
+from .timeline import islands, nearest_match, range_pairs, running_last, with_previous
 
 
 def stable_series(readings: DataFrame, window: int, least_conf: float, least_votes: int) -> DataFrame:
@@ -118,15 +119,71 @@ def cross_checked(changes: DataFrame, signals: DataFrame, window: int) -> DataFr
     return out.withColumns({"confidence": F.when(met, lifted).otherwise(F.col("confidence")), "status": F.when(~met & (F.col("status") == "CONFIRMED"), "UNCERTAIN").otherwise(F.col("status"))})
 
 
-def hit_groups(hits: DataFrame, keys: list[str], gap: int, threshold: float) -> DataFrame:
-    """Runs of hits (keys, id, t, confidence) over the threshold: weighted time, mean and best confidence, rows."""
-    runs = islands(hits.where(F.col("confidence") >= threshold), keys, "t", "id", gap=gap)
+def hit_groups(hits: DataFrame, keys: list[str], gap: int, threshold: float, votes: int = 2) -> DataFrame:
+    """Runs of hits (keys, id, t, confidence) over the threshold: weighted time, mean and best confidence, rows.
+
+    A run of `votes` hits and more is CONFIRMED, a shorter one INFERRED from a best confidence of 0.75, else UNCERTAIN.
+    """
+    return _groups(islands(hits.where(F.col("confidence") >= threshold), keys, "t", "id", gap=gap), keys, votes).drop("island")
+
+
+def _groups(runs: DataFrame, keys: list[str], votes: int, *more) -> DataFrame:
     out = runs.groupBy(*keys, "island").agg(
         F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count_distinct("id").alias("hits"), F.avg("confidence").alias("mean_conf"), F.max("confidence").alias("best_conf"),
-        (F.sum((F.col("t") - F.col("island.t")) * F.col("confidence")) / F.sum("confidence")).alias("_w"), F.max_by("id", F.struct("confidence", (-F.col("t")).alias("t"), (-F.col("id")).alias("i"))).alias("peak_id"),
-    )
-    status = F.when((F.col("best_conf") >= 0.75) & (F.col("hits") >= 2), "CONFIRMED").when(F.col("best_conf") >= 0.5, "INFERRED").otherwise("UNCERTAIN")
-    return out.withColumns({"time": F.round(F.col("island.t") + F.col("_w")).cast("long"), "status": status}).drop("island", "_w")
+        (F.sum((F.col("t") - F.col("island.t")) * F.col("confidence")) / F.sum("confidence")).alias("_w"), F.max_by("id", F.struct("confidence", (-F.col("t")).alias("t"), (-F.col("id")).alias("i"))).alias("peak_id"), *more,
+    )
+    status = F.when(F.col("hits") >= votes, "CONFIRMED").when(F.col("best_conf") >= 0.75, "INFERRED").otherwise("UNCERTAIN")
+    return out.withColumns({"time": F.round(F.col("island.t") + F.coalesce("_w", F.lit(0.0))).cast("long"), "status": status}).drop("_w")
+
 
+def primary_events(hits: DataFrame, changes: DataFrame, primary: list[str], gap: int, threshold: float, window: int, votes: int = 2, least: float = 0.58) -> DataFrame:
+    """Runs of hits (session_id, kind, id, t, confidence, side, side_conf) as events, with the side that their hits vote for.
 
-__all__ = ["stable_series", "smooth_states", "state_segments", "transitions", "change_events", "hit_groups", "running_last"]
+    A run of a primary kind takes the nearest change (session_id, c_id, c_t, c_conf) within window of its time; a null
+    confidence of that counts as 0.7. Its confidence is the mean of its own and the change's, it is CONFIRMED with a
+    change, and UNCERTAIN under `least` in any case. The side has the largest sum of side_conf over the hits that name
+    one (of equals the first seen); with it come its mean, its votes and its best hit. Runs of other kinds stay as
+    supporting evidence, with their own confidence and status and no side.
+    Gives session_id, kind, id (the peak hit), t, start_t, end_t, frames, c_id, confidence, status, sources, side, side_conf,
+    side_votes, side_id, supporting.
+    """
+    keys = ["session_id", "kind"]
+    runs = settle(islands(hits.where(F.col("confidence") >= threshold), keys, "t", "id", gap=gap))
+    groups = _groups(runs, keys, votes).withColumn("main", F.col("kind").isin(*primary))
+    sided = runs.where(F.col("side").isNotNull() & F.col("kind").isin(*primary)).withColumn("v", F.coalesce(exact(F.col("side_conf")), F.lit(0).cast("decimal(12,9)")))
+    by_side = sided.groupBy(*keys, "island", "side").agg(F.sum("v").alias("s"), F.avg("v").cast("double").alias("mean"), F.count("*").alias("n"), F.min(F.struct("t", "id")).alias("seen"), F.min(F.struct((-F.col("v")).alias("v"), "t", "id")).alias("b"))
+    voted = by_side.groupBy(*keys, "island").agg(F.min(F.struct((-F.col("s")).alias("s"), "seen", "side", "mean", "n", "b")).alias("vote"))
+    groups = groups.join(voted.hint("shuffle_merge"), [*keys, "island"], "left").drop("island")
+    anchors = groups.where("main").select("session_id", F.col("peak_id").alias("a_id"), F.col("time").alias("a_t"))
+    near = nearest_match(anchors, changes, window).select(F.col("a_id").alias("peak_id"), "c_id").where("c_id is not null")
+    near = near.join(changes.select("c_id", F.coalesce("c_conf", F.lit(0.7)).alias("c_conf")).hint("shuffle_merge"), "c_id")
+    out = groups.join(near.hint("shuffle_merge"), "peak_id", "left")
+    met = F.col("c_id").isNotNull()
+    conf = F.when(met, (F.col("mean_conf") + F.col("c_conf")) / 2).otherwise(F.col("mean_conf"))
+    status = F.when(F.col("main") & (conf < least), "UNCERTAIN").when(met, "CONFIRMED").otherwise(F.col("status"))
+    return out.select(
+        *keys, F.col("peak_id").alias("id"), F.col("time").alias("t"), "start_t", "end_t", F.col("hits").alias("frames"), "c_id", conf.alias("confidence"), status.alias("status"),
+        F.array_compact(F.array(F.col("kind"), F.when(met, "change_crosscheck"))).alias("sources"), "vote.side", F.col("vote.mean").alias("side_conf"), F.col("vote.n").alias("side_votes"), F.col("vote.b.id").alias("side_id"),
+        (~F.col("main")).alias("supporting"),
+    )
+
+
+def peak_groups(rows: DataFrame, keys: list[str], gap: int, score: str, least: dict[str, float], most: dict[str, float]) -> DataFrame:
+    """Runs of rows (keys, id, t and scores) that reach every score in `least` and exceed none in `most`, each by its peak.
+
+    The peak has the highest `score`, of equals the first in time; with it come all named scores of the peak, the run's
+    span and its rows. A null score reaches nothing.
+    """
+    passing = F.lit(True)
+    for c, x in least.items():
+        passing = passing & (F.col(c) >= x)
+    for c, x in most.items():
+        passing = passing & (F.col(c) <= x)
+    runs = islands(rows.where(passing), keys, "t", "id", gap=gap)
+    named = list(dict.fromkeys([score, *least, *most]))
+    first = F.struct((-F.col(score)).alias("s"), "t", "id", *(F.col(c).alias(f"_{c}") for c in named))
+    out = runs.groupBy(*keys, "island").agg(F.min(first).alias("p"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("rows"))
+    return out.select(*keys, "p.id", "p.t", *(F.col(f"p._{c}").alias(c) for c in named), "start_t", "end_t", "rows")
+
+
+__all__ = ["stable_series", "smooth_states", "state_segments", "transitions", "change_events", "hit_groups", "primary_events", "peak_groups", "running_last"]

@@ -69,18 +69,29 @@ def merge_near_duplicates(events: DataFrame, keys: list[str], window: int, t: st
     """One row per chain of events whose steps are at most window: mean time, last end, best member, counts.
 
     events: keys, t, tie, confidence, end (nullable), status_rank. The best member has the highest confidence,
-    of equals the one nearest the chain's first time, then the smaller id.
+    of equals the one nearest the chain's first time, then the smaller id. Where events have them, `sources` and `notes`
+    (arrays of strings) come along: an event alone keeps its own, a chain has all of its members', sorted and once each,
+    and the note deduplicated:<members>.
     """
     runs = islands(events, keys, t, tie, gap=window)
     nearest = F.struct("confidence", (-(F.abs(F.col(t) - F.col("island.t")))).alias("near"), (-F.col(tie)).alias("id"))
-    return runs.groupBy(*keys, "island").agg(
+    lists = [c for c in ("sources", "notes") if c in events.columns]
+    own = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    out = runs.groupBy(*keys, "island").agg(
         F.floor(F.avg(F.col(t) - F.col("island.t"))).cast("long").alias("_mean"),
         F.max(F.coalesce("end", t)).alias("end_t"),
         F.max("confidence").alias("confidence"),
         F.max("status_rank").alias("status_rank"),
         F.max_by(tie, nearest).alias("best_id"),
         F.count("*").alias("members"),
+        *(F.collect_set(own(c)).alias(f"_{c}") for c in lists),  # members with equal lists come once
     ).withColumn("mean_t", F.col("_mean") + F.col("island.t")).drop("_mean")
+    for c in lists:
+        merged = F.array_sort(F.array_distinct(F.flatten(f"_{c}")))
+        if c == "notes":
+            merged = F.array_append(merged, F.format_string("deduplicated:%d", "members"))
+        out = out.withColumn(c, F.when(F.col("members") == 1, F.col(f"_{c}")[0]).otherwise(merged)).drop(f"_{c}")
+    return out
 
 
 def range_pairs(left: DataFrame, right: DataFrame, keys: list[str], before: int, after: int, lt: str, rt: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from .functions import scalars as S
+from .functions import evidence, scalars as S
 from .operators.order import numbered
 from .operators import actions as A, checks as C, incidents as I, lookups as L, recovery, rollups as R, rules, series, spatial, timeline as T
 from .plans import views as V
@@ -91,6 +91,20 @@ def near_duplicates(spark, sf_dir):
     return out.select("session_id", "event_type", "mean_t", "end_t", F.round("confidence", 6).alias("confidence"), "status_rank", "best_id", "members")
 
 
+@query("WITH" + V.SQL_EVENTS + f""",
+s AS (SELECT *, [source, 'feed'] AS sources, list_filter([CASE WHEN k % 5 = 0 THEN 'fifth' END, CASE WHEN k > 70 THEN 'high' END, 'a_' || side], lambda x: x IS NOT NULL) AS notes, CASE WHEN t - lag(t) OVER w <= {6 * HOUR} THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY session_id, source, event_type ORDER BY t, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, source, event_type ORDER BY t, event_id) AS grp FROM s),
+m AS (SELECT session_id, source, event_type, min(t) AS start_t, count(*) AS members, any_value(sources) AS one_s, any_value(notes) AS one_n, list_sort(list_distinct(flatten(list(sources)))) AS all_s, list_sort(list_distinct(flatten(list(notes)))) AS all_n FROM g GROUP BY session_id, source, event_type, grp)
+SELECT session_id, source, event_type, start_t, members, array_to_string(CASE WHEN members = 1 THEN one_s ELSE all_s END, ',') AS sources, array_to_string(CASE WHEN members = 1 THEN one_n ELSE list_append(all_n, 'deduplicated:' || members) END, ',') AS notes FROM m""")
+def merged_events(spark, sf_dir):
+    """Chains of events of one source and type with the sources and notes of all their members."""
+    k = F.col("k")
+    notes = F.array_compact(F.array(F.when(k % 5 == 0, "fifth"), F.when(k > 70, "high"), F.concat(F.lit("a_"), "side")))
+    ev = V.events(spark, sf_dir).withColumns({"end": F.lit(None).cast("long"), "status_rank": F.lit(0), "sources": F.array("source", F.lit("feed")), "notes": notes})
+    out = T.merge_near_duplicates(ev, ["session_id", "source", "event_type"], 6 * HOUR)
+    return _joined(out.select("session_id", "source", "event_type", F.col("island.t").alias("start_t"), "members", "sources", "notes"), "sources", "notes")
+
+
 @query("WITH" + V.SQL_EVENTS + """
 SELECT c.c_custkey AS session_id, count(event_id) AS events, count(DISTINCT event_type) AS types, min(t) AS first_t, max(t) AS last_t, coalesce(""" + _PPM.format(num="sum(" + _NANO.format(c="confidence") + ")", den="nullif(count(confidence), 0)::HUGEINT") + """, 0) AS mean_confidence
 FROM customer c LEFT JOIN ev ON ev.session_id = c.c_custkey GROUP BY c.c_custkey""")
@@ -269,7 +283,7 @@ def checked_changes(spark, sf_dir):
 s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id, event_type ORDER BY t, event_id) <= {12 * HOUR} THEN 0 ELSE 1 END AS fresh FROM ev WHERE confidence >= 0.2),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, event_type ORDER BY t, event_id) AS grp FROM s)
 SELECT session_id, event_type, min(t) AS start_t, max(t) AS end_t, count(*) AS hits, round(avg(confidence), 6) AS mean_conf, round(max(confidence), 6) AS best_conf, first(event_id ORDER BY confidence DESC, t, event_id) AS peak_id,
-  CASE WHEN max(confidence) >= 0.75 AND count(*) >= 2 THEN 'CONFIRMED' WHEN max(confidence) >= 0.5 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status
+  CASE WHEN count(*) >= 2 THEN 'CONFIRMED' WHEN max(confidence) >= 0.75 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status
 FROM g GROUP BY session_id, event_type, grp""")
 def hit_groups(spark, sf_dir):
     hits = V.events(spark, sf_dir).withColumnRenamed("event_id", "id")
@@ -569,7 +583,7 @@ WITH e AS (SELECT DISTINCT p_brand AS entry, regexp_replace(lower(p_brand), '[^a
 q AS (SELECT p_partkey AS q_id, regexp_replace(lower(CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN substr(p_brand, 2) || 'x' WHEN 2 THEN 'of ' || p_brand ELSE 'z' || (p_partkey % 89) END), '[^a-z0-9]', '', 'g') AS q, (p_partkey % 101) / 100.0::DOUBLE AS c FROM part),
 s AS (SELECT q_id, c, entry, round(CASE WHEN contains(q, e) OR contains(e, q) THEN 1.0 ELSE 1 - levenshtein(q, e) / greatest(length(q), length(e)) END, 9) AS score FROM q, e),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, entry) = 1)
-SELECT q_id, entry, round(score, 6) AS score, round(CASE WHEN c >= 0.25 AND score >= 0.55 THEN 0.55 * c + 0.45 * score ELSE c * score END, 5) AS confidence, CASE WHEN c < 0.25 THEN 'low_reading' WHEN score < 0.55 THEN 'low_match' ELSE 'ok' END AS status FROM b""")
+SELECT q_id, CASE WHEN score > 0 THEN entry END AS entry, round(score, 6) AS score, round(CASE WHEN c >= 0.25 AND score >= 0.55 THEN 0.55 * c + 0.45 * score ELSE c * score END, 5) AS confidence, CASE WHEN c < 0.25 THEN 'low_reading' WHEN score < 0.55 THEN 'low_match' ELSE 'ok' END AS status FROM b""")
 def fuzzy_match(spark, sf_dir):
     part, key, brand = V.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_brand")
     name = F.when(key % 4 == 0, brand).when(key % 4 == 1, F.concat(F.substring(brand, 2, 100), F.lit("x"))).when(key % 4 == 2, F.concat(F.lit("of "), brand)).otherwise(F.concat(F.lit("z"), key % 89))
@@ -715,13 +729,25 @@ def weighted_offsets(spark, sf_dir):
     return R.weighted_offsets(li, ["frame"], 0.3).withColumn("score", F.round("score", 6))
 
 
-@query("WITH" + V.SQL_EVENTS + """
-SELECT event_id, greatest(0, t - 2000000) AS lo, greatest(greatest(0, t - 2000000) + 200000, t + 3000000) AS hi FROM ev WHERE event_type = 'error'""")
+@query("WITH" + V.SQL_EVENTS + """,
+w AS (SELECT event_id, t, k, CASE WHEN k % 3 > 0 THEN t + (k - 40)::BIGINT * 1000000 END AS e FROM ev WHERE event_type = 'error')
+SELECT event_id, greatest(0, t - 2000000) AS lo, greatest(greatest(0, t - 2000000) + 200000, CASE WHEN e >= t THEN e ELSE t END + 3000000) AS hi FROM w""")
 def evidence_windows(spark, sf_dir):
-    w = S.evidence_window(F.col("t"), F.lit(None).cast("long"), 2_000_000, 3_000_000, 200_000)
+    end = F.when(F.col("k") % 3 > 0, F.col("t") + (F.col("k") - 40).cast("long") * 1_000_000)
+    w = S.evidence_window(F.col("t"), end, 2_000_000, 3_000_000, 200_000)
     return V.events(spark, sf_dir).where("event_type = 'error'").select("event_id", w.alias("w")).select("event_id", "w.lo", "w.hi")
 
 
+@query("WITH" + V.SQL_EVENTS + """,
+c AS (SELECT event_id, CASE WHEN k % 4 = 0 THEN t END AS t, CASE WHEN k % 4 = 1 THEN t - 7000000 END AS lo, CASE WHEN k % 4 = 1 AND k % 3 > 0 THEN t END AS hi, CASE WHEN k % 4 = 2 THEN k::DOUBLE * 100000 END AS duration FROM ev)
+SELECT event_id, coalesce(t::DOUBLE, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo::DOUBLE + hi::DOUBLE) / 2 ELSE coalesce(lo, hi)::DOUBLE END,
+  CASE WHEN duration > 0 THEN least(greatest(1000000, duration * [0.18, 0.34, 0.5, 0.66, 0.82][event_id % 5 + 1]::DOUBLE), greatest(1000000, duration - 1000000)) END, 8000000) AS focus FROM c""")
+def focus_times(spark, sf_dir):
+    t, k = F.col("t"), F.col("k")
+    told = S.focus_time(F.when(k % 4 == 0, t), F.when(k % 4 == 1, t - 7_000_000), F.when((k % 4 == 1) & (k % 3 > 0), t), F.when(k % 4 == 2, k.cast("double") * 100_000), F.col("event_id"))
+    return V.events(spark, sf_dir).select("event_id", told.alias("focus"))
+
+
 @query("WITH" + V.SQL_EVENTS + """,
 b AS (SELECT event_id, (k * 20)::INTEGER AS x, (k * 7)::INTEGER AS y FROM ev), c AS (SELECT event_id, greatest(0, least(x, 1919)) AS x1, greatest(0, least(y, 599)) AS y1 FROM b)
 SELECT event_id, x1 AS x, y1 AS y, greatest(1, least(120, 1920 - x1)) AS w, greatest(1, least(80, 600 - y1)) AS h FROM c""")
@@ -731,9 +757,14 @@ def region_boxes(spark, sf_dir):
 
 
 @query(r"""
-SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe, regexp_replace(p_brand, '[^0-9]', '', 'g')::BIGINT AS digits FROM part""")
+WITH n AS (SELECT p_partkey, p_name, p_brand, p_name || CASE p_partkey % 3 WHEN 0 THEN ' bl east!' WHEN 1 THEN ' Gr--west' ELSE ' bl' END AS raw FROM part),
+w AS (SELECT *, list_transform(string_split(regexp_replace(regexp_replace(trim(raw), '[^A-Za-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'), ' '), lambda x: upper(x[1]) || lower(x[2:])) AS w FROM n)
+SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS safe, regexp_replace(p_brand, '[^0-9]', '', 'g')::BIGINT AS digits,
+  trim(replace(replace(array_to_string(w, ' '), 'Bl ', 'BL '), 'Gr ', 'GR ')) AS name FROM w""")
 def names(spark, sf_dir):
-    return V.table(spark, sf_dir, "part").select("p_partkey", S.safe_name(F.col("p_name")).alias("safe"), S.digits_only(F.col("p_brand")).alias("digits"))
+    key = F.col("p_partkey")
+    raw = F.concat("p_name", F.when(key % 3 == 0, " bl east!").when(key % 3 == 1, " Gr--west").otherwise(" bl"))
+    return V.table(spark, sf_dir, "part").select("p_partkey", S.safe_name(F.col("p_name")).alias("safe"), S.digits_only(F.col("p_brand")).alias("digits"), S.normalize_name(raw, ("BL", "GR")).alias("name"))
 
 
 _ROLES = V.SQL_EVENTS + f""",
@@ -889,22 +920,37 @@ def change_union(spark, sf_dir):
 
 
 _GROUPS = V.SQL_EVENTS + f""",
-s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id, event_type ORDER BY t, event_id) <= {12 * HOUR} THEN 0 ELSE 1 END AS fresh FROM ev WHERE confidence >= 0.2 AND event_type = 'purchase'),
+hits AS (SELECT *, CASE WHEN k % 4 <> 3 THEN side END AS vote FROM ev WHERE confidence >= 0.2 AND event_type IN ('purchase', 'signup')),
+s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id, event_type ORDER BY t, event_id) <= {12 * HOUR} THEN 0 ELSE 1 END AS fresh FROM hits),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, event_type ORDER BY t, event_id) AS grp FROM s),
-g0 AS (SELECT *, min(t) OVER (PARTITION BY session_id, grp) AS t0 FROM g),
-h AS (SELECT session_id, round(any_value(t0) + sum((t - t0) * confidence) / sum(confidence))::BIGINT AS time, avg(confidence) AS mean_conf, first(event_id ORDER BY confidence DESC, t, event_id) AS id,
-  CASE WHEN max(confidence) >= 0.75 AND count(*) >= 2 THEN 'CONFIRMED' WHEN max(confidence) >= 0.5 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status FROM g0 GROUP BY session_id, grp)"""
+g0 AS (SELECT *, min(t) OVER (PARTITION BY session_id, event_type, grp) AS t0 FROM g),
+h AS (
+  SELECT session_id, event_type AS kind, grp, round(any_value(t0) + sum((t - t0) * confidence) / sum(confidence))::BIGINT AS time, min(t) AS start_t, max(t) AS end_t, count(*) AS frames, avg(confidence) AS mean_conf, first(event_id ORDER BY confidence DESC, t, event_id) AS id,
+    CASE WHEN count(*) >= 2 THEN 'CONFIRMED' WHEN max(confidence) >= 0.75 THEN 'INFERRED' ELSE 'UNCERTAIN' END AS status FROM g0 GROUP BY session_id, event_type, grp),
+vs AS (SELECT session_id, grp, vote, sum({_NANO.format(c="k / 100")}) AS s, {_mean_sql("k / 100")} AS mean, count(*) AS n, min((t, event_id)) AS seen, first(event_id ORDER BY k DESC, t, event_id) AS best FROM g0 WHERE event_type = 'purchase' AND vote IS NOT NULL GROUP BY session_id, grp, vote),
+vo AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY session_id, grp ORDER BY s DESC, seen) = 1)"""
 
 
 @query("WITH" + _GROUPS + f""",
-m AS (SELECT h.id, c.event_id AS c_id, c.confidence AS c_conf FROM h JOIN ev c ON c.session_id = h.session_id AND c.event_type = 'click' AND c.t BETWEEN h.time - {6 * HOUR} AND h.time + {6 * HOUR} QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY abs(c.t - h.time), c.confidence DESC, c.t, c.event_id) = 1)
-SELECT h.session_id, h.id, h.time AS t, m.c_id, round(CASE WHEN m.c_id IS NULL THEN mean_conf ELSE (mean_conf + c_conf) / 2 END, 6) AS confidence,
-  CASE WHEN m.c_id IS NOT NULL AND (mean_conf + c_conf) / 2 < 0.58 THEN 'UNCERTAIN' ELSE status END AS status, m.c_id IS NULL AS supporting FROM h LEFT JOIN m USING (id)""")
+m AS (SELECT h.id, c.event_id AS c_id, c.confidence AS c_conf FROM h JOIN ev c ON h.kind = 'purchase' AND c.session_id = h.session_id AND c.event_type = 'click' AND c.t BETWEEN h.time - {6 * HOUR} AND h.time + {6 * HOUR} QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY abs(c.t - h.time), c.confidence DESC, c.t, c.event_id) = 1),
+x AS (SELECT h.*, c_id, CASE WHEN c_id IS NULL THEN mean_conf ELSE (mean_conf + c_conf) / 2 END AS c FROM h LEFT JOIN m USING (id))
+SELECT x.session_id, kind, id, time AS t, start_t, end_t, frames, c_id, round(c, 6) AS confidence, CASE WHEN kind = 'purchase' AND c < 0.58 THEN 'UNCERTAIN' WHEN c_id IS NOT NULL THEN 'CONFIRMED' ELSE status END AS status,
+  concat_ws(',', kind, CASE WHEN c_id IS NOT NULL THEN 'change_crosscheck' END) AS sources, vote AS side, mean AS side_conf, n AS side_votes, best AS side_id, kind <> 'purchase' AS supporting
+FROM x LEFT JOIN vo ON kind = 'purchase' AND vo.session_id = x.session_id AND vo.grp = x.grp""")
 def primary_events(spark, sf_dir):
     ev = V.events(spark, sf_dir)
-    groups = series.hit_groups(ev.where("event_type = 'purchase'").withColumn("id", F.col("event_id")), ["session_id", "event_type"], 12 * HOUR, 0.2)
-    changes = _sides(ev, "purchase", "click")[1].drop("c_side")
-    return C.primary_events(groups.withColumnRenamed("peak_id", "id"), changes, 6 * HOUR).withColumn("confidence", F.round("confidence", 6))
+    hits = ev.where("event_type in ('purchase', 'signup')").select("session_id", F.col("event_type").alias("kind"), F.col("event_id").alias("id"), "t", "confidence", F.when(F.col("k") % 4 != 3, F.col("side")).alias("side"), (F.col("k") / 100).alias("side_conf"))
+    out = series.primary_events(hits, _sides(ev, "purchase", "click")[1].drop("c_side"), ["purchase"], 12 * HOUR, 0.2, 6 * HOUR)
+    return _joined(out.withColumns({c: F.round(c, 6) for c in ("confidence", "side_conf")}), "sources")
+
+
+@query("WITH" + V.SQL_EVENTS + f""",
+h AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {24 * HOUR} THEN 0 ELSE 1 END AS fresh FROM ev WHERE confidence >= 0.1 AND k >= 20 AND k % 10 <= 7 WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY t, event_id) AS grp FROM h)
+SELECT session_id, first(event_id ORDER BY k DESC, t, event_id) AS id, first(t ORDER BY k DESC, t, event_id) AS t, max(k) AS cue, first(confidence ORDER BY k DESC, t, event_id) AS panel, first(k % 10 ORDER BY k DESC, t, event_id) AS display, min(t) AS start_t, max(t) AS end_t, count(*) AS rows FROM g GROUP BY session_id, grp""")
+def peak_groups(spark, sf_dir):
+    rows = V.events(spark, sf_dir).select("session_id", F.col("event_id").alias("id"), "t", F.col("k").alias("cue"), F.col("confidence").alias("panel"), (F.col("k") % 10).alias("display"))
+    return series.peak_groups(rows, ["session_id"], 24 * HOUR, "cue", {"panel": 0.1, "cue": 20}, {"display": 7})
 
 
 @query("""
@@ -1151,6 +1197,86 @@ def sql_actions(spark, sf_dir):
     return spark.sql("SELECT a.session_id, a.code, e.at_ms, e.action FROM sf_actions a, LATERAL expand_action(a.kind, a.t_ms, a.duration_ms) e")
 
 
+def _ladder_sql(name: str, of: dict[str, str], most: float | None = None) -> str:
+    terms, factor, own = evidence.LADDERS[name]
+    detail = " OR ".join(f"{of[c]} > {x}::DOUBLE" for c, x in evidence.DETAIL.items())
+    value = lambda c: f"CASE WHEN {detail} THEN {of['dark_ratio']} ELSE 0 END" if c == "dark_detail" else of[c]
+    total = " + ".join(["0::DOUBLE"] + [f"{w}::DOUBLE * " + (f"({value(c)})" if full is None else f"least(1, ({value(c)}) / {full}::DOUBLE)") for c, w, full in terms])
+    return f"round(greatest(0, least({own if most is None else most}::DOUBLE, ({total}) * {factor}::DOUBLE)), 9)"
+
+
+_FEATURES = {"edge_density": "e", "contrast": "c", "bright_ratio": "b", "saturation_ratio": "s", "text_like_density": "x", "dark_ratio": "d"}
+_FEATURE_ROWS = """
+WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS region, l_discount::DOUBLE AS b, l_tax::DOUBLE AS e, l_quantity::DOUBLE / 200 AS s, (l_partkey % 97)::DOUBLE / 80 AS c, (l_suppkey % 31)::DOUBLE / 400 AS x, (l_partkey % 21)::DOUBLE / 20 AS d FROM lineitem)"""
+
+
+@query(_FEATURE_ROWS + " SELECT frame, region, " + ", ".join(f"{_ladder_sql(n, _FEATURES)} AS {'returned' if n == 'return' else n}_score" for n in evidence.LADDERS) + """,
+  CASE WHEN b >= 0.02 AND e >= 0.03 AND d >= 0.85 AND c * 100 <= 65 THEN round(least(0.82, 0.45 + 5.0::DOUBLE * b + 2.5::DOUBLE * e + 0.15::DOUBLE * d), 9) END AS structure FROM f""")
+def evidence_ladders(spark, sf_dir):
+    """Every score of functions.evidence over rows of features."""
+    f = _feature_rows(spark, sf_dir)
+    scores = [F.round(evidence.ladder(n, _feature_columns()), 9).alias(("returned" if n == "return" else n) + "_score") for n in evidence.LADDERS]
+    structure = F.round(evidence.panel_structure(F.col("b"), F.col("e"), F.col("d"), F.col("c") * 100), 9)
+    return f.select("frame", "region", *scores, structure.alias("structure"))
+
+
+def _feature_rows(spark, sf_dir):
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    return V.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("region"), F.col("l_discount").cast("double").alias("b"), F.col("l_tax").cast("double").alias("e"), (F.col("l_quantity").cast("double") / 200).alias("s"),
+        ((part % 97).cast("double") / 80).alias("c"), ((supp % 31).cast("double") / 400).alias("x"), ((part % 21).cast("double") / 20).alias("d"),
+    )
+
+
+def _feature_columns(shift: float = 0.0):
+    return {name: F.col(c) + shift for name, c in _FEATURES.items()}
+
+
+@query(_FEATURE_ROWS + ", p AS (SELECT frame, region, " + _ladder_sql("panel", _FEATURES, 1.0).replace("round(", "(").replace(", 9)", ")") + " AS panel, " + _ladder_sql("cue", _FEATURES).replace("round(", "(").replace(", 9)", ")") + " AS cue, "
++ _ladder_sql("bar", _FEATURES).replace("round(", "(").replace(", 9)", ")") + " AS bar, " + _ladder_sql("bar", {k: f"({v} + 0.1::DOUBLE)" for k, v in _FEATURES.items()}).replace("round(", "(").replace(", 9)", ")") + """ AS other FROM f)
+SELECT frame, region, round(least(1, 0.3::DOUBLE * panel + 0.5::DOUBLE * cue + 0.2::DOUBLE * (1 - (bar + other) / 2)), 9) AS score, round(cue, 9) AS cue, round((bar + other) / 2, 9) AS display FROM p""")
+def down_scores(spark, sf_dir):
+    told = evidence.down_score(_feature_columns(), _feature_columns(), _feature_columns(), _feature_columns(0.1))
+    return _feature_rows(spark, sf_dir).select("frame", "region", told.alias("d")).select("frame", "region", *(F.round(f"d.{c}", 9).alias(c) for c in ("score", "cue", "display")))
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS session_id, o_orderkey AS id FROM orders),
+v AS (SELECT session_id, CASE id % 5 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNCERTAIN' WHEN 3 THEN 'OBSERVED' END AS result FROM r WHERE id % 5 < 4),
+a AS (SELECT session_id, count(*) AS recoveries FROM r GROUP BY 1),
+b AS (SELECT session_id, count(*) AS checks, count(*) FILTER (result = 'PASS') AS pass, count(*) FILTER (result = 'FAIL') AS fail, count(*) FILTER (result = 'UNCERTAIN') AS uncertain, count(*) FILTER (result = 'OBSERVED') AS observed FROM v GROUP BY 1)
+SELECT session_id, recoveries, coalesce(checks, 0) AS checks, coalesce(pass, 0) AS pass, coalesce(fail, 0) AS fail, coalesce(uncertain, 0) AS uncertain, coalesce(observed, 0) AS observed, greatest(0, recoveries - 10) AS skipped FROM a LEFT JOIN b USING (session_id)""")
+def location_summaries(spark, sf_dir):
+    r = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("id"))
+    verdicts = r.where("id % 5 < 4").select("session_id", F.element_at(F.array(*map(F.lit, ("PASS", "FAIL", "UNCERTAIN", "OBSERVED"))), (F.col("id") % 5 + 1).cast("int")).alias("result"))
+    return R.location_summary(r, verdicts, 10)
+
+
+@query("WITH" + _RULES + """,
+i AS (SELECT session_id, count(*) AS items, count(*) FILTER (result = 'FAIL') AS fail, count(*) FILTER (result = 'NEED_REVIEW') AS need_review, count(*) FILTER (result = 'UNCERTAIN') AS uncertain, count(*) FILTER (result = 'PASS') AS pass FROM fi WHERE incident_id IS NOT NULL GROUP BY 1),
+a AS (SELECT session_id, count(*) FILTER (k % 5 > 1) AS artifacts_ok, count(*) FILTER (k % 5 = 0) AS artifacts_missing, count(*) FILTER (k % 5 = 1) AS artifacts_disabled FROM ev WHERE k % 2 = 0 GROUP BY 1)
+SELECT i.*, coalesce(artifacts_ok, 0) AS artifacts_ok, coalesce(artifacts_missing, 0) AS artifacts_missing, coalesce(artifacts_disabled, 0) AS artifacts_disabled FROM i LEFT JOIN a USING (session_id)""")
+def evidence_summaries(spark, sf_dir):
+    k = F.col("k")
+    artifacts = V.events(spark, sf_dir).where("k % 2 = 0").select("session_id", F.when(k % 5 > 1, "ok").when(k % 5 == 0, "missing").otherwise("disabled").alias("status"))
+    return R.evidence_summary(_findings(spark, sf_dir)[1].where("incident_id is not null"), artifacts)
+
+
+@query("WITH" + _RULES + _VERDICTS + """,
+r AS (SELECT c_custkey AS session_id, CASE WHEN c_custkey % 11 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM customer)
+SELECT count(*) AS runs, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status <> 'COMPLETED') AS failed, count(*) FILTER (status = 'COMPLETED' AND verdict = 'FAIL') AS fail, count(*) FILTER (status = 'COMPLETED' AND verdict = 'NEED_REVIEW') AS need_review,
+  count(*) FILTER (status = 'COMPLETED' AND verdict = 'UNCERTAIN') AS uncertain, count(*) FILTER (status = 'COMPLETED' AND verdict = 'PASS') AS pass, count(*) FILTER (status = 'COMPLETED' AND verdict IS NULL) AS unknown FROM r LEFT JOIN vd USING (session_id)""")
+def run_counts(spark, sf_dir):
+    key = F.col("c_custkey").cast("long")
+    runs = V.table(spark, sf_dir, "customer").select(key.alias("session_id"), F.when(key % 11 == 0, "FAILED").otherwise("COMPLETED").alias("status"))
+    return R.run_summary(runs, R.session_verdicts(_three_objectives(spark, sf_dir), ["session_id"]))
+
+
+@query("WITH" + V.SQL_EVENTS + f", s AS (SELECT event_type, CASE {_STATUS.removeprefix('CASE')} AS r FROM ev), n AS (SELECT event_type, CASE r WHEN 5 THEN 'CONFIRMED' WHEN 3 THEN 'OBSERVED' WHEN 1 THEN 'FAIL' ELSE 'UNKNOWN' END AS status FROM s) SELECT event_type, status, count(*) AS events FROM n GROUP BY GROUPING SETS ((event_type, status), (status))")
+def event_statuses(spark, sf_dir):
+    return R.status_counts(_with_status(V.events(spark, sf_dir)), "event_type")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
