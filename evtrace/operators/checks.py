@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import clamp01, hamming, normalize_name
 from ..plans.settle import settle
 from .lookups import hash_pairs
-from .chunks import WIDTH, throttle
+from .chunks import WIDTH, each_run, throttle
 from .timeline import with_previous
 
 
@@ -122,21 +121,54 @@ def promotions(candidates: DataFrame, thresholds: dict[str, float], least_qualit
     return out.select("id", decision.alias("decision"), F.when(decision == "duplicate", F.col("representative")).alias("duplicate_of"), "reasons")
 
 
-def waypoint_progress(positions: DataFrame, waypoints: list[tuple[float, float]], reach: float) -> DataFrame:
+def _ways(n: int):
+    """Of a chunk's hits in order: where each of the n + 1 states it may begin in leads."""
+
+    def run(table):
+        import pyarrow as pa
+
+        state = np.arange(n + 1)
+        for w in table.column("waypoint").to_pylist():
+            state[state == w] += 1
+        return pa.table([table.column("session_id")[:1], table.column("chunk")[:1], pa.array([state.tolist()], pa.list_(pa.int32()))], ["session_id", "chunk", "leads"])
+
+    return run
+
+
+def _reached(table):
+    """Of a chunk's hits in order, from the state that it begins in: those that reach the waypoint ahead."""
+    ahead, keep = table.column("begin")[0].as_py(), []
+    for i, w in enumerate(table.column("waypoint").to_pylist()):
+        if w == ahead:
+            keep.append(i)
+            ahead += 1
+    return table.take(np.array(keep, np.int64))
+
+
+def waypoint_progress(positions: DataFrame, waypoints: list[tuple[float, float]], reach: float, width: int = WIDTH) -> DataFrame:
     """Time at which each session reaches each waypoint in turn, one a tick: session_id, waypoint (from 0), t, id.
 
-    Only positions within reach of some waypoint go on; then one aggregation per waypoint, not one fold per session.
+    Only positions within reach of some waypoint go on. They are cut into chunks of time: a chunk says at once where each
+    number of waypoints done before it leads, these are put one after another per session (a row a chunk), and then every
+    chunk knows where it begins and tells what it reaches. So it is two passes, however many waypoints there are, and no
+    session is one task's work. A position near several waypoints reaches one of them, the one ahead.
     """
+    n, at = len(waypoints), ["session_id", "chunk"]
     near = [F.when(F.hypot(F.col("x") - x, F.col("y") - y) <= reach, F.lit(i)) for i, (x, y) in enumerate(waypoints)]
-    hits = settle(positions.select("session_id", "t", "id", F.explode(F.array_compact(F.array(*near))).alias("waypoint")))
-    steps, last = [], None
-    for i in range(len(waypoints)):
-        here = hits.where(F.col("waypoint") == i)
-        if last is not None:
-            here = here.join(last.select("session_id", F.struct("t", "id").alias("_after")).hint("shuffle_merge"), "session_id").where(F.struct("t", "id") > F.col("_after"))
-        last = settle(here.groupBy("session_id").agg(F.min(F.struct("t", "id")).alias("m")).select("session_id", F.lit(i).alias("waypoint"), "m.t", "m.id"))
-        steps.append(last)
-    return reduce(DataFrame.union, steps)
+    hits = positions.select("session_id", F.floor(F.col("t") / width).alias("chunk"), "t", "id", F.explode(F.array_compact(F.array(*near))).alias("waypoint"))
+    # of one position the later waypoint first: it cannot be ahead because of the earlier one
+    order = [*at, "t", "id", F.desc("waypoint")]
+    hits = settle(hits)
+    sorted_ = lambda df: df.repartition(*at).sortWithinPartitions(*order)
+    kinds = dict(hits.dtypes)
+    leads = sorted_(hits.select(*at, "t", "id", "waypoint")).mapInArrow(each_run(_ways(n), at, ["session_id", "chunk", "leads"]), f"session_id {kinds['session_id']}, chunk long, leads array<int>")
+    chain = leads.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "leads"))).alias("c"))
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<struct<chunk:bigint,begin:int>>").alias("begins"))
+    step = lambda s, x: F.struct(F.get(x["leads"], s["now"]).alias("now"), F.array_append(s["begins"], F.struct(x["chunk"].alias("chunk"), s["now"].alias("begin"))).alias("begins"))
+    begins = chain.select("session_id", F.explode(F.aggregate("c", start, step)["begins"]).alias("b")).select("session_id", "b.chunk", "b.begin")
+    placed = sorted_(hits.join(begins.hint("shuffle_merge"), at)).select(*at, "begin", "waypoint", "t", "id")
+    shape = f"session_id {kinds['session_id']}, waypoint int, t {kinds['t']}, id {kinds['id']}"
+    return placed.mapInArrow(each_run(_reached, at, ["session_id", "waypoint", "t", "id"]), shape)
 
 
 def next_action(dx: Column, dy: Column, heading: Column, tolerance: float) -> Column:

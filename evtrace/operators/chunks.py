@@ -21,18 +21,26 @@ DAY = 86_400_000_000
 WIDTH = 56 * DAY
 
 
-def _each(decide: Callable, at: list[str], names: list[str]):
+def _same(x, i: int, y, j: int, at: list[str]) -> bool:
+    """Whether row i of table x and row j of table y are of one run."""
+    return all(x.column(c)[i].as_py() == y.column(c)[j].as_py() for c in at)
+
+
+def each_run(decide: Callable, at: list[str], names: list[str]):
     """decide for each run of rows with equal columns `at`, many small ones to a batch."""
 
     def run(batches):
         import pyarrow as pa
 
-        left, out, size = None, [], 0
+        waiting, out, size = [], [], 0  # batches of the run that may still go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            table = table if left is None else pa.concat_tables([left, table]).combine_chunks()
+            if waiting and _same(waiting[-1], waiting[-1].num_rows - 1, table, table.num_rows - 1, at):
+                waiting.append(table)  # rows are sorted: all of the batch belongs to the run
+                continue
+            table = pa.concat_tables([*waiting, table]).combine_chunks()
             step = np.zeros(table.num_rows - 1, bool)
             for c in at:
                 values = table.column(c).to_numpy(zero_copy_only=False)
@@ -45,7 +53,8 @@ def _each(decide: Callable, at: list[str], names: list[str]):
                 if size > 10_000:
                     yield from pa.concat_tables(out).combine_chunks().select(names).to_batches()
                     out, size = [], 0
-            left = table.slice(cuts[-1])
+            waiting = [table.slice(cuts[-1])]
+        left = pa.concat_tables(waiting).combine_chunks() if waiting else None
         if left is not None:
             out.append(decide(left))
         if out:
@@ -63,7 +72,7 @@ def by_chunks(rows: DataFrame, keys: list[str], decide: Callable, shape: str, ca
     """
     at = [*keys, "chunk"]
     names = [c.split()[0].strip("`") for c in shape.split(", ")]
-    decided = lambda df: df.repartition(*at).sortWithinPartitions(*at).mapInArrow(_each(decide, at, names), shape)
+    decided = lambda df: df.repartition(*at).sortWithinPartitions(*at).mapInArrow(each_run(decide, at, names), shape)
     done = settle(decided(rows))
     given, told = carry(done).select(*rows.columns), None
     if given.isEmpty():  # nothing lies near an end of a chunk

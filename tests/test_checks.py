@@ -81,3 +81,31 @@ def test_notes_names_and_scores_without_values(spark):
     ).first()
     assert tuple(row["c"] or (None,) * 3) == (None, None, None)
     assert (row["t"], row["n"], row["y"], row["a"], row["u"], row["k"]) == (12.5, False, True, "own_down", "unresolved", 0.9)
+
+
+def test_waypoints_across_chunks(spark):
+    import random
+
+    rng = random.Random(4)
+    places = [(0.0, 0.0), (10.0, 0.0), (11.0, 0.0), (30.0, 0.0), (10.0, 0.0)]
+    rows = [(s, i, rng.randrange(400), float(rng.choice([0, 10, 11, 12, 30, 70])), 0.0) for s in range(6) for i in range(s * 100, s * 100 + rng.randrange(1, 80))]
+    want = set()
+    for s in range(6):
+        ahead = 0
+        for _, i, t, x, y in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1])):
+            if ahead < len(places) and abs(x - places[ahead][0]) <= 1.5:
+                want.add((s, ahead, t, i))
+                ahead += 1
+    df = spark.createDataFrame(rows, "session_id long, id long, t long, x double, y double").repartition(5)
+    for width in (7, 50, 10_000):
+        assert {tuple(r) for r in checks.waypoint_progress(df, places, 1.5, width).collect()} == want
+    assert checks.waypoint_progress(df.limit(0), places, 1.5).count() == 0
+
+
+def test_artifacts_by_rule_and_target(spark):
+    from evtrace.operators import incidents
+
+    found = [(1, "a", "x"), (2, "a", None), (3, "b", "y"), (4, None, "x"), (5, "a", "q")]
+    kept = [("a", "x", "ok", "p1"), ("a", None, "ok", "p2"), ("a", "z", "ok", "p3"), ("a", "x", "missing", "p4"), ("b", "x", "ok", "p5"), (None, "x", "ok", "p6"), ("a", "x", "ok", None)]
+    got = incidents.artifact_lookup(spark.createDataFrame(found, "finding long, rule string, target string"), spark.createDataFrame(kept, "rule string, target string, status string, path string"))
+    assert sorted((r["finding"], r["path"]) for r in got.collect()) == [(1, "p1"), (1, "p2"), (2, "p1"), (2, "p2"), (2, "p3"), (5, "p2")]
