@@ -56,13 +56,17 @@ def actions(spark, sf_dir) -> DataFrame:
 
 
 def document_hashes(spark, sf_dir) -> DataFrame:
-    """64-bit difference hash over 65 word-bucket counts of each text of 20 words and more."""
-    once = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  names c, so that Catalyst does not work it out anew at each use
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    bucket = lambda w: F.char(F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % 65 + 48)  # noqa: E731  one letter of ASCII per word
-    counts = lambda b: F.transform(F.sequence(F.lit(48), F.lit(112)), lambda i: F.length(b) - F.length(F.replace(b, F.char(i), F.lit(""))))
-    hashed = once(words, lambda w: F.when(F.size(w) >= 20, once(once(F.array_join(F.transform(w, bucket), ""), counts), diff_hash)))
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), F.col("doc_id").alias("id"), F.explode(F.array_compact(F.array(hashed))).alias("h"))  # a filter on h would work it out twice
+    """64-bit difference hash over 65 word-bucket counts of each text of 20 words and more.
+
+    Words are rows that are counted by text and bucket before the shuffle, so a text sends 65 counts at most.
+    """
+    texts = table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), F.lower("text").alias("text"))
+    words = texts.select("row", "grp", "id", F.explode(F.split("text", "[^a-z0-9]+")).alias("w")).where("w <> ''")
+    bucket = (F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int") % 65).alias("b")
+    counts = words.groupBy("row", "grp", "id", bucket).agg(F.count("*").alias("c"))
+    told = counts.groupBy("row", "grp", "id").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"), F.sum("c").alias("words")).where("words >= 20")
+    values = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    return told.select("grp", "id", values.alias("v")).select("grp", "id", diff_hash(F.col("v")).alias("h"))
 
 
 #: The same views for DuckDB.
