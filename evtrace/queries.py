@@ -655,20 +655,40 @@ def settles(spark, sf_dir):
 
 @query("WITH" + V.SQL_POSITIONS + """,
 a AS (SELECT *, lead(x) OVER w - x AS nx, lead(y) OVER w - y AS ny FROM po WINDOW w AS (PARTITION BY session_id ORDER BY t, id)),
-b AS (SELECT *, CASE WHEN nx <> 0 OR ny <> 0 THEN (degrees(atan2(nx, -ny)) + 360) % 360 END AS own FROM a)
+b AS (SELECT *, coalesce(CASE WHEN round(x / 19.8) % 9 = 0 THEN round(x / 19.8) * 3 END, CASE WHEN nx <> 0 OR ny <> 0 THEN (degrees(atan2(nx, -ny)) + 360) % 360 END) AS own FROM a)
 SELECT session_id, id, round(coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 90), 4) AS heading FROM b""")
 def headings(spark, sf_dir):
-    points = V.positions(spark, sf_dir).withColumn("heading", F.lit(None).cast("double"))
+    k = F.round(F.col("x") / 19.8)
+    points = V.positions(spark, sf_dir).withColumn("heading", F.when(k % 9 == 0, k * 3))  # some are given
     return spatial.headings(points).select("session_id", "id", F.round("heading", 4).alias("heading"))
 
 
 FLOORS, OBSTACLES, CORRIDORS = [[(60, 60), (1920, 60), (1920, 600), (60, 600)]], [[(600, 200), (900, 200), (900, 420), (600, 420)]], [[(0, 300), (60, 300), (60, 360), (0, 360)]]
 
 
-@query("WITH" + V.SQL_POSITIONS + """
-SELECT session_id, id, CASE WHEN x >= 600 AND x < 900 AND y >= 200 AND y < 420 THEN false WHEN x >= 0 AND x < 60 AND y >= 300 AND y < 360 THEN true ELSE x >= 60 AND x < 1920 AND y >= 60 AND y < 600 END AS walkable FROM po""")
+#: Floors of any shape, one inside another's hole being an obstacle; a corridor across it.
+SHAPES = {
+    "obstacles": [[(500, 150), (1100, 120), (820, 520)], [(1300, 300), (1500, 200), (1700, 330), (1480, 520)]],
+    "corridors": [[(0, 280), (420, 180), (420, 240), (0, 340)], [(1400, 100), (1460, 100), (1560, 640), (1500, 640)]],
+    "floors": [[(60, 60), (900, 20), (1900, 140), (1820, 600), (1000, 480), (300, 640)]],
+}
+
+
+def _rings_sql(rings: list) -> str:
+    """Whether (x, y) lies in one of the rings: an odd number of their edges to the right of it."""
+
+    def inside(ring):
+        edges = [(p, q) for p, q in zip(ring, ring[1:] + ring[:1]) if p[1] != q[1]]
+        hits = [f"(({y1}::DOUBLE > y) <> ({y2}::DOUBLE > y) AND x < {x2 - x1}::DOUBLE * (y - {y1}::DOUBLE) / {y2 - y1}::DOUBLE + {x1}::DOUBLE)::INTEGER" for (x1, y1), (x2, y2) in edges]
+        return f"({' + '.join(hits)}) % 2 = 1"
+
+    return " OR ".join(map(inside, rings))
+
+
+@query("WITH" + V.SQL_POSITIONS + f"""
+SELECT session_id, id, CASE WHEN {_rings_sql(SHAPES["obstacles"])} THEN false WHEN {_rings_sql(SHAPES["corridors"])} THEN true ELSE {_rings_sql(SHAPES["floors"])} END AS walkable FROM po""")
 def zones(spark, sf_dir):
-    return V.positions(spark, sf_dir).select("session_id", "id", spatial.walkable(F.col("x"), F.col("y"), OBSTACLES, CORRIDORS, FLOORS).alias("walkable"))
+    return V.positions(spark, sf_dir).select("session_id", "id", spatial.walkable(F.col("x"), F.col("y"), **SHAPES).alias("walkable"))
 
 
 def _free_sql(x: str, y: str) -> str:
