@@ -18,12 +18,14 @@ def stable_vote(value: pd.Series, confidence: pd.Series, t: pd.Series, id: pd.Se
 
     An aggregate over a whole group: group by something that bounds it, such as a session's day.
     """
-    rows = pd.DataFrame({"v": value, "c": confidence, "t": t, "id": id}).dropna(subset=["v"]).sort_values(["t", "id"])
-    if rows.empty:
+    seen = sorted((a, b, v, c) for v, c, a, b in zip(value.tolist(), confidence.tolist(), t.tolist(), id.tolist()) if v is not None and v == v)
+    votes: dict[float, list] = {}
+    for _, _, v, c in seen:
+        votes.setdefault(v, []).append(c)
+    if not votes:
         return None
-    votes = rows.groupby("v", sort=False).agg(n=("c", "size"), c=("c", "mean"))  # in order of first sight
-    best = votes["n"].idxmax()
-    return f"{int(best)}:{votes.loc[best, 'c']:.6f}:{votes.loc[best, 'n']}"
+    best = max(votes, key=lambda v: len(votes[v]))  # values stand in order of first sight
+    return f"{int(best)}:{sum(votes[best]) / len(votes[best]):.12f}:{len(votes[best])}"
 
 
 class ExpandAction:

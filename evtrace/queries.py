@@ -1197,15 +1197,15 @@ def frame_values(spark, sf_dir):
 
 
 @query("WITH" + V.SQL_READINGS + f""",
-d AS (SELECT session_id, channel, t // {24 * HOUR} AS day, value, count(*) AS n, avg(confidence) AS c, min((t, id)) AS seen FROM rd WHERE value IS NOT NULL GROUP BY ALL),
-b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY session_id, channel, day ORDER BY n DESC, seen) = 1)
-SELECT session_id, channel, day, value::VARCHAR AS value, round(c, 5) AS confidence, n::VARCHAR AS votes FROM b""")
+d AS (SELECT session_id, channel, t // {28 * 24 * HOUR} AS month, value, count(*) AS n, avg(confidence) AS c, min((t, id)) AS seen FROM rd WHERE value IS NOT NULL GROUP BY ALL),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY session_id, channel, month ORDER BY n DESC, seen) = 1)
+SELECT session_id, channel, month, value::VARCHAR AS value, round(c, 9) AS confidence, n::VARCHAR AS votes FROM b""")
 def sql_votes(spark, sf_dir):
-    """The registered aggregate, called by name over a view: the most read value of each channel's day."""
+    """The registered aggregate, called by name over a view: the most read value of each channel's four weeks."""
     V.register(spark, sf_dir, "sf_")
     register_functions(spark)
-    told = spark.sql(f"SELECT session_id, channel, t DIV {24 * HOUR} AS day, split(stable_vote(value, confidence, t, id), ':') AS v FROM sf_readings GROUP BY ALL")
-    return told.select("session_id", "channel", "day", F.col("v")[0].alias("value"), F.round(F.col("v")[1].cast("double"), 5).alias("confidence"), F.col("v")[2].alias("votes"))
+    told = spark.sql(f"SELECT session_id, channel, t DIV {28 * 24 * HOUR} AS month, split(stable_vote(value, confidence, t, id), ':') AS v FROM sf_readings GROUP BY ALL")
+    return told.select("session_id", "channel", "month", F.col("v")[0].alias("value"), F.round(F.col("v")[1].cast("double"), 9).alias("confidence"), F.col("v")[2].alias("votes"))
 
 
 @query("WITH" + V.SQL_ACTIONS + """
