@@ -34,6 +34,8 @@ LENGTH = 254  # characters of the longest segment of several tokens: the longest
 TOKENS = 48  # tokens of the longest segment
 NEAR = 4  # words on either side of a trigger that its zone holds
 SAMPLE = 250  # zones of the table that weights are fitted on
+STARTS = 2048  # tokens whose segments are scored at once
+ZONES = 500_000  # characters of zones whose tokens are held at once; a longer text is held alone
 FITTED = 60  # tokens of the longest zone among them
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -136,99 +138,182 @@ def _kind_of(token: str) -> int:
     return {"+": 6, "(": 7, ")": 8, ".": 9, "-": 10, "@": 11, ":": 12, "=": 12, '"': 13, "'": 13, "_": 14}.get(c, 15)
 
 
+def _before(counts: np.ndarray) -> np.ndarray:
+    """Running sums, with 0 in front."""
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)  # one byte's step of CRC-32
+COUNTS = ("digits", "numbers", "long", "octets", "dots", "ats", "other", "closing", "spaces", "lower", "upper", "alnum", "numeric", "capitals")
+_CAPITALS = re.compile(r"[A-Z0-9]+\Z")
+
+
 class Zone:
-    """Tokens of a stretch of text with what features ask of them."""
-
-    def __init__(self, text: str):
-        self.text = text
-        self.tokens = _TOKEN.findall(text)
-        self.at = [0, *accumulate(map(len, self.tokens))]
-        self.kind = [_kind_of(t) for t in self.tokens]
-        #: by token: the cue among the last eight tokens (7 without), and whether : or = came after it
-        self.cue, last, since, told = [], 7, 99, 0
-        for t, k in zip(self.tokens, self.kind):
-            self.cue.append((last, told) if since < 8 else (7, 0))
-            found = CUES.get(t.lower()) if 2 <= k <= 5 else None
-            if found is not None:
-                last, since, told = found, 0, 0
-            else:
-                since += 1
-                told = told or int(k == 12)
+    """Tokens of one or more stretches of text, end to end, and the arrays that segments and features are read from.
+    No segment reaches from one stretch into the next."""
+
+    def __init__(self, *texts: str):
+        self.text = "".join(texts)
+        self.tokens: list[str] = []
+        self.first = [0]  # of each stretch, its first token, and the end
+        cues = []
+        for text in texts:
+            last, since, told = 7, 99, 0
+            own = _TOKEN.findall(text)
+            for t in own:
+                # the cue among the last eight tokens (7 without), and whether : or = came after it
+                cues.append(last * 2 + told if since < 8 else 14)
+                found = CUES.get(t.lower()) if t[0].isalnum() else None
+                if found is not None:
+                    last, since, told = found, 0, 0
+                else:
+                    since += 1
+                    told = told or int(t in (":", "="))
+            self.tokens += own
+            self.first.append(len(self.tokens))
+        tokens = self.tokens
+        n = len(tokens)
+        flag = lambda of: np.fromiter(of, bool, n)
+        self.kind = kind = np.fromiter(map(_kind_of, tokens), np.int64, n)
+        self.size = np.fromiter(map(len, tokens), np.int64, n)
+        self.at = _before(self.size)
+        self.cue = np.array(cues, np.int64)
+        stretch = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.begin, self.stop = np.array(self.first)[stretch], np.array(self.first)[stretch + 1]
+        number = kind == 1
+        self.digit = np.where(number, self.size, 0)
+        mixed = np.flatnonzero(kind == 3)
+        self.digit[mixed] = [sum(map(str.isdigit, tokens[i])) for i in mixed]
+        self.breaks, self.joins, self.space = (flag(t in of for t in tokens) for of in (_BREAKS, _JOINS, (" ",)))
+        self.code = np.zeros(n, bool)
+        self.code[mixed] = [bool(_CODE.match(tokens[i])) for i in mixed]
+        self.alnum = flag(t[0].isalnum() for t in tokens)
+        lower = flag(t != t.upper() if t.isascii() else any(map(str.islower, t)) for t in tokens)
+        upper = flag(t != t.lower() if t.isascii() else any(map(str.isupper, t)) for t in tokens)
+        gap = (kind == 10) | flag(not t.strip(" ") for t in tokens)  # hyphens and plain spaces
+        capitals = gap | flag(bool(_CAPITALS.match(t)) for t in tokens)
+        self.octet = flag(k and _octet(t) for t, k in zip(tokens, number))
+        #: counts before each token, a column each as in COUNTS
+        told = (self.digit, number, number & (self.size > 255), self.octet, kind == 9, kind == 11, kind == 15, kind == 8, kind == 0, lower, upper, self.alnum, number | gap, capitals)
+        self.counts = np.zeros((n + 1, len(told)), np.int32)
+        np.cumsum(np.stack(told, axis=1), axis=0, out=self.counts[1:])
+        place = np.arange(n)
+        self.last_at = np.maximum.accumulate(np.where(kind == 11, place, -1)) if n else place
+        self.dot_before = np.maximum.accumulate(np.where(kind != 9, place, -1)) if n else place  # last token up to here that is no dot
+        self.dot_after = np.minimum.accumulate(np.where(kind != 9, place, n)[::-1])[::-1] if n else place  # first from here on
+        # CRC-32 of the sizes of 1 to 16 numbers in a row from each number on
+        sizes = np.concatenate([self.size[number], np.zeros(16, np.int64)])
+        count = int(number.sum())
+        self.crc = np.zeros((count, 17), np.uint8)
+        state = np.full(count, 0xFFFFFFFF, np.uint32)
+        for x in range(16):
+            state = _CRC[(state ^ sizes[x : x + count].astype(np.uint32)) & 255] ^ (state >> np.uint32(8))
+            self.crc[:, x + 1] = (state ^ np.uint32(0xFFFFFFFF)) % 61
+        # digit sums for Luhn's check, the digits at even or odd places doubled
+        run = np.frombuffer("".join(t for t, k in zip(tokens, number) if k).encode(), np.uint8).astype(np.int64) - 48
+        twice = np.where(run > 4, run * 2 - 9, run * 2)
+        odd = np.arange(len(run)) % 2 == 1
+        self.luhn = np.stack([_before(np.where(odd, twice, run)), _before(np.where(odd, run, twice))])
+        self.figures = _before(self.size * number)
+
+    def candidates(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate segments (first token, end) that begin at tokens lo to hi - 1."""
+        i = np.arange(lo, hi)
+        k = self.kind[i]
+        told = self.cue[i] // 2 == 4
+        numbers = (k == 1) | (k == 6) | (k == 7)
+        groups = self.code[i]
+        keys = ((k >= 1) & (k <= 5) | told | self.joins[i]) & (k != 0)  # keys, addresses, what stands after a cue
+        digits, ats, digit = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+        starts, ends = [], []
+        for d in range(TOKENS):
+            alive = (numbers | groups | keys) & (i + d < self.stop[i])
+            if not alive.all():
+                i, told, numbers, groups, keys, digits, ats, digit = (x[alive] for x in (i, told, numbers, groups, keys, digits, ats, digit))
+            if not len(i):
+                break
+            j = i + d
+            k, size = self.kind[j], self.at[j + 1] - self.at[i]
+            number = k == 1
+            some = number | (k == 3)
+            digits = digits + np.where(number, self.size[j], 0)
+            numbers = numbers & np.where(number, (digits <= 24) | (d == 0), self.breaks[j] | (k == 6) & (d == 0))
+            groups = groups & (self.space[j] | some | (k == 4)) & (size <= 44)
+            digit = digit | some
+            ats = ats + (k == 11)
+            keys = keys & (k != 0) & ((size <= LENGTH) | (d == 0)) & (ats < 2) & (told | (k <= 5) | (k == 11) | self.joins[j])
+            out = numbers & number & (digits >= 4) | groups & (k != 0)
+            out |= keys & ((ats > 0) & (k != 11) & (d > 0) | told | digit & (size >= 8))
+            starts.append(i[out])
+            ends.append(j[out] + 1)
+        return (np.concatenate(starts), np.concatenate(ends)) if starts else (i[:0], i[:0])
 
     def segments(self) -> list[tuple[int, int]]:
-        """Candidate segments (first token, end), by end, shorter ones first."""
-        found: set[tuple[int, int]] = set()
-        kind, tokens, at, n = self.kind, self.tokens, self.at, len(self.tokens)
-        for i in range(n):
-            k = kind[i]
-            if k == 0:
-                continue
-            limit = min(n, i + TOKENS)
-            if k in (1, 6, 7):  # numbers with their separators
-                digits = 0
-                for j in range(i, limit):
-                    if kind[j] == 1:
-                        digits += len(tokens[j])
-                        if digits > 24 and j > i:
-                            break
-                        if digits >= 4:
-                            found.add((i, j + 1))
-                    elif not (kind[j] == 6 and j == i or tokens[j] in _BREAKS):
-                        break
-            if k in (1, 3) and _CODE.match(tokens[i]):  # codes in groups
-                for j in range(i, limit):
-                    if not (tokens[j] == " " or kind[j] in (1, 3, 4)) or at[j + 1] - at[i] > 44:
-                        break
-                    if kind[j]:
-                        found.add((i, j + 1))
-            said = self.cue[i][0] == 4
-            digit = False
-            if k in (1, 2, 3, 4, 5) or said or tokens[i] in _JOINS:  # keys, addresses, what stands after a cue
-                at_sign = 0
-                for j in range(i, limit):
-                    if kind[j] == 0 or at[j + 1] - at[i] > LENGTH and j > i:
-                        break
-                    digit = digit or kind[j] in (1, 3)
-                    at_sign += kind[j] == 11
-                    if at_sign > 1 or not said and kind[j] > 5 and kind[j] != 11 and tokens[j] not in _JOINS:
-                        break
-                    if at_sign and j - i > 0 and kind[j] != 11 or said or digit and at[j + 1] - at[i] >= 8:
-                        found.add((i, j + 1))
-        return sorted(found, key=lambda s: (s[1], -s[0]))
-
-    def features(self, i: int, j: int) -> list[int]:
-        """One feature of each template for the whole segment tokens[i:j]."""
-        text = self.text[self.at[i] : self.at[j]]
-        kind, tokens = self.kind, self.tokens
-        inside = kind[i:j]
-        groups = [len(t) for t, k in zip(tokens[i:j], inside) if k == 1]
-        digits = sum(map(str.isdigit, text))
-        before, after = (kind[i - 1] if i else 0), (kind[j] if j < len(kind) else 0)
-        cue, told = self.cue[i]
-        bare = text.replace(" ", "").replace("-", "")
-        plain = bare.isascii()
-        mail = text.count("@")
+        """All candidate segments (first token, end), by end, shorter ones first."""
+        i, j = self.candidates(0, len(self.tokens))
+        order = np.lexsort((-i, j))
+        return list(zip(i[order].tolist(), j[order].tolist()))
+
+    def features(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A row for each whole segment tokens[i:j]: one feature of each template."""
+        kind, n = self.kind, len(self.tokens)
+        count = dict(zip(COUNTS, np.ascontiguousarray((self.counts[j] - self.counts[i]).T)))
+        many, size = j - i, self.at[j] - self.at[i]
+        padded = np.append(kind, [0, 0])
+        before = np.where(i > self.begin[i], kind[i - 1], 0)
+        after = np.where(j < self.stop[i], padded[j], 0)
+        second = np.where(j + 1 < self.stop[i], padded[np.minimum(j + 1, n)], 0)
+        mail = count["ats"]
+        where = self.last_at[j - 1]  # of the one at-sign, where there is one
+        lo, hi = self.dot_after[np.minimum(where + 1, n - 1)], self.dot_before[j - 1]
+        dots = self.counts[:, COUNTS.index("dots")]
+        dotted = (lo < hi) & (where < hi) & (dots[np.maximum(hi, 0)] > dots[np.minimum(lo, n)])
+        address = (mail == 1) & (many > 1) & dotted & self.alnum[i] & self.alnum[j - 1]
+        four = (count["octets"] == 4) & (count["numbers"] == 4) & (count["dots"] == 3) & (many == 7)
+        length = count["digits"]
+        a, b = self.figures[i], self.figures[j]
+        card = (count["numeric"] == many) & (length > 12) & (length < 20)
+        plain = (b - 1) % 2
+        right = (self.luhn[plain, b] - self.luhn[plain, a]) % 10 == 0
+        iban = np.zeros(len(i), np.int64)
+        for s in np.flatnonzero((count["capitals"] == many) & (count["upper"] > 0)):
+            bare = self.text[self.at[i[s]] : self.at[j[s]]].replace(" ", "").replace("-", "")
+            iban[s] = _iban(bare) if _CODE.match(bare) else 0
+        last = np.minimum(i + 2, n - 1), np.minimum(i + 4, n - 1)
+        ssn = (many == 5) & (kind[i] == 1) & (kind[last[0]] == 1) & (kind[last[1]] == 1) & (self.size[i] == 3) & (self.size[last[0]] == 2) & (self.size[last[1]] == 4)
+        ssn &= (kind[np.minimum(i + 1, n - 1)] == 10) & (kind[np.minimum(i + 3, n - 1)] == 10)
+        grouped = np.zeros(len(i), np.int64)
+        own = (count["numbers"] > 0) & (count["long"] == 0) & (count["other"] == 0)
+        grouped[own] = 1 + self.crc[self.counts[i[own], COUNTS.index("numbers")], np.minimum(count["numbers"][own], 16)]
+        sorts = count["lower"] + count["upper"] > 0
+        sort = np.select([(count["alnum"] < many) & sorts & (length > 0), (count["lower"] > 0) & (count["upper"] > 0) & (length > 0), sorts & (length > 0), length > 0], [5, 4, 3, 2], 1)
+        sort = np.where((size >= 12) & (sort > 1), sort + 4, sort)
+        touches = lambda k: (k != 0) & (k < 6)
         values = (
             0,
-            inside[0],
-            inside[-1],
+            kind[i],
+            kind[j - 1],
             before,
             after,
-            _bucket(len(text)),
-            _bucket(digits),
-            _bucket(j - i),
-            cue * 2 + told,
-            0 if not mail else 1 if mail == 1 and i < j - 1 and "." in text.split("@")[1].strip(".") and text[-1].isalnum() and text[0].isalnum() else 2,
-            1 if len(groups) == 4 and inside.count(9) == 3 and j - i == 7 and all(map(_octet, text.split("."))) else 0,
-            (1 if luhn(bare) else 2) if plain and bare.isdigit() and 12 < len(bare) < 20 else 0,
-            _iban(bare) if plain and _CODE.match(bare) else 0,
-            1 if _SSN.match(text) else 0,
-            1 + zlib.crc32(bytes(groups[:16])) % 61 if groups and max(groups) < 256 and 15 not in inside else 0,
-            (1 if text[0] == "+" else 2 if text[0] == "(" else 0) + 3 * (8 in inside) + 6 * (0 in inside),
-            _mix(text) if j - i == 1 or not mail and 0 not in inside else 0,
-            (before not in (0, 13) and before < 6) + 2 * (after not in (0, 13) and after < 6) + 4 * (after in (9, 10, 11, 14) and j + 1 < len(kind) and kind[j + 1] in (1, 2, 3, 4, 5)),
+            _SIZE[np.minimum(size, 48)],
+            _SIZE[np.minimum(length, 48)],
+            _SIZE[np.minimum(many, 48)],
+            self.cue[i],
+            np.where(mail == 0, 0, np.where(address, 1, 2)),
+            four,
+            np.where(card, np.where(right, 1, 2), 0),
+            iban,
+            ssn,
+            grouped,
+            np.where(kind[i] == 6, 1, np.where(kind[i] == 7, 2, 0)) + 3 * (count["closing"] > 0) + 6 * (count["spaces"] > 0),
+            np.where((many == 1) | (mail == 0) & (count["spaces"] == 0), sort, 0),
+            touches(before) + 2 * touches(after) + 4 * (np.isin(after, (9, 10, 11, 14)) & (second >= 1) & (second <= 5)),
         )
-        return [b + v for b, v in zip(_BASES, values)]
+        out = np.empty((len(i), len(_BASES)), np.int16)
+        for x, (b, v) in enumerate(zip(_BASES, values)):
+            out[:, x] = v
+            out[:, x] += b
+        return out
 
 
 #: Values of each template, in the order of Zone.features.
@@ -241,20 +326,15 @@ def _bucket(n: int) -> int:
     return n if n < 2 else 2 if n < 4 else 3 if n < 8 else 4 if n < 12 else 5 if n < 16 else 6 if n < 20 else 7 if n < 32 else 8 if n < 48 else 9
 
 
+_SIZE = np.array([_bucket(n) for n in range(49)])
+
+
 def _iban(bare: str) -> int:
     if not 15 <= len(bare) <= 34:
         return 2
     return 1 if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 else 2
 
 
-def _mix(text: str) -> int:
-    """Which sorts of characters a run without spaces mixes, 1 to 9, the last four for the long ones."""
-    lower, upper, digit = (any(map(f, text)) for f in (str.islower, str.isupper, str.isdigit))
-    other = not text.isalnum()
-    sort = 5 if other and (lower or upper) and digit else 4 if lower and upper and digit else 3 if (lower or upper) and digit else 2 if digit else 1
-    return sort + 4 if len(text) >= 12 and sort > 1 else sort
-
-
 # --- the field
 
 
@@ -265,6 +345,18 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
 
 
+_MIX = np.random.default_rng(7).integers(1, 2**62, len(_SIZES)) | 1
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the place of each row among them (all rows, should two of them share a key)."""
+    with np.errstate(over="ignore"):
+        key = (rows * _MIX).sum(axis=1)
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    one = rows[first]
+    return (one, back) if (one[back] == rows).all() else (rows, np.arange(len(rows)))
+
+
 class Field:
     """weights[feature, kind] and after[kind of the entity before or 0 for none, kind]."""
 
@@ -273,63 +365,144 @@ class Field:
         self.weights = np.zeros((FEATURES, k)) if weights is None else weights
         self.after = np.zeros((k + 1, k)) if after is None else after
 
-    def scores(self, features: list[list[int]]) -> np.ndarray:
+    def scores(self, features: np.ndarray) -> np.ndarray:
         """A row per segment, a column per kind."""
-        out = np.empty((len(features), len(KINDS)))
-        for at in range(0, len(features), 4096):
-            out[at : at + 4096] = self.weights[np.array(features[at : at + 4096])].sum(axis=1)
-        return out
+        one, back = _distinct(features)
+        out = np.empty((len(one), len(KINDS)))
+        for at in range(0, len(one), 4096):
+            out[at : at + 4096] = self.weights[one[at : at + 4096]].sum(axis=1)
+        return out[back]
+
+    def gains(self) -> np.ndarray:
+        """By kind, the most that an entity can add to a cut beside its own score, wherever it is put."""
+        after = self.after
+        changed = (after[1:, None, :] - after[None, :, :]).max(axis=2)  # by kind and state before it: what the next entity wins
+        return (after.T + np.maximum(changed, 0.0)).max(axis=1)
 
     def decode(self, n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
         """The best disjoint segments (first token, end, kind) of n tokens; tokens between them are outside and score 0."""
-        if not len(segments) or scores.max() + self.after.max() <= 0:
+        if not len(segments):
             return []
-        k = len(KINDS)
-        best = np.full((n + 1, k + 1), -np.inf)  # by position and kind of the last entity
-        enter = np.empty((n + 1, k))  # best before an entity of each kind that begins here
-        come = np.empty((n + 1, k), np.int64)
-        back: list[dict[int, int]] = [{} for _ in range(n + 1)]
-        best[0, 0] = 0.0
-        at = 0
-        for j in range(n + 1):
-            if j:
-                best[j] = best[j - 1]
-                first = at
-                while at < len(segments) and segments[at][1] == j:
-                    at += 1
-                if at > first:
-                    found = enter[[segments[s][0] for s in range(first, at)]] + scores[first:at]
-                    pick = found.argmax(axis=0)
-                    for x in range(k):
-                        v = found[pick[x], x]
-                        if v > best[j, x + 1]:
-                            best[j, x + 1] = v
-                            back[j][x + 1] = first + int(pick[x])
-            step = best[j][:, None] + self.after
-            come[j] = step.argmax(axis=0)
-            enter[j] = step.max(axis=0)
-        state, j, out = int(best[n].argmax()), n, []
-        while state:
-            while state not in back[j]:
-                j -= 1
-            i = segments[back[j][state]][0]
-            out.append((i, j, state - 1))
-            state, j = int(come[i, state - 1]), i
-        return out[::-1]
-
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
+        walk = _Walk(self, n)
+        i, j = np.array(segments).T
+        walk.on(i, j, scores, np.zeros(len(i), np.int64), n)
+        return walk.found().get(0, [])
+
+    def spans(self, *texts: str) -> list[tuple[str, int, int]]:
         """Entities (kind, start, end) of all zones of a text, by start."""
-        found, features = [], []
-        for a, b in zones(text):
-            zone = Zone(text[a:b])
-            segments = zone.segments()
-            found.append((a, zone, segments, len(features)))
-            features += [zone.features(i, j) for i, j in segments]
-        if not features:
-            return []
-        scores, out = self.scores(features), []
-        for a, zone, segments, at in found:
-            out += [(KINDS[k], a + zone.at[i], a + zone.at[j]) for i, j, k in self.decode(len(zone.tokens), segments, scores[at : at + len(segments)])]
+        return next(self.spans_of(texts), [])
+
+    def spans_of(self, texts):
+        """The entities of each text. Segments are scored some thousands at a time; of them only those are kept that can
+        be in a best cut: what an entity adds is at most its score and its gain, and without one of less than 0 a cut
+        is better."""
+        held: list[tuple[list, list[str]]] = []
+        size = 0
+        for text in texts:
+            found = zones(text)
+            held.append(([a for a, _ in found], [text[a:b] for a, b in found]))
+            size += sum(b - a for a, b in found)
+            if size > ZONES or len(held) >= 1024:
+                yield from self._spans(held)
+                held, size = [], 0
+        yield from self._spans(held)
+
+    def _spans(self, held):
+        zone = Zone(*(z for _, own in held for z in own))
+        n, gains, walk = len(zone.tokens), self.gains(), _Walk(self, len(zone.tokens))
+        stretch = np.repeat(np.arange(len(zone.first) - 1), np.diff(zone.first))
+        for lo in range(0, n, STARTS):
+            hi = min(lo + STARTS, n)
+            i, j = zone.candidates(lo, hi)
+            if len(i):
+                scores = self.scores(zone.features(i, j))
+                can = (scores + gains).max(axis=1) > -1e-9
+                i, j, scores = i[can], j[can], scores[can]
+                order = np.lexsort((-i, j))
+                i, j, scores = i[order], j[order], scores[order]
+                walk.on(i, j, scores, stretch[i], hi)
+            else:
+                walk.on(i, j, np.empty((0, len(KINDS))), i, hi)
+        found, z = walk.found(), 0
+        for starts, own in held:
+            out = []
+            for a in starts:
+                shift = a - int(zone.at[zone.first[z]])
+                out += [(KINDS[k], shift + int(zone.at[s]), shift + int(zone.at[e])) for s, e, k in found.get(z, ())]
+                z += 1
+            yield out
+
+
+class _Walk:
+    """The dynamic program over the tokens of many stretches, some at a time. Only places where segments begin or end
+    are visited; segments that end later are held for the next call."""
+
+    def __init__(self, field: Field, n: int):
+        k = len(KINDS)
+        self.after = field.after
+        self.enter = np.empty((n + 1, k))  # best before an entity of each kind that begins here
+        self.come = np.empty((n + 1, k), np.int8)  # the state before it
+        self.back = np.zeros((n + 1, k), np.int32)  # tokens of the entity of each kind that ends here in the best cut, or 0
+        self.held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, k)), np.empty(0, np.int64))
+        self.now, self.best = -1, np.empty(k + 1)  # stretch, and best by kind of the last entity
+        self.ends: dict[int, tuple[int, int]] = {}  # of each stretch, its last visited place and the state there
+        self.kinds = np.arange(k)
+
+    def _turn(self, z: int) -> None:
+        if z != self.now:
+            self.best[:] = -np.inf
+            self.best[0] = 0.0
+            self.now = z
+
+    def on(self, i: np.ndarray, j: np.ndarray, scores: np.ndarray, stretch: np.ndarray, hi: int) -> None:
+        """Take segments [i, j) that begin before hi, by end, and go on to place hi."""
+        starts, first = np.unique(i, return_index=True)
+        begun = dict(zip(starts.tolist(), stretch[first].tolist()))
+        if len(self.held[0]):
+            i, j, scores, stretch = (np.concatenate(x) for x in zip(self.held, (i, j, scores, stretch)))
+            order = np.argsort(j, kind="stable") if not len(starts) else np.lexsort((-i, j))
+            i, j, scores, stretch = i[order], j[order], scores[order], stretch[order]
+        done = int(np.searchsorted(j, hi, side="right"))
+        self.held = (i[done:], j[done:], scores[done:], stretch[done:])
+        ends, cut = np.unique(j[:done], return_index=True)
+        cut = [*cut.tolist(), done]
+        ended = {p: x for x, p in enumerate(ends.tolist())}
+        best, enter, after, kinds = self.best, self.enter, self.after, self.kinds
+        for p in sorted(begun.keys() | ended.keys()):
+            x = ended.get(p)
+            if x is not None:
+                a, b = cut[x], cut[x + 1]
+                self._turn(int(stretch[a]))
+                if b - a == 1:
+                    value, size = enter[i[a]] + scores[a], p - i[a]
+                else:
+                    sums = enter[i[a:b]] + scores[a:b]
+                    pick = sums.argmax(axis=0)
+                    value, size = sums[pick, kinds], p - i[a:b][pick]
+                better = value > best[1:]
+                if better.any():
+                    self.back[p] = np.where(better, size, 0)
+                    np.maximum(best[1:], value, out=best[1:])
+                    self.ends[self.now] = (p, int(best.argmax()))
+            if p in begun:
+                self._turn(begun[p])
+                step = best[:, None] + after
+                self.come[p] = came = step.argmax(axis=0)
+                enter[p] = step[came, kinds]
+
+    def found(self) -> dict[int, list[tuple[int, int, int]]]:
+        """By stretch, the entities (first token, end, kind) of the best cut."""
+        out = {}
+        for z, (j, state) in self.ends.items():
+            own = []
+            while state:
+                while not self.back[j, state - 1]:
+                    j -= 1
+                i = j - int(self.back[j, state - 1])
+                own.append((i, j, state - 1))
+                state, j = int(self.come[i, state - 1]), i
+            if own:
+                out[z] = own[::-1]
         return out
 
 
@@ -337,19 +510,19 @@ class _Sums:
     """Forward and backward sums over the segments of many zones at once."""
 
     def __init__(self, known: list[tuple[Zone, dict[tuple[int, int], int]]]):
-        rows, gold, features, self.before = [], [], [], np.zeros((len(KINDS) + 1, len(KINDS)))
-        for z, (zone, truth) in enumerate(known):
-            for s in zone.segments():
-                rows.append((z, *s))
-                gold.append(truth.get(s, -1))
-                features.append(zone.features(*s))
+        joined = Zone(*(zone.text for zone, _ in known))
+        segments = np.array(joined.segments()).reshape(-1, 2)
+        self.features = joined.features(*segments.T)
+        self.zone = np.searchsorted(joined.first, segments[:, 0], side="right") - 1
+        self.start, self.end = (segments - np.array(joined.first)[self.zone][:, None]).T
+        gold = [known[z][1].get(s, -1) for z, s in zip(self.zone, zip(self.start.tolist(), self.end.tolist()))]
+        self.before = np.zeros((len(KINDS) + 1, len(KINDS)))
+        for _, truth in known:
             state = 0
             for s in sorted(truth):
                 self.before[state, truth[s]] += 1
                 state = truth[s] + 1
-        self.zone, self.start, self.end = np.array(rows).T
-        self.features = np.array(features)
-        self.gold = np.zeros((len(rows), len(KINDS)))
+        self.gold = np.zeros((len(gold), len(KINDS)))
         has = np.array(gold) >= 0
         self.gold[has, np.array(gold)[has]] = 1
         self.zones, self.n = len(known), max(len(z.tokens) for z, _ in known)
@@ -408,7 +581,7 @@ class _Sums:
 def expressible(text: str, spans: list[tuple[str, int, int]]) -> bool:
     """Whether every span is a candidate segment."""
     zone = Zone(text)
-    at = {p: i for i, p in enumerate(zone.at)}
+    at = {p: i for i, p in enumerate(zone.at.tolist())}
     known = set(zone.segments())
     return all((at.get(a), at.get(b)) in known for _, a, b in spans)
 
@@ -420,7 +593,7 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 60
         if not expressible(text, spans):
             raise ValueError(f"no segments of the field are the labelled spans {spans} of {text!r}")
         zone = Zone(text)
-        at = {p: i for i, p in enumerate(zone.at)}
+        at = {p: i for i, p in enumerate(zone.at.tolist())}
         known.append((zone, {(at[a], at[b]): KINDS.index(k) for k, a, b in spans}))
     sums, field = _Sums(known), Field()
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in (field.weights, field.after)]
@@ -524,13 +697,12 @@ def fit_on(texts: DataFrame) -> Field:
     return fit([*map(_seed, SEEDS + made_lines()), *((z, s) for z, s in told if s is not None)])
 
 
-def all_spans(text: str, field: Field) -> tuple[list, list]:
-    """Base spans, and all spans: base ones and what the field adds."""
+def _together(text: str, found: list) -> tuple[list, list]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     reach = list(accumulate((b for _, b in taken), max))  # how far the base spans up to each one go
     added, i = [], 0
-    for s in field.spans(text):
+    for s in found:
         while i < len(taken) and taken[i][0] < s[2]:
             i += 1
         if not i or reach[i - 1] <= s[1]:
@@ -538,6 +710,11 @@ def all_spans(text: str, field: Field) -> tuple[list, list]:
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def all_spans(text: str, field: Field) -> tuple[list, list]:
+    """Base spans, and all spans: base ones and what the field adds."""
+    return _together(text, field.spans(text))
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -550,8 +727,9 @@ def _find(field: Field):
 
         for batch in batches:
             cols = [[] for _ in range(7)]
-            for text in batch.column("text").to_pylist():
-                base, spans = all_spans(text or "", field)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for text, found in zip(texts, field.spans_of(texts)):
+                base, spans = _together(text, found)
                 kinds = [k for k, _, _ in base]
                 for c, v in zip(cols, [*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans)]):
                     c.append(v)
@@ -573,12 +751,13 @@ def _mask(field: Field):
 
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            texts = batch.column("text").to_pylist()
+            for text, found in zip(texts, field.spans_of(t or "" for t in texts)):
                 if text is None:
                     out.append(None)
                     continue
                 parts, at = [], 0
-                for kind, a, b in sorted(all_spans(text, field)[1], key=lambda s: (s[1], -s[2])):
+                for kind, a, b in sorted(_together(text, found)[1], key=lambda s: (s[1], -s[2])):
                     if b > at:
                         parts += [text[at : max(at, a)], f"[{kind.upper()}]" if a >= at else ""]
                         at = b

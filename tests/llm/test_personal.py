@@ -6,7 +6,10 @@ import math
 import random
 import re
 import sys
+import time
 import unicodedata
+import zlib
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -75,6 +78,152 @@ def every_cut(n, segments):
     return grow(0)
 
 
+def slow_mix(text: str) -> int:
+    """Which sorts of characters a run without spaces mixes, 1 to 9, the last four for the long ones."""
+    lower, upper, digit = (any(map(f, text)) for f in (str.islower, str.isupper, str.isdigit))
+    other = not text.isalnum()
+    sort = 5 if other and (lower or upper) and digit else 4 if lower and upper and digit else 3 if (lower or upper) and digit else 2 if digit else 1
+    return sort + 4 if len(text) >= 12 and sort > 1 else sort
+
+
+class SlowZone:
+    """Segments and features by plain loops."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = personal._TOKEN.findall(text)
+        self.at = [0, *accumulate(map(len, self.tokens))]
+        self.kind = [personal._kind_of(t) for t in self.tokens]
+        #: by token: the cue among the last eight tokens (7 without), and whether : or = came after it
+        self.cue, last, since, told = [], 7, 99, 0
+        for t, k in zip(self.tokens, self.kind):
+            self.cue.append((last, told) if since < 8 else (7, 0))
+            found = personal.CUES.get(t.lower()) if 2 <= k <= 5 else None
+            if found is not None:
+                last, since, told = found, 0, 0
+            else:
+                since += 1
+                told = told or int(k == 12)
+
+    def segments(self) -> list[tuple[int, int]]:
+        """Candidate segments (first token, end), by end, shorter ones first."""
+        found: set[tuple[int, int]] = set()
+        kind, tokens, at, n = self.kind, self.tokens, self.at, len(self.tokens)
+        for i in range(n):
+            k = kind[i]
+            if k == 0:
+                continue
+            limit = min(n, i + personal.TOKENS)
+            if k in (1, 6, 7):  # numbers with their separators
+                digits = 0
+                for j in range(i, limit):
+                    if kind[j] == 1:
+                        digits += len(tokens[j])
+                        if digits > 24 and j > i:
+                            break
+                        if digits >= 4:
+                            found.add((i, j + 1))
+                    elif not (kind[j] == 6 and j == i or tokens[j] in personal._BREAKS):
+                        break
+            if k in (1, 3) and personal._CODE.match(tokens[i]):  # codes in groups
+                for j in range(i, limit):
+                    if not (tokens[j] == " " or kind[j] in (1, 3, 4)) or at[j + 1] - at[i] > 44:
+                        break
+                    if kind[j]:
+                        found.add((i, j + 1))
+            said = self.cue[i][0] == 4
+            digit = False
+            if k in (1, 2, 3, 4, 5) or said or tokens[i] in personal._JOINS:  # keys, addresses, what stands after a cue
+                at_sign = 0
+                for j in range(i, limit):
+                    if kind[j] == 0 or at[j + 1] - at[i] > personal.LENGTH and j > i:
+                        break
+                    digit = digit or kind[j] in (1, 3)
+                    at_sign += kind[j] == 11
+                    if at_sign > 1 or not said and kind[j] > 5 and kind[j] != 11 and tokens[j] not in personal._JOINS:
+                        break
+                    if at_sign and j - i > 0 and kind[j] != 11 or said or digit and at[j + 1] - at[i] >= 8:
+                        found.add((i, j + 1))
+        return sorted(found, key=lambda s: (s[1], -s[0]))
+
+    def features(self, i: int, j: int) -> list[int]:
+        """One feature of each template for the whole segment tokens[i:j]."""
+        text = self.text[self.at[i] : self.at[j]]
+        kind, tokens = self.kind, self.tokens
+        inside = kind[i:j]
+        groups = [len(t) for t, k in zip(tokens[i:j], inside) if k == 1]
+        digits = sum(map(str.isdigit, text))
+        before, after = (kind[i - 1] if i else 0), (kind[j] if j < len(kind) else 0)
+        cue, told = self.cue[i]
+        bare = text.replace(" ", "").replace("-", "")
+        plain = bare.isascii()
+        mail = text.count("@")
+        values = (
+            0,
+            inside[0],
+            inside[-1],
+            before,
+            after,
+            personal._bucket(len(text)),
+            personal._bucket(digits),
+            personal._bucket(j - i),
+            cue * 2 + told,
+            0 if not mail else 1 if mail == 1 and i < j - 1 and "." in text.split("@")[1].strip(".") and text[-1].isalnum() and text[0].isalnum() else 2,
+            1 if len(groups) == 4 and inside.count(9) == 3 and j - i == 7 and all(map(personal._octet, text.split("."))) else 0,
+            (1 if personal.luhn(bare) else 2) if plain and bare.isdigit() and 12 < len(bare) < 20 else 0,
+            personal._iban(bare) if plain and personal._CODE.match(bare) else 0,
+            1 if personal._SSN.match(text) else 0,
+            1 + zlib.crc32(bytes(groups[:16])) % 61 if groups and max(groups) < 256 and 15 not in inside else 0,
+            (1 if text[0] == "+" else 2 if text[0] == "(" else 0) + 3 * (8 in inside) + 6 * (0 in inside),
+            slow_mix(text) if j - i == 1 or not mail and 0 not in inside else 0,
+            (before not in (0, 13) and before < 6) + 2 * (after not in (0, 13) and after < 6) + 4 * (after in (9, 10, 11, 14) and j + 1 < len(kind) and kind[j + 1] in (1, 2, 3, 4, 5)),
+        )
+        return [b + v for b, v in zip(personal._BASES, values)]
+
+
+BITS = "1 22 333 4444 - . : = @ a b.c Ab12 GB29 NWBK60161331926819 +1 ( ) / _ password token= \u00e9 \u00b2 \u24d0 \t 4111111111111111 10.0.0.1 123-45-6789 \" x@y.zz , ABCD DE89 3704 300".split(" ") + [" "] * 12
+
+
+def test_segments_and_features_equal_plain_loops():
+    rng = random.Random(1)
+    seen = 0
+    for _ in range(1500):
+        line = "".join(rng.choice(BITS) for _ in range(rng.randint(1, 40)))
+        slow, zone = SlowZone(line), personal.Zone(line)
+        segments = zone.segments()
+        assert segments == slow.segments()
+        if segments:
+            assert zone.features(*np.array(segments).T).tolist() == [slow.features(*s) for s in segments]
+        seen += len(segments)
+    assert seen > 20_000
+
+
+def test_spans_of_many_texts_and_across_blocks_are_those_of_one_cut(field, monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "token=" + "-1a" * 300]
+    whole = []
+    for t in texts:
+        out = []
+        for a, b in personal.zones(t):
+            zone = personal.Zone(t[a:b])
+            segments = zone.segments()
+            score = field.scores(zone.features(*np.array(segments).T)) if segments else []
+            out += [(personal.KINDS[k], a + int(zone.at[i]), a + int(zone.at[j])) for i, j, k in field.decode(len(zone.tokens), segments, score)]
+        whole.append(out)
+    assert sum(map(len, whole)) > 300
+    for starts, size in ((7, 100), (2048, 10**6)):
+        monkeypatch.setattr(personal, "STARTS", starts)
+        monkeypatch.setattr(personal, "ZONES", size)
+        assert list(field.spans_of(texts)) == whole
+
+
+def test_figures_and_marks_take_time_that_grows_with_their_length(field):
+    for text in ("1-" * 20_000, "password=.-_" * 3_000, "AA11 " * 8_000):
+        begun = time.monotonic()
+        field.spans(text)
+        assert time.monotonic() - begun < 15  # a millisecond a character would be 36 seconds or more
+
+
 def test_dynamic_program_and_sums_against_all_cuts():
     rng = np.random.default_rng(2)
     k = len(personal.KINDS)
@@ -86,7 +235,7 @@ def test_dynamic_program_and_sums_against_all_cuts():
         assert len(cuts) > 1 and sum(7 ** len(c) for c in cuts) < 200_000
         for _ in range(3):
             f = personal.Field(rng.normal(0, 0.4, (personal.FEATURES, k)), rng.normal(0, 0.5, (k + 1, k)))
-            score = f.scores([zone.features(*s) for s in segments])
+            score = f.scores(zone.features(*np.array(segments).T))
             best, total = (-math.inf, ()), []
             for cut in cuts:
                 for kinds in itertools.product(range(k), repeat=len(cut)):
