@@ -51,11 +51,45 @@ LABELLED = [
      "Bees come back to the valley in the first warm days of spring\nThe report of the keepers says that as a rule bees fly from March on.\nA line that is one link"),
     ("<body><div class='page outer container wrapper site'><div class=header>The stone journal</div><div role=navigation><a href=/s>All of our stones</a> <a href=/t>Every tool that we have</a></div><article><div class='header article-header'><h1>How walls were built without any mortar in the hills</h1><p>They still stand today</p></div><section class=article-body><p>Stones were laid by <a href=/w>wallers</a> in two faces, and the gap was filled.</p></section><aside>Seen by others too</aside></article><div class='related links'><p>Other readers went on to these pages about slate, lime, sand and the tools of the trade</p></div></div></body>",
      "How walls were built without any mortar in the hills\nThey still stand today\nStones were laid by wallers in two faces, and the gap was filled."),
+    ("<body><div id=gdpr class='gdpr-banner consent'><p>This site keeps your choices for a year</p></div><div class='masthead topbar'>The paper of the coast</div><article><h1>Salt is won from the sea</h1><p>The pans are filled at high tide and left to dry.</p><div class='newsletter-signup subscribe'>Have our letter sent to your door</div><p>After a month the salt is raked.</p></article><section id=discussion class=discussion><h3>What readers said</h3><div class=thread-reply><p>My uncle worked in these pans for years</p></div></section><div class='colophon legal'>Printed by the harbour office</div></body>",
+     "Salt is won from the sea\nThe pans are filled at high tide and left to dry.\nAfter a month the salt is raked."),
+    ("<body><div class='toolbar search-box'>Look for a word here</div><div class='toast notification'>You have two new messages today</div><main><h1>How clocks keep time</h1><p>A weight falls slowly and turns the wheels.</p><div class='outbrain recommended'>Seven clocks that you should see</div><p>The pendulum lets one tooth pass at each swing.</p><div class='responses'><h3>Two responses</h3><p>I have one of these in the hall</p></div><div class=replies><p>Mine stopped in the winter of last year</p></div></main><div class='trending popular'>Most read this week by all</div><div class='overlay dialog'>Stay and read one more page</div><div class='feedback'>Tell us what you thought of it</div><div class='disclaimer'>No warranty of any kind is given</div><div class='reader-replies'>A fine piece, many thanks to you</div><div class='visitor-feedback'>Was this of any use to you</div><div class='privacy-consent cookie-wall'>Choose what we may keep of you</div><div class='toast-message overlay-box'>Your choice was kept for now</div><div class='reader-discussion'>So what do you make of it</div><div class='all-responses'>Nine people have had their say here</div></body>",
+     "How clocks keep time\nA weight falls slowly and turns the wheels.\nThe pendulum lets one tooth pass at each swing."),
 ]
 
 
-def _signs(name: str, attributes: str, outer: list) -> tuple[str, ...]:
-    """Signs of a tag within outer ones; html and body have none."""
+class _Container:
+    """An open element with signs, and the nearest such one around it; blocks share these by reference."""
+
+    __slots__ = ("own", "up")
+
+    def __init__(self, own: tuple[str, ...], up: "_Container | None"):
+        self.own, self.up = own, up
+
+    def all_signs(self) -> set[str]:
+        out, at = set(), self
+        while at is not None:
+            out.update(at.own)
+            at = at.up
+        return out
+
+
+class _Open:
+    """An element that is open: what it is inside of, so that no text has to look through all of its ancestors."""
+
+    __slots__ = ("name", "container", "linked", "tag", "article", "p")
+
+    def __init__(self, name: str, place: int, own: tuple[str, ...], up: "_Open | None"):
+        self.name = name
+        self.container = _Container(own, up and up.container) if own else up and up.container
+        self.linked = name == "a" or bool(up and up.linked)
+        self.tag = name if name not in _INLINE else up.tag if up else ""  # of the block
+        self.article = name in _ARTICLE or bool(up and up.article)
+        self.p = place if name == "p" else up.p if up and name in _INLINE else -1  # the open p that a block would close
+
+
+def _signs(name: str, attributes: str, inside: bool) -> tuple[str, ...]:
+    """Signs of a tag, inside an article or not; html and body have none."""
     if name in ("html", "body"):
         return ()
     words: list[str] = []
@@ -63,26 +97,31 @@ def _signs(name: str, attributes: str, outer: list) -> tuple[str, ...]:
         for word in re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower().split():
             parts = re.findall(r"[a-z]+", word)
             words += [f".{p}" for p in parts] if len(parts) == 1 else [f"-{p}" for p in parts]
-    inside = any(n in _ARTICLE for n, _ in outer) or any(w[1:] in _ENTRY for w in words)
+    inside = inside or any(w[1:] in _ENTRY for w in words)
     signs = [] if name in _PLAIN else [name]
     signs += words
     return tuple(f"{s} in article" if inside and s.lstrip(".-") in ("header", "footer") else s for s in signs)
 
 
 def sequence(page: str) -> list[tuple]:
-    """Tags and text in page order: ("tag", inline) or ("text", block, text, signs by container, whether linked, tag of the block)."""
-    out, stack, block, at = [], [], 0, 0
-    raw_until = None
+    """Tags and text in page order: ("tag", inline) or ("text", block, text, container, whether linked, tag of the block)."""
+    out, block, at = [], 0, 0
+    stack: list[_Open] = []
+    opened: dict[str, int] = {}  # how many of each name are open
 
     def put(text):
         if text:
-            out.append(("text", block, text, tuple(own for _, own in stack if own), any(n == "a" for n, _ in stack), next((n for n, _ in reversed(stack) if n not in _INLINE), "")))
+            out.append(("text", block, text, stack[-1].container, stack[-1].linked, stack[-1].tag) if stack else ("text", block, text, None, False, ""))
+
+    def leave(place):
+        for x in stack[place:]:
+            opened[x.name] -= 1
+        del stack[place:]
 
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
-        if raw_until is None:
-            put(page[at : m.start()])
+        put(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -92,10 +131,11 @@ def sequence(page: str) -> list[tuple]:
             block += 1
         out.append(("tag", name in _INLINE))
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                leave(i)
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -104,14 +144,11 @@ def sequence(page: str) -> list[tuple]:
             continue
         if name in _VOID or re.search(r"(?:^|[\s\"'])/\s*$", m[3]):  # not the end of an address, as in href=/
             continue
-        if name in _CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        stack.append((name, _signs(name, m[3], stack)))
+        if name in _CLOSES_P and stack and stack[-1].p >= 0:
+            leave(stack[-1].p)
+        up = stack[-1] if stack else None
+        stack.append(_Open(name, len(stack), _signs(name, m[3], bool(up and up.article)), up))
+        opened[name] = opened.get(name, 0) + 1
     put(page[at:] if not re.match(r"<[A-Za-z/!]", page[at:]) else "")
     return out
 
@@ -199,7 +236,7 @@ def fit(pages=None) -> dict[str, float]:
             words = min(len(said.split()), 12)  # so that long blocks do not speak alone
             counts = good if said in content else bad
             total[said not in content] += words
-            for s in {*kinds[block], *(s for x in pieces for own in x[3] for s in own)}:
+            for s in {*kinds[block], *(s for x in pieces if x[3] for s in x[3].all_signs())}:
                 counts[s] = counts.get(s, 0) + words
     base = math.log(total[0] / total[1])
     return {s: math.log((good.get(s, 0) + 1) / (bad.get(s, 0) + 1)) - base for s in good | bad}
@@ -211,13 +248,19 @@ AGAINST = -0.2  # a word that its containers speak against costs this at most: s
 MOST, LOSS = 1.5, 0.3  # a word earns or loses this at most by its block alone: a short line inside an article cuts nothing off
 
 
-def _worth(containers: tuple, weights: dict[str, float]) -> float | None:
-    """What the nearest container says whose signs sum to a clear answer; None if there is none."""
-    for own in reversed(containers):
-        told = sum(weights.get(s, 0.0) for s in own)
+def _worth(at: _Container | None, weights: dict[str, float], tags: bool, known: dict) -> float | None:
+    """What the nearest container says whose signs (or only tags) sum to a clear answer; None if there is none."""
+    asked = []
+    while at not in known:
+        told = sum(weights.get(s, 0.0) for s in at.own if not tags or s[0] not in ".-")
         if abs(told) >= CLEAR:
-            return told
-    return None
+            known[at] = told
+            break
+        asked.append(at)
+        at = at.up
+    for x in asked:
+        known[x] = known[at]
+    return known[at]
 
 
 def scored(items: list[tuple], weights: dict[str, float], signs: str = "all") -> tuple[list[float], dict]:
@@ -227,16 +270,13 @@ def scored(items: list[tuple], weights: dict[str, float], signs: str = "all") ->
         alone = {b: -CLEAR if "linked" in k else WORD for b, k in kinds.items()}
     else:
         alone = {b: max(-LOSS, min(MOST, sum(weights.get(s, 0.0) for s in k))) for b, k in kinds.items()}
-    known: dict[tuple, float | None] = {}
+    known: dict[_Container | None, float | None] = {None: None}
     score = []
     for x in items:
         if x[0] == "tag":
             score.append(-INLINE_COST if x[1] else -TAG_COST)
             continue
-        if x[3] not in known:
-            own = x[3] if signs == "all" else tuple(tuple(s for s in c if s[0] not in ".-") for c in x[3]) if signs == "tags" else ()
-            known[x[3]] = _worth(own, weights)
-        w = known[x[3]]
+        w = None if signs == "links" else _worth(x[3], weights, signs == "tags", known)
         w = alone.get(x[1], 0.0) if w is None else WORD + w if w > 0 else max(w, AGAINST)
         score.append(w * len(x[2].split()))
     return score, known
@@ -264,7 +304,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         lo, hi = best_run(score)
         blocks: dict[int, list[str]] = {}
         for x in items[lo:hi]:
-            if x[0] == "text" and not (known[x[3]] or 0.0) < 0:
+            if x[0] == "text" and not (known.get(x[3]) or 0.0) < 0:
                 blocks.setdefault(x[1], []).append(x[2])
         text = "\n".join(t for parts in blocks.values() if (t := _clean("".join(parts))))
         if text:

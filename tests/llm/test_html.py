@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -58,6 +59,24 @@ def test_no_class_word_empties_a_page(weights):
             assert html_text.main_text(page, weights) == "On dams\nDams hold water back for the dry months.\nThey need care, and a look every spring."
 
 
+def test_replies_and_notices_by_other_names(weights):
+    told = "<h1>On dams</h1><p>Dams hold water back for the dry months.</p><p>They need care, and a look every spring.</p>"
+    more = "<h3>Three of them</h3><div><p>We had a dam like that, it was a fine thing to see.</p></div><p>So had we!</p>"
+    for start in ("section id=discussion", "div class=responses", "div class='post-replies'", "section class='user-feedback'"):
+        end = start.split()[0]
+        for page in (f"<article>{told}</article><{start}>{more}</{end}>", f"<article>{told}<{start}>{more}</{end}></article>"):
+            assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav>{page}</body>", weights) == "On dams\nDams hold water back for the dry months.\nThey need care, and a look every spring."
+    for notice in ("gdpr-banner", "cookie-consent", "site-toast", "page-overlay"):
+        assert html_text.main_text(f"<body><div class={notice}><p>We keep a note of what you read. It stays for a year.</p></div><article>{told}</article></body>", weights).startswith("On dams\n")
+
+
+def test_deep_nesting_takes_time_that_grows_with_the_length(weights):
+    for deep in ("<div class=a><p>one word more</p>" * 50_000, "<b>" * 50_000 + "<div>words here</div></i>" * 20_000, "<div class=text>" * 50_000 + "Words stand here." + "</div>" * 50_000, "<p><b>" * 50_000 + "words"):
+        begun = time.monotonic()
+        html_text.main_text(deep, weights)
+        assert time.monotonic() - begun < 8
+
+
 def test_best_run_is_the_greatest_of_all():
     rng = random.Random(4)
     for _ in range(300):
