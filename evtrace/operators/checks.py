@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalars import clamp01, hamming, normalize_name
+from ..functions.scalars import clamp01, exact, hamming, normalize_name
 from ..plans.settle import settle
 from .lookups import hash_pairs
 from .chunks import WIDTH, each_run, throttle
@@ -18,31 +20,45 @@ def location_verdicts(recoveries: DataFrame, evidence: DataFrame, weights: dict[
     evidence: recovery_id, frame, component (a key of weights), detected, score, one row per component and frame. A
     component that saw nothing takes no part in its frame's weighted mean; one that saw another place counts 0. `own`
     weighs the recovery's confidence. Frames average to the score, places are voted by summed scores (ties to the first
-    name). Without evidence: UNCERTAIN; without expected place: OBSERVED.
+    name). Without evidence: UNCERTAIN; without expected place: OBSERVED. Weights and scores count to nine places; sums
+    are exact, a frame's mean and their average are rounded half up to nine places before anything is compared, so no
+    verdict depends on the order of rows.
     """
     wanted, seen = normalize_name(F.col("expected")), normalize_name(F.col("detected"))
-    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("component")]
+    zero, nano = F.lit(Decimal(0)), lambda x: F.lit(Decimal(str(x))).cast("decimal(12,9)")
+    weight = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), nano(v))])[F.col("component")]
     wrong = F.col("detected").isNotNull() & F.col("expected").isNotNull() & (wanted != seen)
-    rows = evidence.join(recoveries.select("recovery_id", "expected", F.col("confidence").alias("own")).hint("shuffle_merge"), "recovery_id").withColumns({
-        "w": F.when(F.col("detected").isNotNull(), weight).otherwise(0.0), "s": F.when(F.col("detected").isNull() | wrong, 0.0).otherwise(F.col("score")), "strong": wrong & (F.col("score") >= margin),
+    rows = evidence.join(recoveries.select("recovery_id", "expected", exact(F.col("confidence")).alias("own")).hint("shuffle_merge"), "recovery_id").withColumns({
+        "w": F.when(F.col("detected").isNotNull(), weight).otherwise(zero), "s": F.when(F.col("detected").isNull() | wrong, zero).otherwise(exact(F.col("score"))), "strong": wrong & (F.col("score") >= margin),
     })
-    ours = F.when(F.max("own") > 0, own).otherwise(0.0)
-    total = F.sum("w") + ours
-    frames = rows.groupBy("recovery_id", "frame").agg(F.when(total > 0, (F.sum(F.col("w") * F.col("s")) + ours * F.max("own")) / total).otherwise(0.0).alias("frame_score"), F.bool_or("strong").alias("strong"))
-    means = frames.groupBy("recovery_id").agg(clamp01(F.avg("frame_score")).alias("mean"), F.max("frame_score").alias("top"), F.bool_or("strong").alias("strong"), F.count("*").alias("frames"))
-    votes = rows.where("detected is not null").groupBy("recovery_id", "detected").agg(F.round(F.sum("score"), 9).alias("v"))
+    sums = rows.groupBy("recovery_id", "frame").agg(F.sum(F.col("w") * F.col("s")).alias("ws"), F.sum("w").alias("sw"), F.max("own").alias("own"), F.bool_or("strong").alias("strong"))
+    ours = F.when(F.col("own") > 0, nano(own)).otherwise(zero)
+    total = F.col("sw") + ours
+    frames = sums.withColumn("frame_score", F.when(total > 0, _rounded_ratio(F.col("ws") + ours * F.coalesce("own", zero), total)).otherwise(zero))
+    means = frames.groupBy("recovery_id").agg(_rounded_ratio(F.sum("frame_score"), F.count("frame_score")).alias("mean"), F.max("frame_score").alias("top"), F.bool_or("strong").alias("strong"), F.count("*").alias("frames"))
+    votes = rows.where("detected is not null").groupBy("recovery_id", "detected").agg(F.sum(exact(F.col("score"))).alias("v"))
     voted = votes.groupBy("recovery_id").agg(F.min_by("detected", F.struct((-F.col("v")).alias("v"), "detected")).alias("place"))
     out = recoveries.join(means.hint("shuffle_merge"), "recovery_id", "left").join(voted.hint("shuffle_merge"), "recovery_id", "left")
-    score, none, place = F.col("mean"), F.col("frames").isNull(), F.col("place")
+    score, none, place = F.when(F.col("mean").isNotNull(), F.greatest(zero, F.least(nano(1), "mean"))), F.col("frames").isNull(), F.col("place")
     conflict = F.col("strong") & place.isNotNull() & (normalize_name(place) != wanted)
     say = lambda result, status, conf: F.struct(F.lit(result).alias("result"), F.lit(status).alias("status"), conf.cast("double").alias("c"))
+    low, high, rest = score <= nano(bad), score >= nano(good), nano(1) - score
     verdict = (
         F.when(none, say("UNCERTAIN", "NO_EVIDENCE", F.lit(0.0))).when(F.col("expected").isNull(), say("OBSERVED", "NO_EXPECTED", F.greatest(score, "top")))
-        .when((score >= good) & ~conflict, say("PASS", "CONFIRMED", score)).when((score <= bad) & conflict, say("FAIL", "CONFLICT", F.greatest(1 - score, F.lit(0.5))))
-        .when((score <= bad) & place.isNull(), say("UNCERTAIN", "INSUFFICIENT", 1 - score)).when(score <= bad, say("FAIL", "LOW_MATCH", 1 - score))
-        .otherwise(say("UNCERTAIN", "AMBIGUOUS", F.greatest(score, 1 - F.abs(score - 0.5))))
+        .when(high & ~conflict, say("PASS", "CONFIRMED", score)).when(low & conflict, say("FAIL", "CONFLICT", F.greatest(rest, nano(0.5))))
+        .when(low & place.isNull(), say("UNCERTAIN", "INSUFFICIENT", rest)).when(low, say("FAIL", "LOW_MATCH", rest))
+        .otherwise(say("UNCERTAIN", "AMBIGUOUS", F.greatest(score, nano(1) - F.abs(score - nano(0.5)))))
     )
-    return out.withColumn("v", verdict).select("recovery_id", "expected", F.col("place").alias("detected"), F.coalesce(score, F.lit(0.0)).alias("score"), "v.result", "v.status", clamp01(F.col("v.c")).alias("confidence"), F.coalesce("frames", F.lit(0)).cast("long").alias("frames"))
+    return out.withColumn("v", verdict).select("recovery_id", "expected", F.col("place").alias("detected"), F.coalesce(score.cast("double"), F.lit(0.0)).alias("score"), "v.result", "v.status", clamp01(F.col("v.c")).alias("confidence"), F.coalesce("frames", F.lit(0)).cast("long").alias("frames"))
+
+
+def _rounded_ratio(num: Column, den: Column) -> Column:
+    """num / den of decimals that are not negative, den of nine places or a count, rounded half up to nine places.
+
+    Whole billionths by integer division, as a decimal quotient would be rounded twice.
+    """
+    n, d = (num * F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,9)"), den.cast("decimal(22,9)")
+    return (F.call_function("div", n + n + d, d + d).cast("decimal(20,0)") * F.lit(Decimal("1e-9")).cast("decimal(9,9)")).cast("decimal(21,9)")
 
 
 def build_checks(found: DataFrame, kinds: dict[str, str], critical: list[str], before: int, after: int) -> DataFrame:

@@ -109,3 +109,15 @@ def test_artifacts_by_rule_and_target(spark):
     kept = [("a", "x", "ok", "p1"), ("a", None, "ok", "p2"), ("a", "z", "ok", "p3"), ("a", "x", "missing", "p4"), ("b", "x", "ok", "p5"), (None, "x", "ok", "p6"), ("a", "x", "ok", None)]
     got = incidents.artifact_lookup(spark.createDataFrame(found, "finding long, rule string, target string"), spark.createDataFrame(kept, "rule string, target string, status string, path string"))
     assert sorted((r["finding"], r["path"]) for r in got.collect()) == [(1, "p1"), (1, "p2"), (2, "p1"), (2, "p2"), (2, "p3"), (5, "p2")]
+
+
+def test_location_verdicts_at_a_limit_in_any_order(spark):
+    """Frames of 0.3 and 0.6 average to 0.45 and count as low, ten scores of 0.1 tie with one of 1: sums of doubles miss both."""
+    rec = spark.createDataFrame([(1, "Dock", 0.0), (2, None, 0.0)], "recovery_id long, expected string, confidence double")
+    low = [(1, 0, c, "Dock", s) for c, s in (("text", 0.1), ("map", 0.3), ("view", 0.5))] + [(1, 1, c, "Dock", s) for c, s in (("text", 0.4), ("map", 0.6), ("view", 0.8))]
+    tie = [(2, f, "text", "B", 0.1) for f in range(10)] + [(2, 10, "text", "A", 1.0)]
+    for rows in (low + tie, (low + tie)[::-1]):
+        df = spark.createDataFrame(rows, "recovery_id long, frame int, component string, detected string, score double").coalesce(1)
+        got = {r["recovery_id"]: r for r in checks.location_verdicts(rec, df, {"text": 0.2, "map": 0.2, "view": 0.2}, 0.15).collect()}
+        assert (got[1]["status"], got[1]["score"], got[1]["confidence"]) == ("LOW_MATCH", 0.45, 0.55)
+        assert got[2]["detected"] == "A" and got[2]["frames"] == 11
