@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalars import exact_mean
+from ..functions.scalars import exact, exact_mean
 from .timeline import range_pairs
 
 RESULTS = ("FAIL", "NEED_REVIEW", "UNCERTAIN", "PASS")  # the worst first
@@ -107,10 +107,21 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFr
 
 
 def weighted_offsets(anchors: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Weighted mean of dx and dy over anchors scoring over the threshold, rounded half to even, and their mean score."""
-    used = anchors.where(F.col("score") >= threshold)
-    mean = lambda c: F.bround(F.sum(F.col(c) * F.col("score")) / F.sum("score")).cast("long")
-    return used.groupBy(*keys).agg(mean("dx").alias("dx"), mean("dy").alias("dy"), F.avg("score").alias("score"), F.count("*").alias("anchors"))
+    """Weighted mean of dx and dy over anchors scoring over the threshold, rounded half to even, and their mean score.
+
+    Offsets count to six places and scores to nine; sums are exact, so a mean halfway between two whole numbers is seen as
+    one in whatever order rows come.
+    """
+    used = anchors.where(F.col("score") >= threshold).withColumn("_s", exact(F.col("score")))
+    sums = used.groupBy(*keys).agg(*[F.sum(F.col(c).cast("decimal(20,6)") * F.col("_s")).alias(c) for c in ("dx", "dy")], F.sum("_s").alias("_d"), exact_mean(F.col("score")).alias("score"), F.count("*").alias("anchors"))
+
+    def mean(c: str) -> Column:
+        size, den = F.abs(c), F.col("_d")
+        whole, twice = F.call_function("div", size, den), size % den + size % den
+        up = (twice > den) | ((twice == den) & (whole % 2 == 1))
+        return (F.signum(F.col(c)).cast("long") * (whole + up.cast("long"))).alias(c)
+
+    return sums.select(*keys, F.when(F.col("_d") != 0, mean("dx")).alias("dx"), F.when(F.col("_d") != 0, mean("dy")).alias("dy"), "score", "anchors")
 
 
 def review_package(checks: DataFrame, recoveries: DataFrame, before: int, after: int, rule: str = "recovery") -> DataFrame:

@@ -147,3 +147,21 @@ def test_stream_latest(spark, tmp_path):
     got = {r["session_id"]: r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["user_id"]: r["e"] for r in events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
     assert got == want
+
+
+def test_weighted_offsets_halfway_in_any_order(spark):
+    """Means of exactly 0.5 and 1.5 go to the even number, for negative ones too."""
+    from fractions import Fraction
+    from random import Random
+
+    from evtrace.operators.rollups import weighted_offsets
+
+    rng, rows, want = Random(8), [], {}
+    for frame in range(400):
+        mine = [(rng.randrange(-9, 10), rng.randrange(-9, 10), rng.randrange(15, 51)) for _ in range(rng.randrange(2, 7))]
+        d = sum(q for _, _, q in mine)
+        want[frame] = tuple(round(Fraction(sum(m[i] * m[2] for m in mine), d)) for i in (0, 1))
+        rows += [(frame, x, y, q / 50) for x, y, q in mine]
+    df = spark.createDataFrame(rows + [(-1, 3, 3, 0.1)], "frame long, dx long, dy long, score double")
+    for part in (df, df.orderBy(F.desc("score"))):
+        assert {r["frame"]: (r["dx"], r["dy"]) for r in weighted_offsets(part, ["frame"], 0.3).collect()} == want
