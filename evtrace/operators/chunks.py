@@ -27,11 +27,15 @@ def _same(x, i: int, y, j: int, at: list[str]) -> bool:
 
 
 def each_run(decide: Callable, at: list[str], names: list[str]):
-    """decide for each run of rows with equal columns `at`, many small ones to a batch."""
+    """decide for each run of rows with equal columns `at`, many small ones to a batch; it gives a table or a generator of some."""
 
     def run(batches):
         import pyarrow as pa
 
+        def each(table):
+            made = decide(table)
+            return [made] if isinstance(made, pa.Table) else made
+
         waiting, out, size = [], [], 0  # batches of the run that may still go on
         for batch in batches:
             if not batch.num_rows:
@@ -47,16 +51,20 @@ def each_run(decide: Callable, at: list[str], names: list[str]):
                 step |= values[1:] != values[:-1]
             cuts = [0, *(np.flatnonzero(step) + 1).tolist()]
             for i, j in zip(cuts, cuts[1:]):
-                made = decide(table.slice(i, j - i))
+                for made in each(table.slice(i, j - i)):
+                    out.append(made)
+                    size += made.num_rows
+                    if size > 10_000 or len(out) >= 1000:  # tables without rows take memory too
+                        yield from pa.concat_tables(out).combine_chunks().select(names).to_batches()
+                        out, size = [], 0
+            waiting = [table.slice(cuts[-1])]
+        if waiting:
+            for made in each(pa.concat_tables(waiting).combine_chunks()):
                 out.append(made)
                 size += made.num_rows
                 if size > 10_000:
                     yield from pa.concat_tables(out).combine_chunks().select(names).to_batches()
                     out, size = [], 0
-            waiting = [table.slice(cuts[-1])]
-        left = pa.concat_tables(waiting).combine_chunks() if waiting else None
-        if left is not None:
-            out.append(decide(left))
         if out:
             yield from pa.concat_tables(out).combine_chunks().select(names).to_batches()
 

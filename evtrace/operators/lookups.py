@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.scalars import hamming
+from ..plans.settle import settle
+from .chunks import each_run
 
-BITS = 64
+#: Rows of a block of hashes, and of those how many are compared with another block at once.
+TILE, STRIPE = 16_384, 32
 
 
 def nearest_reference(queries: DataFrame, references: DataFrame, k: int = 5, limit: int = 20_000) -> DataFrame:
@@ -68,21 +69,88 @@ def exact_duplicates(df: DataFrame, key, order: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.min(order).alias("first"), F.count("*").alias("rows"))
 
 
+def _dealt(rows: DataFrame, side: str) -> DataFrame:
+    """rows with their block (k_<side>) among the blocks (n_<side>) of their group, of about TILE rows each."""
+    sizes = settle(rows.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")))
+    how = "broadcast" if sizes.count() <= 100_000 else "shuffle_merge"
+    return rows.select("grp", "id", "h").join(sizes.hint(how), "grp").withColumns({f"n_{side}": F.col("n"), f"k_{side}": F.pmod(F.xxhash64("h"), F.col("n")).cast("int")}).drop("n")
+
+
+def _tiles(left: DataFrame, right: DataFrame, decide, names: list[str], shape: str) -> DataFrame:
+    """What `decide` says of every tile: a block (i, side 0) of left beside one (j, side 1) of right, both with grp, i, j, id, h."""
+    at = ["grp", "i", "j"]
+    rows = left.select(*at, F.lit(0).alias("side"), "id", "h").unionByName(right.select(*at, F.lit(1).alias("side"), "id", "h"))
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, *at).sortWithinPartitions(*at).mapInArrow(each_run(decide, at, names), shape)
+
+
+def _sides(table):
+    """Ids and hashes of both sides of a tile; those of the second by id."""
+    side, ids, h = (table.column(c).to_numpy(zero_copy_only=False) for c in ("side", "id", "h"))
+    h = h.astype(np.int64).view(np.uint64)
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    b = b[np.argsort(ids[b], kind="stable")]
+    return ids[a], h[a], ids[b], h[b]
+
+
+def _near(most: int):
+    """Of a tile its pairs within `most` bits, the smaller id first, some rows at a time."""
+
+    def decide(table):
+        import pyarrow as pa
+
+        ida, ha, idb, hb = _sides(table)
+        same, kind = table.column("i")[0] == table.column("j")[0], table.schema.field("id").type
+        for s in range(0, len(ha), STRIPE):
+            d = np.bitwise_count(ha[s : s + STRIPE, None] ^ hb[None, :])
+            p, q = np.nonzero(d <= most)
+            x, y, d = ida[s + p], idb[q], d[p, q]
+            if same:
+                keep = x < y
+                x, y, d = x[keep], y[keep], d[keep]
+            if len(x):
+                yield pa.table([pa.repeat(table.column("grp")[0], len(x)), pa.array(np.minimum(x, y), kind), pa.array(np.maximum(x, y), kind), pa.array(d, pa.int32())], ["grp", "a", "b", "distance"])
+
+    return decide
+
+
+def _first(most: int):
+    """Of a tile the smallest id of the second side within `most` bits of each row of the first that has one."""
+
+    def decide(table):
+        import pyarrow as pa
+
+        ida, ha, idb, hb = _sides(table)
+        kind = table.schema.field("id").type
+        for s in range(0, len(ha) if len(hb) else 0, STRIPE):
+            near = np.bitwise_count(ha[s : s + STRIPE, None] ^ hb[None, :]) <= most
+            at = near.argmax(axis=1)
+            p = np.flatnonzero(near[np.arange(len(at)), at])
+            if len(p):
+                yield pa.table([pa.array(ida[s + p], kind), pa.array(idb[at[p]], kind)], ["id", "rep"])
+
+    return decide
+
+
 def hash_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
-    """Pairs (a, b, distance) of distinct hashes of a group at most `most` bits apart, exactly; equal hashes count once.
+    """Pairs (grp, a, b, distance) of distinct hashes of a group at most `most` bits apart, exactly; equal hashes count once.
 
-    Of most + 2 bands two at least stay equal, so hashes meet on every two bands (12 to 14 bits for 8 of 64) and a
-    pair counts where its first two equal bands meet. hashes: grp, id, h.
+    Every two hashes of a group are compared: its hashes are dealt to blocks of about TILE, two blocks meet in one tile,
+    and a tile compares in arrays some rows at a time. So a task's memory is bounded however alike the hashes are, and no
+    bits have to be even; comparisons grow with the square of a group (about 3 ns each). hashes: grp, id, h.
     """
-    bands = most + 2
-    if bands > BITS:
-        raise ValueError("more bands than bits")
-    cuts = [(i * BITS // bands, (i + 1) * BITS // bands) for i in range(bands)]
-    bits = [((1 << hi) - (1 << lo)) for lo, hi in cuts]
-    masks = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in (x | y for x, y in combinations(bits, 2))])
-    once = hashes.groupBy("grp", "h").agg(F.min("id").alias("id"))
-    rows = once.select("grp", "h", "id", F.posexplode(masks).alias("n", "m")).withColumn("v", F.col("h").bitwiseAND(F.col("m"))).drop("m")
-    a, b = rows.toDF("grp", "ha", "a", "n", "v"), rows.toDF("grp", "hb", "b", "n", "v")
-    near = a.join(b.hint("shuffle_merge"), ["grp", "n", "v"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
-    first = F.array_position(F.transform(masks, lambda m: F.col("ha").bitwiseXOR(F.col("hb")).bitwiseAND(m) == 0), True) - 1
-    return near.where(F.col("n") == first).select("grp", "a", "b", "distance")
+    once = settle(hashes.groupBy("grp", "h").agg(F.min("id").alias("id")))
+    rows, kind = _dealt(once, "l"), dict(once.dtypes)
+    left = rows.select("grp", F.col("k_l").alias("i"), F.explode(F.sequence("k_l", F.col("n_l") - 1)).alias("j"), "id", "h")
+    right = rows.select("grp", F.explode(F.sequence(F.lit(0), "k_l")).alias("i"), F.col("k_l").alias("j"), "id", "h")
+    return _tiles(left, right, _near(most), ["grp", "a", "b", "distance"], f"grp {kind['grp']}, a {kind['id']}, b {kind['id']}, distance int")
+
+
+def first_near(hashes: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
+    """Each row (grp, id, h) that lies within `most` bits of a known one of its group, with the smallest such id: id, rep."""
+    a, b, kind = _dealt(hashes, "l"), _dealt(known, "r"), dict(hashes.dtypes)["id"]
+    blocks = lambda df, n: df.groupBy("grp").agg(F.first(n).alias(n))
+    few = lambda df, of, n: df.join(blocks(of, n).hint("broadcast" if df.select("grp").distinct().count() <= 100_000 else "shuffle_merge"), "grp")
+    left = few(a, b, "n_r").select("grp", F.col("k_l").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_r") - 1)).alias("j"), "id", "h")
+    right = few(b, a, "n_l").select("grp", F.explode(F.sequence(F.lit(0), F.col("n_l") - 1)).alias("i"), F.col("k_r").alias("j"), "id", "h")
+    return _tiles(left, right, _first(most), ["id", "rep"], f"id {kind}, rep {kind}").groupBy("id").agg(F.min("rep").alias("rep"))
