@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import clamp01, exact, hamming, normalize_name
 from ..plans.settle import settle
-from .lookups import hash_pairs
+from .lookups import first_near, hash_pairs
 from .chunks import WIDTH, each_run, throttle
 from .timeline import with_previous
 
@@ -97,14 +97,11 @@ def hash_changes(hashes: DataFrame, keys: list[str], most: int, least_gap: int,
     return throttle(moved.select(*keys, "id", "t", "distance"), keys, least_gap, "t", "id", width)
 
 
-def representatives(hashes: DataFrame, most: int = 8) -> DataFrame:
-    """Each row (grp, id, h) with the representative it repeats, itself where it is one.
+def _repeats(pairs: DataFrame) -> DataFrame:
+    """Of near pairs (a, b), a before b, every b that repeats an earlier representative, with the smallest: id, rep.
 
-    By id within a group, a row repeats the smallest earlier representative at most `most` bits away. Only near pairs
-    of distinct hashes matter: every round settles the rows without undecided earlier neighbours, and theirs, so a
-    round is two joins over the pairs left and no group meets in one task.
+    Every round settles the rows without undecided earlier neighbours, and theirs: two joins over the pairs left.
     """
-    pairs = settle(hash_pairs(hashes, most).select("a", "b"))
     left, gone = pairs, None
     while not left.isEmpty():
         first = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct().hint("shuffle_merge"), "a", "left_anti")
@@ -112,12 +109,37 @@ def representatives(hashes: DataFrame, most: int = 8) -> DataFrame:
         gone = dropped if gone is None else gone.union(dropped)
         out = dropped.select(F.col("b").alias("a")).hint("shuffle_merge")
         left = settle(left.join(first.hint("shuffle_merge"), "a", "left_anti").join(out, "a", "left_anti").join(dropped.hint("shuffle_merge"), "b", "left_anti").select("a", "b"))
-    once = hashes.groupBy("grp", "h").agg(F.min("id").alias("own"))
-    if gone is not None:
-        of = pairs.join(gone.select(F.col("b").alias("a")).hint("shuffle_merge"), "a", "left_anti").join(gone.hint("shuffle_merge"), "b", "left_semi").groupBy(F.col("b").alias("own")).agg(F.min("a").alias("rep"))
-        once = once.join(of.hint("shuffle_merge"), "own", "left")
-    else:
-        once = once.withColumn("rep", F.lit(None).cast("long"))
+    if gone is None:
+        return pairs.select(F.col("b").alias("id"), F.col("a").alias("rep"))
+    return pairs.join(gone.select(F.col("b").alias("a")).hint("shuffle_merge"), "a", "left_anti").join(gone.hint("shuffle_merge"), "b", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("rep"))
+
+
+def representatives(hashes: DataFrame, most: int = 8, batch: int = 8192) -> DataFrame:
+    """Each row (grp, id, h) with the representative it repeats, itself where it is one.
+
+    By id within a group, a row repeats the smallest earlier representative at most `most` bits away. Distinct hashes go
+    by id in a few batches, the first of about `batch` and each later one four times all before it: what lies near a
+    representative of earlier batches repeats it, and only what is left over is paired with its like. So near pairs are
+    listed among rows that no earlier batch explains, not among all.
+    """
+    once = settle(hashes.groupBy("grp", "h").agg(F.min("id").alias("id")))
+    n, shares = once.count(), []
+    while n * 5.0 ** -(len(shares) + 1) >= batch:
+        shares.insert(0, 5.0 ** -(len(shares) + 1))
+    cuts = [None, *sorted(set(once.approxQuantile("id", shares, 0.0005))), None] if shares else [None, None]
+    reps = told = None
+    for lo, hi in zip(cuts, cuts[1:]):
+        rows = once.where((F.lit(True) if lo is None else F.col("id") > lo) & (F.lit(True) if hi is None else F.col("id") <= hi))
+        made = None
+        if reps is not None:
+            made = settle(first_near(rows, reps, most))
+            rows = settle(rows.join(made.select("id").hint("shuffle_merge"), "id", "left_anti"))
+        repeats = settle(_repeats(settle(hash_pairs(rows, most).select("a", "b"))))
+        for x in (made, repeats):
+            told = x if told is None else told if x is None else told.unionByName(x)
+        new = rows.join(repeats.select("id").hint("shuffle_merge"), "id", "left_anti").select("grp", "id", "h")
+        reps = settle(new if reps is None else reps.unionByName(new))
+    once = once.withColumnRenamed("id", "own").join(told.withColumnRenamed("id", "own").hint("shuffle_merge"), "own", "left")
     return hashes.join(once.hint("shuffle_merge"), ["grp", "h"]).select("grp", "id", F.coalesce("rep", "own").alias("representative"))
 
 

@@ -121,3 +121,24 @@ def test_location_verdicts_at_a_limit_in_any_order(spark):
         got = {r["recovery_id"]: r for r in checks.location_verdicts(rec, df, {"text": 0.2, "map": 0.2, "view": 0.2}, 0.15).collect()}
         assert (got[1]["status"], got[1]["score"], got[1]["confidence"]) == ("LOW_MATCH", 0.45, 0.55)
         assert got[2]["detected"] == "A" and got[2]["frames"] == 11
+
+
+def test_representatives_in_batches_and_tiles(spark, monkeypatch):
+    """Batches and blocks far smaller than a group, and 400 hashes of which nearly all are near each other."""
+    monkeypatch.setattr(lookups, "TILE", 40)
+    rng = random.Random(5)
+    rows = _hashes(300) + [("z", 1000 + i, (1 << rng.randrange(63)) | (1 << rng.randrange(63)) | -(2**63)) for i in range(400)]
+    want, reps = {}, []
+    for g, i, h in sorted(rows, key=lambda r: r[1]):
+        hit = [j for k, j, x in reps if k == g and _near(x, h) <= 8]
+        want[i] = hit[0] if hit else i
+        if not hit:
+            reps.append((g, i, h))
+    df = spark.createDataFrame(rows, HASHES)
+    assert {r["id"]: r["representative"] for r in checks.representatives(df, 8, batch=20).collect()} == want
+    once = {}
+    for g, i, h in rows:
+        once.setdefault((g, h), i)
+    known = [(g, i, h) for (g, h), i in once.items()]
+    pairs = [(min(a, b), max(a, b), _near(x, y)) for g, a, x in known for k, b, y in known if g == k and a < b and _near(x, y) <= 8]
+    assert sorted(tuple(r)[1:] for r in lookups.hash_pairs(df, 8).collect()) == sorted(pairs)
