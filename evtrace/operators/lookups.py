@@ -12,18 +12,83 @@ from .chunks import each_run
 TILE, STRIPE = 16_384, 32
 
 
-def nearest_reference(queries: DataFrame, references: DataFrame, k: int = 5, limit: int = 20_000) -> DataFrame:
+def _vectors(values) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of a matrix, and their lengths: -1 for a null list; one that holds a null or NaN has NaN there."""
+    lists = values.to_pylist()
+    size = np.array([-1 if v is None else len(v) for v in lists])
+    out = np.zeros((len(lists), max(1, size.max(initial=0))))
+    for i, v in enumerate(lists):
+        if v is not None:
+            out[i, : len(v)] = v
+    return out, size
+
+
+def _best(k: int):
+    """Of a tile's queries (side 0) the references (side 1) that may be among their k best, with the exact cosine."""
+
+    def decide(table):
+        import pyarrow as pa
+
+        side = table.column("side").to_numpy()
+        a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)).sort_by("id")
+        (q, nq), (r, nr), m = _vectors(a.column("v")), _vectors(b.column("v")), min(k, b.num_rows)
+        width = max(q.shape[1], r.shape[1])
+        q, r = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, r))
+        ids, refs = a.column("id").to_numpy(), b.column("id").to_numpy()
+
+        def norm(x):
+            total = np.zeros(len(x))
+            for d in range(width):  # in the order of a plain sum
+                total += x[:, d] * x[:, d]
+            return np.sqrt(total)
+
+        lq, lr = norm(q), norm(r)
+        with np.errstate(all="ignore"):
+            for s in range(0, len(q) if m else 0, 256):
+                x, l = q[s : s + 256], lq[s : s + 256]
+                about = (x @ r.T) / (l[:, None] * lr[None, :])
+                about[(nq[s : s + 256, None] != nr[None, :]) | (nq[s : s + 256, None] < 0) | ~np.isfinite(about)] = -9.0
+                kth = np.partition(about, about.shape[1] - m, axis=1)[:, about.shape[1] - m]
+                i, j = np.nonzero(about >= kth[:, None] - 3e-6)  # scores are told to six places
+                known = about[i, j] > -9
+                dot = np.zeros(len(i))
+                for d in range(width):
+                    dot += x[i, d] * r[j, d]
+                score = np.where(known, dot / (l[i] * lr[j]), -9.0)
+                order = np.lexsort((refs[j], -score, i))  # of equal scores the k smallest ids are enough
+                i, j, score = i[order], j[order], score[order]
+                start = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (score[1:] != score[:-1])])
+                keep = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < k
+                i, j, score = i[keep], j[keep], score[keep]
+                yield pa.table([pa.array(ids[s + i]), pa.array(refs[j]), pa.array(score, mask=score == -9)], ["q_id", "r_id", "score"])
+
+    return decide
+
+
+def nearest_reference(queries: DataFrame, references: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """The k references (r_id, r_v) most similar in cosine to each query (q_id, q_v), of the query's class; a query without class has none.
 
-    References are a curated set; up to `limit` of them are broadcast, beyond it the join shuffles on class.
+    Scores are rounded to six places, ties go to the smaller id; vectors that are null, zero, of unlike lengths or hold
+    no number have a null score, behind all others. Every query is compared with every reference of its class, by
+    matrix products of about `block` queries and references at a time; what may be among the k best is then scored
+    term by term, so the product's rounding decides nothing. Only these go on to the final order.
     """
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("q_v", "r_v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    how = "broadcast" if references.count() <= limit else "shuffle_merge"
-    pairs = queries.join(references.hint(how), "class")
-    scored = pairs.withColumn("score", F.round(dot / (norm(F.transform("q_v", lambda x: x.cast("double"))) * norm(F.transform("r_v", lambda x: x.cast("double")))), 6))
+    def dealt(df, id, v):
+        rows = df.where("class is not null").select("class", F.col(id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"))
+        sizes = settle(rows.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("n")))
+        return rows, sizes, "broadcast" if sizes.count() <= 100_000 else "shuffle_merge"
+
+    (q, nq, hq), (r, nr, hr) = dealt(queries, "q_id", "q_v"), dealt(references, "r_id", "r_v")
+    own = lambda df, n, how: df.join(n.hint(how), "class").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).drop("n")
+    other = lambda df, n, how: df.join(n.hint(how), "class").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    at = ["class", "i", "j"]
+    left = other(own(q, nq, hq), nr, hr).select("class", F.col("k").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = other(own(r, nr, hr), nq, hq).select("class", F.col("o").alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), "id", "v")
+    tasks = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    tiles = left.unionByName(right).repartition(tasks, *at).sortWithinPartitions(*at)
+    found = tiles.mapInArrow(each_run(_best(k), at, ["q_id", "r_id", "score"]), "q_id long, r_id long, score double")
     order = W.partitionBy("q_id").orderBy(F.desc("score"), "r_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "r_id", "score", "rank")
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "r_id", "score", "rank")
 
 
 def fuzzy_match(queries: DataFrame, entries: DataFrame, least: float = 0.55, least_reading: float = 0.25, block: int = 1000) -> DataFrame:

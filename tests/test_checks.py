@@ -142,3 +142,29 @@ def test_representatives_in_batches_and_tiles(spark, monkeypatch):
     known = [(g, i, h) for (g, h), i in once.items()]
     pairs = [(min(a, b), max(a, b), _near(x, y)) for g, a, x in known for k, b, y in known if g == k and a < b and _near(x, y) <= 8]
     assert sorted(tuple(r)[1:] for r in lookups.hash_pairs(df, 8).collect()) == sorted(pairs)
+
+
+def test_artifacts_that_agree_come_back_each(spark):
+    from evtrace.operators import incidents
+
+    found = [(i, "r", "x" if i % 2 else None) for i in range(6)]
+    kept = [("r", "x", "ok", "p")] * 7 + [("r", None, "ok", "p")] * 5 + [("r", "y", "ok", "q")] * 3
+    df = lambda: (spark.createDataFrame(found, "finding long, rule string, target string"), spark.createDataFrame(kept, "rule string, target string, status string, path string"))
+    for limit in (0, 100):
+        got = incidents.artifact_lookup(*df(), limit=limit, most=4)
+        assert sorted((r["finding"], r["path"]) for r in got.collect()) == sorted((i, p) for i in range(6) for p in ["p"] * 12 + ["q"] * (0 if i % 2 else 3))
+
+
+def test_nearest_reference_over_blocks_and_ties(spark):
+    """Small blocks, copies that tie, and vectors without a direction, against a plain loop."""
+    rng = random.Random(6)
+    vec = lambda: [float(rng.randrange(-2, 3)) for _ in range(3)]
+    q, r = [(i, i % 2, vec()) for i in range(60)] + [(60, 0, None), (61, None, [1.0] * 3)], [(i, i % 2, vec()) for i in range(90)]
+
+    def score(x, y):
+        n = sum(a * a for a in x or []) ** 0.5 * sum(b * b for b in y) ** 0.5
+        return round(sum(a * b for a, b in zip(x, y)) / n, 6) if n else -9
+
+    want = {(i, n + 1, j) for i, c, x in q for n, (_, j) in enumerate(sorted((-score(x, y), j) for j, k, y in r if k == c)[:5])}
+    got = lookups.nearest_reference(spark.createDataFrame(q, "q_id long, class int, q_v array<double>"), spark.createDataFrame(r, "r_id long, class int, r_v array<double>"), 5, block=7)
+    assert {(x["q_id"], x["rank"], x["r_id"]) for x in got.collect()} == want
