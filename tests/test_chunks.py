@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from evtrace.operators import chunks
@@ -63,3 +64,18 @@ def test_a_dense_session_costs_in_proportion(spark):
 def test_no_rows(spark):
     none = chunks.greedy_match(spark.createDataFrame([], A), spark.createDataFrame([], C), 10)
     assert none.count() == 0 and none.columns == ["session_id", "a_id", "c_id", "gap", "tier"]
+
+
+def test_many_small_runs_are_decided_together():
+    n = 60_000  # sessions of one anchor and two candidates; one call for each took about a millisecond
+    rows = lambda kind, shift, conf, window: {"session_id": list(range(n)), "chunk": [0] * n, "kind": [kind] * n, "id": [4 * i + shift for i in range(n)], "t": [shift] * n, "conf": [conf] * n, "side": ["x" if kind == 3 or shift == 3 else None] * n, "window": [window] * n}
+    schema = pa.schema([("session_id", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("t", pa.int64()), ("conf", pa.float64()), ("side", pa.string()), ("window", pa.int64())])
+    table = pa.concat_tables(pa.table(x, schema) for x in (rows(3, 0, None, 10), rows(1, 1, 0.5, None), rows(1, 3, 0.5, None))).sort_by("session_id")
+    at, calls = ["session_id", "chunk"], []
+    decide = chunks._greedy(["session_id"])
+    counted = lambda *x: calls.append(1) or decide(*x)
+    began = time.time()
+    got = pa.Table.from_batches(chunks.many_runs(counted, at, [*at, "a_id", "c_id", "gap", "tier", "c_t"])(table.to_batches(max_chunksize=10_000)))
+    assert sorted(got.column("session_id").to_pylist()) == list(range(n)) and set(got.column("gap").to_pylist()) == {3} and set(got.column("tier").to_pylist()) == {0}
+    assert all(c == a + 3 for a, c in zip(got.column("a_id").to_pylist(), got.column("c_id").to_pylist()))
+    assert len(calls) <= 19 and time.time() - began < 20
