@@ -25,7 +25,7 @@ added and take the place of columns of these names. An empty table gives no rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settle
 
@@ -37,10 +37,14 @@ SMALL = 100_000  # rows of places up to which they are broadcast
 ANY = "<*>"
 
 
+def _tokens(line) -> Column:
+    return F.array_remove(F.split(line, r"\s+"), "")
+
+
 def _masked(lines: DataFrame) -> DataFrame:
-    """lines with `tokens` of column line, and `masked`, those with digits generalised."""
-    general = F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
-    return lines.withColumn("tokens", F.filter(F.split("line", r"\s+"), lambda t: t != "")).withColumn("masked", F.when(F.col("line").rlike("[0-9]"), general).otherwise(F.col("tokens")))
+    """lines with `masked`, the tokens of column line, those with digits generalised; worked out once, whatever reads it."""
+    general = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", ANY)).otherwise(F.col("line"))
+    return lines.withColumn("masked", F.explode(F.array(_tokens(general))))  # a filter is not pushed below this
 
 
 def _votes(lines: DataFrame) -> DataFrame:
@@ -77,10 +81,10 @@ def line_templates(docs: DataFrame, shortest: int = 4, least: int = 3, least_lon
     """doc_id, text_hash, line_no, n_tokens, template (a hash) of every line with enough tokens."""
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n").alias("lines"))
-    lines = _masked(texts.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))).withColumn("n_tokens", F.size("masked"))
-    plain = F.when(F.col("line").rlike("[0-9]"), F.size(F.filter("masked", lambda t: t != ANY))).otherwise(F.col("n_tokens")) >= FIXED
+    lines = _masked(texts.select("doc_id", "text_hash", F.posexplode_outer("lines").alias("line_no", "line"))).withColumn("n_tokens", F.size("masked"))  # outer: lines are not split twice
+    plain = F.when(F.col("n_tokens") >= FIXED, F.size(F.array_remove("masked", ANY)) >= FIXED).otherwise(False)
     leaf = F.when(plain, F.xxhash64(F.col("n_tokens"), F.slice("masked", 1, LEADING)))
-    own = F.when(plain, F.xxhash64(F.lit("masked"), "masked")).otherwise(F.xxhash64(F.lit("exact"), "tokens"))
+    own = F.when(plain, F.xxhash64(F.lit("masked"), "masked")).otherwise(F.xxhash64(F.lit("exact"), _tokens("line")))
     keyed = settle(lines.where(F.col("n_tokens") >= shortest).select("doc_id", "text_hash", "line_no", "n_tokens", leaf.alias("leaf"), own.alias("own")))
     # leaves in which different lines meet, and one place of each such line; a leaf of one line is that line's template
     leafy = keyed.where("leaf is not null")
@@ -93,7 +97,7 @@ def line_templates(docs: DataFrame, shortest: int = 4, least: int = 3, least_lon
     small = places.count() <= SMALL and chosen.count() <= 4 * SMALL
     found = texts.join(places.hint("broadcast" if small else "shuffle_hash"), (texts["doc_id"].eqNullSafe(places["doc_id"])) & (texts["text_hash"] == places["text_hash"]))
     spread = found.select("lines", F.explode("places").alias("p")).select("p.leaf", "p.own", "p.n", F.get("lines", F.col("p.line_no")).alias("line"))
-    split = settle(_masked(spread).drop("line", "tokens").dropDuplicates(["leaf", "own"]))
+    split = settle(_masked(spread).drop("line").dropDuplicates(["leaf", "own"]))
     joined = keyed.join(_templates(split, agree).hint("shuffle_hash"), ["leaf", "own"], "left")
     return joined.select("doc_id", "text_hash", "line_no", "n_tokens", F.coalesce("general", "own").alias("template"))
 
@@ -113,8 +117,9 @@ def drop_recurring_lines(docs: DataFrame, shortest: int = 4, least: int = 3, lea
     gone = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "gone")
     text = F.col("a.text").cast("string")
     out = docs.alias("a").join(gone.alias("b").hint("shuffle_hash"), F.col("a.doc_id").cast("long").eqNullSafe(F.col("b._d")) & (F.xxhash64(text) == F.col("b._h")), "left")
-    every = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "b.gone")
-    kept = F.array_join(F.transform(left, lambda i: F.get(every, i)), "\n")
+    # each text is split once, not once a line
+    out = out.withColumn("_every", F.split(text, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_every") - 1), "b.gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("_every", i)), "\n")
     cleaned = F.when(F.col("b.gone").isNull(), text).otherwise(kept)
-    return out.select(*[cleaned.alias("text") if c == "text" else F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.when(text.isNull(), 0).otherwise(F.size(every)).cast("long").alias("n_lines"), F.when(F.col("b.gone").isNull(), 0).otherwise(F.size("b.gone")).cast("long").alias("n_dropped"))
+    return out.select(*[cleaned.alias("text") if c == "text" else F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.when(text.isNull(), 0).otherwise(F.size("_every")).cast("long").alias("n_lines"), F.when(F.col("b.gone").isNull(), 0).otherwise(F.size("b.gone")).cast("long").alias("n_dropped"))

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -351,3 +352,21 @@ def test_line_dedup_odd_rows(spark):
     got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()
     assert [(r["doc_id"], r["text"]) for r in got if r["doc_id"] != 9] and Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] != 9) == Counter([(None, ""), (3, ""), (3, ""), (2, mark + "\nmine alone is this line"), (2, "another text of the same id")])
     assert next(r["text"] for r in got if r["doc_id"] == 9) == "\n".join(f"filler {i}" for i in range(5000))
+
+
+def test_lines_are_masked_once_and_as_by_plain_code(spark):
+    odd = ["", " ", "\t a1  b\x0bc \r", "x 2024-01-02 y9z <*> é7 ٣ 𝟙", "no digits here", "a" * 5000 + " " + "b" * 5000 + "1", "1", " 1  b"]
+    got = line_templates._masked(spark.createDataFrame(list(enumerate(odd)), "id long, line string"))
+    plain = lambda line: ["<*>" if any("0" <= c <= "9" for c in t) else t for t in re.split(r"[ \t\n\x0b\f\r]+", line) if t]
+    assert {r["id"]: r["masked"] for r in got.collect()} == {i: plain(x) for i, x in enumerate(odd)}
+    plan = got.where("size(masked) >= 4").select("id", F.xxhash64("masked"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1  # a filter used to repeat the work of each line
+
+
+def test_a_long_text_that_loses_a_line_is_split_once(spark):
+    n, again = 20_000, "this same line stands in every one of them"
+    rows = [(1, again), (2, again), (3, "\n".join([again, *(f"w{i} x" for i in range(n))]))]  # other lines are too short to be templates
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == again and got[2]["text"] == "" and (got[3]["n_lines"], got[3]["n_dropped"]) == (n + 1, 1)
+    assert got[3]["text"] == "\n".join(f"w{i} x" for i in range(n)) and time.time() - began < 25
