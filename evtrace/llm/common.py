@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,6 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+BATCH = 4 << 20  # bytes of a batch of texts or sets that goes to Python, but for one longer row
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What Spark runs meanwhile sends Python batches of BATCH bytes at most, and not the session's (64 MB).
+
+    A task holds each batch several times: as vectors and as a stream in the JVM, as vectors and as objects in Python.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts its lineage and gives joins a true size."""
     spark = df.sparkSession
@@ -30,6 +49,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_texts(df: DataFrame) -> DataFrame:
+    """settle() of what Python makes of whole texts or sets, in small batches."""
+    with small_batches(df.sparkSession):
+        return settle(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     spark = df.sparkSession

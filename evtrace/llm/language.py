@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import settle
+from .common import settle, settle_texts
 
 LABELS = 1024  # languages that are told apart, at most
 HOT = 1000  # a pair of declaration and host that is broadcast is one in so many rows, at least
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, labelled: DataFrame, declared=None, address=None,
     facts = facts.drop(drop) if drop else facts
     shape = T.StructType([f for f in facts.schema if f.name != read] + [T.StructField(told, T.ArrayType(T.DoubleType()))])
     best = lambda scores: F.array_position(scores, F.array_max(scores)).cast("int")
-    scored = settle(facts.mapInArrow(_score(table, read, told), shape))
+    scored = settle_texts(facts.mapInArrow(_score(table, read, told), shape))
     guess = scored.where(F.col(told).isNotNull()).select(F.col(said).alias("said"), F.col(host).alias("host"), F.col(suffix).alias("suffix"), (best(F.col(told)) - 1).alias("l"))
     counted = settle(guess.groupBy("said", "host", "suffix", "l").agg(F.count("*").alias("n")))
     evidence = settle(_evidence(counted, len(names)).select(F.col("said").alias(said), F.col("host").alias(host), "rows", F.col("known").alias(known)))

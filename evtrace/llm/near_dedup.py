@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import ASCII_LOWER, components, discard, parts, settle
+from .common import ASCII_LOWER, components, discard, parts, settle, settle_texts
 
 TREES, DEPTH, LEAST = 12, 8, 3  # orders, hashes that an order sorts by, least common prefix of a region
 THIN, NEAR = 32, 2  # most rows of a region that is compared wholly, neighbours compared in any region
@@ -409,7 +409,7 @@ def _rest(dense: DataFrame, classes: DataFrame, roots: DataFrame, set_of, confir
         return roots
     open_ = settle(rows.join(several.hint("shuffle_merge"), "region").withColumn("blocks", F.col("others") + F.col("mains")).select("region", "id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("others") + F.col("mains")).cast("int").alias("block")))
     wanted = open_.select("id").distinct()
-    sets = settle(set_of(wanted))
+    sets = settle_texts(set_of(wanted))
     short = classes.select("id", "n", F.expr(f"unhex(array_join(transform(sequence(0, {HASHES - 1}), i -> hex(substring(sig, i * 4 + 4, 1))), ''))").alias("sig")).join(wanted.hint("shuffle_hash"), "id", "left_semi")
     about = settle(open_.join(short.hint("shuffle_hash"), "id"))
     central = about.select("region", "block", "id", "n", "sig").groupBy("region", "block").applyInArrow(_central, "region long, id long, n long, sig binary, score long")
@@ -417,7 +417,7 @@ def _rest(dense: DataFrame, classes: DataFrame, roots: DataFrame, set_of, confir
     centres = best.groupBy("region").agg(F.collect_list(F.struct("id", "n", "sig")).alias("centre")).join(several.select("region", (F.col("others") + F.col("mains")).alias("blocks")).hint("shuffle_merge"), "region")
     centres = settle(centres.select("region", "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
     met = about.join(centres.hint("shuffle_hash"), ["region", "block"]).select("id", "n", "sig", "centre").mapInArrow(_meet(need), "a long, b long").distinct()
-    links = settle(confirm(settle(met), sets))
+    links = settle_texts(confirm(settle(met), sets))
     joined = lambda links: settle(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     if not links.isEmpty():
         roots = joined(links)
@@ -437,7 +437,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); similarity in hundredths."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = settle(texts.mapInArrow(_signatures(words), "doc_id long, n long, key binary, sig binary"))
+    signed = settle_texts(texts.mapInArrow(_signatures(words), "doc_id long, n long, key binary, sig binary"))
     # classes: equal sets, once; the smallest id stands for them
     first = F.min(F.struct(F.col("doc_id").alias("id"), "n", "sig"))
     classes = settle(signed.where("key is not null and doc_id is not null").groupBy("key").agg(first.alias("f")).select("key", "f.id", "f.n", "f.sig"))
@@ -459,12 +459,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         return pairs.join(x.hint("shuffle_merge"), "a").join(y.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(_confirm(similarity), "a long, b long")
 
     # likely pairs that span what they join first; then only pairs whose ends are still apart need their sets compared
-    sets = settle(set_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    links = settle(confirm(pairs.where(F.col("what") == PAIR).select("a", "b"), sets))
+    sets = settle_texts(set_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    links = settle_texts(confirm(pairs.where(F.col("what") == PAIR).select("a", "b"), sets))
     roots = settle(components(links)).hint("shuffle_merge")
     apart = pairs.where(F.col("what") == MAYBE).select("a", "b")
     apart = apart.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    more = settle(confirm(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), sets))
+    more = settle_texts(confirm(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), sets))
     if not more.isEmpty():
         roots = settle(components(links.unionByName(more)))
     roots = _rest(found.where(F.col("what") == DENSE).select("region", "id"), classes, roots, set_of, confirm, similarity)

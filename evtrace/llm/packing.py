@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import parts, settle
+from .common import parts, settle_texts
 
 CAPACITY = 2048
 SLOT = "length long, lo long, hi long, sequence long, per long, used long"
@@ -31,6 +31,7 @@ def _encoder(ranks_path: str, tokenizer_path: str, pattern: str):
     """
     import json
     import re
+    from functools import cache
 
     import tiktoken
     from tokenizers import Tokenizer
@@ -38,11 +39,11 @@ def _encoder(ranks_path: str, tokenizer_path: str, pattern: str):
     from .bpe import read_ranks
 
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-    slow = Tokenizer.from_file(tokenizer_path)
+    slow = cache(lambda: Tokenizer.from_file(tokenizer_path))  # read only where a text needs it
     with open(tokenizer_path, encoding="utf-8") as f:
         added = [t["content"] for t in json.load(f).get("added_tokens", [])]
     apart = re.compile("|".join([r"\s{5000}", *map(re.escape, added)]))
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if apart.search(text) else fast.encode_ordinary(text)
+    return lambda text: slow().encode(text, add_special_tokens=False).ids if apart.search(text) else fast.encode_ordinary(text)
 
 
 def _pieces(tokenizer: tuple[str, str, str], capacity: int, end_id: int):
@@ -103,6 +104,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return slots
 
 
+def _slots(spark: SparkSession, slots: list[tuple[int, ...]]) -> DataFrame:
+    """The plan as a table, by Arrow: from a list of rows it would take Python workers of another kind on the executors."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in SLOT.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array([s[i] for s in slots], pa.int64()) for i in range(len(names))], names))
+
+
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -110,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAPAC
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = settle(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = settle_texts(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = plan(counts, capacity)
     salts = parts(spark, sum(counts.values()), 500_000)
@@ -119,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAPAC
     before = sizes.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("within", within).join(before.hint("shuffle_merge"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
-    places = spark.createDataFrame(slots, SLOT).hint("broadcast" if len(slots) <= 100_000 else "shuffle_merge")
+    places = _slots(spark, slots).hint("broadcast" if len(slots) <= 100_000 else "shuffle_merge")
     step = F.col("rank") - F.col("lo")
     placed = ranked.join(places, "length").where("rank >= lo and rank < hi")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(step / F.col("per"))).cast("long").alias("sequence_id"), (F.col("used") + step % F.col("per") * F.col("length")).cast("long").alias("offset"))

@@ -26,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_sample, discard, settle
+from .common import bounded_sample, discard, settle_texts
 
 BASE = ("email", "ip", "card", "phone")  # kinds of the patterns
 KINDS = (*BASE, "secret", "iban", "ssn")
@@ -690,7 +690,7 @@ def labelled(zone: str) -> list[tuple[str, int, int]] | None:
 
 def fit_on(texts: DataFrame) -> Field:
     """The field for a table of texts (column text): seeds, and SAMPLE zones labelled by the patterns."""
-    found = settle(texts.mapInArrow(_sample_zones, "zone string").distinct())
+    found = settle_texts(texts.mapInArrow(_sample_zones, "zone string").distinct())
     rows = bounded_sample(found, SAMPLE).collect()
     discard(found)
     told = [(zone, labelled(zone)) for (zone,) in rows]
@@ -769,6 +769,6 @@ def _mask(field: Field):
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; all columns stay."""
+    """docs with every span of text replaced by its kind in brackets, settled; all columns stay."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_mask(fit_on(docs.select("text"))), T.StructType(docs.schema.fields))
+    return settle_texts(docs.mapInArrow(_mask(fit_on(docs.select("text"))), T.StructType(docs.schema.fields)))

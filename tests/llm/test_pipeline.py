@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from evtrace.llm import language, personal, queries
+from evtrace.llm import language, near_dedup, packing, personal, queries
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(p.STAGES)
@@ -115,3 +115,46 @@ def test_odd_tables(spark, name):
         assert out.where("doc_id in (1, 2) and piece = 0 and length = 1").count() == 2  # the null and the empty text
         assert out.where("doc_id is null").count() == 1 and out.where("doc_id = 4 and piece = 0").count() == 1 + 2
     assert STAGES[name](spark, clash.where("false"), SF).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """No text step holds a whole partition (here 13 MB) in one batch, and the session's setting stays as it was."""
+
+    def watched(make):
+        def made(*args):
+            run = make(*args)
+
+            def checked(batches):
+                def each():
+                    for b in batches:
+                        if b.nbytes > 5_000_000:
+                            raise ValueError(f"a batch of {b.nbytes} bytes")
+                        yield b
+
+                yield from run(each())
+
+            return checked
+
+        return made
+
+    for module, names in ((language, ["_score"]), (near_dedup, ["_signatures", "_confirm"]), (personal, ["_mask"]), (packing, ["_pieces"])):
+        for name in names:
+            monkeypatch.setattr(module, name, watched(getattr(module, name)))
+    # pairs of near copies, no two of which share a line
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(800)), lambda i: F.translate(F.xxhash64(F.floor(F.col("id") / 2), i).cast("string"), "-0123456789", "abcdefghijk")), F.col("id").cast("string"))
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    counts = {stage: STAGES[stage](spark, docs, SF).count() for stage in ("language", "near dedup", "personal data")}
+    assert counts == {"language": 400, "near dedup": 200, "personal data": 400}
+    assert STAGES["packing"](spark, docs, SF).select("doc_id").distinct().count() == 400
+    assert spark.conf.get(name) == before
+
+
+def test_packing_plan_needs_no_python_workers(spark):
+    from pyspark.sql import types as T
+
+    got = packing._slots(spark, [(3, 0, 2, 0, 1, 0)])
+    assert [(f.name, f.dataType) for f in got.schema] == [(n, T.LongType()) for n in ("length", "lo", "hi", "sequence", "per", "used")]
+    assert [tuple(r) for r in got.collect()] == [(3, 0, 2, 0, 1, 0)] and packing._slots(spark, []).count() == 0
+    assert "PythonRDD" not in got._jdf.toJavaRDD().toDebugString()
