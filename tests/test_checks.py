@@ -155,6 +155,29 @@ def test_artifacts_that_agree_come_back_each(spark):
         assert sorted((r["finding"], r["path"]) for r in got.collect()) == sorted((i, p) for i in range(6) for p in ["p"] * 12 + ["q"] * (0 if i % 2 else 3))
 
 
+def test_artifacts_meet_findings_read_once(spark):
+    """Any mix of missing rules and targets, against a plain loop; no finding is computed a second time."""
+    from evtrace.operators import incidents
+
+    rng, seen = random.Random(8), spark.sparkContext.accumulator(0)
+    found = [(i, rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 2, None])) for i in range(200)]
+    kept = [(rng.choice(["a", "b", "d", None]), rng.choice([0, 1, 3, None]), rng.choice(["ok", "ok", "failed"]), rng.choice(["p", "q", None])) for _ in range(150)]
+    want = sorted((i, p) for i, r, t in found for s, u, state, p in kept if r is not None and r == s and state == "ok" and p is not None and (t is None or u is None or t == u))
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    artifacts = spark.createDataFrame(kept, "rule string, target long, status string, path string")
+    for limit in (0, 10_000):
+        seen.value = 0
+        findings = spark.createDataFrame(found, "finding long, rule string, target int").mapInArrow(told, "finding long, rule string, target int")
+        got = incidents.artifact_lookup(findings, artifacts, limit=limit, most=3)
+        assert got.columns == ["finding", "rule", "target", "path"]
+        assert sorted((r["finding"], r["path"]) for r in got.collect()) == want and seen.value == len(found)
+
+
 def test_nearest_reference_over_blocks_and_ties(spark):
     """Small blocks, copies that tie, and vectors without a direction, against a plain loop."""
     rng = random.Random(6)
